@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .packing import op3_packing
+from .sharding import op2_sharding
 from .simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_packing": op3_packing}
 ORACLES: dict[str, str] = {}
