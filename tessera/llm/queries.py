@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .packing import op3_packing
+from .secrets import op7_secrets
 from .sharding import op2_sharding
 from .simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_packing": op3_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op7_secrets": op7_secrets}
 ORACLES: dict[str, str] = {}
