@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .bitslice import OP6_SQL, op6_topk
 from .packing import op3_packing
 from .secrets import op7_secrets
 from .sharding import op2_sharding
 from .simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op7_secrets": op7_secrets}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op6_topk": op6_topk, "op7_secrets": op7_secrets}
+ORACLES: dict[str, str] = {"op6_topk": OP6_SQL}

@@ -27,12 +27,13 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits a character over a window of 20, by class: hexadecimal runs, runs with letters of one case, mixed runs.
 LIMITS = {"hex": 3.0, "cased": 3.5, "mixed": 3.8}
-#: Runs that look random but are none: numbers, identifiers in one case, version 1-5 UUIDs, placeholders, alphabets.
+#: Runs that look random but are none: numbers, words and identifiers of words, version 1-5 UUIDs, placeholders, alphabets.
 ALLOWED = (
     r"^[0-9+/_=-]+$",
     r"^[a-z+/_=-]+$",
     r"^[A-Z+/_=-]+$",
     r"^[A-Za-z+/_=-]+$",
+    r"^([A-Za-z]+[0-9]{0,2}[+/_=-])+[A-Za-z]*[0-9]{0,2}$",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)example|sample|placeholder|dummy|changeme|x{8,}",
     r"(?i)0123456789|abcdefghijkl",
