@@ -7,6 +7,7 @@ from .packing import op3_packing
 from .secrets import op7_secrets
 from .sharding import op2_sharding
 from .simhash import op1_simhash
+from .toxicity import op5_toxicity
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op6_topk": op6_topk, "op7_secrets": op7_secrets}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_secrets": op7_secrets}
 ORACLES: dict[str, str] = {"op6_topk": OP6_SQL}
