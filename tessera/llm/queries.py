@@ -6,10 +6,11 @@ from .bitslice import OP6_SQL, op6_topk
 from .html_text import op8_html
 from .packing import op3_packing
 from .quality import op9_quality
+from .repeats import op10_repeats
 from .secrets import op7_secrets
 from .sharding import op2_sharding
 from .simhash import op1_simhash
 from .toxicity import op5_toxicity
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_secrets": op7_secrets, "op8_html": op8_html, "op9_quality": op9_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_secrets": op7_secrets, "op8_html": op8_html, "op9_quality": op9_quality, "op10_repeats": op10_repeats}
 ORACLES: dict[str, str] = {"op6_topk": OP6_SQL}
