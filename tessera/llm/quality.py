@@ -58,7 +58,7 @@ class Grams:
         cache = self.cache
         if len(cache) > self.entries:
             cache.clear()
-        for w in set(words) - cache.keys():
+        for w in {w for w in words if w not in cache}:
             cache[w] = zlib.crc32(shape(w).encode("utf-8", "surrogatepass"))
         s = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
         s[1:] += np.fromiter(map(eq, words, words[1:]), np.uint64, len(words) - 1) << np.uint64(33)
