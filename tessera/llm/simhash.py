@@ -115,10 +115,10 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int = 512
     return nodes[moved], nodes[parent[moved]]
 
 
-def links(distinct: DataFrame, radius: int, tile_rows: int = 16384) -> DataFrame:
+def links(distinct: DataFrame, radius: int, tile_rows: int = 16384, compared=near) -> DataFrame:
     """(u, v): edges between fingerprints that connect exactly what the links at up to `radius` bits connect.
 
-    distinct: column fp, without repeats. Every pair of tiles within the radius is compared in full; each comparison
+    distinct: column fp, without repeats; compared: near() or nearest_links(). Every pair of tiles within the radius is compared in full; each comparison
     gives a forest, fewer edges than rows, never all pairs of a group.
     """
     spark = distinct.sparkSession
@@ -135,7 +135,7 @@ def links(distinct: DataFrame, radius: int, tile_rows: int = 16384) -> DataFrame
     def compare(batches):
         for batch in batches:
             for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
-                u, v = near(np.array(x.values).view(np.uint64), np.array(y.values).view(np.uint64), radius, a.as_py() == b.as_py())
+                u, v = compared(np.array(x.values).view(np.uint64), np.array(y.values).view(np.uint64), radius, a.as_py() == b.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     pairs = spark.range(len(bounds)).select(F.col("id").cast("int").alias("a")).mapInArrow(partners, "a int, b int")
@@ -162,3 +162,113 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def nearest(nodes: int, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which edges form a minimum spanning forest, by Boruvka's rounds."""
+    comp, taken = np.arange(nodes), np.zeros(len(u), bool)
+    weight = d.astype(np.int64) * (len(u) + 1) + np.arange(len(u))
+    live = np.arange(len(u))
+    while len(live):
+        live = live[comp[u[live]] != comp[v[live]]]
+        best = np.full(nodes, np.iinfo(np.int64).max)
+        np.minimum.at(best, comp[u[live]], weight[live])
+        np.minimum.at(best, comp[v[live]], weight[live])
+        picked = np.unique(best[best < np.iinfo(np.int64).max] % (len(u) + 1))
+        taken[picked] = True
+        comp = roots(nodes, u[picked], v[picked], comp)
+    return np.flatnonzero(taken)
+
+
+def nearest_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links at up to `radius` bits in which closer links come first; see near()."""
+    def ordered(x):
+        x = x[np.argsort(np.bitwise_count(x), kind="stable")]
+        return x, np.bitwise_count(x).astype(np.int16)
+
+    (a, ca), (b, cb) = ordered(a), ordered(b)
+    nodes, shift = (a, 0) if same else (np.concatenate([a, b]), len(a))
+    fu, fv, fd = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    for i in range(0, len(a), block):
+        x = a[i : i + block]
+        lo, hi = np.searchsorted(cb, ca[i] - radius, "left"), np.searchsorted(cb, ca[min(i + block, len(a)) - 1] + radius, "right")
+        lo = max(lo, i) if same else lo
+        for j in range(lo, hi, 4 * block):
+            distance = np.bitwise_count(x[:, None] ^ b[None, j : min(hi, j + 4 * block)])
+            u, v = np.nonzero(distance <= radius)
+            d = distance[u, v]
+            u, v = u + i, v + j + shift
+            u, v, d = (z[u != v] for z in (u, v, d))
+            if len(u):
+                fu, fv, fd = np.concatenate([fu, u]), np.concatenate([fv, v]), np.concatenate([fd, d])
+                if len(fu) > 4 * len(nodes):
+                    keep = nearest(len(nodes), fu, fv, fd)
+                    fu, fv, fd = fu[keep], fv[keep], fd[keep]
+    keep = nearest(len(nodes), fu, fv, fd)
+    return nodes[fu[keep]], nodes[fv[keep]]
+
+
+def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, fp, grams): the sorted distinct shingle hashes of each text."""
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            out = []
+            for text in b.column(2).to_pylist():
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                n = min(width, len(words))
+                grams = {xxhash.xxh64_intdigest(b" ".join(words[k : k + n]), SEED) for k in range(len(words) - n + 1)} if words else set()
+                out.append(np.sort(np.fromiter(grams, np.uint64, len(grams))).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "fp", "grams"])
+
+    return docs.select("doc_id", "fp", "text").mapInArrow(run, "doc_id long, fp long, grams binary")
+
+
+def near_copies(docs: DataFrame, width: int = 5, radius: int = 13, similarity: float = 0.8, tile_rows: int = 16384) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of docs: groups whose links are verified by their shingle sets.
+
+    Candidates are the links of a forest in which, of all pairs of fingerprints at up to `radius` bits, closer ones come
+    first: two texts of one group are joined by candidates none of which is farther than they are. A candidate is a
+    link if the Jaccard similarity of the two sets of shingles, of the rows with the smallest doc_id of each fingerprint,
+    reaches `similarity`. Equal fingerprints need no check. Rows with a null doc_id stand for themselves.
+    """
+    spark = docs.sparkSession
+    fps = fingerprints(docs, width).checkpoint()
+    first = fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+    edges = links(first.select("fp"), radius, tile_rows, nearest_links).distinct().checkpoint()
+    wanted = edges.select(F.col("u").alias("fp")).union(edges.select("v")).distinct().join(first, "fp")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(wanted.select(F.col("least").alias("doc_id"), "fp"), "doc_id")
+    tune(spark, rows=2048)
+    sets = _shingle_sets(texts, width).dropDuplicates(["fp"])
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both >= similarity * (len(a) + len(b) - both):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), batch.column(1).take(pa.array(keep, pa.int32()))], ["u", "v"])
+
+    pairs = edges.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("y")), "v")
+    comp = components(pairs.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
+    byroot = first.join(comp, first.fp == comp.node).groupBy("root").agg(F.min("least").alias("of_root"))
+    named = comp.join(byroot, "root").select(F.col("node").alias("fp"), "of_root")
+    named = first.join(named, "fp", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"))
+    return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that near_copies() keeps: of each group the smallest doc_id, and all rows with a null one.
+
+    Rows that repeat a doc_id are one document; one of them stays.
+    """
+    groups = near_copies(docs, **how)
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    repeats = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    kept = kept.dropDuplicates(["doc_id"]) if repeats else kept
+    return kept.unionByName(docs.where("doc_id IS NULL"))
