@@ -14,6 +14,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left, insort
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,9 @@ END = np.zeros(1, "<u4").tobytes()
 ODD = re.compile("[\x1c-\x1fΣ]")  # characters where str and the tokenizer's normaliser may disagree
 
 
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which opens tokens of its own
+
+
 class WordTokens:
     """Ids of whole texts by a tokenizers file, from a bounded cache of words.
 
@@ -34,7 +39,7 @@ class WordTokens:
     which Python's lower-casing or white space could differ from the normaliser's are encoded whole.
     """
 
-    def __init__(self, path: str, entries: int = 600_000):
+    def __init__(self, path: str, entries: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,18 +50,22 @@ class WordTokens:
         vocab = self.of.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
-        self.stops = {c: np.array(self.of.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,;:!?"}
+        self.stops: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Puts the words into the cache; runs of plain words are encoded together and cut at their word ends."""
-        cache = self.cache
-        bare = {w[:-1] if w[-1] in self.stops else w for w in words}
-        bare -= cache.keys()
-        bare.discard("")
-        plain = [w for w in bare if w.isalpha()]
+        """Puts the words into the cache. A plain word's closing marks are a token run of their own; plain words are
+        encoded many at a time and cut at their word ends."""
+        cache, cores, rest = self.cache, {}, []
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core.isalpha():
+                cores.setdefault(core, []).append(w)
+            else:
+                rest.append(w)
+        plain = [w for w in cores if w not in cache]
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             ids = np.array(self.of.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -68,13 +77,22 @@ class WordTokens:
                     a = b
             else:
                 cache.update((w, self.whole(w)) for w in some)
-        for w in words - cache.keys():
-            cache[w] = cache[w[:-1]] + self.stops[w[-1]] if w[-1] in self.stops and w[:-1].isalpha() else self.whole(w)
+        for core, full in cores.items():
+            ids, n = cache[core], len(core)
+            for w in full:
+                marks = w[n:]
+                if marks:
+                    if marks not in self.stops:
+                        if len(self.stops) > 50_000:
+                            self.stops.clear()
+                        self.stops[marks] = self.whole(marks)
+                    cache[w] = ids + self.stops[marks]
+        cache.update((w, self.whole(w)) for w in rest)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) > self.entries:
-            self.cache.clear()
+        if len(self.cache) > self.entries:  # the first words in are the most frequent ones
+            self.cache = dict(islice(self.cache.items(), self.entries // 4))
         split, alone = [], {}
         for k, text in enumerate(texts):
             text = text or ""
@@ -98,6 +116,12 @@ class WordTokens:
         return [alone[k] if k in alone else b"".join(map(get, words)) for k, words in enumerate(split)]
 
 
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> WordTokens:
+    """One for each Python worker, so that its cache serves all the worker's tasks."""
+    return WordTokens(path)
+
+
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids) of every document; ids are little-endian unsigned 32-bit integers.
 
@@ -111,7 +135,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY)
             import public_tokenizers
 
             at = public_tokenizers.path("word_bpe_49k.json")
-        tokens = WordTokens(at)
+        tokens = tokens_of(at)
         for b in batches:
             out = ([], [], [], [], [])
             for doc, ids in zip(b.column(0).to_pylist(), tokens.encode(b.column(1).to_pylist()), strict=True):
