@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import text_queries  # noqa: F401
+from .common import ORACLES, QUERIES  # noqa: F401
