@@ -6,6 +6,8 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,3 +66,33 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(ends[-1], dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
+
+
+def schema_with(df: DataFrame, *more: tuple[str, str]) -> Ty.StructType:
+    """The schema of df and further columns (name, type)."""
+    return Ty.StructType([*df.schema.fields, *Ty.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in more)).fields])
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """(row, text): all other columns as one, so that none of their names can clash with an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def restored(rows: DataFrame, like: DataFrame, **new) -> DataFrame:
+    """The columns of `like` from what carried() made of it; text and the columns of `new` are as they are now."""
+    pick = {c: F.col("row").getField(c) for c in like.columns} | {"text": F.col("text")} | new
+    return rows.select(*[pick[f.name].cast(f.dataType).alias(f.name) for f in like.schema])
+
+
+def joined_hot(rows: DataFrame, lookup: DataFrame, key: str, count: str, share: float = 0.002) -> DataFrame:
+    """rows joined with lookup, which has each key once and says in `count` how many rows have it.
+
+    Keys with over `share` of all rows, fewer than 1 / share whatever the data, are broadcast; the rest is shuffled.
+    """
+    total = lookup.agg(F.sum(count)).first()[0] or 0
+    most = max(1000, int(share * total))
+    hot, rest = lookup.where(F.col(count) > most).drop(count), lookup.where(F.col(count) <= most).drop(count)
+    if not hot.limit(1).count():
+        return rows.join(rest, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, table, tune
+from .common import ranges, schema_with, table, tune
 
 WORD = re.compile(r"\w+")
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
@@ -197,7 +197,7 @@ def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: floa
     tune(spark, rows=2048)
     names = [c for c in docs.columns if c != "leaks"]
     out, at = docs.select(*names), names.index("text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    kinds = schema_with(out, ("leaks", LEAK_SQL))
     listed = items.where(F.col("item_id").isNotNull()).groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
     blocks = max(1, -(-listed.count() // ITEMS_AT_ONCE))
     for block in range(blocks):
@@ -215,7 +215,7 @@ def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: floa
                     leaks = [x + y for x, y in zip(b.column(len(names)).to_pylist(), leaks, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(leaks, pa.list_(LEAK))], [*names, "leaks"])
 
-        out = out.mapInArrow(run, f"{kinds}, leaks {LEAK_SQL}")
+        out = out.mapInArrow(run, kinds)
     return out
 
 

@@ -128,16 +128,25 @@ def dual_descent(rows: list[np.ndarray], weights: np.ndarray, y: np.ndarray, cos
 
 
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) of the logistic curve 1 / (1 + exp(-(a * margin + b))) by Newton's steps."""
-    a, b = 1.0, 0.0
+    """(a, b) of the logistic curve 1 / (1 + exp(-(a * margin + b))) by Newton's steps, halved until the loss falls."""
+    scale = float(np.abs(margin).mean()) or 1.0
+    m = margin / scale
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+
+    def loss(w):
+        z = w[0] * m + w[1]
+        return float((np.logaddexp(0, z) - target * z).sum() + 5e-4 * w[0] ** 2)
+
+    w = np.zeros(2)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - target) * margin).sum() + 1e-3 * (a - 1), (p - target).sum()])
+        p = 1 / (1 + np.exp(-np.clip(w[0] * m + w[1], -30, 30)))
+        g = np.array([((p - target) * m).sum() + 1e-3 * w[0], (p - target).sum()])
         s = p * (1 - p) + 1e-9
-        h = np.array([[(s * margin * margin).sum() + 1e-3, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        h = np.array([[(s * m * m).sum() + 1e-3, (s * m).sum()], [(s * m).sum(), s.sum() + 1e-6]])
+        step, least = np.linalg.solve(h, g), loss(w)
+        while loss(w - step) > least and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    return float(a), float(b)
+    return float(w[0] / scale), float(w[1])

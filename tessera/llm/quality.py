@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tune
+from .common import schema_with, table, tune
 from .learn import SAMPLE, dual_descent, labelled, platt
 
 FOLDS, HELD = 3, 1
@@ -124,8 +124,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             score = given.value.score([grams.of(t) for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*names, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(run, schema_with(docs, ("score", "double")))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

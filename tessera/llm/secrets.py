@@ -6,8 +6,7 @@ character, counts by character and the sum of c*log2(c) are updated by the chara
 leaves. A run is a span if some window reaches its class's threshold, no allow-list pattern suppresses it and no base
 span holds it.
 Defined cases: a null or empty text has no spans; rows with a null doc_id and repeated rows are scanned like any other;
-an empty table gives no rows; extra columns of the input are carried along by scan() unless they are named like its own
-(see OWN), which are replaced.
+an empty table gives no rows; extra columns of the input are carried along by scan(), one named spans is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import carried, table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -38,7 +37,6 @@ ALLOWED = (
     r"(?i)example|sample|placeholder|dummy|changeme|x{8,}",
     r"(?i)0123456789|abcdefghijkl",
 )
-OWN = ("text", "spans", "base", "runs", "found")
 
 
 def _text(column: str) -> Column:
@@ -78,9 +76,9 @@ def entropy(run: str, window: int = WINDOW) -> str:
 
 def scan(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, limits: dict[str, float] | None = None) -> DataFrame:
     """docs with text (null as empty) and spans: an array of (start, kind, end, hit) in order; kind counts KINDS from 0."""
-    limits = limits or LIMITS
-    keep = [c for c in docs.columns if c not in OWN]
-    d = docs.select(*keep, _text("text").alias("text"))
+    limits, keep = limits or LIMITS, ["row"]
+    like = docs.drop("spans")
+    d = carried(like).select("row", _text("text").alias("text"))
     hits = {0: ASSIGN, 1: ACCESS, 2: HEX, 3: RUN}
     d = d.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"_h{k}") for k, p in hits.items()])
     d = d.select(*keep, "text", *[F.expr(_placed("text", p, f"_h{k}", k)).alias(f"_s{k}") for k, p in hits.items()])
@@ -93,7 +91,8 @@ def scan(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, limits: dict[str,
     d = d.select(*keep, "text", "base", F.expr(f"filter(_s3, x -> NOT ({suppressed}) AND NOT exists(base, b -> b.start <= x.start AND b.end >= x.end))").alias("runs"))
     limit = f"CASE WHEN x.hit RLIKE '(?i)^[0-9a-f]+$' THEN {limits['hex']}D WHEN x.hit RLIKE '^([^a-z]+|[^A-Z]+)$' THEN {limits['cased']}D ELSE {limits['mixed']}D END"
     d = d.select(*keep, "text", "base", F.expr(f"filter(runs, x -> {entropy('x.hit')} >= {limit})").alias("found"))
-    return d.select(*keep, "text", F.expr("array_sort(concat(base, found))").alias("spans"))
+    d = d.select("row", "text", F.expr("array_sort(concat(base, found))").alias("spans"))
+    return d.select(*[F.col("row").getField(c).alias(c) for c in like.columns if c != "text"], "text", "spans")
 
 
 def named(spans: str, kinds: int) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tune
+from .common import schema_with, table, tune
 from .learn import SAMPLE, Isotonic, Trees, labelled
 
 FOLDS = 5
@@ -158,8 +158,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             x = features.matrix(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(given.value.score(x), pa.float64())], [*names, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(run, schema_with(docs, ("score", "double")))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
