@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import caching, evaluation, guards
+from ..operators import caching, evaluation, guards, judging
 from ..streaming import audit as stream
+from . import run_eval
 from .common import duck, query, rows, table
 
 # answers made of events: the kind of event is the category, k of the props the tokens
@@ -239,3 +240,66 @@ def sorted_manifest(spark, d):
 
     few = table(spark, d, "documents").where("doc_id < 200")  # a manifest of one folder; its lines are numbered in one order
     return few.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("line"))
+
+
+AUDIT = """(1, 'q1', array('c1','c2','s1'), array('c2')), (2, 'q2', CAST(array() AS array<string>), array('c1','zz')), (3, 'q9', CAST(NULL AS array<string>), CAST(NULL AS array<string>)) AS t(record_id, query, retrieved_chunk_ids, cited_chunk_ids)"""
+
+
+def _audit(spark):
+    inline = F.create_map(F.lit("s1"), F.struct(F.lit(" stats ").alias("text"), F.lit("scheda").alias("source")))
+    chunks = rows(spark, "('c1', 'uno', 'T1', 'S1'), ('c2', 'due', CAST(NULL AS STRING), 'S2') AS t(chunk_id, content, title, source)")
+    return rows(spark, AUDIT).withColumn("passages_inline", inline), chunks
+
+
+@query(
+    """SELECT * FROM (VALUES (1, 1, 'c1', 'T1', 'uno', false, false), (1, 2, 'c2', 'S2', 'due', true, false), (1, 3, 's1', 'scheda', 'stats', false, false),
+    (2, 1, 'c1', 'T1', 'uno', true, false), (2, 2, 'zz', '?', '', true, true)) AS t(record_id, n, chunk_id, title, text, cited, missing)"""
+)
+def judge_items(spark, d):
+    return judging.shown_passages(*_audit(spark))
+
+
+@query("SELECT * FROM (VALUES (1, 'q1', 'a', 'in'), (2, 'q2', '', ''), (3, 'q9', '', '')) AS t(record_id, query, id, category)")
+def audit_items(spark, d):
+    index = rows(spark, "('q1', 'a', 'in') AS t(question, id, category)")
+    return judging.identified(_audit(spark)[0], index).select("record_id", "query", "id", "category")
+
+
+@query("SELECT item_id AS record_id, 0 AS pos, sha256(text) AS hash FROM benchmark WHERE item_id % 2 = 0")
+def cited_hashes(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("record_id"), F.col("item_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    return judging.cited_hashes(b.select("record_id", F.array("chunk_id", F.lit("gone")).alias("cited_chunk_ids")), b.where("record_id % 2 = 0"))
+
+
+CLAIMED = "(1, 's', 'v0'), (1, 't', 'v1'), (2, 's', CAST(NULL AS STRING)) AS t(record_id, statement, verbatim)"
+
+
+@query("SELECT * FROM (VALUES (1, 's', 'clean', 'valido', 2), (1, 't', 'v1', '', NULL), (2, 's', '', '', NULL)) AS t(record_id, statement, verbatim, outcome, matched_passage)")
+def claims_outcomes(spark, d):
+    out = rows(spark, "(1, 's', 0, 'first', 'non_trovato', CAST(NULL AS INT)), (1, 's', 1, 'clean', 'valido', 2) AS t(record_id, statement, pos, verbatim, outcome, matched_passage)")
+    return judging.shown_claims(rows(spark, CLAIMED), out)
+
+
+@query(f"WITH {FORM} SELECT 'd' || doc_id AS key, CASE WHEN doc_id = 10 THEN 'no' ELSE fedele END AS fedele, causa, citazione_corretta, italiano_1_5, '' AS note, CASE WHEN doc_id = 10 THEN '' ELSE ereditato_da END AS ereditato_da FROM f")
+def form_update(spark, d):
+    f = _form(spark, d).withColumns({"id": F.concat(F.lit("d"), F.col("doc_id").cast("string")), "domanda": F.lit("q"), "note": F.lit("")})
+    key = "d10"
+    there = f.where("id = 'd10'").limit(1).count()
+    return judging.form_state(judging.saved(f, key, {"fedele": "no"}) if there else f)
+
+
+@query(
+    f"""WITH {BASE} SELECT id, CASE WHEN route = 'meta' THEN CASE WHEN from_cache_meta THEN 'META (cache)' ELSE 'META' END WHEN route = 'structured' THEN 'CALCOLATA ' || coalesce(CAST(computed_value AS VARCHAR), '-')
+    WHEN route = 'uncovered' THEN 'RIFIUTO DICHIARATO' WHEN from_cache_semantic THEN 'HIT-semantica' WHEN refused THEN 'RIFIUTO' WHEN uncertain THEN 'ASTENSIONE' ELSE 'risposta cit=' || n_citations || CASE WHEN truncated THEN ' TRONCATA' ELSE '' END END AS verdict FROM w"""
+)
+def verdicts(spark, d):
+    return _answers(spark, d).select("id", judging.verdict().alias("verdict"))
+
+
+SERVED = "(1, 1, false), (2, 2, false), (3, 3, false), (4, 4, true), (5, 5, false), (6, 6, false) AS t(query_id, seq, refused)"
+
+
+@query("SELECT * FROM (VALUES (1, false, NULL), (2, true, 1), (3, false, NULL), (4, false, NULL), (5, false, NULL), (6, true, 5)) AS t(query_id, from_cache_semantic, served_by)")
+def cache_conditions(spark, d):
+    near = rows(spark, "(2, 1, 0.95D), (3, 2, 0.97D), (5, 4, 0.99D), (6, 5, 0.93D), (6, 4, 0.98D), (1, 2, 0.95D), (6, 1, 0.5D) AS t(query_id, other_id, similarity)")
+    return run_eval.served(rows(spark, SERVED), near, 0.92).select("query_id", "from_cache_semantic", "served_by")

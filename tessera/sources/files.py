@@ -137,10 +137,9 @@ def item_index(rows: DataFrame) -> DataFrame:
 
 
 def forms(spark: SparkSession, pattern: str) -> DataFrame:
-    """Rows of judgement forms; the run is what the file's name says before -giudizi-."""
+    """Rows of judgement forms; the run is what the file or its folder is called before -giudizi-."""
     d = spark.read.schema(", ".join(f"{c} string" for c in FORM)).option("header", True).option("multiLine", True).csv(pattern)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return d.select(*[c for c in FORM if c != "run_id"], F.regexp_extract(name, r"^(.*?)-giudizi-", 1).alias("run_id"), F.monotonically_increasing_id().alias("row_no"))
+    return d.select(*[c for c in FORM if c != "run_id"], F.regexp_extract("_metadata.file_path", r"([^/]+?)-giudizi-[^/]*", 1).alias("run_id"), F.monotonically_increasing_id().alias("row_no"))
 
 
 def write_form(rows: DataFrame, path: str, overwrite: bool = False) -> None:
