@@ -55,10 +55,10 @@ def rolled(raw: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
         n *= 2
 
 
-def triggers(raw: np.ndarray, ends: np.ndarray, length: int, wanted: np.ndarray | None = None):
+def triggers(raw: np.ndarray, ends: np.ndarray, length: int, wanted=None):
     """Yields, by chunks, the windows' starts that lie within a document, each one's trigger place and trigger hash.
 
-    wanted: then only starts whose trigger hash is in this sorted array, and with them the hash of the whole window.
+    wanted: a test of trigger hashes; then only starts that pass it, and with them the hash of the whole window.
     """
     span = length - GRAM + 1
     begins = np.concatenate([[0], ends[:-1]])
@@ -85,8 +85,8 @@ def triggers(raw: np.ndarray, ends: np.ndarray, length: int, wanted: np.ndarray
         if wanted is None:
             yield starts, place + at, got
             continue
-        k = np.searchsorted(wanted, got)
-        keep = wanted[np.minimum(k, len(wanted) - 1)] == got if len(wanted) else np.zeros(len(got), bool)
+        head = np.concatenate([[True], place[1:] != place[:-1]])  # neighbours share their trigger: it is tested once
+        keep = wanted(got[head])[np.cumsum(head) - 1]
         starts, place, got = starts[keep], place[keep], got[keep]
         local, tail = starts - at, length - 64
         whole = h[64][local]
@@ -272,7 +272,7 @@ def _documents(rows):
 
 
 def _segments(length: int, buckets: int):
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def run(batches):
         for batch, rows in _grouped(batches, 0):
@@ -281,24 +281,28 @@ def _segments(length: int, buckets: int):
                 continue
             ids, ends, raw = _documents(rows)
             often = np.sort(np.concatenate(often))
-            # which full hashes these are: the triggers again, kept by bucket and small hash
-            seen = np.unique(np.concatenate([np.unique(g) for _, _, g in triggers(raw, ends, length)]))
-            mixed = _mixed(seen)
-            code = mixed.astype(np.uint32).astype(np.uint64) | ((mixed >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)
-            wanted = seen[np.isin(code, often)]
+
+            def wanted(gram, often=often):
+                mixed = _mixed(gram)
+                code = mixed.astype(np.uint32).astype(np.uint64) | ((mixed >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)
+                return often[np.minimum(np.searchsorted(often, code), len(often) - 1)] == code
+
             got = list(triggers(raw, ends, length, wanted))
             if not got:
                 continue
             starts, place, gram, whole = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.argsort(whole, kind="stable")
+            if not len(starts):
+                continue
+            order = np.argsort(whole)
             head = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
-            first = starts[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
-            later = order[~head]
-            later = later[_same(raw, starts[order][~head], first[~head], length)] if len(later) else later
+            first = np.minimum.reduceat(starts[order], np.flatnonzero(head))[np.cumsum(head) - 1]
+            copy = starts[order] != first
+            later = order[copy]
+            later = later[_same(raw, starts[order][copy], first[copy], length)] if len(later) else later
             settled = np.zeros(len(starts), bool)
             settled[later] = True
             a, b = _runs(starts[settled])
-            out = [(batch, -1, None, None, None, _packed(np.stack([a, b]))[0])] if len(a) else []
+            out = [(batch, -1, None, _packed(np.stack([a, b]))[0])] if len(a) else []
             starts, place, gram = starts[~settled], place[~settled], gram[~settled]
             if len(starts):
                 cut = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(place) != 0)]))
@@ -309,9 +313,9 @@ def _segments(length: int, buckets: int):
                 edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]]))
                 for x, y in zip(edges[:-1], edges[1:], strict=True):
                     s = order[x:y]
-                    out.append((batch, int(bucket[s[0]]), key[s].tobytes(), begin[s].tobytes(), count[s].tobytes(), _packed(raw[ranges(begin[s], count[s] + length - 1)])[0]))
+                    out.append((batch, int(bucket[s[0]]), *_packed(np.stack([key[s], begin[s], count[s]]), raw[ranges(begin[s], count[s] + length - 1)])))
             for k in range(0, len(out), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 512], strict=True), kinds, strict=True)], ["batch", "bucket", "key", "begin", "count", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 512], strict=True), kinds, strict=True)], ["batch", "bucket", "places", "payload"])
 
     return run
 
@@ -319,9 +323,10 @@ def _segments(length: int, buckets: int):
 def _settled(length: int):
     def run(batches):
         for _, rows in _grouped(batches, 1):
-            batch = np.concatenate([np.full(len(r[4]) // 8, r[0], np.int64) for r in rows])
-            key, begin, count = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in (2, 3, 4))
-            raw = np.concatenate([_unpacked(r[5], np.uint8) for r in rows])
+            places = [_unpacked(r[2], np.int64).reshape(3, -1) for r in rows]
+            batch = np.concatenate([np.full(p.shape[1], r[0], np.int64) for p, r in zip(places, rows, strict=True)])
+            key, begin, count = np.concatenate(places, axis=1)
+            raw = np.concatenate([_unpacked(r[3], np.uint8) for r in rows])
             order = np.lexsort((begin, batch, key))
             sizes = count + length - 1
             raw = raw[ranges((np.cumsum(sizes) - sizes)[order], sizes[order])]
@@ -386,7 +391,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -
     held = parsed.where("text IS NOT NULL").select("batch", "bucket", "ids", "ends", "text")
     blank = lambda **kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
     both = held.select("*", *blank(hashes="binary")).unionByName(often.select("batch", "bucket", *blank(ids="array<long>", ends="binary", text="binary"), "hashes"))
-    segments = written(dealt(both, tasks, "batch", "bucket").mapInArrow(_segments(length, buckets), "batch long, bucket int, key binary, begin binary, count binary, payload binary"), "repeats", "uncompressed")
+    segments = written(dealt(both, tasks, "batch", "bucket").mapInArrow(_segments(length, buckets), "batch long, bucket int, places binary, payload binary"), "repeats", "uncompressed")
     late = dealt(segments.where("bucket >= 0"), tasks, "bucket").mapInArrow(_settled(length), "batch long, payload binary")
     found = segments.where("bucket < 0").select("batch", "payload").unionByName(late)
     whole = held.select("*", *blank(payload="binary")).unionByName(found.select("batch", *blank(bucket="int", ids="array<long>", ends="binary", text="binary"), "payload"))
