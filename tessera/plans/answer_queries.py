@@ -10,17 +10,17 @@ from .common import duck, query, rows, table, words_sql
 from .text_queries import PRINT, ROOTS, SENT, STOP
 
 CT = f"list_filter(list_distinct({words_sql('text')}), lambda w: NOT list_contains({STOP}, w))"
-# question i is held against the three documents whose number leaves i when divided by 40
-PASSAGES = "p AS (SELECT doc_id % 40 AS query_id, CAST(doc_id // 40 + 1 AS INTEGER) AS n, text FROM documents WHERE doc_id < 120)"
-MISSING = f"""{PASSAGES}, q AS (SELECT item_id AS query_id, unnest({CT}) AS term FROM benchmark WHERE item_id < 40),
+# five documents in a row are the passages of a question, whose text is that of a benchmark item
+PASSAGES = "p AS (SELECT doc_id // 5 AS query_id, CAST(doc_id % 5 + 1 AS INTEGER) AS n, text FROM documents), qs AS (SELECT query_id, text FROM (SELECT DISTINCT query_id FROM p) JOIN benchmark ON item_id = query_id % 40)"
+MISSING = f"""{PASSAGES}, q AS (SELECT query_id, unnest({CT}) AS term FROM qs),
 h AS (SELECT DISTINCT query_id, unnest({ROOTS}) AS root FROM p),
 m AS (SELECT query_id, term, term[1:6] AS root FROM q WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = q.query_id AND h.root = q.term[1:6]))"""
 
 
 def _held(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 120")
-    p = docs.select((F.col("doc_id") % 40).alias("query_id"), F.floor(F.col("doc_id") / 40 + 1).cast("int").alias("n"), F.col("text").alias("content"))
-    return table(spark, d, "benchmark").where("item_id < 40").select(F.col("item_id").alias("query_id"), "text"), p
+    p = table(spark, d, "documents").select(F.expr("doc_id div 5").alias("query_id"), (F.col("doc_id") % 5 + 1).cast("int").alias("n"), F.col("text").alias("content"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("i"), "text")
+    return p.select("query_id").distinct().join(items, F.col("query_id") % 40 == F.col("i")).select("query_id", "text"), p
 
 
 @query(f"WITH {MISSING} SELECT query_id, term, root FROM m")
@@ -29,8 +29,8 @@ def missing_terms(spark, d):
 
 
 ABSTAIN = f"""{MISSING}, df AS (SELECT root, count(*) AS df FROM (SELECT unnest({ROOTS}) AS root FROM documents) GROUP BY root), n AS (SELECT count(*) AS n FROM documents),
-a AS (SELECT b.item_id AS query_id, coalesce(max(CASE WHEN m.root IS NOT NULL THEN ln(n / (1 + coalesce(df, 0))) END), 0.0) AS signal, count(m.term) AS n_missing
-  FROM n, benchmark b LEFT JOIN m ON m.query_id = b.item_id LEFT JOIN df ON df.root = m.root WHERE b.item_id < 40 GROUP BY b.item_id)"""
+a AS (SELECT b.query_id, coalesce(max(CASE WHEN m.root IS NOT NULL THEN ln(n / (1 + coalesce(df, 0))) END), 0.0) AS signal, count(m.term) AS n_missing
+  FROM n, qs b LEFT JOIN m ON m.query_id = b.query_id LEFT JOIN df ON df.root = m.root GROUP BY b.query_id)"""
 
 
 def _abstain(spark, d):
@@ -108,7 +108,7 @@ def verbatim_ratio(spark, d):
 PH = "trim(regexp_replace(regexp_replace(lower(regexp_replace({0}, '([\\p{{L}}\\p{{N}}_])-\\s+([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g')), '\\p{{Nd}}+', '#', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_#]+', ' ', 'g'))"
 BEST = (
     "WITH " + CLAIMS + ", " + SENT.strip()[5:].replace("\np AS (", "\npp AS (").replace("FROM p)", "FROM pp)")
-    + f""", ss AS (SELECT doc_id % 40 AS query_id, CAST(doc_id // 40 + 1 AS INTEGER) AS n, pos, sentence, list_distinct(string_split({PH.format('sentence')}, ' ')) AS own FROM s WHERE doc_id < 120),
+    + f""", ss AS (SELECT doc_id // 5 AS query_id, CAST(doc_id % 5 + 1 AS INTEGER) AS n, pos, sentence, list_distinct(string_split({PH.format('sentence')}, ' ')) AS own FROM s),
     cc AS (SELECT query_id, claim_no, cited[1] AS n, list_distinct(string_split({PH.format('verbatim')}, ' ')) AS ws FROM k),
     jj AS (SELECT cc.query_id, claim_no, cc.n, sentence, CAST(len(list_intersect(ws, own)) AS DOUBLE) / len(ws) AS overlap, pos FROM cc JOIN ss ON ss.query_id = cc.query_id AND ss.n = cc.n WHERE len(ws) >= 5),
     bs AS (SELECT query_id, claim_no, n, sentence, overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id, claim_no, n ORDER BY overlap DESC, pos) AS r FROM jj) WHERE r = 1 AND overlap >= 0.6)"""

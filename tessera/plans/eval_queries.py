@@ -205,15 +205,15 @@ def threshold_proposal(spark, d):
 
 
 @query(
-    """SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, md5(d.text) AS content, false AS missing FROM benchmark JOIN documents d ON doc_id = item_id * 3 WHERE item_id % 3 = 0
-    UNION ALL SELECT item_id, CAST(item_id * 3 AS VARCHAR), CASE WHEN item_id % 3 = 1 THEN md5(text) END, item_id % 3 = 2 FROM benchmark WHERE item_id % 3 <> 0"""
+    """SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, md5(d.text) AS content, false AS missing FROM benchmark b JOIN documents d ON doc_id = item_id
+    UNION ALL SELECT item_id, 'card::' || item_id, md5(text), false FROM benchmark UNION ALL SELECT item_id, 'gone', NULL, true FROM benchmark"""
 )
 def audit_join_context(spark, d):
-    b = table(spark, d, "benchmark")
-    context = b.select(F.col("item_id").alias("query_id"), (F.col("item_id") * 3).cast("string").alias("chunk_id"))
-    chunks = table(spark, d, "documents").where("doc_id % 9 = 0").select(F.col("doc_id").cast("string").alias("chunk_id"), F.md5(F.col("text").cast("binary")).alias("content"))
-    inline = b.where("item_id % 3 = 1").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 3).cast("string").alias("chunk_id"), F.md5(F.col("text").cast("binary")).alias("content"))
-    return caching.resolved(context, chunks, inline)
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    card = F.concat(F.lit("card::"), F.col("query_id").cast("string"))
+    context = b.select("query_id", F.explode(F.array(F.col("query_id").cast("string"), card, F.lit("gone"))).alias("chunk_id"))
+    chunks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.md5(F.col("text").cast("binary")).alias("content"))
+    return caching.resolved(context, chunks, b.select("query_id", card.alias("chunk_id"), F.md5(F.col("text").cast("binary")).alias("content")))
 
 
 @query(f"WITH {BASE} SELECT id, CASE WHEN refused THEN 'rifiuto' WHEN uncertain THEN 'astensione' WHEN from_cache_semantic OR from_cache_meta THEN 'hit-cache' ELSE 'risposta' END AS kind, route, round(cost, 9) AS cost, total_tokens FROM w")
@@ -234,12 +234,9 @@ def provenance_minimum(spark, d):
     return n.select("n", guards.provenance_minimum(10, 0.05, F.col("n")).alias("minimum"))
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash, row_number() OVER (ORDER BY doc_id) AS line FROM documents WHERE doc_id < 200")
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def sorted_manifest(spark, d):
-    from pyspark.sql import Window
-
-    few = table(spark, d, "documents").where("doc_id < 200")  # a manifest of one folder; its lines are numbered in one order
-    return few.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("line"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash")).orderBy("doc_id")
 
 
 AUDIT = """(1, 'q1', array('c1','c2','s1'), array('c2')), (2, 'q2', CAST(array() AS array<string>), array('c1','zz')), (3, 'q9', CAST(NULL AS array<string>), CAST(NULL AS array<string>)) AS t(record_id, query, retrieved_chunk_ids, cited_chunk_ids)"""
@@ -265,10 +262,10 @@ def audit_items(spark, d):
     return judging.identified(_audit(spark)[0], index).select("record_id", "query", "id", "category")
 
 
-@query("SELECT item_id AS record_id, 0 AS pos, sha256(text) AS hash FROM benchmark WHERE item_id % 2 = 0")
+@query("SELECT item_id AS record_id, 0 AS pos, sha256(text) AS hash FROM benchmark")
 def cited_hashes(spark, d):
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("record_id"), F.col("item_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
-    return judging.cited_hashes(b.select("record_id", F.array("chunk_id", F.lit("gone")).alias("cited_chunk_ids")), b.where("record_id % 2 = 0"))
+    return judging.cited_hashes(b.select("record_id", F.array("chunk_id", F.lit("gone")).alias("cited_chunk_ids")), b)
 
 
 CLAIMED = "(1, 's', 'v0'), (1, 't', 'v1'), (2, 's', CAST(NULL AS STRING)) AS t(record_id, statement, verbatim)"

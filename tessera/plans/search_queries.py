@@ -9,21 +9,22 @@ from ..operators import caching, retrieval
 from .common import duck, query, rows, table, words_sql
 from .text_queries import STOP
 
-NV = "vec_id < 20"
+# query k is the vector of row 20 * k and the text of item k
+NV = "vec_id % 20 = 0"
 DOT = "list_inner_product(a.v, b.v)"
 V = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)"
 D2 = f"greatest(0.0, (2 - (list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v) - 2 * {DOT})) / 2)"
 
 
 def vec_sql(k: int, cond: str = "", name: str = "x", rowcond: str = "") -> str:
-    return f"""{name} AS (SELECT query_id, id, score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {D2} AS score,
+    return f"""{name} AS (SELECT query_id, id, score, rank FROM (SELECT a.vec_id // 20 AS query_id, b.vec_id AS id, {D2} AS score,
       CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round({D2}, 12) DESC, b.vec_id) AS INTEGER) AS rank FROM v a, v b WHERE a.{NV} {rowcond}) WHERE rank <= {k} {cond})"""
 
 
 def _vectors(spark, d):
     e = table(spark, d, "embeddings").where("embedding IS NOT NULL")
     all_rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
-    return all_rows.where("id < 20").select(F.col("id").alias("query_id"), "vector", "label"), all_rows
+    return all_rows.where("id % 20 = 0").select(F.expr("id div 20").alias("query_id"), "vector", "label"), all_rows
 
 
 def _six(df, *cols):
@@ -58,7 +59,7 @@ WORDS = f"list_filter({words_sql('text')}, lambda w: NOT list_contains({STOP}, w
 
 
 def bm25_sql(k: int, name: str = "y") -> str:
-    return f"""qt AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS}) AS term FROM benchmark WHERE item_id < 20),
+    return f"""qt AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS}) AS term FROM benchmark),
     dw AS (SELECT doc_id AS id, {WORDS} AS w FROM documents), ns AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dw),
     po AS (SELECT id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT id, len(w) AS l, unnest(w) AS term FROM dw) GROUP BY id, term),
     df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
@@ -68,7 +69,7 @@ def bm25_sql(k: int, name: str = "y") -> str:
 
 
 def _asked(spark, d):
-    return table(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), "text"), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 @query(f"WITH {bm25_sql(20)} SELECT query_id, id, round(raw, 6) AS raw, round(score, 6) AS score, rank FROM y")
@@ -139,13 +140,13 @@ def id_union(spark, d):
 
 @query(
     fuse_sql(10, "rrf")
-    + """, s AS (SELECT item_id AS query_id, coalesce(max(vector_score), 0.0) AS support, count(h.id) AS n FROM benchmark LEFT JOIN h ON h.query_id = item_id WHERE item_id < 25 GROUP BY item_id)
+    + """, s AS (SELECT item_id AS query_id, coalesce(max(vector_score), 0.0) AS support, count(h.id) AS n FROM benchmark LEFT JOIN h ON h.query_id = item_id GROUP BY item_id)
     SELECT query_id, support, (support < 0.55 OR n = 0) AS refused, CASE WHEN support < 0.55 OR n = 0 THEN 'support_score ' || printf('%.3f', support) || ' < soglia 0.550' END AS reason FROM s"""
 )
 def support_refusal(spark, d):
     q, r = _vectors(spark, d)
     hits = _six(retrieval.hybrid(q, r, *_asked(spark, d), 10), "vector_score")
-    asked = table(spark, d, "benchmark").where("item_id < 25").select(F.col("item_id").alias("query_id"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     return retrieval.support(hits, asked, 0.55)
 
 
@@ -177,12 +178,12 @@ COS = f"{DOT} / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)
 
 
 @query(
-    f"""WITH {V}, x AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 12) DESC, b.vec_id) AS r
-    FROM v a, v b WHERE a.{NV} AND b.vec_id >= 20 AND b.label = 1) SELECT query_id, id, round(s, 6) AS similarity FROM x WHERE r = 1 AND s >= 0.2"""
+    f"""WITH {V}, x AS (SELECT a.vec_id // 20 AS query_id, b.vec_id AS id, {COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 12) DESC, b.vec_id) AS r
+    FROM v a, v b WHERE a.{NV} AND b.label = 1) SELECT query_id, id, round(s, 6) AS similarity FROM x WHERE r = 1 AND s >= 0.2"""
 )
 def cache_lookup(spark, d):
     q, r = _vectors(spark, d)
-    entries = r.where("id >= 20").select("id", "vector", F.col("label").cast("string").alias("corpus_version"))
+    entries = r.select("id", "vector", F.col("label").cast("string").alias("corpus_version"))
     return _six(caching.semantic_lookup(q, entries, "1", 0.2), "similarity")
 
 
