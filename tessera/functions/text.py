@@ -58,12 +58,12 @@ def plain(t: Column) -> Column:
 
 def rejoined(t: Column) -> Column:
     """Lower-case words that a line end split are joined again."""
-    return F.regexp_replace(t, r"(?<=[a-zà-ù])-(?U:\s+)(?=[a-zà-ù])", "")
+    return F.when(F.contains(t, F.lit("-")), F.regexp_replace(t, r"(?<=[a-zà-ù])-(?U:\s+)(?=[a-zà-ù])", "")).otherwise(t)
 
 
 def rejoined_words(t: Column) -> Column:
     """As rejoined(), for any two word characters."""
-    return F.regexp_replace(t, r"(?U)(\w)-\s+(\w)", "$1$2")
+    return F.when(F.contains(t, F.lit("-")), F.regexp_replace(t, r"(?U)(\w)-\s+(\w)", "$1$2")).otherwise(t)
 
 
 def tokens(t: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import caching, retrieval
 from .common import duck, query, rows, table, words_sql
-from .text_queries import STOP
+from .text_queries import ROOTS, STOP
 
 # query k is the vector of row 20 * k and the text of item k
 NV = "vec_id % 20 = 0"
@@ -58,9 +58,9 @@ def basic_retrieval(spark, d):
 WORDS = f"list_filter({words_sql('text')}, lambda w: NOT list_contains({STOP}, w))"
 
 
-def bm25_sql(k: int, name: str = "y") -> str:
-    return f"""qt AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS}) AS term FROM benchmark),
-    dw AS (SELECT doc_id AS id, {WORDS} AS w FROM documents), ns AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dw),
+def bm25_sql(k: int, name: str = "y", words: str = WORDS) -> str:
+    return f"""qt AS (SELECT DISTINCT item_id AS query_id, unnest({words}) AS term FROM benchmark),
+    dw AS (SELECT doc_id AS id, {words} AS w FROM documents), ns AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dw),
     po AS (SELECT id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT id, len(w) AS l, unnest(w) AS term FROM dw) GROUP BY id, term),
     df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
     sc AS (SELECT query_id, id, sum((ln(n / (df + 1)) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))) AS raw FROM qt JOIN po USING (term) JOIN df USING (term), ns GROUP BY query_id, id),
@@ -77,7 +77,7 @@ def keyword_bm25(spark, d):
     return _six(retrieval.keyword_topk(*_asked(spark, d), 20), "raw", "score")
 
 
-@query()
+@query(f"WITH {bm25_sql(20, words=f'list_filter({ROOTS}, lambda w: NOT list_contains({STOP}, w))')} SELECT query_id, id, round(raw, 6) AS raw, round(score, 6) AS score, rank FROM y")
 def keyword_stemmed(spark, d):
     """The keyword arm over first letters in place of words: morphology without a stemmer."""
     q, docs = _asked(spark, d)
