@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import joined_hot, tune
 from .graph import components, roots
 
 SEED = 42
@@ -59,58 +59,90 @@ def _counts(fp, n: int = SEGMENTS):
     return [F.bit_count(F.shiftrightunsigned(fp, bits * k).bitwiseAND((1 << bits) - 1)).cast("int") for k in range(n)]
 
 
-def tiles(distinct: DataFrame, rows: int) -> tuple[DataFrame, list[tuple]]:
-    """Tiles of up to about `rows` fingerprints with neighbouring population counts, and each tile's bounds.
+def tiles(distinct: DataFrame, rows: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Tiles of up to about `rows` fingerprints with neighbouring population counts, and each tile's least and greatest.
 
-    Keys are the population counts of four 16-bit segments, ordered by their total: at most 17^4 keys whatever the
+    Keys are the population counts of four 16-bit segments, in order of their total: at most 17^4 keys whatever the
     data, so the histogram on the driver is bounded. Consecutive keys share a tile; a key with more rows than a
-    tile's is split by a hash. Bounds are (least, greatest) total.
+    tile's is split by a hash.
     """
-    keyed = distinct.select("fp", F.bit_count("fp").cast("int").alias("total"), F.concat_ws(",", *_counts(F.col("fp"))).alias("key"))
-    hist = sorted((r["total"], r["key"], r["n"]) for r in keyed.groupBy("total", "key").agg(F.count("*").alias("n")).collect())
-    plan, bounds, room = [], [], 0
-    for total, key, n in hist:
-        if n > rows:
-            parts = -(-n // rows)
-            plan.append((key, len(bounds), parts))
-            bounds += [(total, total)] * parts
-            room = 0
+    keyed = distinct.select("fp", F.array(*_counts(F.col("fp"))).alias("key"))
+    hist = [(tuple(r["key"]), r["n"]) for r in keyed.groupBy("key").agg(F.count("*").alias("n")).collect()]
+    hist.sort(key=lambda x: (sum(x[0]), x[0][0] + x[0][1], x[0][0], x[0][2]))
+    plan, low, high, room = [], [], [], 0
+    for key, n in hist:
+        counts = [*key, key[0] + key[1], key[2] + key[3], sum(key)]
+        parts = -(-n // rows) if n > rows else 1
+        if parts > 1 or room < n:
+            plan.append((list(key), len(low), parts))
+            low += [counts] * parts
+            high += [counts] * parts
+            room = rows - n if parts == 1 else 0
         else:
-            if room < n:
-                bounds.append((total, total))
-                room = rows
             room -= n
-            bounds[-1] = (bounds[-1][0], total)
-            plan.append((key, len(bounds) - 1, 1))
-    spark = distinct.sparkSession
-    at = spark.createDataFrame(plan, "key string, base int, parts int")
+            plan.append((list(key), len(low) - 1, 1))
+            low[-1] = [min(x) for x in zip(low[-1], counts, strict=True)]
+            high[-1] = [max(x) for x in zip(high[-1], counts, strict=True)]
+    at = distinct.sparkSession.createDataFrame(plan, "key array<int>, base int, parts int")
     put = keyed.join(F.broadcast(at), "key").select("fp", (F.col("base") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int").alias("tile"))
-    return put.groupBy("tile").agg(F.collect_list("fp").alias("fps")), bounds
+    bounds = [np.array(x, np.int16).reshape(-1, 7) for x in (low, high)]
+    return put.groupBy("tile").agg(F.collect_list("fp").alias("fps")), *bounds
+
+
+def _least(low_a, high_a, low_b, high_b) -> np.ndarray:
+    """The fewest bits in which rows of two ranges of counts can differ, for each pair of ranges."""
+    gap = np.maximum(np.maximum(low_a[:, None] - high_b[None], low_b[None] - high_a[:, None]), 0)
+    return np.maximum(np.maximum(gap[:, :, :4].sum(axis=2), gap[:, :, 4:6].sum(axis=2)), gap[:, :, 6])
+
+
+def _blocked(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x in order of population counts, and the least and greatest counts of each block of `size` rows.
+
+    Seven counts: of the four 16-bit segments, of the two halves, of the whole.
+    """
+    quarter = np.bitwise_count(x.view("<u2").reshape(-1, 4)).astype(np.int16)
+    half = quarter[:, :2].sum(axis=1, dtype=np.int16)
+    whole = quarter.sum(axis=1, dtype=np.int16)
+    counts = np.column_stack([quarter, half, whole - half, whole])
+    order = np.lexsort((quarter[:, 2], quarter[:, 0], half, whole))
+    starts = np.arange(0, len(x), size)
+    return x[order], np.minimum.reduceat(counts[order], starts), np.maximum.reduceat(counts[order], starts)
+
 
+def close(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int):
+    """Yields (row of a, row of b, distance) arrays of all pairs at up to `radius` bits, rows as _blocked() orders them.
+
+    Two strings differ in at least as many bits as their segments' population counts do, added up: pairs of blocks in
+    which even the nearest counts differ beyond the radius are skipped. same: a is b, and a pair comes once.
+    """
+    (a, low_a, high_a), (b, low_b, high_b) = _blocked(a, block), _blocked(b, block)
+    least = _least(low_a, high_a, low_b, high_b)
+    for i in range(len(low_a)):
+        x, near_by = a[i * block : (i + 1) * block], np.flatnonzero(least[i] <= radius)
+        near_by = near_by[near_by >= i] if same else near_by
+        for k in range(0, len(near_by), 4):
+            rows = np.concatenate([np.arange(j * block, min((j + 1) * block, len(b))) for j in near_by[k : k + 4].tolist()])
+            distance = np.bitwise_count(x[:, None] ^ b[rows][None])
+            u, v = np.nonzero(distance <= radius)
+            if len(u):
+                d = distance[u, v]
+                u, v = u + i * block, rows[v]
+                other = (u < v) if same else np.ones(len(u), bool)
+                yield u[other], v[other], d[other]
 
-def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (fingerprint, root), of all links at up to `radius` bits between and within two tiles' rows.
 
-    Blocks are in order of population count; pairs of blocks whose counts differ beyond the radius are skipped.
-    same: both tiles are one. Otherwise links within one tile are left to that tile's own comparison.
+def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (fingerprint, root), of all links at up to `radius` bits between two tiles' rows.
+
+    same: both tiles are one, and the links are those within it.
     """
-    def ordered(x):
-        x = x[np.argsort(np.bitwise_count(x), kind="stable")]
-        return x, np.bitwise_count(x).astype(np.int16)
-
-    (a, ca), (b, cb) = ordered(a), ordered(b)
-    nodes = a if same else np.concatenate([a, b])
-    shift, parent = (0 if same else len(a)), np.arange(len(nodes))
-    for i in range(0, len(a), block):
-        x = a[i : i + block]
-        lo, hi = np.searchsorted(cb, ca[i] - radius, "left"), np.searchsorted(cb, ca[min(i + block, len(a)) - 1] + radius, "right")
-        lo = max(lo, i) if same else lo
-        for j in range(lo, hi, 4 * block):
-            u, v = np.nonzero(np.bitwise_count(x[:, None] ^ b[None, j : min(hi, j + 4 * block)]) <= radius)
-            u, v = u + i, v + j + shift
-            keep = parent[u] != parent[v]
-            if keep.any():
-                parent = roots(len(nodes), u[keep], v[keep], parent)
+    nodes, shift = (_blocked(a, block)[0], 0) if same else (np.concatenate([_blocked(a, block)[0], _blocked(b, block)[0]]), len(a))
+    parent = np.arange(len(nodes))
+    for u, v, _ in close(a, b, radius, same, block):
+        v = v + shift
+        keep = parent[u] != parent[v]
+        if keep.any():
+            parent = roots(len(nodes), u[keep], v[keep], parent)
     moved = np.flatnonzero(parent != np.arange(len(nodes)))
     return nodes[moved], nodes[parent[moved]]
 
@@ -122,14 +154,13 @@ def links(distinct: DataFrame, radius: int, tile_rows: int = 16384, compared=nea
     gives a forest, fewer edges than rows, never all pairs of a group.
     """
     spark = distinct.sparkSession
-    put, bounds = tiles(distinct, tile_rows)
+    put, low, high = tiles(distinct, tile_rows)
     put = put.checkpoint()
-    low, high = np.array([x[0] for x in bounds]), np.array([x[1] for x in bounds])
 
     def partners(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                other = k + np.flatnonzero((low[k:] <= high[k] + radius) & (high[k:] >= low[k] - radius))
+                other = k + np.flatnonzero(_least(low[k : k + 1], high[k : k + 1], low[k:], high[k:])[0] <= radius)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), k, np.int32)), pa.array(other.astype(np.int32))], ["a", "b"])
 
     def compare(batches):
@@ -138,9 +169,9 @@ def links(distinct: DataFrame, radius: int, tile_rows: int = 16384, compared=nea
                 u, v = compared(np.array(x.values).view(np.uint64), np.array(y.values).view(np.uint64), radius, a.as_py() == b.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    pairs = spark.range(len(bounds)).select(F.col("id").cast("int").alias("a")).mapInArrow(partners, "a int, b int")
+    pairs = spark.range(len(low)).select(F.col("id").cast("int").alias("a")).mapInArrow(partners, "a int, b int")
     x, y = put.select(F.col("tile").alias("a"), F.col("fps").alias("x")), put.select(F.col("tile").alias("b"), F.col("fps").alias("y"))
-    many = max(1, len(bounds) * (len(bounds) + 1) // 2)
+    many = max(1, len(low) * (len(low) + 1) // 2)
     both = pairs.repartition(min(many, 4000)).join(x.hint("shuffle_hash"), "a").join(y.hint("shuffle_hash"), "b").select("a", "b", "x", "y")
     spread = both.repartition(max(min(many, 4000), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return spread.mapInArrow(compare, "u long, v long")
@@ -149,12 +180,12 @@ def links(distinct: DataFrame, radius: int, tile_rows: int = 16384, compared=nea
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows: int = 16384) -> DataFrame:
     """(doc_id, fp, component_id): every row of docs with the smallest doc_id its fingerprint reaches over links."""
     fps = fingerprints(docs, width).checkpoint()
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).checkpoint()
     comp = components(links(first.select("fp"), radius, tile_rows))
     byroot = first.join(comp, first.fp == comp.node, "inner").groupBy("root").agg(F.min("least").alias("of_root"))
     named = comp.join(byroot, "root").select(F.col("node").alias("fp"), "of_root")
-    named = first.join(named, "fp", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = first.join(named, "fp", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"), "n").checkpoint()
+    return joined_hot(fps, named, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
@@ -180,30 +211,15 @@ def nearest(nodes: int, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> np.ndarr
     return np.flatnonzero(taken)
 
 
-def nearest_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def nearest_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links at up to `radius` bits in which closer links come first; see near()."""
-    def ordered(x):
-        x = x[np.argsort(np.bitwise_count(x), kind="stable")]
-        return x, np.bitwise_count(x).astype(np.int16)
-
-    (a, ca), (b, cb) = ordered(a), ordered(b)
-    nodes, shift = (a, 0) if same else (np.concatenate([a, b]), len(a))
+    nodes, shift = (_blocked(a, block)[0], 0) if same else (np.concatenate([_blocked(a, block)[0], _blocked(b, block)[0]]), len(a))
     fu, fv, fd = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    for i in range(0, len(a), block):
-        x = a[i : i + block]
-        lo, hi = np.searchsorted(cb, ca[i] - radius, "left"), np.searchsorted(cb, ca[min(i + block, len(a)) - 1] + radius, "right")
-        lo = max(lo, i) if same else lo
-        for j in range(lo, hi, 4 * block):
-            distance = np.bitwise_count(x[:, None] ^ b[None, j : min(hi, j + 4 * block)])
-            u, v = np.nonzero(distance <= radius)
-            d = distance[u, v]
-            u, v = u + i, v + j + shift
-            u, v, d = (z[u != v] for z in (u, v, d))
-            if len(u):
-                fu, fv, fd = np.concatenate([fu, u]), np.concatenate([fv, v]), np.concatenate([fd, d])
-                if len(fu) > 4 * len(nodes):
-                    keep = nearest(len(nodes), fu, fv, fd)
-                    fu, fv, fd = fu[keep], fv[keep], fd[keep]
+    for u, v, d in close(a, b, radius, same, block):
+        fu, fv, fd = np.concatenate([fu, u]), np.concatenate([fv, v + shift]), np.concatenate([fd, d])
+        if len(fu) > 4 * len(nodes):
+            keep = nearest(len(nodes), fu, fv, fd)
+            fu, fv, fd = fu[keep], fv[keep], fd[keep]
     keep = nearest(len(nodes), fu, fv, fd)
     return nodes[fu[keep]], nodes[fv[keep]]
 
@@ -236,9 +252,10 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 13, similarity: f
     """
     spark = docs.sparkSession
     fps = fingerprints(docs, width).checkpoint()
-    first = fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+    known = fps.where("doc_id IS NOT NULL")
+    first = known.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).checkpoint()
     edges = links(first.select("fp"), radius, tile_rows, nearest_links).distinct().checkpoint()
-    wanted = edges.select(F.col("u").alias("fp")).union(edges.select("v")).distinct().join(first, "fp")
+    wanted = edges.select(F.col("u").alias("fp")).union(edges.select("v")).distinct().join(first.select("fp", "least"), "fp")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(wanted.select(F.col("least").alias("doc_id"), "fp"), "doc_id")
     tune(spark, rows=2048)
     sets = _shingle_sets(texts, width).dropDuplicates(["fp"])
@@ -257,8 +274,9 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 13, similarity: f
     comp = components(pairs.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
     byroot = first.join(comp, first.fp == comp.node).groupBy("root").agg(F.min("least").alias("of_root"))
     named = comp.join(byroot, "root").select(F.col("node").alias("fp"), "of_root")
-    named = first.join(named, "fp", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = first.join(named, "fp", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"), "n").checkpoint()
+    alone = fps.where("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
+    return joined_hot(known, named, "fp", "n").select("doc_id", "fp", "component_id").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
@@ -267,8 +285,8 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     Rows that repeat a doc_id are one document; one of them stays.
     """
     groups = near_copies(docs, **how)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["kept"], "left_semi")
     repeats = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     kept = kept.dropDuplicates(["doc_id"]) if repeats else kept
     return kept.unionByName(docs.where("doc_id IS NULL"))
