@@ -11,6 +11,7 @@ from ..config import Settings
 from ..functions import text as T
 from ..operators import caching, corpus, evaluation, guards, retrieval, router, structured
 from ..providers import FirstSentence, Generator, generated
+from ..session import shared_dir
 
 OUTPUT = "answer string, claims array<struct<statement:string,passages:array<int>,verbatim:string>>"
 
@@ -33,6 +34,7 @@ def answered(spark: SparkSession, settings: Settings, c: Corpus, questions: Data
     questions (query_id, text), vectors (query_id, vector). routes may replace the lexical ones (columns of router.routed).
     Routing comes before anything else, guards come before the provider is asked.
     """
+    shared_dir(spark)
     generator = generator or FirstSentence()
     r = routes if routes is not None else router.routed(questions)
     if not settings.router_enabled:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation
+from ..session import shared_dir
 
 
 def run_id(now: datetime.datetime | None = None) -> str:
@@ -21,6 +22,7 @@ def served(answers: DataFrame, similar: DataFrame, threshold: float) -> DataFram
     the nearest earlier question whose answer was stored; refused answers and hits are not stored. A chain of hits is
     cut where it starts: who is stored is decided round by round, by the earliest question still open.
     """
+    shared_dir(answers.sparkSession)
     rows = answers.select("query_id", "seq", "refused")
     pairs = similar.where((F.col("similarity") >= threshold) & (F.col("query_id") != F.col("other_id")))
     near = pairs.join(rows.select("query_id", F.col("seq").alias("s")), "query_id").join(rows.select(F.col("query_id").alias("other_id"), F.col("seq").alias("os"), F.col("refused").alias("orf")), "other_id").where(F.col("os") < F.col("s")).checkpoint()
