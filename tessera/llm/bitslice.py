@@ -174,6 +174,7 @@ def search(queries: DataFrame, indexed: DataFrame, k: int, query_rows: int = 128
 
 
 def op6_topk(spark, sf_dir: str) -> DataFrame:
+    tune(spark)
     vectors = quantised(table(spark, sf_dir, "embeddings")).checkpoint()
     return search(vectors.where("vec_id % 50 = 0"), index(vectors), 5)
 

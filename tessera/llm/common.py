@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from ..session import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,20 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tune(spark: SparkSession, rows: int = 2048, mb: int = 8) -> None:
     """Bounds the Arrow batches that Python workers get, by rows and by bytes: long texts must not pile up."""
+    shared_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a folder of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="tessera-")
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows, written once to the shared folder and read back: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession

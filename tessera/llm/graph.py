@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def roots(n: int, u: np.ndarray, v: np.ndarray, parent: np.ndarray | None = None) -> np.ndarray:
     """The smallest node reachable from each of n nodes, by hooking and pointer jumping."""
@@ -31,6 +33,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Alternates large-star and small-star steps; each step's edges are checkpointed, so that lineage stays short and a
     lost executor repeats one step at most. The edges themselves never reach the driver, only a count and a checksum.
     """
+    shared_dir(edges.sparkSession)
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     before = None
     for _ in range(rounds):
