@@ -380,7 +380,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -
     if not 64 <= length <= 256:
         raise ValueError("length must be from 64 to 256")
     spark = docs.sparkSession
-    tune(spark, rows=20_000, mb=6)
+    tune(spark, rows=20_000, mb=3)
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = pieces(spark, size, 4e6)
     tasks = pieces(spark, size, 24e6)
