@@ -6,7 +6,7 @@ most two share a sequence. Smaller pieces, longest first, go to the fullest sequ
 Only counts by length (at most `capacity` numbers) reach the driver; pieces get a rank within their length, and the
 plan says which ranks go where.
 Defined cases: a null or empty text is the single id 0; a null doc_id keeps its row; repeated rows are packed each; an
-empty table gives no rows; extra columns of the pieces are carried along (names rank_in_length and cell are taken).
+empty table gives no rows; extra columns of the pieces are carried along (sequence_id and offset are replaced).
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, table, tune, written
+from .common import pieces, ranges, schema_with, table, tune, written
 
 CAPACITY = 2048
+CELL, RANK, BEFORE = "__cell", "__rank_in_length", "__before_cell"
 END = np.zeros(1, "<u4").tobytes()
 ODD = re.compile("[\x1c-\x1fΣ]")  # characters where str and the tokenizer's normaliser may disagree
 
@@ -39,13 +41,13 @@ class WordTokens:
     which Python's lower-casing or white space could differ from the normaliser's are encoded whole.
     """
 
-    def __init__(self, path: str, entries: int = 1_000_000):
+    def __init__(self, path: str, entries: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.of, self.entries, self.cache = Tokenizer.from_file(path), entries, {}
+        self.of, self.entries, self.cache = Tokenizer.from_file(path), entries, {"": b""}
         self.of.encode_special_tokens = True
         vocab = self.of.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -55,65 +57,67 @@ class WordTokens:
     def whole(self, text: str) -> bytes:
         return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Puts the words into the cache. A plain word's closing marks are a token run of their own; plain words are
         encoded many at a time and cut at their word ends."""
-        cache, cores, rest = self.cache, {}, []
-        for w in words:
-            core = w.rstrip(MARKS)
-            if core.isalpha():
-                cores.setdefault(core, []).append(w)
-            else:
-                rest.append(w)
-        plain = [w for w in cores if w not in cache]
+        cache, whole, stops = self.cache, self.whole, self.stops
+        plain, marked = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        cores = [w.rstrip(MARKS) for w in marked]
+        plain += {c for c in cores if c not in cache and c.isalpha()}.difference(plain)
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             ids = np.array(self.of.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
-                raw, a = ids.tobytes(), 0
-                for w, b in zip(some, (ends * 4).tolist(), strict=True):
-                    cache[w] = raw[a:b]
-                    a = b
+                raw, cuts = ids.tobytes(), (ends * 4).tolist()
+                cache.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+            else:
+                cache.update((w, whole(w)) for w in some)
+        if len(stops) > 50_000:
+            stops.clear()
+        for w, core in zip(marked, cores, strict=True):
+            if core.isalpha():
+                marks = w[len(core) :]
+                if marks not in stops:
+                    stops[marks] = whole(marks)
+                cache[w] = cache[core] + stops[marks]
             else:
-                cache.update((w, self.whole(w)) for w in some)
-        for core, full in cores.items():
-            ids, n = cache[core], len(core)
-            for w in full:
-                marks = w[n:]
-                if marks:
-                    if marks not in self.stops:
-                        if len(self.stops) > 50_000:
-                            self.stops.clear()
-                        self.stops[marks] = self.whole(marks)
-                    cache[w] = ids + self.stops[marks]
-        cache.update((w, self.whole(w)) for w in rest)
+                cache[w] = whole(w)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text.
+
+        The words of all texts are numbered at once; each different word is looked up once, and the ids are gathered.
+        """
         if len(self.cache) > self.entries:  # the first words in are the most frequent ones
             self.cache = dict(islice(self.cache.items(), self.entries // 4))
-        split, alone = [], {}
+        lows, alone = [], {}
         for k, text in enumerate(texts):
             text = text or ""
+            low = text.lower()
             if not text.isascii():
                 if not unicodedata.is_normalized("NFC", text):
                     text = unicodedata.normalize("NFC", text)
-                low = text.lower()
+                    low = text.lower()
                 if ODD.search(text) or not unicodedata.is_normalized("NFC", low):
-                    alone[k] = self.whole(text)
-                    low = ""
-            else:
-                low = text.lower()
-                if ODD.search(low):
-                    alone[k] = self.whole(text)
-                    low = ""
-            split.append(low.split())
-        missing = set().union(*split) - self.cache.keys()
+                    alone[k], low = self.whole(text), ""
+            elif ODD.search(low):
+                alone[k], low = self.whole(text), ""
+            lows.append(low)
+        lists = pc.utf8_split_whitespace(pa.array(lows, pa.large_string()))
+        numbered = lists.flatten().dictionary_encode()
+        cache, words = self.cache, numbered.dictionary.to_pylist()
+        missing = [w for w in words if w not in cache]
         if missing:
             self.learn(missing)
-        get = self.cache.__getitem__
-        return [alone[k] if k in alone else b"".join(map(get, words)) for k, words in enumerate(split)]
+        blobs = [cache[w] for w in words]
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        starts, every = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(blobs), "<u4")
+        code = numbered.indices.to_numpy(zero_copy_only=False)
+        raw = every[ranges(starts[code], sizes[code])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes[code])])[lists.offsets.to_numpy()] * 4
+        ends -= ends[0]
+        return [alone[k] if k in alone else raw[a:b] for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
 
 
 @lru_cache(maxsize=1)
@@ -127,7 +131,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY)
 
     path: a file of the tokenizers library; the public word_bpe_49k.json if none is given.
     """
-    tune(docs.sparkSession, rows=1024)
+    tune(docs.sparkSession)
 
     def run(batches):
         at = path
@@ -234,18 +238,18 @@ def pack(items: DataFrame, capacity: int = CAPACITY, buckets: int | None = None)
     so a repeated task deals the same ranks; equal rows are interchangeable.
     """
     spark = items.sparkSession
-    kept = written(items, "pack")
+    kept = written(items.drop("sequence_id", "offset"), "pack")
     names = kept.columns
     total = kept.count()
     if not total:
         return kept.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     buckets = buckets or pieces(spark, total, 1_000_000, 16)
-    celled = kept.withColumn("cell", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
-    sizes = celled.groupBy("length", "cell").agg(F.count("*").alias("n")).checkpoint()
+    celled = kept.withColumn(CELL, F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
+    sizes = celled.groupBy("length", CELL).agg(F.count("*").alias("n")).checkpoint()
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("cell")) - F.col("n")).drop("n")
-    ranked = celled.withColumn("rank_in_length", F.row_number().over(Window.partitionBy("length", "cell").orderBy(*names)).cast("long") - 1)
-    ranked = ranked.join(before, ["length", "cell"]).withColumn("rank_in_length", F.col("rank_in_length") + F.col("before")).select(*names, "rank_in_length")
+    before = sizes.withColumn(BEFORE, F.sum("n").over(Window.partitionBy("length").orderBy(CELL)) - F.col("n")).drop("n")
+    ranked = celled.withColumn(RANK, F.row_number().over(Window.partitionBy("length", CELL).orderBy(*names)).cast("long") - 1)
+    ranked = ranked.join(before, ["length", CELL]).withColumn(RANK, F.col(RANK) + F.col(BEFORE)).select(*names, RANK)
     steps = np.array(sorted(plan(counts, capacity)), np.int64)
     at = spark.sparkContext.broadcast((steps, {int(n): (int(np.searchsorted(steps[:, 0], n, "left")), int(np.searchsorted(steps[:, 0], n, "right"))) for n in counts}))
 
@@ -260,8 +264,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, buckets: int | None = None)
             into, each = rank - steps[row, 1], steps[row, 3]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(steps[row, 4] + into // each), pa.array(steps[row, 5] + into % each * length)], [*names, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return ranked.mapInArrow(placed, f"{kinds}, sequence_id long, `offset` long")
+    return ranked.mapInArrow(placed, schema_with(kept, ("sequence_id", "bigint"), ("offset", "bigint")))
 
 
 def digest(tokens: DataFrame) -> DataFrame:
