@@ -51,7 +51,10 @@ def sliced(rows: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def index(vectors: DataFrame, block_rows: int = 8192) -> DataFrame:
-    """The index of quantised vectors: one row (block, n, bits, width, ids, slices) for about block_rows vectors."""
+    """The index of quantised vectors: one row (block, n, bits, width, ids, slices) for about block_rows vectors.
+
+    vectors should be stored or checkpointed, so that a repeated task deals rows to the same blocks.
+    """
     blocks = max(1, -(-vectors.count() // block_rows))
 
     def build(key, rows):
@@ -63,7 +66,8 @@ def index(vectors: DataFrame, block_rows: int = 8192) -> DataFrame:
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array([x], k) for x, k in zip(cells, kinds, strict=True)], ["block", "n", "bits", "width", "ids", "slices"])
 
-    put = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    # by row, not by vec_id: rows that share one must not share a block
+    put = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     return put.groupBy("block").applyInArrow(build, "block int, n int, bits int, width int, ids binary, slices binary")
 
 

@@ -18,6 +18,7 @@ from .common import joined_hot, tune
 from .graph import components, roots
 
 SEED = 42
+TILE_LEAST, TILE_MOST = 1 << 14, 1 << 17
 WORDS_AT_ONCE = 1 << 18
 
 
@@ -147,13 +148,15 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int = 256
     return nodes[moved], nodes[parent[moved]]
 
 
-def links(distinct: DataFrame, radius: int, tile_rows: int = 16384, compared=near) -> DataFrame:
+def links(distinct: DataFrame, radius: int, tile_rows: int | None = None, compared=near) -> DataFrame:
     """(u, v): edges between fingerprints that connect exactly what the links at up to `radius` bits connect.
 
     distinct: column fp, without repeats; compared: near() or nearest_links(). Every pair of tiles within the radius is compared in full; each comparison
     gives a forest, fewer edges than rows, never all pairs of a group.
     """
     spark = distinct.sparkSession
+    # what the pairs of tiles are sent grows as rows squared over the tile's rows, hence larger tiles for more rows
+    tile_rows = tile_rows or min(max(distinct.count() // 64, TILE_LEAST), TILE_MOST)
     put, low, high = tiles(distinct, tile_rows)
     put = put.checkpoint()
 
@@ -172,12 +175,12 @@ def links(distinct: DataFrame, radius: int, tile_rows: int = 16384, compared=nea
     pairs = spark.range(len(low)).select(F.col("id").cast("int").alias("a")).mapInArrow(partners, "a int, b int")
     x, y = put.select(F.col("tile").alias("a"), F.col("fps").alias("x")), put.select(F.col("tile").alias("b"), F.col("fps").alias("y"))
     many = max(1, len(low) * (len(low) + 1) // 2)
-    both = pairs.repartition(min(many, 4000)).join(x.hint("shuffle_hash"), "a").join(y.hint("shuffle_hash"), "b").select("a", "b", "x", "y")
-    spread = both.repartition(max(min(many, 4000), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    both = pairs.repartition(min(many, 20_000)).join(x.hint("shuffle_hash"), "a").join(y.hint("shuffle_hash"), "b").select("a", "b", "x", "y")
+    spread = both.repartition(max(min(many, 20_000), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return spread.mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows: int = 16384) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id): every row of docs with the smallest doc_id its fingerprint reaches over links."""
     fps = fingerprints(docs, width).checkpoint()
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).checkpoint()
@@ -232,7 +235,10 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
         for b in batches:
             out = []
-            for text in b.column(2).to_pylist():
+            for fp, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if fingerprint((text or "").encode("utf-8", "surrogatepass"), width) != fp % 2**64:
+                    out.append(None)  # another text under the same doc_id
+                    continue
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                 n = min(width, len(words))
                 grams = {xxhash.xxh64_intdigest(b" ".join(words[k : k + n]), SEED) for k in range(len(words) - n + 1)} if words else set()
@@ -242,7 +248,7 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "fp", "text").mapInArrow(run, "doc_id long, fp long, grams binary")
 
 
-def near_copies(docs: DataFrame, width: int = 5, radius: int = 13, similarity: float = 0.8, tile_rows: int = 16384) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, radius: int = 13, similarity: float = 0.8, tile_rows: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs: groups whose links are verified by their shingle sets.
 
     Candidates are the links of a forest in which, of all pairs of fingerprints at up to `radius` bits, closer ones come
@@ -258,7 +264,7 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 13, similarity: f
     wanted = edges.select(F.col("u").alias("fp")).union(edges.select("v")).distinct().join(first.select("fp", "least"), "fp")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(wanted.select(F.col("least").alias("doc_id"), "fp"), "doc_id")
     tune(spark, rows=2048)
-    sets = _shingle_sets(texts, width).dropDuplicates(["fp"])
+    sets = _shingle_sets(texts, width).where("grams IS NOT NULL").dropDuplicates(["fp"])
 
     def verify(batches):
         for batch in batches:
