@@ -42,11 +42,13 @@ def corpus_version(content_hash: Column, size: int, ratio: float, model: str, di
 
 def term_df(docs: DataFrame) -> DataFrame:
     """(root, df): documents that hold each root. Counting is partial before the shuffle."""
-    return docs.select(F.explode(T.roots(F.coalesce("text", F.lit("")))).alias("root")).groupBy("root").agg(F.count("*").alias("df"))
+    rows = docs.select(F.explode_outer(T.roots(F.coalesce("text", F.lit("")))).alias("root")).where("root IS NOT NULL")
+    return rows.groupBy("root").agg(F.count("*").alias("df"))
 
 
 def sentence_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    # the outer form: an inner explode makes the optimizer test the array's size first, that is split the text twice
+    return docs.select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("pos", "sentence")).where("sentence IS NOT NULL")
 
 
 def phrase_index(docs: DataFrame, threshold: int) -> DataFrame:
@@ -61,13 +63,13 @@ def phrase_index(docs: DataFrame, threshold: int) -> DataFrame:
 
 def norm_index(docs: DataFrame, threshold: int) -> DataFrame:
     """(label, n_documents) of the legal acts that `threshold` documents or more cite in full."""
-    rows = docs.select("doc_id", F.explode(T.references(T.rejoined_words(F.coalesce("text", F.lit(""))))).alias("label"))
+    rows = docs.select("doc_id", F.explode_outer(T.references(T.rejoined_words(F.coalesce("text", F.lit(""))))).alias("label")).where("label IS NOT NULL")
     return rows.groupBy("label").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") >= threshold)
 
 
 def phrases_in(passages: DataFrame, index: DataFrame) -> DataFrame:
     """(passage_id, fp, n_documents) of the indexed phrases of each passage, each once."""
-    rows = passages.select("passage_id", F.explode(T.sentences(F.col("text"))).alias("s")).select("passage_id", T.phrase_print(F.col("s")).alias("fp")).distinct()
+    rows = passages.select("passage_id", F.explode_outer(T.sentences(F.col("text"))).alias("s")).where("s IS NOT NULL").select("passage_id", T.phrase_print(F.col("s")).alias("fp")).distinct()
     return rows.join(index.select("fp", "n_documents"), "fp").select("passage_id", "fp", "n_documents")
 
 

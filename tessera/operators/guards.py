@@ -12,8 +12,8 @@ OUTCOMES = ("valido", "misattribuito", "non_trovato", "troppo_corto")
 
 def missing_terms(queries: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, term) of content terms whose root stands in none of the query's passages."""
-    asked = queries.select("query_id", F.explode(T.content_terms(F.coalesce("text", F.lit("")))).alias("term")).withColumn("root", F.substring("term", 1, T.ROOT))
-    held = passages.select("query_id", F.explode(T.roots(F.coalesce("content", F.lit("")))).alias("root")).distinct()
+    asked = queries.select("query_id", F.explode_outer(T.content_terms(F.coalesce("text", F.lit("")))).alias("term")).where("term IS NOT NULL").withColumn("root", F.substring("term", 1, T.ROOT))
+    held = passages.select("query_id", F.explode_outer(T.roots(F.coalesce("content", F.lit("")))).alias("root")).where("root IS NOT NULL").distinct()
     return asked.join(held, ["query_id", "root"], "left_anti").select("query_id", "term", "root")
 
 
@@ -84,7 +84,7 @@ def best_sentences(claims: DataFrame, passages: DataFrame, least: float = 0.6) -
     """
     c = claims.select("query_id", "claim_no", F.trim("verbatim").alias("span"), F.explode("passages").alias("n"))
     c = c.withColumn("ws", F.array_distinct(F.split(T.phrase(F.col("span")), " "))).where((F.size("ws") >= 5) & (F.col("span") != ""))
-    s = passages.select("query_id", "n", F.posexplode(T.sentences(F.col("content"))).alias("pos", "sentence"))
+    s = passages.select("query_id", "n", F.posexplode_outer(T.sentences(F.col("content"))).alias("pos", "sentence")).where("sentence IS NOT NULL")
     s = s.withColumn("own", F.array_distinct(F.split(T.phrase(F.col("sentence")), " ")))
     both = c.join(s, ["query_id", "n"]).withColumn("overlap", F.size(F.array_intersect("ws", "own")) / F.size("ws"))
     rank = F.row_number().over(Window.partitionBy("query_id", "claim_no", "n").orderBy(F.desc("overlap"), "pos"))

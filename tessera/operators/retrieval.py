@@ -64,7 +64,7 @@ def words(t: Column) -> Column:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(term, id, tf, length): one row for each word of a document."""
-    d = docs.select("id", words(F.col("text")).alias("w")).select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    d = docs.select("id", words(F.col("text")).alias("w")).select("id", F.size("w").alias("length"), F.explode_outer("w").alias("term")).where("term IS NOT NULL")
     return d.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
