@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, tune
+from .common import table, tidied, tune
 
 SCALE = 256
 MOST = 1 << 24
@@ -143,6 +143,7 @@ def search(queries: DataFrame, indexed: DataFrame, k: int, query_rows: int = 128
     groups = max(1, -(-queries.count() // query_rows))
     packed = queries.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).groupBy("group").agg(F.collect_list(F.struct("vec_id", "q")).alias("queries"))
 
+    @tidied
     def run(batches):
         for batch in batches:
             for block in batch.to_pylist():

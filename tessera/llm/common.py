@@ -89,3 +89,38 @@ def joined_hot(rows: DataFrame, lookup: DataFrame, key: str, count: str, share:
     if not hot.limit(1).count():
         return rows.join(rest, key)
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
+#: By operator, what forgets that which a worker keeps for its next task of the same operator.
+KEPT: dict = {}
+
+
+def tidied(run, owner: str = ""):
+    """run, a function of batches; after it the task's freed memory goes back to the system.
+
+    Workers live on from task to task: what another operator kept in this one is dropped first, and what allocators hold
+    back would add up beside the next operator's needs.
+    """
+
+    def whole(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        from tessera.llm import common
+
+        for name, forget in common.KEPT.items():
+            if name != owner:
+                forget()
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return whole

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, schema_with, table, tune
+from .common import ranges, schema_with, table, tidied, tune
 
 WORD = re.compile(r"\w+")
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
@@ -215,7 +215,7 @@ def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: floa
                     leaks = [x + y for x, y in zip(b.column(len(names)).to_pylist(), leaks, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(leaks, pa.list_(LEAK))], [*names, "leaks"])
 
-        out = out.mapInArrow(run, kinds)
+        out = out.mapInArrow(tidied(run), kinds)
     return out
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, ranges, schema_with, table, tune, written
+from .common import KEPT, pieces, ranges, schema_with, table, tidied, tune, written
 
 CAPACITY = 2048
 CELL, RANK, BEFORE = "__cell", "__rank_in_length", "__before_cell"
@@ -41,7 +41,7 @@ class WordTokens:
     which Python's lower-casing or white space could differ from the normaliser's are encoded whole.
     """
 
-    def __init__(self, path: str, entries: int = 700_000):
+    def __init__(self, path: str, entries: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -126,12 +126,15 @@ def tokens_of(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+KEPT["packing"] = tokens_of.cache_clear
+
+
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids) of every document; ids are little-endian unsigned 32-bit integers.
 
     path: a file of the tokenizers library; the public word_bpe_49k.json if none is given.
     """
-    tune(docs.sparkSession)
+    tune(docs.sparkSession, rows=1024)
 
     def run(batches):
         at = path
@@ -151,7 +154,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run, "packing"), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -253,6 +256,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, buckets: int | None = None)
     steps = np.array(sorted(plan(counts, capacity)), np.int64)
     at = spark.sparkContext.broadcast((steps, {int(n): (int(np.searchsorted(steps[:, 0], n, "left")), int(np.searchsorted(steps[:, 0], n, "right"))) for n in counts}))
 
+    @tidied
     def placed(batches):
         steps, spans = at.value
         for b in batches:

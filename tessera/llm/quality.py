@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, table, tune
+from .common import schema_with, table, tidied, tune
 from .learn import SAMPLE, dual_descent, labelled, platt
 
 FOLDS, HELD = 3, 1
@@ -85,6 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, penalty: floa
     tune(docs.sparkSession)
     rows = labelled(docs, labels, "quality", FOLDS, HELD, True, limit)
 
+    @tidied
     def measure(batches):
         grams = Grams()
         for b in batches:
@@ -118,6 +119,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     given = docs.sparkSession.sparkContext.broadcast(model)
     tune(docs.sparkSession)
 
+    @tidied
     def run(batches):
         grams = Grams()
         for b in batches:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_hot, tune
+from .common import joined_hot, tidied, tune
 from .graph import components, roots
 
 SEED = 42
@@ -44,6 +44,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
     tune(docs.sparkSession)
 
+    @tidied
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t.encode("utf-8", "surrogatepass") if t else b"", width) for t in b.column(1).to_pylist()], np.uint64)
@@ -166,6 +167,7 @@ def links(distinct: DataFrame, radius: int, tile_rows: int | None = None, compar
                 other = k + np.flatnonzero(_least(low[k : k + 1], high[k : k + 1], low[k:], high[k:])[0] <= radius)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), k, np.int32)), pa.array(other.astype(np.int32))], ["a", "b"])
 
+    @tidied
     def compare(batches):
         for batch in batches:
             for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
@@ -230,6 +232,7 @@ def nearest_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block:
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, fp, grams): the sorted distinct shingle hashes of each text."""
 
+    @tidied
     def run(batches):
         import xxhash
 
@@ -266,6 +269,7 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 13, similarity: f
     tune(spark, rows=2048)
     sets = _shingle_sets(texts, width).where("grams IS NOT NULL").dropDuplicates(["fp"])
 
+    @tidied
     def verify(batches):
         for batch in batches:
             keep = []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, table, tune
+from .common import schema_with, table, tidied, tune
 from .learn import SAMPLE, Isotonic, Trees, labelled
 
 FOLDS = 5
@@ -38,6 +38,7 @@ def terms(word: str) -> list[str]:
 def lexicon(rows: DataFrame) -> dict[str, float]:
     """Weight of each term that toxic texts hold far more often: at most ENTRIES terms, by log odds of documents."""
 
+    @tidied
     def count(batches):
         toxic, clean, n = Counter(), Counter(), [0, 0]
         for b in batches:
@@ -125,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     share = rows.agg(F.avg("y")).first()[0]
     lex = lexicon(rows.where("part < 50").select("text", "y"))
 
+    @tidied
     def measure(batches):
         features = Features(lex)
         for b in batches:
@@ -152,6 +154,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     given = docs.sparkSession.sparkContext.broadcast(model)
     tune(docs.sparkSession)
 
+    @tidied
     def run(batches):
         features = Features(given.value.lex)
         for b in batches:
