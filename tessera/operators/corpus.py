@@ -130,3 +130,29 @@ def char_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["doc_id", "chunk_index", "start_index", "end_index", "content"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, chunk_index int, start_index long, end_index long, content string")
+
+
+def token_chunks(docs: DataFrame, tokenizer, size: int = 400, overlap: int = 48) -> DataFrame:
+    """chunks() over a tokenizer's tokens in place of words; tokenizer is a providers.Tokenizer that can be pickled."""
+    import hashlib
+
+    import pyarrow as pa
+
+    step = max(1, size - overlap)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = tokenizer.encode(text)
+                count = 0 if not ids else 1 if len(ids) <= size else -(-(len(ids) - size) // step) + 1
+                for k in range(count):
+                    part = ids[k * step : k * step + size]
+                    content = tokenizer.decode(part).strip()
+                    out.append((doc, f"{doc}::{k}", k, k * step, k * step + len(part), len(part), content, hashlib.sha256(content.encode()).hexdigest()))
+            kinds = (b.schema.types[0], pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            names = ["doc_id", "chunk_id", "chunk_index", "start_index", "end_index", "n_tokens", "content", "content_hash"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", T.clean(F.col("text")).alias("text")).mapInArrow(run, f"doc_id {kind}, chunk_id string, chunk_index int, start_index int, end_index int, n_tokens int, content string, content_hash string")

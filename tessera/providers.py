@@ -20,6 +20,12 @@ class Generator(Protocol):
     def generate(self, question: str, context: str) -> str: ...
 
 
+class Tokenizer(Protocol):
+    def encode(self, text: str) -> list[int]: ...
+
+    def decode(self, ids: list[int]) -> str: ...
+
+
 class Unavailable(Exception):
     """A provider did not answer in time or limited the rate."""
 

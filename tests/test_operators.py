@@ -17,6 +17,19 @@ def test_chunks_share_words_and_skip_empty_texts(spark):
     assert [r["chunk_id"] for r in got] == ["1::0", "1::1", "1::2"] and got[1]["content"].startswith("w8 w9 ") and got[2]["end_index"] == 25
 
 
+def test_token_chunks_agree_with_words(spark):
+    class Words:
+        def encode(self, text):
+            self.words = text.split()
+            return list(range(len(self.words)))
+
+        def decode(self, ids):
+            return " ".join(self.words[k] for k in ids)
+
+    docs = spark.createDataFrame([("a", " ".join(f"w{k}" for k in range(25))), ("b", "uno"), ("c", None)], "doc_id string, text string")
+    assert sorted(corpus.token_chunks(docs, Words(), 10, 2).collect()) == sorted(corpus.chunks(docs, 10, 2).collect())
+
+
 def test_phrase_index_counts_documents(spark):
     s = "La legge istitutiva del comitato ricorre in molti documenti diversi."
     docs = spark.createDataFrame([(1, f"{s} {s}"), (2, s), (3, "Altro testo che non ricorre da nessuna parte nel corpus.")], "doc_id long, text string")
