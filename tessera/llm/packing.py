@@ -41,7 +41,7 @@ class WordTokens:
     which Python's lower-casing or white space could differ from the normaliser's are encoded whole.
     """
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -134,7 +134,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY)
 
     path: a file of the tokenizers library; the public word_bpe_49k.json if none is given.
     """
-    tune(docs.sparkSession, rows=1024)
+    tune(docs.sparkSession, rows=1536)
 
     def run(batches):
         at = path
