@@ -58,8 +58,7 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, similarity: str = "
 
 def words(t: Column) -> Column:
     """Words of the keyword index: plain tokens of four letters or more that are no function words, with repeats."""
-    stop = F.array(*[F.lit(w) for w in T.STOPWORDS])
-    return F.filter(T.tokens(T.plain(F.coalesce(t, F.lit("")))), lambda w: ~F.array_contains(stop, w))
+    return F.filter(T.tokens(T.plain(F.coalesce(t, F.lit("")))), lambda w: ~w.isin(T.STOPWORDS))  # a hash set, once planned
 
 
 def postings(docs: DataFrame) -> DataFrame:
