@@ -9,17 +9,22 @@ extra columns of the input are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_hot, tidied, tune
+from .common import joined_hot, pieces, ranges, tidied, tune, utf8
 from .graph import components, roots
 
 SEED = 42
 TILE_LEAST, TILE_MOST = 1 << 14, 1 << 17
 WORDS_AT_ONCE = 1 << 18
+#: Of near_copies(): texts sampled and shingles listed for the order of shingles, on which no result depends; rows of a bucket
+#: all of whose pairs are candidates at once.
+SAMPLE, COMMON, BUCKET = 2_000, 200_000, 16
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -229,45 +234,224 @@ def nearest_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block:
     return nodes[fu[keep]], nodes[fv[keep]]
 
 
-def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, fp, grams): the sorted distinct shingle hashes of each text."""
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text, shingles as in fingerprint()."""
+    import xxhash
+
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    whole, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    width = min(width, len(words))
+    first, last = (ends - sizes)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
+    digest, grams = xxhash.xxh64_intdigest, np.zeros(0, np.uint64)
+    for at in range(0, len(first), WORDS_AT_ONCE):
+        grams = np.union1d(grams, np.array([digest(whole[a:b], SEED) for a, b in zip(first[at : at + WORDS_AT_ONCE], last[at : at + WORDS_AT_ONCE], strict=True)], np.uint64))
+    return grams
+
+
+def set_key(grams: np.ndarray) -> int:
+    """One signed long for a set of shingles."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes(), SEED)).view(np.int64))
+
+
+def _common(docs: DataFrame, width: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of about SAMPLE texts repeats, sorted, and how often it does."""
 
     @tidied
     def run(batches):
-        import xxhash
+        for b in batches:
+            sets = [shingle_set(t, width) for t in utf8(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["gram"])
+
+    of = max(1, rows // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0).select("text")
+    often = some.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(COMMON).collect()
+    gram, n = np.array([r["gram"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)
+    order = np.argsort(gram)
+    return gram[order], n[order]
 
+
+def _signatures(docs: DataFrame, width: int, similarity: float, common) -> DataFrame:
+    """(doc_id, key, size, prefix): the shingle set's key and size, and its rarest shingles.
+
+    Two sets at the similarity share a shingle of their prefixes, whatever the order of shingles is: were the prefixes
+    disjoint, the rest could not overlap enough.
+    """
+
+    @tidied
+    def run(batches):
+        gram, n = common.value
         for b in batches:
-            out = []
-            for fp, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if fingerprint((text or "").encode("utf-8", "surrogatepass"), width) != fp % 2**64:
-                    out.append(None)  # another text under the same doc_id
-                    continue
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                n = min(width, len(words))
-                grams = {xxhash.xxh64_intdigest(b" ".join(words[k : k + n]), SEED) for k in range(len(words) - n + 1)} if words else set()
-                out.append(np.sort(np.fromiter(grams, np.uint64, len(grams))).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "fp", "grams"])
-
-    return docs.select("doc_id", "fp", "text").mapInArrow(run, "doc_id long, fp long, grams binary")
-
-
-def near_copies(docs: DataFrame, width: int = 5, radius: int = 13, similarity: float = 0.8, tile_rows: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs: groups whose links are verified by their shingle sets.
-
-    Candidates are the links of a forest in which, of all pairs of fingerprints at up to `radius` bits, closer ones come
-    first: two texts of one group are joined by candidates none of which is farther than they are. A candidate is a
-    link if the Jaccard similarity of the two sets of shingles, of the rows with the smallest doc_id of each fingerprint,
-    reaches `similarity`. Equal fingerprints need no check. Rows with a null doc_id stand for themselves.
+            keys, sizes, prefixes = [], [], []
+            for t in utf8(b.column(1)):
+                grams = shingle_set(t, width)
+                keys.append(set_key(grams))
+                sizes.append(len(grams))
+                rank = np.zeros(len(grams), np.int64)
+                if len(gram):
+                    k = np.minimum(np.searchsorted(gram, grams), len(gram) - 1)
+                    rank = np.where(gram[k] == grams, n[k], 0)
+                take = len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1 if len(grams) else 0
+                prefixes.append(grams[np.lexsort((grams, rank))[:take]].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], ["doc_id", "key", "size", "prefix"])
+
+    return docs.mapInArrow(run, "doc_id long, key long, size int, prefix binary")
+
+
+def _listed(batches):
+    """(gram, key, size, place) of each shingle of each prefix."""
+    for b in batches:
+        prefixes = [np.frombuffer(p, np.uint64) for p in b.column(2).to_pylist()]
+        n = np.array([len(p) for p in prefixes], np.int64)
+        key, size = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for at in range(0, len(prefixes), 256):
+            some = slice(at, at + 256)
+            gram = np.concatenate([np.zeros(0, np.uint64), *prefixes[some]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.repeat(key[some], n[some])), pa.array(np.repeat(size[some], n[some])), pa.array(ranges(np.zeros(len(n[some])), n[some]).astype(np.int32))], ["gram", "key", "size", "place"])
+
+
+def _buckets(batches):
+    """Columns of whole buckets, each a shingle's rows, from batches sorted by shingle; a bucket of one row is left out."""
+    held = None
+    for b in batches:
+        part = [c.to_numpy() for c in b.columns]
+        held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
+        last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if last:
+            yield _repeated([c[:last] for c in held])
+            held = [c[last:] for c in held]
+    if held is not None and len(held[0]):
+        yield _repeated(held)
+
+
+def _repeated(c: list[np.ndarray]) -> list[np.ndarray]:
+    fresh = np.append(True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]))  # rows that repeat a doc_id
+    c = [x[fresh] for x in c]
+    same = c[0][1:] == c[0][:-1]
+    many = np.append(same, False) | np.append(False, same)
+    return [x[many] for x in c]
+
+
+def _possible(size_a, place_a, size_b, place_b, similarity: float) -> np.ndarray:
+    """Whether sets can reach the similarity if their first common shingle stands at these places."""
+    both = np.minimum(size_a - place_a, size_b - place_b)
+    return both >= similarity * (size_a.astype(np.int64) + size_b - both) - 1e-9
+
+
+def _first_pairs(similarity: float):
+    """Candidates (u, v) of each bucket; rows with a gram are those of large buckets, with their key as u.
+
+    All pairs of a bucket of up to BUCKET rows are candidates; of a larger one each row with the two whose place is
+    least, which hold the fewest rare shingles of their own, and with its next.
     """
-    spark = docs.sparkSession
-    fps = fingerprints(docs, width).checkpoint()
-    known = fps.where("doc_id IS NOT NULL")
-    first = known.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).checkpoint()
-    edges = links(first.select("fp"), radius, tile_rows, nearest_links).distinct().checkpoint()
-    wanted = edges.select(F.col("u").alias("fp")).union(edges.select("v")).distinct().join(first.select("fp", "least"), "fp")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(wanted.select(F.col("least").alias("doc_id"), "fp"), "doc_id")
-    tune(spark, rows=2048)
-    sets = _shingle_sets(texts, width).where("grams IS NOT NULL").dropDuplicates(["fp"])
+
+    @tidied
+    def run(batches):
+        pairs = Pairs()
+        for gram, key, size, place in _buckets(batches):
+            if not len(gram):
+                continue
+            start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            n = np.diff(np.append(start, len(gram)))
+            wide, base = np.repeat(n > BUCKET, n), np.repeat(start, n)
+            for k in range(1, BUCKET):
+                i = np.flatnonzero(gram[k:] == gram[:-k])
+                if not len(i):
+                    break
+                i = i[~wide[i]] if k > 1 else i
+                i = i[_possible(size[i], place[i], size[i + k], place[i + k], similarity)]
+                pairs.add(key[i], key[i + k])
+            order = np.lexsort((key, place, gram))  # buckets stay where they are
+            i = np.flatnonzero(wide)
+            for k in (0, 1):
+                j = order[base[i] + k]
+                ok = (i != j) & _possible(size[i], place[i], size[j], place[j], similarity)
+                pairs.add(key[i[ok]], key[j[ok]])
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.nulls(len(i), pa.int64()), pa.array(gram[i]), pa.array(size[i]), pa.array(place[i])], BUCKETED)
+            yield from (_paired(*x) for x in pairs.full())
+        yield from (_paired(*x) for x in pairs.full(0))
+
+    return run
+
+
+BUCKETED = ["u", "v", "gram", "size", "place"]
+
+
+def _paired(u: np.ndarray, v: np.ndarray):
+    none = [pa.nulls(len(u), t) for t in (pa.int64(), pa.int32(), pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *none], BUCKETED)
+
+
+def _last_pairs(similarity: float):
+    """(u, v): of each large bucket all pairs of rows that are not of one group yet."""
+
+    @tidied
+    def run(batches):
+        pairs = Pairs()
+        for gram, key, size, place, root in _buckets(batches):
+            start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else []
+            for a, b in zip(start, np.append(start[1:], len(gram)), strict=True):
+                groups, n = np.unique(root[a:b], return_counts=True)
+                most = groups[n.argmax()]
+                for i in (a + np.flatnonzero(root[a:b] != most)).tolist():
+                    low, high = a + np.searchsorted(size[a:b], [size[i] * similarity - 1e-6, size[i] / similarity + 1e-6])  # in order of size
+                    j = np.arange(low, high)
+                    j = j[((root[j] == most) | (j > i)) & (root[j] != root[i])]
+                    j = j[_possible(size[i], place[i], size[j], place[j], similarity)]
+                    pairs.add(np.full(len(j), key[i]), key[j])
+                    yield from (pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["u", "v"]) for pair in pairs.full())
+        yield from (pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["u", "v"]) for pair in pairs.full(0))
+
+    return run
+
+
+class Pairs:
+    """Pairs (u, v), u < v, given on in bounded parts without what a part repeats."""
+
+    def __init__(self):
+        self.us, self.vs, self.rows = [], [], 0
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.us.append(np.minimum(u, v))
+        self.vs.append(np.maximum(u, v))
+        self.rows += len(u)
+
+    def full(self, most: int = 1 << 18):
+        if self.rows > most:
+            pair = np.unique(np.column_stack([np.concatenate(self.us), np.concatenate(self.vs)]), axis=0)
+            self.__init__()
+            yield pair[:, 0].copy(), pair[:, 1].copy()
+
+
+def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(key, grams): the shingle set of each text (doc_id, key, text) that has the key."""
+
+    @tidied
+    def run(batches):
+        for b in batches:
+            keys, sets = [], []
+            for key, text in zip(b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
+                grams = shingle_set(text, width)
+                if set_key(grams) == key:  # or another text under the same doc_id
+                    keys.append(key)
+                    sets.append(grams.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "grams"])
+
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "key long, grams binary")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The rows of pairs (u, v) whose sets reach the similarity."""
+    ends = pairs.select(F.col("u").alias("key"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(pairs.select("v", F.lit(0), F.lit(1)))
+    wanted = ends.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).join(first.select("key", "least"), "key")
+    tune(pairs.sparkSession)
+    found = texts.join(wanted.select(F.col("least").alias("doc_id"), "key"), "doc_id")
+    sets = _shingle_sets(found, width).dropDuplicates(["key"]).join(wanted.select("key", "a", "b"), "key").checkpoint()
 
     @tidied
     def verify(batches):
@@ -280,13 +464,48 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 13, similarity: f
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), batch.column(1).take(pa.array(keep, pa.int32()))], ["u", "v"])
 
-    pairs = edges.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("y")), "v")
-    comp = components(pairs.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
-    byroot = first.join(comp, first.fp == comp.node).groupBy("root").agg(F.min("least").alias("of_root"))
-    named = comp.join(byroot, "root").select(F.col("node").alias("fp"), "of_root")
-    named = first.join(named, "fp", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"), "n").checkpoint()
-    alone = fps.where("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
-    return joined_hot(known, named, "fp", "n").select("doc_id", "fp", "component_id").unionByName(alone)
+    with_u = joined_hot(pairs, sets.where("a > 0").select(F.col("key").alias("u"), F.col("grams").alias("x"), "a"), "u", "a")
+    both = joined_hot(with_u, sets.where("b > 0").select(F.col("key").alias("v"), F.col("grams").alias("y"), "b"), "v", "b")
+    return both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long").checkpoint()
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, key, component_id) of every row of docs: the groups that all pairs at the similarity form, exactly.
+
+    The similarity is Jaccard's, of the sets of shingles; key stands for a set, and equal sets are one. Candidates are
+    the pairs of sets that share a shingle of their prefixes and whose sizes and places allow the similarity; each is
+    verified by the two sets. Large buckets give few pairs a row first, and then all pairs that these have not put into
+    one group, so a dense group never gives all its pairs. Rows with a null doc_id stand for themselves.
+    """
+    spark = docs.sparkSession
+    tune(spark)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    common = spark.sparkContext.broadcast(_common(given, width, given.count()))
+    signed = _signatures(given, width, similarity, common).checkpoint()
+    known = signed.where("doc_id IS NOT NULL")
+    first = known.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).checkpoint()
+    once = known.join(first.select(F.col("least").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
+    tune(spark, rows=1 << 16)
+    listed = once.select("key", "size", "prefix").mapInArrow(tidied(_listed), "gram long, key long, size int, place int")
+    parts = pieces(spark, first.count() * 100, 1 << 21)
+    buckets = listed.repartition(parts, "gram").sortWithinPartitions("gram", "size", "key")
+    found = buckets.mapInArrow(_first_pairs(similarity), "u long, v long, gram long, size int, place int").checkpoint()
+    pairs = found.where("v IS NOT NULL").select("u", "v").distinct().checkpoint()
+    links = _verified(pairs, given, first, width, similarity)
+    comp = components(links)
+    tune(spark, rows=1 << 16)
+    wide = found.where("v IS NULL").select("gram", F.col("u").alias("key"), "size", "place")
+    rooted = wide.join(comp.withColumnRenamed("node", "key"), "key", "left").select("gram", "key", "size", "place", F.coalesce("root", "key").alias("root"))
+    rest = rooted.repartition(parts, "gram").sortWithinPartitions("gram", "size", "key")
+    more = rest.mapInArrow(_last_pairs(similarity), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti").checkpoint()
+    tune(spark)
+    if more.limit(1).count():
+        comp = components(links.union(_verified(more, given, first, width, similarity)))
+    byroot = first.join(comp, first.key == comp.node).groupBy("root").agg(F.min("least").alias("of_root"))
+    named = comp.join(byroot, "root").select(F.col("node").alias("key"), "of_root")
+    named = first.join(named, "key", "left").select("key", F.coalesce("of_root", "least").alias("component_id"), "n").checkpoint()
+    alone = signed.where("doc_id IS NULL").select("doc_id", "key", F.lit(None).cast("long").alias("component_id"))
+    return joined_hot(known.select("doc_id", "key"), named, "key", "n").select("doc_id", "key", "component_id").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

@@ -87,3 +87,47 @@ def test_near_copies_are_verified(spark):
 def test_clashing_columns_survive(messy):
     kept = simhash.one_of_each(messy)
     assert kept.columns == messy.columns and kept.where("doc_id = 0").count() == 1 and kept.where("doc_id = 1").count() == 0
+
+
+def jaccard_groups(texts, width=5, similarity=0.8):
+    """The smallest number each text reaches over all pairs at the similarity."""
+    split = [t.split() for t in texts]
+    sets = [{tuple(w[k : k + width]) for k in range(max(len(w) - width + 1, 1))} for w in split]
+    least = list(range(len(sets)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    return least
+
+
+def component_ids(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+def test_every_pair_at_the_similarity_is_found(spark):
+    """Families of copies at about the similarity, in which a link that fails often lies between two that hold."""
+    rng, texts = np.random.default_rng(5), []
+    for family in range(12):
+        words = [f"f{family}w{k}" for k in range(120)]
+        for _ in range(8):
+            own = list(words)
+            for k in rng.choice(120, rng.integers(1, 5), replace=False):
+                own[k] = f"own{rng.integers(1 << 40)}"
+            texts.append(" ".join(own))
+    want = jaccard_groups(texts)
+    assert 12 < len(set(want)) < len(texts) and component_ids(spark, texts) == want
+
+
+def test_a_large_bucket_links_what_its_first_pairs_leave(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 2)
+    rng, words = np.random.default_rng(7), [f"w{k}" for k in range(100)]
+    texts = [" ".join(words)]
+    for n in range(40):
+        own = list(words)
+        for k in rng.choice(100, rng.integers(1, 4), replace=False):
+            own[k] = f"own{n}x{k}"
+        texts.append(" ".join(own))
+    assert component_ids(spark, texts) == jaccard_groups(texts)
