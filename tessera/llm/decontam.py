@@ -1,6 +1,7 @@
 """Benchmark decontamination: item-sized windows, SimHash candidates and exact weighted-shingle similarity.
 
-A window of a document has as many words as the benchmark item it is held against. Windows that share no shingle with any
+A window of a document has as many words as the benchmark item it is held against; a document of fewer words is one
+window. Windows that share no shingle with any
 item have similarity zero and are passed over. The others get a SimHash of their weighted shingles; a multi-index over
 blocks of its bits finds every item fingerprint of that window size within the radius, by pigeonhole; candidates are
 kept if their weighted Jaccard similarity, over shingles as a bag, reaches the threshold. Weights are 1 + ln(N / df)
@@ -149,13 +150,14 @@ class Benchmark:
             starts = defaultdict(list)
             for at in hit.tolist():
                 for m in self.sizes[int(codes[at])]:
-                    if min(self.width, m) == n and m <= len(words):
+                    if min(self.width, m) == n:
                         starts[m].append(at)
             for m, places in starts.items():
-                each, places = m - n + 1, np.array(places)  # shingles a window
-                mark = np.zeros(len(words) - m + 2, np.int64)
+                size = min(m, len(words))  # a shorter text is one window
+                each, places = size - n + 1, np.array(places)  # shingles a window
+                mark = np.zeros(len(words) - size + 2, np.int64)
                 np.add.at(mark, np.maximum(places - each + 1, 0), 1)
-                np.add.at(mark, np.minimum(places, len(words) - m) + 1, -1)
+                np.add.at(mark, np.minimum(places, len(words) - size) + 1, -1)
                 windows = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
                 ids, bags, index = self.groups[m]
                 cut = np.flatnonzero(np.diff(windows, prepend=-2) > 1)
@@ -169,7 +171,7 @@ class Benchmark:
                             if s >= self.similarity:
                                 best = found.get(ids[item])
                                 if best is None or (s, -at) > (best[4], -best[1]):
-                                    found[ids[item]] = (ids[item], at, at + m, distance, s)
+                                    found[ids[item]] = (ids[item], at, at + size, distance, s)
         return [found[i] for i in sorted(found)]
 
     def suspects(self, texts: list[list[str]]) -> np.ndarray:

@@ -70,3 +70,10 @@ def test_items_in_blocks(spark, sf, monkeypatch):
     rows = decontam.scan(docs, items).select("doc_id", "leaks").collect()
     assert sorted((r["doc_id"], len(r["leaks"])) for r in rows) == sorted((r["doc_id"], len(r["leaks"])) for r in decontam.scan(docs, items).collect())
     assert sum(len(r["leaks"]) for r in rows) == sum(s.count("item_id=") for s in whole) > 0
+
+
+def test_a_text_shorter_than_the_item_is_held_whole(spark):
+    words = [f"w{k}" for k in range(59)]
+    docs = [(1, " ".join(words[:-1])), (2, " ".join(words[2:])), (3, " ".join(words[:30])), (4, "w2 w1")]
+    got = found(spark, docs, [(10, " ".join(words)), (11, "w2 w1 w3")])
+    assert set(got) == {(1, 10), (2, 10)} and (got[1, 10]["start_word"], got[1, 10]["end_word"]) == (0, 58) and abs(got[1, 10]["similarity"] - 54 / 55) < 1e-9
