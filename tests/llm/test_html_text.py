@@ -47,3 +47,11 @@ def test_nulls_and_empty(spark):
     pages = spark.createDataFrame([(None, None, None), (1, "u", "<p>a"), (1, "u", "<p>a")], "page_id long, url string, html string")
     assert sorted(r["text"] for r in html_text.extracted(pages).collect()) == ["", "a", "a"]
     assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_an_article_in_several_elements_is_whole(n):
+    parts = [f"<article><p>Part {k} of the text, with a good number of words in it that all belong together.</p><p>It goes on here &amp; has a second paragraph.</p></article>" for k in range(n)]
+    page = f"<body><nav><a href=x>Home</a></nav><div id=content>{''.join(parts)}</div><footer>foot</footer></body>"
+    got = html_text.main_text(page)
+    assert all(f"Part {k} of the text" in got for k in range(n)) and "Home" not in got and "foot" not in got
