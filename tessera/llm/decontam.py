@@ -5,7 +5,8 @@ window. Windows that share no shingle with any
 item have similarity zero and are passed over. The others get a SimHash of their weighted shingles; a multi-index over
 blocks of its bits finds every item fingerprint of that window size within the radius, by pigeonhole; candidates are
 kept if their weighted Jaccard similarity, over shingles as a bag, reaches the threshold. Weights are 1 + ln(N / df)
-over the N items.
+over the N items of the whole benchmark, however many blocks it is read in; a shingle of no item weighs as one of a
+single item.
 Words are runs of word characters in lower case; an item of fewer words than a shingle is one shingle.
 Defined cases: null, empty and wordless texts have no leaks, items without words or with a null text match nothing; an
 item with a null id is left out; repeated items are held once an id, repeated documents each; ties between windows go to
@@ -92,15 +93,18 @@ class MultiIndex:
 class Benchmark:
     """What documents are held against: (id, text) items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int, str | None]], width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, over: tuple[int, dict[int, int]] | None = None):
+        """over: the number of items with words and the df of each shingle that several hold; by default of these items."""
         self.width, self.similarity = width, similarity
         listed = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in listed for w in ws}))}
         codes = [shingles(hashed(w), min(width, len(w))) for _, w in listed]
-        df = Counter(c for x in codes for c in set(x.tolist()))
-        self.known = np.array(sorted(df), np.uint64)
-        self.weight = np.array([1 + math.log(len(listed) / df[c]) for c in self.known.tolist()])
-        self.unknown = 1 + math.log(max(len(listed), 1))
+        own = Counter(c for x in codes for c in set(x.tolist()))
+        self.known = np.array(sorted(own), np.uint64)
+        total, df = over or (len(listed), {c: n for c, n in own.items() if n > 1})
+        self.shared = np.array(sorted(df), np.uint64)
+        self.weight = np.array([1 + math.log(total / df[c]) for c in self.shared.tolist()])
+        self.unknown = 1 + math.log(max(total, 1))
         by: dict[int, list[int]] = defaultdict(list)
         for k, (_, w) in enumerate(listed):
             by[len(w)].append(k)
@@ -130,10 +134,10 @@ class Benchmark:
         return np.where(real, out | np.uint64(1), 0)
 
     def weights(self, codes: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.shared):
             return np.full(len(codes), self.unknown)
-        k = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
-        return np.where(self.known[k] == codes, self.weight[k], self.unknown)
+        k = np.minimum(np.searchsorted(self.shared, codes), len(self.shared) - 1)
+        return np.where(self.shared[k] == codes, self.weight[k], self.unknown)
 
     def weighted(self, a: Counter, b: Counter) -> float:
         """Weighted Jaccard similarity of two bags of shingles."""
@@ -190,10 +194,28 @@ class Benchmark:
         return out
 
 
+def frequencies(items: DataFrame, width: int) -> tuple[int, dict[int, int]]:
+    """How many of the items (item_id, text) have words, and the df of each shingle that several of them hold."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for words in map(words_of, b.column(0).to_pylist()):
+                if words:
+                    out += [None, *np.unique(shingles(hashed(words), min(width, len(words)))).view(np.int64).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["code"])
+
+    rows = items.select("text").mapInArrow(tidied(run), "code long").groupBy("code").agg(F.count("*").alias("n")).where("n > 1 OR code IS NULL").collect()
+    df = {r["code"]: r["n"] for r in rows}
+    total = df.pop(None, 0)
+    return total, {c % 2**64: n for c, n in df.items()}
+
+
 def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """docs with leaks: an array of (item_id, start_word, end_word, hamming, similarity). No row moves.
 
-    items (item_id, text) are read in blocks of ITEMS_AT_ONCE, so what is broadcast has a bound whatever their number.
+    items (item_id, text) are read in blocks of ITEMS_AT_ONCE, so what is broadcast has a bound whatever their number,
+    but for the df of the shingles that several items share.
     """
     spark = docs.sparkSession
     tune(spark, rows=2048)
@@ -202,19 +224,20 @@ def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: floa
     kinds = schema_with(out, ("leaks", LEAK_SQL))
     listed = items.where(F.col("item_id").isNotNull()).groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
     blocks = max(1, -(-listed.count() // ITEMS_AT_ONCE))
+    over = spark.sparkContext.broadcast(frequencies(listed, width)) if blocks > 1 else None  # one block counts its own
     for block in range(blocks):
         some = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()
         given = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some])
 
         def run(batches, given=given, old=block > 0):
-            held = Benchmark(given.value, width, similarity, radius)
+            held = Benchmark(given.value, width, similarity, radius, over and over.value)
             for b in batches:
                 texts = [words_of(t) for t in b.column(at).to_pylist()]
                 leaks = [[] for _ in texts]
                 for k in np.flatnonzero(held.suspects(texts)).tolist():
                     leaks[k] = [dict(zip(("item_id", "start_word", "end_word", "hamming", "similarity"), x, strict=True)) for x in held.leaks(texts[k])]
                 if old:
-                    leaks = [x + y for x, y in zip(b.column(len(names)).to_pylist(), leaks, strict=True)]
+                    leaks = [sorted(x + y, key=lambda leak: leak["item_id"]) for x, y in zip(b.column(len(names)).to_pylist(), leaks, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(leaks, pa.list_(LEAK))], [*names, "leaks"])
 
         out = out.mapInArrow(tidied(run), kinds)

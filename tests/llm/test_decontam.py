@@ -77,3 +77,19 @@ def test_a_text_shorter_than_the_item_is_held_whole(spark):
     docs = [(1, " ".join(words[:-1])), (2, " ".join(words[2:])), (3, " ".join(words[:30])), (4, "w2 w1")]
     got = found(spark, docs, [(10, " ".join(words)), (11, "w2 w1 w3")])
     assert set(got) == {(1, 10), (2, 10)} and (got[1, 10]["start_word"], got[1, 10]["end_word"]) == (0, 58) and abs(got[1, 10]["similarity"] - 54 / 55) < 1e-9
+
+
+def test_leaks_do_not_depend_on_the_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    common = [" ".join(f"c{k}w{i}" for i in range(12)) for k in range(4)]
+    items = [(k, " ".join([common[k % 4], *(f"own{k}w{i}" for i in range(20))])) for k in range(40)]
+    docs = []
+    for n, (_, text) in enumerate(items):
+        words = text.split()
+        for k in rng.sample(range(len(words)), n % 3):
+            words[k] = "changed"
+        docs.append((n, " ".join([common[(n + 1) % 4], *words, "and", "more"])))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontam.scan(d, i, similarity=0.6).collect()))
+    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 7)
+    assert sorted(map(str, decontam.scan(d, i, similarity=0.6).collect())) == whole and sum(s.count("item_id=") for s in whole) > 20
