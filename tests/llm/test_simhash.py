@@ -131,3 +131,9 @@ def test_a_large_bucket_links_what_its_first_pairs_leave(spark, monkeypatch):
             own[k] = f"own{n}x{k}"
         texts.append(" ".join(own))
     assert component_ids(spark, texts) == jaccard_groups(texts)
+
+
+def test_equal_fingerprints_are_no_evidence(spark):
+    line = " ".join(f"line{k}" for k in range(11))
+    texts = [" ".join([*[line] * 30, *(f"own{n}x{k}" for k in range(100))]) for n in range(2)]
+    assert len({simhash.fingerprint(t.encode(), 5) for t in texts}) == 1 and component_ids(spark, texts) == [0, 1]
