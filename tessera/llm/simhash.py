@@ -429,20 +429,22 @@ class Pairs:
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(key, grams): the shingle set of each text (doc_id, key, text) that has the key."""
+    """(key, grams, a, b): the shingle set of each text (doc_id, key, text, a, b) that has the key."""
 
     @tidied
     def run(batches):
         for b in batches:
-            keys, sets = [], []
-            for key, text in zip(b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
+            keys, sets, rows = [], [], []
+            for row, (key, text) in enumerate(zip(b.column(1).to_pylist(), utf8(b.column(2)), strict=True)):
                 grams = shingle_set(text, width)
                 if set_key(grams) == key:  # or another text under the same doc_id
                     keys.append(key)
                     sets.append(grams.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "grams"])
+                    rows.append(row)
+            rows = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary()), b.column(3).take(rows), b.column(4).take(rows)], ["key", "grams", "a", "b"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "key long, grams binary")
+    return docs.select("doc_id", "key", "text", "a", "b").mapInArrow(run, "key long, grams binary, a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -450,8 +452,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, width: int,
     ends = pairs.select(F.col("u").alias("key"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(pairs.select("v", F.lit(0), F.lit(1)))
     wanted = ends.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).join(first.select("key", "least"), "key")
     tune(pairs.sparkSession)
-    found = texts.join(wanted.select(F.col("least").alias("doc_id"), "key"), "doc_id")
-    sets = _shingle_sets(found, width).dropDuplicates(["key"]).join(wanted.select("key", "a", "b"), "key").checkpoint()
+    found = texts.join(wanted.select(F.col("least").alias("doc_id"), "key", "a", "b"), "doc_id").dropDuplicates(["doc_id", "key", "text"])
+    sets = _shingle_sets(found, width).checkpoint()
 
     @tidied
     def verify(batches):
