@@ -54,3 +54,38 @@ def test_empty_table_and_columns(none, messy):
     assert secrets.scan(none).count() == 0
     out = secrets.scan(messy)
     assert out.count() == messy.count() and {"lang", "row", "fp", "spans"} <= set(out.columns)
+
+
+def test_texts_and_runs_of_a_megabyte(spark):
+    import time
+
+    random.seed(8)
+    key = "".join(random.choices(string.ascii_letters + string.digits, k=1_000_000))
+    texts = {
+        0: "aB1_" * 250_000, 1: key, 2: "ab_" * 340_000, 3: "password=" + "a.b-" * 250_000, 4: "AKIA" * 250_000, 5: "0123456789abcdef" * 62_500,
+        6: "token: " * 140_000, 7: "".join(f"token={k:08x} " for k in range(60_000)), 8: "token" + " " * 1_000_000, 9: "é " * 300_000 + key[:40], 10: "aB1" * 340_000,
+    }
+    for k, t in texts.items():
+        began = time.time()
+        r = secrets.scan(spark.createDataFrame([(k, t)], "doc_id long, text string")).select("spans", F.length(secrets.redacted()).alias("n")).first()
+        assert time.time() - began < 10, k
+        got = [(s["start"], s["kind"], s["end"]) for s in r["spans"]]
+        assert [x for x in got if x[1] < 3] == base(t), k
+        end, left = 0, len(t)
+        for a, _, b in got:
+            left += 8 * (a >= end) - max(b - max(a, end), 0)
+            end = max(end, b)
+        assert r["n"] == left, k
+        assert {1: [(0, 3, 10**6)], 9: [(600_000, 3, 600_040)]}.get(k, got) == got, k
+
+
+def test_a_run_that_a_base_span_holds_is_no_span_of_its_own(spark):
+    key = "qZ8vK2mP9xW4tR7yB1nL5cD3fG6hJ0sA"
+    texts = [f"token={key}", f"x-token={key}", f"token: a.{key}.b", f"token: '{key}' {key}", f"AKIA{key.upper()} AKIA{key}", f"token: ab {key}", "0123456789abcdef01234567 " * 2, f"é token={key}.{key[::-1]} é{key}"]
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    run = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+    for k, t in enumerate(texts):
+        held = base(t)
+        want = [(m.start(), m.end()) for m in run.finditer(t) if not any(a <= m.start() and m.end() <= b for a, _, b in held)]
+        got = [(s["start"], s["end"]) for s in spans[k] if s["kind"] == 3]
+        assert set(got) <= set(want) and (got or k not in (1, 3, 5, 7)), t
