@@ -83,11 +83,11 @@ def joined_hot(rows: DataFrame, lookup: DataFrame, key: str, count: str, share:
 
     Keys with over `share` of all rows, fewer than 1 / share whatever the data, are broadcast; the rest is shuffled.
     """
-    total = lookup.agg(F.sum(count)).first()[0] or 0
-    most = max(1000, int(share * total))
+    seen = lookup.agg(F.sum(count).alias("all"), F.max(count).alias("most")).first()
+    most = max(1000, int(share * (seen["all"] or 0)))
+    if (seen["most"] or 0) <= most:
+        return rows.join(lookup.drop(count), key)
     hot, rest = lookup.where(F.col(count) > most).drop(count), lookup.where(F.col(count) <= most).drop(count)
-    if not hot.limit(1).count():
-        return rows.join(rest, key)
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 

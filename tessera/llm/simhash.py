@@ -5,26 +5,22 @@ Fingerprints: A-Z are lower-cased, words are runs of bytes other than ASCII whit
 Defined cases: null and blank texts have fingerprint zero, which links like any other; repeated rows and ties each keep
 their row; a null doc_id keeps its row and takes no part in the choice of component_id; an empty table gives no rows;
 extra columns of the input are not read.
+copies.py builds on these tiles: near copies by similarity.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_hot, pieces, ranges, tidied, tune, utf8
+from .common import joined_hot, tidied, tune
 from .graph import components, roots
 
 SEED = 42
 TILE_LEAST, TILE_MOST = 1 << 14, 1 << 17
 WORDS_AT_ONCE = 1 << 18
-#: Of near_copies(): texts sampled and shingles listed for the order of shingles, on which no result depends; rows of a bucket
-#: all of whose pairs are candidates at once.
-SAMPLE, COMMON, BUCKET = 2_000, 200_000, 16
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -59,6 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
 
 SEGMENTS = 4  # of 16 bits: a tile's key is the population count of each
+BAND = 8  # tiles that one task holds against its own
 
 
 def _counts(fp, n: int = SEGMENTS):
@@ -66,34 +63,121 @@ def _counts(fp, n: int = SEGMENTS):
     return [F.bit_count(F.shiftrightunsigned(fp, bits * k).bitwiseAND((1 << bits) - 1)).cast("int") for k in range(n)]
 
 
-def tiles(distinct: DataFrame, rows: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Tiles of up to about `rows` fingerprints with neighbouring population counts, and each tile's least and greatest.
+def planned(hist: list[tuple[tuple, int]], rows: int) -> tuple[list[tuple[list, int, int]], list, list]:
+    """Which tiles the rows of each key go to, (key, first tile, tiles), and the least and greatest key of each tile.
 
-    Keys are the population counts of four 16-bit segments, in order of their total: at most 17^4 keys whatever the
-    data, so the histogram on the driver is bounded. Consecutive keys share a tile; a key with more rows than a
-    tile's is split by a hash.
+    hist: (key, rows), in the order in which neighbours share a tile of up to about `rows` rows; a key with more is split.
     """
-    keyed = distinct.select("fp", F.array(*_counts(F.col("fp"))).alias("key"))
-    hist = [(tuple(r["key"]), r["n"]) for r in keyed.groupBy("key").agg(F.count("*").alias("n")).collect()]
-    hist.sort(key=lambda x: (sum(x[0]), x[0][0] + x[0][1], x[0][0], x[0][2]))
     plan, low, high, room = [], [], [], 0
     for key, n in hist:
-        counts = [*key, key[0] + key[1], key[2] + key[3], sum(key)]
         parts = -(-n // rows) if n > rows else 1
         if parts > 1 or room < n:
             plan.append((list(key), len(low), parts))
-            low += [counts] * parts
-            high += [counts] * parts
+            low += [list(key)] * parts
+            high += [list(key)] * parts
             room = rows - n if parts == 1 else 0
         else:
             room -= n
             plan.append((list(key), len(low) - 1, 1))
-            low[-1] = [min(x) for x in zip(low[-1], counts, strict=True)]
-            high[-1] = [max(x) for x in zip(high[-1], counts, strict=True)]
-    at = distinct.sparkSession.createDataFrame(plan, "key array<int>, base int, parts int")
-    put = keyed.join(F.broadcast(at), "key").select("fp", (F.col("base") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int").alias("tile"))
+            low[-1] = [min(x) for x in zip(low[-1], key, strict=True)]
+            high[-1] = [max(x) for x in zip(high[-1], key, strict=True)]
+    return plan, low, high
+
+
+def put(keyed: DataFrame, plan: list, by: str) -> DataFrame:
+    """keyed (column key) with tile; rows of a key that has several are dealt by a hash of `by`."""
+    at = keyed.sparkSession.createDataFrame(plan, "key array<int>, base int, parts int")  # bounded by the keys there can be
+    return keyed.join(F.broadcast(at), "key").withColumn("tile", (F.col("base") + F.pmod(F.xxhash64(by), F.col("parts"))).cast("int")).drop("key", "base", "parts")
+
+
+def tiles(distinct: DataFrame, rows: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(fp, tile): tiles of neighbouring population counts, and each tile's least and greatest.
+
+    Keys are the population counts of four 16-bit segments, in order of their total: at most 17^4 keys whatever the
+    data, so the histogram on the driver is bounded.
+    """
+    keyed = distinct.select("fp", F.array(*_counts(F.col("fp"))).alias("key"))
+    hist = [(tuple(r["key"]), r["n"]) for r in keyed.groupBy("key").agg(F.count("*").alias("n")).collect()]
+    hist.sort(key=lambda x: (sum(x[0]), x[0][0] + x[0][1], x[0][0], x[0][2]))
+    plan, low, high = planned([((*key, key[0] + key[1], key[2] + key[3], sum(key)), n) for key, n in hist], rows)
     bounds = [np.array(x, np.int16).reshape(-1, 7) for x in (low, high)]
-    return put.groupBy("tile").agg(F.collect_list("fp").alias("fps")), *bounds
+    return put(keyed, [(key[:4], base, parts) for key, base, parts in plan], "fp"), *bounds
+
+
+def tile_size(rows: int) -> int:
+    """Rows a tile: what its partners are sent grows as rows squared over it, hence larger tiles for more rows."""
+    return min(max(rows // 64, TILE_LEAST), TILE_MOST)
+
+
+def banded(rows: DataFrame, names: list[str], count: int, partners) -> DataFrame:
+    """(band, role, tile, data): what compared() reads, the tiles that each task holds against each other.
+
+    rows: a column tile, from 0 to count - 1, and the long columns `names`. partners: of a tile, a test of all tiles, in
+    order, which it is held against. A band is a tile (role 0) and up to BAND others from it on (role 1), itself among
+    them; a tile's rows are sent once a band, not once a pair.
+    """
+    wide = -(-count // BAND)
+
+    @tidied
+    def deal(batches):
+        for tile, columns in grouped(batches):
+            data = np.stack(columns).tobytes()
+            mine = np.flatnonzero(partners(tile))
+            own = np.unique(mine[mine >= tile] // BAND) + tile * wide
+            other = mine[mine <= tile] * wide + tile // BAND
+            for role, bands in ((0, own), (1, other)):
+                for band in bands.tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([band], pa.int64()), pa.array([role], pa.int32()), pa.array([tile], pa.int32()), pa.array([data], pa.binary())], ["band", "role", "tile", "data"])
+
+    spark = rows.sparkSession
+    parts = min(max(count, int(spark.conf.get("spark.sql.shuffle.partitions"))), 20_000)
+    whole = rows.select("tile", *names).repartition(parts, "tile").sortWithinPartitions("tile")
+    return whole.mapInArrow(deal, "band long, role int, tile int, data binary")
+
+
+def grouped(batches):
+    """(tile, columns) of each run of rows with one tile, the first column."""
+    now, held = None, []
+    for b in batches:
+        columns = [c.to_numpy() for c in b.columns]
+        cuts = np.flatnonzero(np.diff(columns[0])) + 1
+        for part in zip(*(np.split(c, cuts) for c in columns), strict=True):
+            if not len(part[0]):
+                continue
+            if held and part[0][0] != now:
+                yield int(now), [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            now = part[0][0]
+            held.append(part[1:])
+    if held:
+        yield int(now), [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def compared(bands: DataFrame, count: int, compare, schema: str) -> DataFrame:
+    """What compare(band, own columns, other's columns, same) gives of each pair of tiles of each band."""
+    names = [f.name for f in pa_fields(schema)]
+    spark = bands.sparkSession
+    parts = min(max(count * 2, int(spark.conf.get("spark.sql.shuffle.partitions"))), 20_000)
+    tune(spark)
+
+    @tidied
+    def run(batches):
+        mine = None
+        for batch in batches:
+            for band, role, tile, data in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                columns = np.frombuffer(data.as_buffer(), np.int64)
+                if not role:
+                    mine = (tile, columns)
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(band, mine[1], columns, mine[0] == tile)], names)
+
+    return bands.repartition(parts, "band").sortWithinPartitions("band", "role", "tile").mapInArrow(run, schema)
+
+
+def pa_fields(schema: str):
+    from pyspark.sql import types as Ty
+
+    return Ty.StructType.fromDDL(schema).fields
 
 
 def _least(low_a, high_a, low_b, high_b) -> np.ndarray:
@@ -117,7 +201,7 @@ def _blocked(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def close(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int):
-    """Yields (row of a, row of b, distance) arrays of all pairs at up to `radius` bits, rows as _blocked() orders them.
+    """Yields (row of a, row of b) arrays of all pairs at up to `radius` bits, rows as _blocked() orders them.
 
     Two strings differ in at least as many bits as their segments' population counts do, added up: pairs of blocks in
     which even the nearest counts differ beyond the radius are skipped. same: a is b, and a pair comes once.
@@ -129,13 +213,11 @@ def close(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int):
         near_by = near_by[near_by >= i] if same else near_by
         for k in range(0, len(near_by), 4):
             rows = np.concatenate([np.arange(j * block, min((j + 1) * block, len(b))) for j in near_by[k : k + 4].tolist()])
-            distance = np.bitwise_count(x[:, None] ^ b[rows][None])
-            u, v = np.nonzero(distance <= radius)
+            u, v = np.nonzero(np.bitwise_count(x[:, None] ^ b[rows][None]) <= radius)
             if len(u):
-                d = distance[u, v]
                 u, v = u + i * block, rows[v]
                 other = (u < v) if same else np.ones(len(u), bool)
-                yield u[other], v[other], d[other]
+                yield u[other], v[other]
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +227,7 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int = 256
     """
     nodes, shift = (_blocked(a, block)[0], 0) if same else (np.concatenate([_blocked(a, block)[0], _blocked(b, block)[0]]), len(a))
     parent = np.arange(len(nodes))
-    for u, v, _ in close(a, b, radius, same, block):
+    for u, v in close(a, b, radius, same, block):
         v = v + shift
         keep = parent[u] != parent[v]
         if keep.any():
@@ -154,37 +236,22 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int = 256
     return nodes[moved], nodes[parent[moved]]
 
 
-def links(distinct: DataFrame, radius: int, tile_rows: int | None = None, compared=near) -> DataFrame:
+def links(distinct: DataFrame, radius: int, tile_rows: int | None = None) -> DataFrame:
     """(u, v): edges between fingerprints that connect exactly what the links at up to `radius` bits connect.
 
-    distinct: column fp, without repeats; compared: near() or nearest_links(). Every pair of tiles within the radius is compared in full; each comparison
+    distinct: column fp, without repeats. Every pair of tiles within the radius is compared in full; each comparison
     gives a forest, fewer edges than rows, never all pairs of a group.
     """
-    spark = distinct.sparkSession
-    # what the pairs of tiles are sent grows as rows squared over the tile's rows, hence larger tiles for more rows
-    tile_rows = tile_rows or min(max(distinct.count() // 64, TILE_LEAST), TILE_MOST)
-    put, low, high = tiles(distinct, tile_rows)
-    put = put.checkpoint()
+    rows, low, high = tiles(distinct, tile_rows or tile_size(distinct.count()))
 
-    def partners(batches):
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                other = k + np.flatnonzero(_least(low[k : k + 1], high[k : k + 1], low[k:], high[k:])[0] <= radius)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), k, np.int32)), pa.array(other.astype(np.int32))], ["a", "b"])
+    def partners(k):
+        return _least(low[k : k + 1], high[k : k + 1], low, high)[0] <= radius
 
-    @tidied
-    def compare(batches):
-        for batch in batches:
-            for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
-                u, v = compared(np.array(x.values).view(np.uint64), np.array(y.values).view(np.uint64), radius, a.as_py() == b.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+    def compare(band, a, b, same):
+        u, v = near(a.view(np.uint64), b.view(np.uint64), radius, same)
+        return u.view(np.int64), v.view(np.int64)
 
-    pairs = spark.range(len(low)).select(F.col("id").cast("int").alias("a")).mapInArrow(partners, "a int, b int")
-    x, y = put.select(F.col("tile").alias("a"), F.col("fps").alias("x")), put.select(F.col("tile").alias("b"), F.col("fps").alias("y"))
-    many = max(1, len(low) * (len(low) + 1) // 2)
-    both = pairs.repartition(min(many, 20_000)).join(x.hint("shuffle_hash"), "a").join(y.hint("shuffle_hash"), "b").select("a", "b", "x", "y")
-    spread = both.repartition(max(min(many, 20_000), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spread.mapInArrow(compare, "u long, v long")
+    return compared(banded(rows, ["fp"], len(low), partners), len(low), compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows: int | None = None) -> DataFrame:
@@ -203,321 +270,3 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def nearest(nodes: int, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which edges form a minimum spanning forest, by Boruvka's rounds."""
-    comp, taken = np.arange(nodes), np.zeros(len(u), bool)
-    weight = d.astype(np.int64) * (len(u) + 1) + np.arange(len(u))
-    live = np.arange(len(u))
-    while len(live):
-        live = live[comp[u[live]] != comp[v[live]]]
-        best = np.full(nodes, np.iinfo(np.int64).max)
-        np.minimum.at(best, comp[u[live]], weight[live])
-        np.minimum.at(best, comp[v[live]], weight[live])
-        picked = np.unique(best[best < np.iinfo(np.int64).max] % (len(u) + 1))
-        taken[picked] = True
-        comp = roots(nodes, u[picked], v[picked], comp)
-    return np.flatnonzero(taken)
-
-
-def nearest_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links at up to `radius` bits in which closer links come first; see near()."""
-    nodes, shift = (_blocked(a, block)[0], 0) if same else (np.concatenate([_blocked(a, block)[0], _blocked(b, block)[0]]), len(a))
-    fu, fv, fd = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    for u, v, d in close(a, b, radius, same, block):
-        fu, fv, fd = np.concatenate([fu, u]), np.concatenate([fv, v + shift]), np.concatenate([fd, d])
-        if len(fu) > 4 * len(nodes):
-            keep = nearest(len(nodes), fu, fv, fd)
-            fu, fv, fd = fu[keep], fv[keep], fd[keep]
-    keep = nearest(len(nodes), fu, fv, fd)
-    return nodes[fu[keep]], nodes[fv[keep]]
-
-
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text, shingles as in fingerprint()."""
-    import xxhash
-
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    whole, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    width = min(width, len(words))
-    first, last = (ends - sizes)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    digest, grams = xxhash.xxh64_intdigest, np.zeros(0, np.uint64)
-    for at in range(0, len(first), WORDS_AT_ONCE):
-        grams = np.union1d(grams, np.array([digest(whole[a:b], SEED) for a, b in zip(first[at : at + WORDS_AT_ONCE], last[at : at + WORDS_AT_ONCE], strict=True)], np.uint64))
-    return grams
-
-
-def set_key(grams: np.ndarray) -> int:
-    """One signed long for a set of shingles."""
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes(), SEED)).view(np.int64))
-
-
-def _common(docs: DataFrame, width: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of about SAMPLE texts repeats, sorted, and how often it does."""
-
-    @tidied
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t, width) for t in utf8(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["gram"])
-
-    of = max(1, rows // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(of)) == 0).select("text")
-    often = some.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(COMMON).collect()
-    gram, n = np.array([r["gram"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)
-    order = np.argsort(gram)
-    return gram[order], n[order]
-
-
-def _signatures(docs: DataFrame, width: int, similarity: float, common) -> DataFrame:
-    """(doc_id, key, size, prefix): the shingle set's key and size, and its rarest shingles.
-
-    Two sets at the similarity share a shingle of their prefixes, whatever the order of shingles is: were the prefixes
-    disjoint, the rest could not overlap enough.
-    """
-
-    @tidied
-    def run(batches):
-        gram, n = common.value
-        for b in batches:
-            keys, sizes, prefixes = [], [], []
-            for t in utf8(b.column(1)):
-                grams = shingle_set(t, width)
-                keys.append(set_key(grams))
-                sizes.append(len(grams))
-                rank = np.zeros(len(grams), np.int64)
-                if len(gram):
-                    k = np.minimum(np.searchsorted(gram, grams), len(gram) - 1)
-                    rank = np.where(gram[k] == grams, n[k], 0)
-                take = len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1 if len(grams) else 0
-                prefixes.append(grams[np.lexsort((grams, rank))[:take]].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], ["doc_id", "key", "size", "prefix"])
-
-    return docs.mapInArrow(run, "doc_id long, key long, size int, prefix binary")
-
-
-def _listed(batches):
-    """(gram, key, size, place) of each shingle of each prefix."""
-    for b in batches:
-        prefixes = [np.frombuffer(p, np.uint64) for p in b.column(2).to_pylist()]
-        n = np.array([len(p) for p in prefixes], np.int64)
-        key, size = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for at in range(0, len(prefixes), 256):
-            some = slice(at, at + 256)
-            gram = np.concatenate([np.zeros(0, np.uint64), *prefixes[some]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.repeat(key[some], n[some])), pa.array(np.repeat(size[some], n[some])), pa.array(ranges(np.zeros(len(n[some])), n[some]).astype(np.int32))], ["gram", "key", "size", "place"])
-
-
-def _buckets(batches):
-    """Columns of whole buckets, each a shingle's rows, from batches sorted by shingle; a bucket of one row is left out."""
-    held = None
-    for b in batches:
-        part = [c.to_numpy() for c in b.columns]
-        held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
-        last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if last:
-            yield _repeated([c[:last] for c in held])
-            held = [c[last:] for c in held]
-    if held is not None and len(held[0]):
-        yield _repeated(held)
-
-
-def _repeated(c: list[np.ndarray]) -> list[np.ndarray]:
-    fresh = np.append(True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]))  # rows that repeat a doc_id
-    c = [x[fresh] for x in c]
-    same = c[0][1:] == c[0][:-1]
-    many = np.append(same, False) | np.append(False, same)
-    return [x[many] for x in c]
-
-
-def _possible(size_a, place_a, size_b, place_b, similarity: float) -> np.ndarray:
-    """Whether sets can reach the similarity if their first common shingle stands at these places."""
-    both = np.minimum(size_a - place_a, size_b - place_b)
-    return both >= similarity * (size_a.astype(np.int64) + size_b - both) - 1e-9
-
-
-def _first_pairs(similarity: float):
-    """Candidates (u, v) of each bucket; rows with a gram are those of large buckets, with their key as u.
-
-    All pairs of a bucket of up to BUCKET rows are candidates; of a larger one each row with the two whose place is
-    least, which hold the fewest rare shingles of their own, and with its next.
-    """
-
-    @tidied
-    def run(batches):
-        pairs = Pairs()
-        for gram, key, size, place in _buckets(batches):
-            if not len(gram):
-                continue
-            start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-            n = np.diff(np.append(start, len(gram)))
-            wide, base = np.repeat(n > BUCKET, n), np.repeat(start, n)
-            for k in range(1, BUCKET):
-                i = np.flatnonzero(gram[k:] == gram[:-k])
-                if not len(i):
-                    break
-                i = i[~wide[i]] if k > 1 else i
-                i = i[_possible(size[i], place[i], size[i + k], place[i + k], similarity)]
-                pairs.add(key[i], key[i + k])
-            order = np.lexsort((key, place, gram))  # buckets stay where they are
-            i = np.flatnonzero(wide)
-            for k in (0, 1):
-                j = order[base[i] + k]
-                ok = (i != j) & _possible(size[i], place[i], size[j], place[j], similarity)
-                pairs.add(key[i[ok]], key[j[ok]])
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.nulls(len(i), pa.int64()), pa.array(gram[i]), pa.array(size[i]), pa.array(place[i])], BUCKETED)
-            yield from (_paired(*x) for x in pairs.full())
-        yield from (_paired(*x) for x in pairs.full(0))
-
-    return run
-
-
-BUCKETED = ["u", "v", "gram", "size", "place"]
-
-
-def _paired(u: np.ndarray, v: np.ndarray):
-    none = [pa.nulls(len(u), t) for t in (pa.int64(), pa.int32(), pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *none], BUCKETED)
-
-
-def _last_pairs(similarity: float):
-    """(u, v): of each large bucket all pairs of rows that are not of one group yet."""
-
-    @tidied
-    def run(batches):
-        pairs = Pairs()
-        for gram, key, size, place, root in _buckets(batches):
-            start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else []
-            for a, b in zip(start, np.append(start[1:], len(gram)), strict=True):
-                groups, n = np.unique(root[a:b], return_counts=True)
-                most = groups[n.argmax()]
-                for i in (a + np.flatnonzero(root[a:b] != most)).tolist():
-                    low, high = a + np.searchsorted(size[a:b], [size[i] * similarity - 1e-6, size[i] / similarity + 1e-6])  # in order of size
-                    j = np.arange(low, high)
-                    j = j[((root[j] == most) | (j > i)) & (root[j] != root[i])]
-                    j = j[_possible(size[i], place[i], size[j], place[j], similarity)]
-                    pairs.add(np.full(len(j), key[i]), key[j])
-                    yield from (pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["u", "v"]) for pair in pairs.full())
-        yield from (pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["u", "v"]) for pair in pairs.full(0))
-
-    return run
-
-
-class Pairs:
-    """Pairs (u, v), u < v, given on in bounded parts without what a part repeats."""
-
-    def __init__(self):
-        self.us, self.vs, self.rows = [], [], 0
-
-    def add(self, u: np.ndarray, v: np.ndarray) -> None:
-        self.us.append(np.minimum(u, v))
-        self.vs.append(np.maximum(u, v))
-        self.rows += len(u)
-
-    def full(self, most: int = 1 << 18):
-        if self.rows > most:
-            pair = np.unique(np.column_stack([np.concatenate(self.us), np.concatenate(self.vs)]), axis=0)
-            self.__init__()
-            yield pair[:, 0].copy(), pair[:, 1].copy()
-
-
-def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(key, grams, a, b): the shingle set of each text (doc_id, key, text, a, b) that has the key."""
-
-    @tidied
-    def run(batches):
-        for b in batches:
-            keys, sets, rows = [], [], []
-            for row, (key, text) in enumerate(zip(b.column(1).to_pylist(), utf8(b.column(2)), strict=True)):
-                grams = shingle_set(text, width)
-                if set_key(grams) == key:  # or another text under the same doc_id
-                    keys.append(key)
-                    sets.append(grams.tobytes())
-                    rows.append(row)
-            rows = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary()), b.column(3).take(rows), b.column(4).take(rows)], ["key", "grams", "a", "b"])
-
-    return docs.select("doc_id", "key", "text", "a", "b").mapInArrow(run, "key long, grams binary, a long, b long")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The rows of pairs (u, v) whose sets reach the similarity."""
-    ends = pairs.select(F.col("u").alias("key"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(pairs.select("v", F.lit(0), F.lit(1)))
-    wanted = ends.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).join(first.select("key", "least"), "key")
-    tune(pairs.sparkSession)
-    found = texts.join(wanted.select(F.col("least").alias("doc_id"), "key", "a", "b"), "doc_id").dropDuplicates(["doc_id", "key", "text"])
-    sets = _shingle_sets(found, width).checkpoint()
-
-    @tidied
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if both >= similarity * (len(a) + len(b) - both):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), batch.column(1).take(pa.array(keep, pa.int32()))], ["u", "v"])
-
-    with_u = joined_hot(pairs, sets.where("a > 0").select(F.col("key").alias("u"), F.col("grams").alias("x"), "a"), "u", "a")
-    both = joined_hot(with_u, sets.where("b > 0").select(F.col("key").alias("v"), F.col("grams").alias("y"), "b"), "v", "b")
-    return both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long").checkpoint()
-
-
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, key, component_id) of every row of docs: the groups that all pairs at the similarity form, exactly.
-
-    The similarity is Jaccard's, of the sets of shingles; key stands for a set, and equal sets are one. Candidates are
-    the pairs of sets that share a shingle of their prefixes and whose sizes and places allow the similarity; each is
-    verified by the two sets. Large buckets give few pairs a row first, and then all pairs that these have not put into
-    one group, so a dense group never gives all its pairs. Rows with a null doc_id stand for themselves.
-    """
-    spark = docs.sparkSession
-    tune(spark)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    common = spark.sparkContext.broadcast(_common(given, width, given.count()))
-    signed = _signatures(given, width, similarity, common).checkpoint()
-    known = signed.where("doc_id IS NOT NULL")
-    first = known.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).checkpoint()
-    once = known.join(first.select(F.col("least").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
-    tune(spark, rows=1 << 16)
-    listed = once.select("key", "size", "prefix").mapInArrow(tidied(_listed), "gram long, key long, size int, place int")
-    parts = pieces(spark, first.count() * 100, 1 << 21)
-    buckets = listed.repartition(parts, "gram").sortWithinPartitions("gram", "size", "key")
-    found = buckets.mapInArrow(_first_pairs(similarity), "u long, v long, gram long, size int, place int").checkpoint()
-    pairs = found.where("v IS NOT NULL").select("u", "v").distinct().checkpoint()
-    links = _verified(pairs, given, first, width, similarity)
-    comp = components(links)
-    tune(spark, rows=1 << 16)
-    wide = found.where("v IS NULL").select("gram", F.col("u").alias("key"), "size", "place")
-    rooted = wide.join(comp.withColumnRenamed("node", "key"), "key", "left").select("gram", "key", "size", "place", F.coalesce("root", "key").alias("root"))
-    rest = rooted.repartition(parts, "gram").sortWithinPartitions("gram", "size", "key")
-    more = rest.mapInArrow(_last_pairs(similarity), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti").checkpoint()
-    tune(spark)
-    if more.limit(1).count():
-        comp = components(links.union(_verified(more, given, first, width, similarity)))
-    byroot = first.join(comp, first.key == comp.node).groupBy("root").agg(F.min("least").alias("of_root"))
-    named = comp.join(byroot, "root").select(F.col("node").alias("key"), "of_root")
-    named = first.join(named, "key", "left").select("key", F.coalesce("of_root", "least").alias("component_id"), "n").checkpoint()
-    alone = signed.where("doc_id IS NULL").select("doc_id", "key", F.lit(None).cast("long").alias("component_id"))
-    return joined_hot(known.select("doc_id", "key"), named, "key", "n").select("doc_id", "key", "component_id").unionByName(alone)
-
-
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that near_copies() keeps: of each group the smallest doc_id, and all rows with a null one.
-
-    Rows that repeat a doc_id are one document; one of them stays.
-    """
-    groups = near_copies(docs, **how)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["kept"], "left_semi")
-    repeats = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    kept = kept.dropDuplicates(["doc_id"]) if repeats else kept
-    return kept.unionByName(docs.where("doc_id IS NULL"))

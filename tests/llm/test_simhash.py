@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import graph, simhash
@@ -52,12 +53,12 @@ def test_small_tiles_find_the_same_components(spark, sf):
 
 def test_empty_table(none):
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.one_of_each(none).count() == 0
 
 
-def test_a_long_chain_is_one_component(spark):
+@pytest.mark.parametrize("local", [0, graph.LOCAL])
+def test_a_long_chain_is_one_component(spark, local):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(500, 501), (501, 500), (7, 7), (None, 3)], "u long, v long")
-    got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
+    got = {r["node"]: r["root"] for r in graph.components(edges, local=local).collect()}
     assert all(got[k] == 0 for k in range(301)) and got[500] == got[501] == 500 and len(got) == 303
 
 
@@ -65,75 +66,13 @@ def test_a_dense_group_gives_a_forest():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, dtype=np.uint64)
     x = np.unique(np.array([base ^ np.uint64(1 << int(k)) for k in rng.integers(0, 60, 400)], np.uint64))
-    for f in (simhash.near, simhash.nearest_links):
-        u, v = f(x, x, 4, True, block=16)
-        assert len(u) == len(x) - 1
-        at = {int(z): k for k, z in enumerate(x)}
-        assert len(set(graph.roots(len(x), np.array([at[int(z)] for z in u]), np.array([at[int(z)] for z in v])))) == 1
-
-
-def test_near_copies_are_verified(spark):
-    words = [f"w{k}" for k in range(400)]
-    near, far = list(words), list(words)
-    near[200] = "changed"
-    for k in range(0, 400, 20):
-        far[k] = f"other{k}"
-    other = [f"z{k}" for k in range(400)]
-    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([words, near, far, other, words])] + [(None, "x"), (None, "x"), (3, " ".join(other))], "doc_id long, text string")
-    kept = sorted(str(r["doc_id"]) for r in simhash.one_of_each(docs).collect())
-    assert kept == ["0", "2", "3", "None", "None"]
-
-
-def test_clashing_columns_survive(messy):
-    kept = simhash.one_of_each(messy)
-    assert kept.columns == messy.columns and kept.where("doc_id = 0").count() == 1 and kept.where("doc_id = 1").count() == 0
-
-
-def jaccard_groups(texts, width=5, similarity=0.8):
-    """The smallest number each text reaches over all pairs at the similarity."""
-    split = [t.split() for t in texts]
-    sets = [{tuple(w[k : k + width]) for k in range(max(len(w) - width + 1, 1))} for w in split]
-    least = list(range(len(sets)))
-    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
-    for _ in sets:
-        for i, j in links:
-            least[i] = least[j] = min(least[i], least[j])
-    return least
-
-
-def component_ids(spark, texts):
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
-    return [got[k] for k in range(len(texts))]
-
-
-def test_every_pair_at_the_similarity_is_found(spark):
-    """Families of copies at about the similarity, in which a link that fails often lies between two that hold."""
-    rng, texts = np.random.default_rng(5), []
-    for family in range(12):
-        words = [f"f{family}w{k}" for k in range(120)]
-        for _ in range(8):
-            own = list(words)
-            for k in rng.choice(120, rng.integers(1, 5), replace=False):
-                own[k] = f"own{rng.integers(1 << 40)}"
-            texts.append(" ".join(own))
-    want = jaccard_groups(texts)
-    assert 12 < len(set(want)) < len(texts) and component_ids(spark, texts) == want
-
-
-def test_a_large_bucket_links_what_its_first_pairs_leave(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BUCKET", 2)
-    rng, words = np.random.default_rng(7), [f"w{k}" for k in range(100)]
-    texts = [" ".join(words)]
-    for n in range(40):
-        own = list(words)
-        for k in rng.choice(100, rng.integers(1, 4), replace=False):
-            own[k] = f"own{n}x{k}"
-        texts.append(" ".join(own))
-    assert component_ids(spark, texts) == jaccard_groups(texts)
-
-
-def test_equal_fingerprints_are_no_evidence(spark):
-    line = " ".join(f"line{k}" for k in range(11))
-    texts = [" ".join([*[line] * 30, *(f"own{n}x{k}" for k in range(100))]) for n in range(2)]
-    assert len({simhash.fingerprint(t.encode(), 5) for t in texts}) == 1 and component_ids(spark, texts) == [0, 1]
+    u, v = simhash.near(x, x, 4, True, block=16)
+    assert len(u) == len(x) - 1
+    at = {int(z): k for k, z in enumerate(x)}
+    assert len(set(graph.roots(len(x), np.array([at[int(z)] for z in u]), np.array([at[int(z)] for z in v])))) == 1
+
+
+def test_a_hub_and_no_edges(spark):
+    hub = spark.range(1, 3000).selectExpr("id + 10 AS u", "5L AS v")
+    assert {r["root"] for r in graph.components(hub, local=0).collect()} == {5}
+    assert graph.components(hub.limit(0)).count() == 0
