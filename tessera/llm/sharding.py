@@ -1,9 +1,8 @@
 """Contiguous shards of balanced bytes, cut from global prefix sums.
 
 Rows are ordered by a hash of their text and then doc_id, so equal texts are neighbours. Each partition's totals give
-every partition its global offset; a row's shard is the number of cuts at or before its first byte. Cuts are the equal
-targets; a cut inside a group of equal texts of at most `group_share` of a shard moves to the nearer end of that group,
-larger groups are cut where the target falls.
+every partition its global offset; a row's shard is the number of equal targets at or before its first byte, whatever text
+it holds: a group of equal texts is cut where a target falls into it.
 Defined cases: a null text has no bytes (checksum 0) and groups with empty texts; rows with a null doc_id come first
 within their group; repeated rows are kept, each with its own slot; an empty table gives no rows; fewer rows than
 shards leave shards empty; extra columns are not read.
@@ -28,7 +27,7 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), (F.length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("grp"))
 
 
-def shard_by_bytes(rows: DataFrame, shards: int, group_share: float = 0.05) -> DataFrame:
+def shard_by_bytes(rows: DataFrame, shards: int) -> DataFrame:
     """rows (doc_id, size, text_crc32, grp) with shard and slot."""
     spark = rows.sparkSession
     n = rows.count()
@@ -60,17 +59,8 @@ def shard_by_bytes(rows: DataFrame, shards: int, group_share: float = 0.05) -> D
     whole = ordered.repartition(len(totals), "part").sortWithinPartitions("part", "grp", "doc_id", "size", "text_crc32")
     spots = written(whole.mapInArrow(placed, "doc_id long, size long, text_crc32 long, grp long, begin long, index long"), "op2")
     dropped(ordered)
-    targets = [at * k // shards for k in range(1, shards)]
-    cuts = list(targets)
-    if targets:
-        inside = F.exists(F.array(*[F.lit(t).cast("long") for t in targets]), lambda t: (F.col("begin") <= t) & (t < F.col("begin") + F.col("size")))
-        hit = [r["grp"] for r in spots.where(inside).select("grp").distinct().collect()]  # at most shards - 1
-        spans = [(r["a"], r["b"]) for r in spots.where(F.col("grp").isin(hit)).groupBy("grp").agg(F.min("begin").alias("a"), F.max(F.col("begin") + F.col("size")).alias("b")).collect()]
-        for k, t in enumerate(targets):
-            for a, b in spans:
-                if a <= t < b and b - a <= group_share * at / shards:
-                    cuts[k] = a if t - a <= b - t else b
-    shard = F.aggregate(F.array(*[F.lit(c).cast("long") for c in cuts]), F.lit(0), lambda acc, c: acc + F.when(c <= F.col("begin"), 1).otherwise(0)) if cuts else F.lit(0)
+    targets = F.array(*[F.lit(at * k // shards).cast("long") for k in range(1, shards)]).cast("array<long>")
+    shard = F.size(F.filter(targets, lambda t: t <= F.col("begin")))
     numbered = spots.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), "index")
     starts = {r["shard"]: r["least"] for r in numbered.groupBy("shard").agg(F.min("index").alias("least")).collect()}
     least = F.create_map(*[x for k, v in starts.items() for x in (F.lit(k), F.lit(v).cast("long"))])
