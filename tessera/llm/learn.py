@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows that a model is fitted on at most; the rows with the smallest hash of their doc_id.
-SAMPLE = 20_000
+#: Labelled rows that a model is fitted on at most, and bytes of their texts; the rows with the smallest hashes of doc_id.
+SAMPLE, SAMPLE_BYTES = 20_000, 64_000_000
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, keep_fold: bool, limit: int = SAMPLE) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, keep_fold: bool, limit: int = SAMPLE, most: int = SAMPLE_BYTES) -> DataFrame:
     """(text, y, part) of a bounded sample of labelled documents outside the held-out fold; part is 0 to 99 by hash.
 
     The fold is crc32 of doc_id as text, modulo `folds`; keep_fold says whether `fold` itself is the held-out one (True)
-    or not. Rows with a null doc_id or label are left out; of repeated labels the largest counts.
+    or not. Rows with a null doc_id or label are left out; of repeated labels the largest counts. The sample has up to
+    `limit` doc_ids and ends before the texts exceed `most` bytes, so a model's memory is bounded whatever texts are like.
     """
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where((remainder != fold) if keep_fold else (remainder == fold))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     known = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(limit)
-    few = F.broadcast(known.select("doc_id", "y", F.pmod("h", F.lit(100)).cast("int").alias("part")))  # at most `limit` rows
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(few, "doc_id").select("text", "y", "part")
+    few = F.broadcast(known.select("doc_id", "y", "h"))  # at most `limit` rows
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).join(few, "doc_id")
+    sizes = rows.groupBy("h").agg(F.sum(F.octet_length("text")).alias("n"))
+    within = F.sum("n").over(Window.orderBy("h"))  # at most `limit` rows
+    sizes = F.broadcast(sizes.withColumn("n", within).where(F.col("n") <= most).select("h"))
+    return rows.join(sizes, "h").select("text", "y", F.pmod("h", F.lit(100)).cast("int").alias("part"))
 
 
 class Trees:

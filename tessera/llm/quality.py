@@ -2,7 +2,7 @@
 
 The n-grams are runs of one to three word shapes: a word's letter case, digits, and marks as they stand, with repeats of
 the word before it marked; they are hashed to a fixed number of features. The model is fitted by dual coordinate descent
-on a bounded labelled sample; a logistic curve, fitted on a fifth of that sample that the model has not seen, turns its
+on a labelled sample with a bound on its rows and on its bytes; a logistic curve, fitted on a fifth of that sample that the model has not seen, turns its
 margin into a score. Only the text is an input of a score.
 Defined cases: null and empty texts have the bias feature alone and get its score; rows with a null doc_id are scored and
 not held out; repeated rows are scored each; without labels of both classes the score is the share of label 1 (0.5 with
@@ -26,6 +26,7 @@ from .learn import SAMPLE, dual_descent, labelled, platt
 FOLDS, HELD = 3, 1
 BITS = 18
 BIAS = 1 << BITS
+LONG = 64  # characters
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d+")
@@ -41,12 +42,12 @@ def _case(run: re.Match) -> str:
 
 
 def shape(word: str) -> str:
-    """Letter runs as their case, digit runs as 9, marks as they stand; long words by their first 40 characters."""
-    return DIGITS.sub("9", LETTERS.sub(_case, word[:40]))
+    """Letter runs as their case, digit runs as 9, marks as they stand."""
+    return DIGITS.sub("9", LETTERS.sub(_case, word))
 
 
 class Grams:
-    """Sorted feature numbers of texts; words' shapes are kept in a bounded cache."""
+    """Sorted feature numbers of texts; the shapes of words that are not long are kept in a bounded cache."""
 
     def __init__(self, entries: int = 400_000):
         self.entries, self.cache = entries, {}
@@ -58,9 +59,12 @@ class Grams:
         cache = self.cache
         if len(cache) > self.entries:
             cache.clear()
-        for w in {w for w in words if w not in cache}:
-            cache[w] = zlib.crc32(shape(w).encode("utf-8", "surrogatepass"))
+        new = {w: zlib.crc32(shape(w).encode("utf-8", "surrogatepass")) for w in set(words) if w not in cache}
+        cache.update(new)
         s = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        for w in new:
+            if len(w) > LONG:
+                del cache[w]
         s[1:] += np.fromiter(map(eq, words, words[1:]), np.uint64, len(words) - 1) << np.uint64(33)
         s = (s + np.uint64(1)) * PRIME
         two = (s[:-1] ^ (s[:-1] >> np.uint64(29))) * PRIME + s[1:]

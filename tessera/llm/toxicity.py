@@ -9,6 +9,7 @@ at all); an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -26,17 +27,22 @@ WORD = re.compile(r"\w+")
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen deiner ihr euch euer ti tú usted ustedes vosotros tuyo contigo".split())
 HIDDEN = re.compile(r"[^\W\d_][*@$#!0-9|+]+[^\W\d_]")
 NEAR = 8  # words
-ENTRIES = 4096
+LONG = 64  # letters: a longer word is a term by its hash
+SURE = 2.3  # standard deviations
 FEATURES = 18
 
 
 def terms(word: str) -> list[str]:
-    """A word and its beginnings of four to six letters, which are marked."""
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)]
+    """A word, whole, and its beginnings of four to six letters, which are marked."""
+    whole = word if len(word) <= LONG else "#" + hashlib.sha1(word.encode("utf-8", "surrogatepass")).hexdigest()
+    return [whole, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)]
 
 
 def lexicon(rows: DataFrame) -> dict[str, float]:
-    """Weight of each term that toxic texts hold far more often: at most ENTRIES terms, by log odds of documents."""
+    """Weight of each term that toxic texts hold far more often, by log odds of documents.
+
+    A term counts if three toxic texts hold it and its log odds lie SURE standard deviations over the classes' own.
+    """
 
     @tidied
     def count(batches):
@@ -44,7 +50,7 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n[y] += 1
-                (toxic if y else clean).update({t for w in set(WORD.findall(text.lower())) if len(w) < 40 for t in terms(w)})
+                (toxic if y else clean).update({t for w in set(WORD.findall(text.lower())) for t in terms(w)})
         for some in ([*toxic] + [t for t in clean if t not in toxic],):
             yield pa.RecordBatch.from_arrays([pa.array(["", *some], pa.string()), pa.array([n[1], *(toxic[t] for t in some)], pa.int64()), pa.array([n[0], *(clean[t] for t in some)], pa.int64())], ["term", "t", "c"])
 
@@ -54,18 +60,18 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
     if not total or not total["t"] or not total["c"]:
         return {}
     prior = float(np.log((total["t"] + 1) / (total["c"] + 1)))
-    best = counts.where("term <> '' AND t >= 3").withColumn("w", odds(0.5, 0.5) - prior).where("w >= 1.5").orderBy(F.desc(F.col("w") * F.log1p("t")), "term").limit(ENTRIES)
+    best = counts.where("term <> '' AND t >= 3").withColumn("w", odds(0.5, 0.5) - prior).where(f"w >= 1.5 AND w >= {SURE} * sqrt(1 / (t + 0.5) + 1 / (c + 0.5))")
     return {r["term"]: r["w"] for r in best.collect()}
 
 
 class Features:
-    """Dense features of texts, given a lexicon; words' weights are kept in a bounded cache."""
+    """Dense features of texts, given a lexicon; the weights of words that are not long are kept in a bounded cache."""
 
     def __init__(self, lex: dict[str, float], entries: int = 400_000):
         self.lex, self.entries, self.cache = lex, entries, {}
 
     def _weight(self, word: str) -> float:
-        found = max((self.lex.get(t, 0.0) for t in terms(word[:40])), default=0.0)
+        found = max((self.lex.get(t, 0.0) for t in terms(word)), default=0.0)
         return found + (100.0 if word in SECOND_PERSON else 0.0)
 
     def of(self, text: str | None) -> list[float]:
@@ -75,10 +81,13 @@ class Features:
         cache = self.cache
         if len(cache) > self.entries:
             cache.clear()
-        for w in {w for w in words if w not in cache}:
-            cache[w] = self._weight(w)
+        new = {w: self._weight(w) for w in set(words) if w not in cache}
+        long = [w for w in new if len(w) > LONG]
+        cache.update(new)
         n = len(words)
         value = np.fromiter(map(cache.__getitem__, words), np.float64, n)
+        for w in long:
+            del cache[w]
         second = value >= 100
         value = np.where(second, value - 100, value)
         strong, medium = np.flatnonzero(value >= 3), int((value > 0).sum())

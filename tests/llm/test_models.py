@@ -21,7 +21,7 @@ def test_held_out_accuracy(spark, op, column, held):
     y = {r["doc_id"]: r[column] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     out = [(got[d]["score"], v, got[d]["predicted"]) for d, v in y.items() if d in got and held(d)]
     s, v, p = (np.array(x) for x in zip(*out, strict=True))
-    assert (p == v).mean() >= max(v.mean(), 1 - v.mean()) and auc(s, v) > 0.9
+    assert (p == v).mean() >= (0.985 if column == "toxic" else 0.99) and auc(s, v) > (0.96 if column == "toxic" else 0.995)
 
 
 @pytest.mark.parametrize("module", [toxicity, quality])
@@ -44,6 +44,23 @@ def test_the_sample_is_bounded_and_leaves_the_fold_out(spark, sf):
     assert whole == sum(zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0 for r in labels.collect())
 
 
+def test_long_words_are_read_to_their_end():
+    """What tells lies beyond any prefix of a word."""
+    grams, stem = quality.Grams(), "a" * 5000
+    assert list(grams.of(stem + "-B9")) != list(grams.of(stem)) and not any(len(w) > quality.LONG for w in grams.cache)
+    end = "".join(f"{k}x" for k in range(500))
+    lex = {toxicity.terms("w" + end)[0]: 5.0}
+    features = toxicity.Features(lex)
+    assert features.of("w" + end)[0] == 1.0 and features.of("w" + end + "y")[0] == 0.0 and not features.cache.keys() & {"w" + end}
+
+
+def test_the_sample_ends_before_its_bytes_do(spark):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
+    whole = learn.labelled(docs, labels, "toxic", 5, 0, True).count()
+    assert 30 < whole < 50 and learn.labelled(docs, labels, "toxic", 5, 0, True, most=1000).count() == 10
+
+
 def test_isotonic_and_platt():
     x = np.arange(200.0)
     y = (x + np.random.default_rng(1).normal(0, 20, 200) > 100).astype(float)
