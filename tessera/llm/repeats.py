@@ -5,13 +5,14 @@ packed arrays:
 1. Parse. In each batch of documents a rolling hash of 32 bytes makes triggers: the smallest hash among those that fit
    in a window of `length` bytes, so equal windows have equal triggers at equal places. A trigger that occurs once in
    the corpus has no repeated window; buckets by hash find those that occur more often.
-2. Segments. The windows of repeated triggers go to the trigger's bucket. Windows that a batch repeats within itself are
-   settled there and only their first copy is sent: a bucket gets at most one copy of a string from a batch, however
-   many copies there are.
-3. Order. In a bucket, prefix-free parsing: a second rolling hash cuts the segments into phrases; the suffixes of the
-   distinct phrases and the suffixes of the parse are each sorted, and the pair of ranks puts all windows into the
-   order of the corpus' suffix array. Neighbours that agree on `length` bytes are one string; all but its first are
-   repeats.
+2. Segments. The windows of repeated triggers go to the trigger's bucket. Those that a batch repeats within itself are
+   settled there by step 3, and only their first copy is sent: a bucket gets at most one copy of a string from a batch,
+   however many copies there are.
+3. Order. Prefix-free parsing of segments: a second rolling hash cuts them into phrases; the suffixes of the distinct
+   phrases and the suffixes of the parse are each sorted, and the pair of ranks puts all windows into the order of the
+   corpus' suffix array. Neighbours that agree on `length` bytes are one string; all but its first are repeats. Buckets
+   are settled in levels, of `fan_in` batches, of `fan_in` such groups and so on, each sending one copy on, so that no
+   task meets a copy from every batch of the corpus.
 4. Cut. Each batch joins the starts of its repeats into runs and hashes what is left of each document.
 Defined cases: a null text is empty; a null doc_id comes before all others; rows that repeat a doc_id are ordered by the
 place they are read in; texts shorter than `length` keep all bytes; an empty table gives no rows; extra columns are not
@@ -58,7 +59,7 @@ def rolled(raw: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
 def triggers(raw: np.ndarray, ends: np.ndarray, length: int, wanted=None):
     """Yields, by chunks, the windows' starts that lie within a document, each one's trigger place and trigger hash.
 
-    wanted: a test of trigger hashes; then only starts that pass it, and with them the hash of the whole window.
+    wanted: a test of trigger hashes; then only starts that pass it.
     """
     span = length - GRAM + 1
     begins = np.concatenate([[0], ends[:-1]])
@@ -69,8 +70,7 @@ def triggers(raw: np.ndarray, ends: np.ndarray, length: int, wanted=None):
         starts = valid[np.searchsorted(valid, at) : np.searchsorted(valid, at + CHUNK)]
         if not len(starts):
             continue
-        h = rolled(raw[at : at + CHUNK + length - 1], (4, GRAM, 64) if wanted is not None else (GRAM,))
-        gram = h[GRAM]
+        gram = rolled(raw[at : at + CHUNK + length - 1], (GRAM,))[GRAM]
         key = gram ^ (gram >> np.uint64(32))
         key *= STEP
         key = (key & ~low) | np.arange(len(key), dtype=np.uint64)
@@ -82,22 +82,11 @@ def triggers(raw: np.ndarray, ends: np.ndarray, length: int, wanted=None):
             key = np.minimum(key[: n - span], key[span - n :])
         place = (key[starts - at] & low).astype(np.int64)
         got = gram[place]
-        if wanted is None:
-            yield starts, place + at, got
-            continue
-        head = np.concatenate([[True], place[1:] != place[:-1]])  # neighbours share their trigger: it is tested once
-        keep = wanted(got[head])[np.cumsum(head) - 1]
-        starts, place, got = starts[keep], place[keep], got[keep]
-        local, tail = starts - at, length - 64
-        whole = h[64][local]
-        done = 64
-        for size in (GRAM, 4):
-            while tail >= size:
-                whole = whole * _power(size) + h[size][local + done]
-                done, tail = done + size, tail - size
-        if tail:  # the last bytes again, as an overlapping piece
-            whole = whole * _power(4) + h[4][local + length - 4]
-        yield starts, place + at, got, whole
+        if wanted is not None:
+            head = np.concatenate([[True], place[1:] != place[:-1]])  # neighbours share their trigger: it is tested once
+            keep = wanted(got[head])[np.cumsum(head) - 1]
+            starts, place, got = starts[keep], place[keep], got[keep]
+        yield starts, place + at, got
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -290,19 +279,18 @@ def _segments(length: int, buckets: int):
             got = list(triggers(raw, ends, length, wanted))
             if not got:
                 continue
-            starts, place, gram, whole = (np.concatenate(x) for x in zip(*got, strict=True))
+            starts, place, gram = (np.concatenate(x) for x in zip(*got, strict=True))
             if not len(starts):
                 continue
-            order = np.argsort(whole)
-            head = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
-            first = np.minimum.reduceat(starts[order], np.flatnonzero(head))[np.cumsum(head) - 1]
-            copy = starts[order] != first
-            later = order[copy]
-            later = later[_same(raw, starts[order][copy], first[copy], length)] if len(later) else later
+            a, b = _runs(starts)
+            sizes = b - a + length - 1
+            at = np.cumsum(sizes) - sizes
+            later = repeated(raw[ranges(a, sizes)], at, sizes, ranges(at, b - a), length)
+            segment = np.searchsorted(at, later, "right") - 1
+            later = later - at[segment] + a[segment]
             settled = np.zeros(len(starts), bool)
-            settled[later] = True
-            a, b = _runs(starts[settled])
-            out = [(batch, -1, None, _packed(np.stack([a, b]))[0])] if len(a) else []
+            settled[np.searchsorted(starts, later)] = True
+            out = [(batch, -1, None, _packed(np.stack(_runs(later)))[0])] if len(later) else []
             starts, place, gram = starts[~settled], place[~settled], gram[~settled]
             if len(starts):
                 cut = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(place) != 0)]))
@@ -320,26 +308,46 @@ def _segments(length: int, buckets: int):
     return run
 
 
-def _settled(length: int):
+def _settled(length: int, last: bool):
+    """Of the segments of each part of a bucket: rows with bucket -1, the repeats of each batch, and unless this is the
+    last level rows with what is left of the segments."""
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+    def by_batch(of):
+        return np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
+
     def run(batches):
-        for _, rows in _grouped(batches, 1):
-            places = [_unpacked(r[2], np.int64).reshape(3, -1) for r in rows]
-            batch = np.concatenate([np.full(p.shape[1], r[0], np.int64) for p, r in zip(places, rows, strict=True)])
+        for _, rows in _grouped(batches, 0):
+            places = [_unpacked(r[3], np.int64).reshape(3, -1) for r in rows]
+            batch = np.concatenate([np.full(p.shape[1], r[1], np.int64) for p, r in zip(places, rows, strict=True)])
             key, begin, count = np.concatenate(places, axis=1)
-            raw = np.concatenate([_unpacked(r[3], np.uint8) for r in rows])
+            raw = np.concatenate([_unpacked(r[4], np.uint8) for r in rows])
             order = np.lexsort((begin, batch, key))
             sizes = count + length - 1
             raw = raw[ranges((np.cumsum(sizes) - sizes)[order], sizes[order])]
-            batch, begin, count, sizes = batch[order], begin[order], count[order], sizes[order]
+            key, batch, begin, count, sizes = key[order], batch[order], begin[order], count[order], sizes[order]
             at = np.cumsum(sizes) - sizes
-            found = repeated(raw, at, sizes, ranges(at, count), length)
+            starts = ranges(at, count)
+            found = repeated(raw, at, sizes, starts, length)
             segment = np.searchsorted(at, found, "right") - 1
             place, of = found - at[segment] + begin[segment], batch[segment]
             order = np.lexsort((place, of))
             place, of = place[order], of[order]
-            edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
-            out = [(int(of[x]), _packed(np.stack(_runs(place[x:y])))[0]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["batch", "payload"])
+            edges = by_batch(of)
+            out = [(int(of[x]), -1, None, _packed(np.stack(_runs(place[x:y])))[0]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+            if not last:
+                left = np.ones(len(starts), bool)
+                left[np.searchsorted(starts, found)] = False
+                a, b = _runs(starts[left])  # segments lie length - 1 bytes apart at least
+                segment = np.searchsorted(at, a, "right") - 1
+                order = np.argsort(batch[segment], kind="stable")
+                a, b, segment = a[order], b[order], segment[order]
+                edges = by_batch(batch[segment])
+                for x, y in zip(edges[:-1], edges[1:], strict=True):
+                    p, n, own = a[x:y], b[x:y] - a[x:y], segment[x:y]
+                    out.append((int(batch[own[0]]), rows[0][2], *_packed(np.stack([key[own], p - at[own] + begin[own], n]), raw[ranges(p, n + length - 1)])))
+            for k in range(0, len(out), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 512], strict=True), kinds, strict=True)], ["batch", "bucket", "places", "payload"])
 
     return run
 
@@ -372,15 +380,16 @@ def _cut(length: int, texts: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, mb: int = 3, fan_in: int = 256) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept holds the remaining bytes, or null unless asked for.
 
-    length: at least 64 and of the form that leaves a window of triggers, 64 to 256.
+    length: at least 64 and of the form that leaves a window of triggers, 64 to 256. mb: of texts in a batch; fan_in:
+    batches that meet in one level.
     """
     if not 64 <= length <= 256:
         raise ValueError("length must be from 64 to 256")
     spark = docs.sparkSession
-    tune(spark, rows=20_000, mb=3)
+    tune(spark, rows=20_000, mb=mb)
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = pieces(spark, size, 4e6)
     tasks = pieces(spark, size, 24e6)
@@ -388,12 +397,24 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -
     dealt = lambda df, n, *by: df.repartition(n, by[0]).sortWithinPartitions(*by)
     hashes = parsed.where("hashes IS NOT NULL").select("batch", "bucket", "hashes")
     often = dealt(hashes, tasks, "bucket").mapInArrow(_often, "batch long, bucket int, hashes binary")
-    held = parsed.where("text IS NOT NULL").select("batch", "bucket", "ids", "ends", "text")
+    held = parsed.where("bucket = -1").select("batch", "bucket", "ids", "ends", "text")
     blank = lambda **kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
     both = held.select("*", *blank(hashes="binary")).unionByName(often.select("batch", "bucket", *blank(ids="array<long>", ends="binary", text="binary"), "hashes"))
     segments = written(dealt(both, tasks, "batch", "bucket").mapInArrow(_segments(length, buckets), "batch long, bucket int, places binary, payload binary"), "repeats", "uncompressed")
-    late = dealt(segments.where("bucket >= 0"), tasks, "bucket").mapInArrow(_settled(length), "batch long, payload binary")
-    found = segments.where("bucket < 0").select("batch", "payload").unionByName(late)
+    found, level, fan = segments.where("bucket < 0").select("batch", "payload"), segments.where("bucket >= 0"), [held.count()]
+    while fan[-1] > 1:  # groups of batches, groups of these groups and so on: a task meets fan_in copies of a string at most
+        fan.append(-(-fan[-1] // fan_in))
+    group = F.col("batch")
+    for k, parts in enumerate(fan[1:]):
+        last = k == len(fan) - 2
+        group = F.pmod(F.xxhash64("batch") if not k else group, F.lit(parts))
+        part = (F.col("bucket").cast("long") * parts + group).alias("part")
+        some = level.select(part, "batch", "bucket", "places", "payload")
+        settled = dealt(some, tasks, "part").mapInArrow(_settled(length, last), "batch long, bucket int, places binary, payload binary")
+        if not last:
+            settled = written(settled, "repeats", "uncompressed")
+            level = settled.where("bucket >= 0")
+        found = found.unionByName(settled.where("bucket < 0").select("batch", "payload"))
     whole = held.select("*", *blank(payload="binary")).unionByName(found.select("batch", *blank(bucket="int", ids="array<long>", ends="binary", text="binary"), "payload"))
     return dealt(whole, tasks, "batch").mapInArrow(_cut(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

@@ -47,6 +47,21 @@ def test_random_copies(spark, length):
     assert fast(df, length) == slow(docs, length)
 
 
+def test_levels_of_batches_give_the_same(spark):
+    random.seed(3)
+    parts = ["".join(random.choices("abc ", k=random.randint(90, 260))) for _ in range(8)] + ["a" * 300]
+    docs = [(k, "".join(random.choices(parts, k=random.randint(1, 4)))) for k in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    for fan_in in (2, 3, 256):
+        got = repeats.without_repeats(df, fan_in=fan_in).collect()
+        assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == slow(docs)
+
+
+def test_a_whole_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert fast(docs) == slow([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 def test_the_kept_bytes_are_returned(spark):
     line = "".join(chr(97 + k % 26) for k in range(150))
     df = spark.createDataFrame([(1, line + "!"), (2, "x" + line)], "doc_id long, text string")
