@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, schema_with, table, tidied, tune
+from .common import KEPT, ranges, schema_with, table, tidied, tune, written
 
 WORD = re.compile(r"\w+")
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
 BLOCKS = 8  # of 8 bits each
 ITEMS_AT_ONCE = 20_000
+ROW = "__row_of_decontam"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LEAK = pa.struct([("item_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("hamming", pa.int32()), ("similarity", pa.float64())])
 LEAK_SQL = "array<struct<item_id:bigint,start_word:bigint,end_word:bigint,hamming:int,similarity:double>>"
@@ -211,37 +213,75 @@ def frequencies(items: DataFrame, width: int) -> tuple[int, dict[int, int]]:
     return total, {c % 2**64: n for c, n in df.items()}
 
 
+#: The benchmark a worker holds, for the next task of the same block: key and Benchmark.
+HELD: dict[str, Benchmark] = {}
+KEPT["decontam"] = HELD.clear
+
+
+def _block(items: list[tuple[int, str | None]], spark, width: int, similarity: float, radius: int, over):
+    """A function of (texts) that gives the leaks of each, as dictionaries; workers build the benchmark once."""
+    key, given = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
+
+    def leaks(texts: list[str | None]) -> list[list[dict]]:
+        from tessera.llm import decontam
+
+        held = decontam.HELD.get(key)
+        if held is None:
+            decontam.HELD.clear()
+            held = decontam.HELD[key] = Benchmark(given.value, width, similarity, radius, over and over.value)
+        words = [words_of(t) for t in texts]
+        out = [[] for _ in words]
+        for k in np.flatnonzero(held.suspects(words)).tolist():
+            out[k] = [dict(zip(("item_id", "start_word", "end_word", "hamming", "similarity"), x, strict=True)) for x in held.leaks(words[k])]
+        return out
+
+    return leaks
+
+
 def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """docs with leaks: an array of (item_id, start_word, end_word, hamming, similarity). No row moves.
+    """docs with leaks: an array of (item_id, start_word, end_word, hamming, similarity).
 
-    items (item_id, text) are read in blocks of ITEMS_AT_ONCE, so what is broadcast has a bound whatever their number,
-    but for the df of the shingles that several items share.
+    items (item_id, text) are read in blocks of ITEMS_AT_ONCE, a job each, so what is broadcast has a bound whatever their
+    number, but for the df of the shingles that several items share. With one block no row moves; with more the documents
+    are stored once with a number, and what the blocks find is joined to them.
     """
     spark = docs.sparkSession
     tune(spark, rows=2048)
     names = [c for c in docs.columns if c != "leaks"]
     out, at = docs.select(*names), names.index("text")
-    kinds = schema_with(out, ("leaks", LEAK_SQL))
     listed = items.where(F.col("item_id").isNotNull()).groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
     blocks = max(1, -(-listed.count() // ITEMS_AT_ONCE))
     over = spark.sparkContext.broadcast(frequencies(listed, width)) if blocks > 1 else None  # one block counts its own
-    for block in range(blocks):
+
+    def items_of(block):
         some = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()
-        given = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some])
+        return _block([(r["item_id"], r["text"]) for r in some], spark, width, similarity, radius, over)
+
+    if blocks == 1:
+        leaks = items_of(0)
+
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaks(b.column(at).to_pylist()), pa.list_(LEAK))], [*names, "leaks"])
+
+        return out.mapInArrow(tidied(run, "decontam"), schema_with(out, ("leaks", LEAK_SQL)))
+    stored = written(out.withColumn(ROW, F.monotonically_increasing_id()), "decontam")
+    found = None
+    for block in range(blocks):
+        leaks = items_of(block)
 
-        def run(batches, given=given, old=block > 0):
-            held = Benchmark(given.value, width, similarity, radius, over and over.value)
+        def run(batches, leaks=leaks):
             for b in batches:
-                texts = [words_of(t) for t in b.column(at).to_pylist()]
-                leaks = [[] for _ in texts]
-                for k in np.flatnonzero(held.suspects(texts)).tolist():
-                    leaks[k] = [dict(zip(("item_id", "start_word", "end_word", "hamming", "similarity"), x, strict=True)) for x in held.leaks(texts[k])]
-                if old:
-                    leaks = [sorted(x + y, key=lambda leak: leak["item_id"]) for x, y in zip(b.column(len(names)).to_pylist(), leaks, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(leaks, pa.list_(LEAK))], [*names, "leaks"])
-
-        out = out.mapInArrow(tidied(run), kinds)
-    return out
+                numbers, got = b.column(0).to_pylist(), leaks(b.column(1).to_pylist())
+                rows = [(n, leak) for n, some in zip(numbers, got, strict=True) for leak in some]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], LEAK)], [ROW, "leak"])
+
+        some = written(stored.select(ROW, F.col("text").cast("string")).mapInArrow(tidied(run, "decontam"), f"{ROW} long, leak {LEAK_SQL[6:-1]}"), "decontam")
+        found = some if found is None else found.unionByName(some)
+    # a document's leaks are bounded by its own words
+    found = found.groupBy(ROW).agg(F.array_sort(F.collect_list("leak")).alias("leaks"))
+    none = F.array().cast(LEAK_SQL)
+    return stored.join(found, ROW, "left").select(*[f"`{c}`" for c in names], F.coalesce("leaks", none).alias("leaks"))
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -93,3 +93,22 @@ def test_leaks_do_not_depend_on_the_blocks(spark, monkeypatch):
     whole = sorted(map(str, decontam.scan(d, i, similarity=0.6).collect()))
     monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 7)
     assert sorted(map(str, decontam.scan(d, i, similarity=0.6).collect())) == whole and sum(s.count("item_id=") for s in whole) > 20
+
+
+def test_recall_at_the_radius_that_is_shipped():
+    """Windows edited down to the similarity: all that reach it must be found by the index of RADIUS bits."""
+    rng, reached, found_ = random.Random(9), 0, 0
+    items = [(k, " ".join(f"v{rng.randrange(3000)}" for _ in range(rng.randint(12, 90)))) for k in range(200)]
+    held = decontam.Benchmark(items)
+    bags = dict(items)
+    for k, text in items:
+        for _ in range(6):
+            words = text.split()
+            for at in rng.sample(range(len(words)), max(1, len(words) // 45)):
+                words[at] = "changed"
+            n = min(5, len(words))
+            a, b = (decontam.Counter(decontam.shingles(decontam.hashed(x.split()), n).tolist()) for x in (" ".join(words), bags[k]))
+            if held.weighted(a, b) >= decontam.SIMILARITY:
+                reached += 1
+                found_ += k in {x[0] for x in held.leaks(["pad", *words, "pad"])}
+    assert reached > 300 and found_ == reached
