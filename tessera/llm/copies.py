@@ -9,7 +9,8 @@ The radius follows from the similarity: bits of two sets at it differ with a pro
 the radius lies 3.4 standard deviations beyond (four for sets of under 16 shingles, whose bits are coarser). README.md
 has the recall that was measured.
 Groups of many near copies do not give all their pairs: a pair of tiles with more candidates than rows gives a forest of
-its closest pairs, and is compared again for the pairs that verified links have not put into one group.
+its closest pairs. What such forests span is compared again, by fingerprints and sets in one task: pairs that links have
+not put into one group yet are verified there, and only links leave.
 Defined cases: null and blank texts have the empty set, all empty sets are equal; rows with a null doc_id stand for
 themselves and are kept; equal sets are one, however many rows have them; rows that share a doc_id and not a set are
 different documents, those that share both are one, of which the least text stays; a very long text is one set, sent
@@ -25,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_hot, pieces, schema_with, tidied, tune, utf8
+from .common import joined_hot, pieces, ranges, schema_with, tidied, tune, utf8
 from .graph import components, roots
 from .simhash import SEED, WORDS_AT_ONCE, banded, compared, planned, put, tile_size
 
 WORDS = 4  # of 64 bits: a fingerprint
 MIXES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 SMALL = 16  # shingles
-#: Shingles of the sets that meet in one cell of the verification, about: a component with more is dealt over several.
-CELL = 1 << 20
+#: Shingles of the sets and sets that a part of a component has, about: a larger one is dealt to several, a cell holds two.
+CELL, CELL_ROWS = 1 << 20, 1 << 14
 #: Rows up to which the ids to drop, or the words of a filter, are broadcast: 16 MB.
 FEW = 1 << 20
 
@@ -100,10 +101,10 @@ def radii(similarity: float, bits: int) -> tuple[int, int]:
 
 
 class Close:
-    """Compares two tiles: columns key, size, the fingerprint and, if rooted, the group a key is in."""
+    """Compares two tiles: columns key, size and the fingerprint."""
 
-    def __init__(self, similarity: float, block: int = 256, rooted: bool = False):
-        self.similarity, self.block, self.rooted = similarity, block, rooted
+    def __init__(self, similarity: float, block: int = 256):
+        self.similarity, self.block = similarity, block
         self.whole, self.first = radii(similarity, 64 * WORDS), radii(similarity, 64)
 
     def sizes(self, low_a, high_a, low_b, high_b) -> np.ndarray:
@@ -114,13 +115,12 @@ class Close:
         return fits & (np.maximum(low_a[1] - high_b[:, 1], low_b[:, 1] - high_a[1]) <= self.whole[1])
 
     def blocked(self, data: np.ndarray):
-        x = data.reshape(-1, len(data) // (2 + WORDS + self.rooted)) if len(data) else data.reshape(2 + WORDS + self.rooted, 0)
-        bits = x[2 : 2 + WORDS].view(np.uint64)
-        count = np.bitwise_count(bits).sum(axis=0, dtype=np.int64)
+        x = data.reshape(2 + WORDS, -1)
+        count = np.bitwise_count(x[2:].view(np.uint64)).sum(axis=0, dtype=np.int64)
         order = np.lexsort((count, x[1]))
         x, keyed = x[:, order], np.column_stack([x[1], count])[order]
         starts = np.arange(0, len(keyed), self.block)
-        return x, np.ascontiguousarray(x[2 : 2 + WORDS].T).view(np.uint64), np.minimum.reduceat(keyed, starts), np.maximum.reduceat(keyed, starts)
+        return x, np.ascontiguousarray(x[2:].T).view(np.uint64), np.minimum.reduceat(keyed, starts), np.maximum.reduceat(keyed, starts)
 
     def pairs(self, a, b, same: bool):
         """Yields (row of a, row of b, distance) of the candidates."""
@@ -143,32 +143,64 @@ class Close:
                 ok = (d <= np.where(np.minimum(m, n) < SMALL, self.whole[1], self.whole[0])) & (np.minimum(m, n) >= self.similarity * np.maximum(m, n) - 1e-9)
                 if same:
                     ok &= u < v
-                if self.rooted:
-                    ok &= xa[-1, u] != xb[-1, v]
                 if ok.any():
                     yield u[ok], v[ok], d[ok]
 
     def __call__(self, band: int, a: np.ndarray, b: np.ndarray, same: bool):
-        """(u, v, band): keys of candidates, u < v, with a null band; if they are a forest only, the band with null keys."""
+        """(u, v, dense): keys of candidates, u < v; dense if they are the forest of more candidates."""
         a, b = self.blocked(a), self.blocked(b)
         shift, nodes = (0, len(a[1])) if same else (len(a[1]), len(a[1]) + len(b[1]))
         us, vs, ds, dense = [], [], [], False
         for u, v, d in self.pairs(a, b, same):
             us, vs, ds = [*us, u], [*vs, v + shift], [*ds, d]
-            if not self.rooted and sum(map(len, us)) > 2 * nodes + 1000:
+            if sum(map(len, us)) > 2 * nodes + 1000:
                 u, v, d = np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
                 keep, dense = nearest(nodes, u, v, d), True
                 us, vs, ds = [u[keep]], [v[keep]], [d[keep]]
         if not us:
-            return [pa.nulls(0, pa.int64())] * 3
+            return [pa.nulls(0, pa.int64()), pa.nulls(0, pa.int64()), pa.nulls(0, pa.bool_())]
         u, v, d = np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
         if dense:
             keep = nearest(nodes, u, v, d)
             u, v = u[keep], v[keep]
         keys = a[0][0] if same else np.concatenate([a[0][0], b[0][0]])
-        u, v = np.minimum(keys[u], keys[v]), np.maximum(keys[u], keys[v])
-        mark = [None] * dense
-        return [pa.array([*u.tolist(), *mark], pa.int64()), pa.array([*v.tolist(), *mark], pa.int64()), pa.array([None] * len(u) + [band] * dense, pa.int64())]
+        return [pa.array(np.minimum(keys[u], keys[v])), pa.array(np.maximum(keys[u], keys[v])), pa.array(np.full(len(u), dense))]
+
+
+class Cell:
+    """Sets that meet in one task, and the links among those that no link has put into one group."""
+
+    def __init__(self, keys, parts, roots_, sizes, bits, sets, similarity: float):
+        self.keys, self.parts, self.root, self.sizes, self.bits, self.similarity = keys, parts, roots_.copy(), sizes, bits, similarity
+        n = np.array([len(s) for s in sets], np.int64)
+        grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.owner, self.sets = grams[order], owner[order], sets
+
+    def links(self, two: bool):
+        """Yields (row, rows it links to). two: only sets of different parts are held against each other."""
+        whole = radii(self.similarity, 64 * WORDS)
+        for k in range(len(self.keys) - 1):
+            rest = slice(k + 1, None)
+            open_ = self.root[rest] != self.root[k]
+            if two:
+                open_ &= self.parts[rest] != self.parts[k]
+            small, large = np.minimum(self.sizes[rest], self.sizes[k]), np.maximum(self.sizes[rest], self.sizes[k])
+            open_ &= small >= self.similarity * large - 1e-9
+            at = np.flatnonzero(open_) + k + 1
+            d = np.bitwise_count(self.bits[at] ^ self.bits[k]).sum(axis=1, dtype=np.int64)
+            at = at[d <= np.where(np.minimum(self.sizes[at], self.sizes[k]) < SMALL, whole[1], whole[0])]
+            if not len(at):
+                continue
+            own = self.sets[k]
+            lo, hi = np.searchsorted(self.grams, own, "left"), np.searchsorted(self.grams, own, "right")
+            both = np.bincount(self.owner[ranges(lo, hi - lo)], minlength=len(self.keys))[at]
+            at = at[both >= self.similarity * (self.sizes[at] + self.sizes[k] - both) - 1e-9]
+            _, one = np.unique(self.root[at], return_index=True)
+            for j in at[one].tolist():
+                self.root[self.root == self.root[j]] = self.root[k]
+            if len(one):
+                yield k, at[one]
 
 
 def nearest(nodes: int, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -240,28 +272,38 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, grams binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, width: int, similarity: float) -> DataFrame:
+def _celled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows (u, ...) with root, the component of u, and k, the parts that its sets are dealt to.
+
+    comp: (node, root, size) of candidates.
+    """
+    k = F.greatest(F.ceil(F.sum("size") / CELL), F.ceil(F.count("*") / CELL_ROWS)).cast("int")
+    whole = comp.groupBy("root").agg(k.alias("k"), F.count("*").alias("n"))
+    named = joined_hot(comp.select("node", "root"), whole, "root", "n").select(F.col("node").alias("u"), "root", "k")
+    degree = rows.groupBy("u").agg(F.count("*").alias("n"))
+    return joined_hot(rows, named.join(degree, "u"), "u", "n")
+
+
+def _part(column: str):
+    return F.pmod(F.xxhash64(column), F.col("k")).cast("int")
+
+
+CELLED = ["root", "i", "j"]
+
+
+def _verified(pairs: DataFrame, comp: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The rows of pairs (u, v) whose sets reach the similarity.
 
     Pairs of one component of candidates meet in one cell, to which each of its sets is sent once; the keys of a large
     component are dealt to k parts, and a cell holds two of them.
     """
     spark = pairs.sparkSession
-    comp = components(pairs).join(first.select(F.col("key").alias("node"), "size", "least"), "node").checkpoint()
-    whole = comp.groupBy("root").agg(F.ceil(F.sum("size") / CELL).cast("int").alias("k"), F.count("*").alias("n"))
-    degree = pairs.groupBy("u").agg(F.count("*").alias("n"))
-    named = joined_hot(comp.select("node", "root"), whole, "root", "n").select(F.col("node").alias("u"), "root", "k").join(degree, "u")
-    dealt = joined_hot(pairs, named, "u", "n")
-    part = lambda c: F.pmod(F.xxhash64(c), F.greatest("k", F.lit(1))).cast("int")
-    cells = dealt.select("u", "v", "root", F.least(part("u"), part("v")).alias("i"), F.greatest(part("u"), part("v")).alias("j")).checkpoint()
-    cell = ["root", "i", "j"]
-    needs = cells.select(*cell, F.explode(F.array("u", "v")).alias("key")).distinct()
-    tune(spark)
-    sets = _sets(_filtered(texts, comp.select(F.col("least").alias("doc_id")), comp.count()), width)
-    sent = needs.join(sets, "key").select(*cell, F.lit(0).alias("role"), F.col("key").alias("u"), F.lit(None).cast("long").alias("v"), "grams")
-    asked = cells.select(*cell, F.lit(1).alias("role"), "u", "v", F.lit(None).cast("binary").alias("grams"))
+    cells = _celled(pairs, comp).select("u", "v", "root", F.least(_part("u"), _part("v")).alias("i"), F.greatest(_part("u"), _part("v")).alias("j")).checkpoint()
+    needs = cells.select(*CELLED, F.explode(F.array("u", "v")).alias("key")).distinct()
+    sent = needs.join(sets, "key").select(*CELLED, F.lit(0).alias("role"), F.col("key").alias("u"), F.lit(None).cast("long").alias("v"), "grams")
+    asked = cells.select(*CELLED, F.lit(1).alias("role"), "u", "v", F.lit(None).cast("binary").alias("grams"))
     parts = pieces(spark, comp.agg(F.sum("size")).first()[0] or 0, CELL)
-    together = sent.unionByName(asked).repartition(parts, *cell).sortWithinPartitions(*cell, "role", "u")
+    together = sent.unionByName(asked).repartition(parts, *CELLED).sortWithinPartitions(*CELLED, "role", "u")
 
     @tidied
     def verify(batches):
@@ -284,6 +326,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, width: int,
     return together.mapInArrow(verify, "u long, v long").checkpoint()
 
 
+def _rest(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links among nodes (u, root of the candidates, k, own root over links, size, fingerprint) of one component.
+
+    Each set is sent to the k cells of its part; a cell gives fewer links than it has sets.
+    """
+    spark = nodes.sparkSession
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("t")
+    dealt = nodes.select("*", _part("u").alias("part"), other)
+    dealt = dealt.select("root", F.least("part", "t").alias("i"), F.greatest("part", "t").alias("j"), "part", F.col("u").alias("key"), "own", "size", *BITS)
+    total = nodes.agg(F.sum(F.col("size") * F.col("k"))).first()[0] or 0
+    names = [*CELLED, "part", "key", "own", "size", *BITS]
+    together = dealt.join(sets.groupBy("key").agg(F.first("grams").alias("grams")), "key").select(*names, "grams")
+    together = together.repartition(pieces(spark, total, CELL), *CELLED).sortWithinPartitions(*CELLED, "key")
+
+    def found(cell, rows):
+        x = np.array([r[3:11] for r in rows], np.int64).reshape(-1, 4 + WORDS)
+        held = Cell(x[:, 1], x[:, 0], x[:, 2], x[:, 3], np.ascontiguousarray(x[:, 4:]).view(np.uint64), [np.frombuffer(r[-1], np.uint64) for r in rows], similarity)
+        pairs = [(k, j) for k, at in held.links(cell[1] != cell[2]) for j in at.tolist()]
+        u, v = (held.keys[np.array([p[side] for p in pairs], np.int64)] for side in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    @tidied
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:3] != now:
+                    if held:
+                        yield found(now, held)
+                    now, held = row[:3], []
+                held.append(row)
+        if held:
+            yield found(now, held)
+
+    return together.mapInArrow(run, "u long, v long").checkpoint()
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile_rows: int | None = None) -> DataFrame:
     """(doc_id, key, kept_id, kept_key) of every row of docs: its set, and the document that stays of its group.
 
@@ -303,18 +382,20 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile_r
     def partners(k):
         return test.sizes(low[k], high[k], low, high)
 
-    schema = "u long, v long, band long"
-    found = compared(banded(rows, names, len(low), partners), len(low), test, schema).checkpoint()
-    pairs = found.where("u IS NOT NULL").select("u", "v").distinct().checkpoint()
-    links = _verified(pairs, given, first, width, similarity)
-    comp = components(links)
-    dense = found.where("band IS NOT NULL").select("band").distinct()
+    found = compared(banded(rows, names, len(low), partners), len(low), test, "u long, v long, dense boolean").checkpoint()
+    pairs = found.groupBy("u", "v").agg(F.max("dense").alias("dense")).checkpoint()
+    comp = components(pairs).join(first.select(F.col("key").alias("node"), "size", "least", *BITS), "node").checkpoint()
+    tune(spark)
+    sets = _sets(_filtered(given, comp.select(F.col("least").alias("doc_id")), comp.count()), width)
+    links = _verified(pairs.select("u", "v"), comp, sets, similarity)
+    groups = components(links)
+    dense = pairs.where("dense").join(comp.select(F.col("node").alias("u"), "root"), "u").select("root").distinct()
     if dense.limit(1).count():
-        rooted = rows.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-        again = banded(rooted, [*names, "root"], len(low), partners).join(F.broadcast(dense), "band", "left_semi")  # bands, fewer than pairs of tiles
-        more = compared(again, len(low), Close(similarity, rooted=True), schema).select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti").checkpoint()
-        if more.limit(1).count():
-            comp = components(links.union(_verified(more, given, first, width, similarity)))
+        some = joined_hot(comp, dense.withColumn("n", F.lit(1)), "root", "n")
+        nodes = _celled(some.select(F.col("node").alias("u"), "size", *BITS), some.select("node", "root", "size"))
+        nodes = nodes.join(groups.select(F.col("node").alias("u"), F.col("root").alias("own")), "u", "left").withColumn("own", F.coalesce("own", "u"))
+        groups = components(links.union(_rest(nodes.checkpoint(), sets, similarity)))
+    comp = groups
     kept = F.min(F.struct(F.col("least").alias("kept_id"), F.col("key").alias("kept_key"))).alias("kept")
     byroot = first.join(comp, first.key == comp.node).groupBy("root").agg(kept, F.count("*").alias("m"))
     named = joined_hot(comp, byroot, "root", "m").select(F.col("node").alias("key"), "kept")

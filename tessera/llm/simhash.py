@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
 
 SEGMENTS = 4  # of 16 bits: a tile's key is the population count of each
-BAND = 8  # tiles that one task holds against its own
+BAND = 2  # tiles that one task holds against its own
 
 
 def _counts(fp, n: int = SEGMENTS):
@@ -157,7 +157,7 @@ def compared(bands: DataFrame, count: int, compare, schema: str) -> DataFrame:
     """What compare(band, own columns, other's columns, same) gives of each pair of tiles of each band."""
     names = [f.name for f in pa_fields(schema)]
     spark = bands.sparkSession
-    parts = min(max(count * 2, int(spark.conf.get("spark.sql.shuffle.partitions"))), 20_000)
+    parts = min(max(count * 8, int(spark.conf.get("spark.sql.shuffle.partitions"))), 20_000)
     tune(spark)
 
     @tidied
@@ -259,8 +259,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, tile_rows:
     fps = fingerprints(docs, width).checkpoint()
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).checkpoint()
     comp = components(links(first.select("fp"), radius, tile_rows))
-    byroot = first.join(comp, first.fp == comp.node, "inner").groupBy("root").agg(F.min("least").alias("of_root"))
-    named = comp.join(byroot, "root").select(F.col("node").alias("fp"), "of_root")
+    byroot = first.join(comp, first.fp == comp.node, "inner").groupBy("root").agg(F.min("least").alias("of_root"), F.count("*").alias("n"))
+    named = joined_hot(comp, byroot, "root", "n").select(F.col("node").alias("fp"), "of_root")
     named = first.join(named, "fp", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"), "n").checkpoint()
     return joined_hot(fps, named, "fp", "n").select("doc_id", "fp", "component_id")
 
