@@ -137,13 +137,13 @@ def _same(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndar
     return out
 
 
-def string_ranks(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The ranks of strings raw[at : at + size] in lexicographic order; equal strings have equal ranks."""
+def string_ranks(raw: np.ndarray, at: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
+    """The ranks of strings raw[at : at + size] in lexicographic order of their first `limit` bytes at least; equals tie."""
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
     masks = np.array([((1 << 64) - 1) ^ ((1 << (64 - 8 * k)) - 1) for k in range(9)], np.uint64)
     rank, live, depth = np.zeros(len(at), np.int64), np.arange(len(at)), 0
-    while len(live):
+    while len(live) and depth < limit:
         left = np.clip(size[live] - depth, 0, 8)
         word = np.ascontiguousarray(words[np.minimum(at[live] + depth, len(raw))]).view(">u8")[:, 0].astype(np.uint64) & masks[left]
         order = np.lexsort((left, word, rank[live]))
@@ -200,7 +200,7 @@ def corpus_order(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, starts:
     mine = np.searchsorted(first, starts, "right") - 1
     pair, inverse = np.unique(parse[mine] << 32 | (starts - first[mine]), return_inverse=True)
     which, inside = pair >> 32, pair & 0xFFFFFFFF
-    own = string_ranks(dictionary, offsets[which] + inside, lengths[which] - inside)[inverse]
+    own = string_ranks(dictionary, offsets[which] + inside, lengths[which] - inside, length)[inverse]
     return np.lexsort((suffix[place[mine] + 1], own))
 
 
@@ -282,12 +282,15 @@ def _segments(length: int, buckets: int):
             starts, place, gram = (np.concatenate(x) for x in zip(*got, strict=True))
             if not len(starts):
                 continue
-            a, b = _runs(starts)
+            head = np.concatenate([[True], place[1:] != place[:-1]])
+            h, own, n = np.unique(gram[head], return_inverse=True, return_counts=True)
+            twice = starts[(n[own] > 1)[np.cumsum(head) - 1]]  # only these can repeat within the batch
+            a, b = _runs(twice)
             sizes = b - a + length - 1
             at = np.cumsum(sizes) - sizes
-            later = repeated(raw[ranges(a, sizes)], at, sizes, ranges(at, b - a), length)
+            later = repeated(raw[ranges(a, sizes)], at, sizes, ranges(at, b - a), length) if len(a) else twice
             segment = np.searchsorted(at, later, "right") - 1
-            later = later - at[segment] + a[segment]
+            later = later - at[segment] + a[segment] if len(later) else later
             settled = np.zeros(len(starts), bool)
             settled[np.searchsorted(starts, later)] = True
             out = [(batch, -1, None, _packed(np.stack(_runs(later)))[0])] if len(later) else []
@@ -380,7 +383,7 @@ def _cut(length: int, texts: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, mb: int = 3, fan_in: int = 256) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, mb: int = 3, fan_in: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept holds the remaining bytes, or null unless asked for.
 
     length: at least 64 and of the form that leaves a window of triggers, 64 to 256. mb: of texts in a batch; fan_in:

@@ -52,7 +52,7 @@ def test_levels_of_batches_give_the_same(spark):
     parts = ["".join(random.choices("abc ", k=random.randint(90, 260))) for _ in range(8)] + ["a" * 300]
     docs = [(k, "".join(random.choices(parts, k=random.randint(1, 4)))) for k in range(80)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
-    for fan_in in (2, 3, 256):
+    for fan_in in (2, 3, 4096):
         got = repeats.without_repeats(df, fan_in=fan_in).collect()
         assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == slow(docs)
 
