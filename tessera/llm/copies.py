@@ -382,7 +382,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile_r
     def partners(k):
         return test.sizes(low[k], high[k], low, high)
 
-    found = compared(banded(rows, names, len(low), partners), len(low), test, "u long, v long, dense boolean").checkpoint()
+    found = compared(banded(rows, names, len(low), partners, band=8), len(low), test, "u long, v long, dense boolean").checkpoint()
     pairs = found.groupBy("u", "v").agg(F.max("dense").alias("dense")).checkpoint()
     comp = components(pairs).join(first.select(F.col("key").alias("node"), "size", "least", *BITS), "node").checkpoint()
     tune(spark)

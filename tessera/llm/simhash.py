@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
 
 SEGMENTS = 4  # of 16 bits: a tile's key is the population count of each
-BAND = 2  # tiles that one task holds against its own
+BAND = 2  # tiles that one task holds against its own, by default
 
 
 def _counts(fp, n: int = SEGMENTS):
@@ -109,25 +109,25 @@ def tile_size(rows: int) -> int:
     return min(max(rows // 64, TILE_LEAST), TILE_MOST)
 
 
-def banded(rows: DataFrame, names: list[str], count: int, partners) -> DataFrame:
+def banded(rows: DataFrame, names: list[str], count: int, partners, band: int = BAND) -> DataFrame:
     """(band, role, tile, data): what compared() reads, the tiles that each task holds against each other.
 
     rows: a column tile, from 0 to count - 1, and the long columns `names`. partners: of a tile, a test of all tiles, in
-    order, which it is held against. A band is a tile (role 0) and up to BAND others from it on (role 1), itself among
+    order, which it is held against. A band is a tile (role 0) and up to `band` others from it on (role 1), itself among
     them; a tile's rows are sent once a band, not once a pair.
     """
-    wide = -(-count // BAND)
+    wide = -(-count // band)
 
     @tidied
     def deal(batches):
         for tile, columns in grouped(batches):
             data = np.stack(columns).tobytes()
             mine = np.flatnonzero(partners(tile))
-            own = np.unique(mine[mine >= tile] // BAND) + tile * wide
-            other = mine[mine <= tile] * wide + tile // BAND
+            own = np.unique(mine[mine >= tile] // band) + tile * wide
+            other = mine[mine <= tile] * wide + tile // band
             for role, bands in ((0, own), (1, other)):
-                for band in bands.tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array([band], pa.int64()), pa.array([role], pa.int32()), pa.array([tile], pa.int32()), pa.array([data], pa.binary())], ["band", "role", "tile", "data"])
+                for number in bands.tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([role], pa.int32()), pa.array([tile], pa.int32()), pa.array([data], pa.binary())], ["band", "role", "tile", "data"])
 
     spark = rows.sparkSession
     parts = min(max(count, int(spark.conf.get("spark.sql.shuffle.partitions"))), 20_000)
