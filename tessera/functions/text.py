@@ -131,11 +131,8 @@ def verbatim(t: Column) -> Column:
     return squeeze(rejoined(plain(F.coalesce(t, F.lit("")))))
 
 
-def span_cleaned(t: Column, rounds: int = 4) -> Column:
-    """A quoted span without citation marks, edge ellipses and enclosing quotes; each round takes one layer off.
-
-    The quotes around a span are rarely nested more than twice; spans are left as they are after `rounds` layers.
-    """
+def span_cleaned(t: Column) -> Column:
+    """A quoted span without citation marks, edge ellipses and enclosing quotes, layer by layer until nothing changes."""
     let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  one evaluation, however often f uses it
 
     def edges(t: Column) -> Column:
@@ -147,11 +144,17 @@ def span_cleaned(t: Column, rounds: int = 4) -> Column:
             layer = layer.when((F.length(t) >= 2) & F.startswith(t, F.lit(a)) & F.endswith(t, F.lit(b)), F.trim(t.substr(F.lit(2), F.length(t) - 2)))
         return layer.otherwise(t)
 
-    def once(t: Column, _: Column) -> Column:
+    def once(t: Column) -> Column:
         t = F.when(t.rlike(r"\[\d+\]"), squeeze(F.regexp_replace(t, r"\[\d+\]", ""))).otherwise(t)
         return let(edges(t), unquoted)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.trim(F.coalesce(t, F.lit(""))), once)
+    def step(a: Column, _: Column) -> Column:
+        left = let(once(a["t"]), lambda t: F.struct(t.alias("t"), (t == a["t"]).alias("done")))
+        return F.when(a["done"], a).otherwise(left)
+
+    first = F.trim(F.coalesce(t, F.lit("")))
+    rounds = F.sequence(F.lit(1), F.length(first) + 1)  # a layer is a character at least
+    return F.aggregate(rounds, F.struct(first.alias("t"), F.lit(False).alias("done")), step, lambda a: a["t"])
 
 
 def at_sentence_bounds(span: Column, text: Column) -> Column:
@@ -186,7 +189,7 @@ def answer_print(question: Column, answer: Column) -> Column:
 
 def salvaged(raw: Column) -> Column:
     """The answer field of cut-off JSON, its escapes decoded; the raw text if there is no such field."""
-    piece = F.regexp_extract(raw, r'(?s)"answer"\s*:\s*"((?:[^"\\]|\\.)*)', 1)
+    piece = F.regexp_extract(raw, r'(?s)"answer"\s*:\s*"((?:[^"\\]++|\\.)*+)', 1)
     whole = F.from_json(F.concat(F.lit('{"a":"'), F.regexp_replace(piece, "\n", r"\\n"), F.lit('"}')), "a string")["a"]
     return F.when(raw.rlike(r'(?s)"answer"\s*:\s*"'), F.trim(F.coalesce(whole, piece))).otherwise(F.trim(raw))
 

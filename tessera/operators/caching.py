@@ -24,7 +24,7 @@ def card_hash(text: Column) -> Column:
 
 
 def semantic_lookup(queries: DataFrame, entries: DataFrame, version: str, threshold: float = 0.92) -> DataFrame:
-    """(query_id, id, similarity): the nearest entry of the corpus version, if it is near enough."""
+    """(query_id, id, similarity): the nearest entry (id long, vector, corpus_version) of the version, if it is near enough."""
     own = entries.where(F.col("corpus_version") == version).select("id", "vector")
     return vector_topk(queries, own, 1, "cosine", threshold).select("query_id", "id", F.col("score").alias("similarity"))
 
@@ -37,6 +37,22 @@ def semantic_store(entries: DataFrame, new: DataFrame) -> DataFrame:
     return entries.join(new.select("id"), "id", "left_anti").unionByName(new.select(*entries.columns))
 
 
+META = "key string, query string, model string, corpus_version string, card_hash string, answer string, claims string, cited_passages string, cited string, raw string"
+
+
+def meta_lookup(questions: DataFrame, entries: DataFrame, version: str, card: str, model: str) -> DataFrame:
+    """questions (query_id, text) that an entry of this corpus, card and model answers, with the entry's columns."""
+    key = meta_key(F.lit(version), F.lit(card), F.lit(model), F.col("text"))
+    return questions.withColumn("key", key).join(entries.drop("query"), "key")
+
+
+def meta_store(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries after a write-through of new ones (META but for the key); of several with one key one stays."""
+    new = new.withColumn("key", meta_key(F.col("corpus_version"), F.col("card_hash"), F.col("model"), F.col("query")))
+    new = new.groupBy("key").agg(F.min(F.struct(*entries.columns)).alias("e")).select("e.*")
+    return entries.join(new.select("key"), "key", "left_anti").unionByName(new)
+
+
 def storable(answers: DataFrame) -> DataFrame:
     """Answers that enter the cache: refused ones do not, uncertain ones do, hits are there already."""
     return answers.where(~F.col("refused") & ~F.col("from_cache"))
@@ -54,6 +70,22 @@ def cached_lists(entries: DataFrame) -> DataFrame:
     return entries.withColumn("cited", F.coalesce(F.from_json("cited", "array<string>"), F.array().cast("array<string>"))).withColumn("claims", F.coalesce(F.from_json("claims", claim), F.array().cast(claim)))
 
 
+def document_metadata(meta: Column) -> Column:
+    """(name, author) of a document's JSON metadata; what is missing or cannot be read is unknown."""
+    p = F.from_json(meta, "name string, author string")
+    return F.struct(*[F.coalesce(p[k], F.lit("unknown")).alias(k) for k in ("name", "author")])
+
+
+def without_key(m: Column, key: str) -> Column:
+    return F.map_filter(m, lambda k, _: k != key)
+
+
+def context_rows(found: DataFrame) -> DataFrame:
+    """(query_id, n, chunk_id, source, content, in_index) of found passages (query_id, rank, id, text, metadata map)."""
+    name = F.coalesce(F.try_element_at("metadata", F.lit("title")), F.try_element_at("metadata", F.lit("source")), F.lit("?"))
+    return found.select("query_id", F.col("rank").cast("int").alias("n"), F.col("id").cast("string").alias("chunk_id"), name.alias("source"), F.col("text").alias("content"), F.lit(True).alias("in_index"))
+
+
 def last_turns(turns: DataFrame, n: int = 10) -> DataFrame:
     """The last n turns of each conversation."""
     r = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))

@@ -26,13 +26,29 @@ def chunks(docs: DataFrame, size: int = 400, overlap: int = 48) -> DataFrame:
 
 
 def corpus_hash(hashes: DataFrame) -> DataFrame:
-    """One row: sha256 of `id:hash` lines in order of id.
+    """(corpus_content_hash, n_docs), one row: sha256 of `id:hash` lines in order of id.
 
-    The lines of one corpus meet in one string by the definition of the key; they are 70 bytes a document.
+    The lines are sorted over all machines and stored; then one task reads them in order and holds one batch at a time.
     """
+    import hashlib
+
+    import pyarrow as pa
+
+    from ..session import shared_dir
+
+    shared_dir(hashes.sparkSession)
     line = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("content_hash"))
-    one = hashes.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"), F.count("*").alias("n_docs"))
-    return one.select(F.sha2(F.coalesce("lines", F.lit("")).cast("binary"), 256).alias("corpus_content_hash"), "n_docs")
+    lines = hashes.select("doc_id", line.alias("line")).orderBy("doc_id", "line").select("line").checkpoint()
+
+    def digest(batches):
+        state, n = hashlib.sha256(), 0
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                state.update(("\n" + x if n else x).encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()]), pa.array([n], pa.int64())], ["corpus_content_hash", "n_docs"])
+
+    return lines.coalesce(1).mapInArrow(digest, "corpus_content_hash string, n_docs long")
 
 
 def corpus_version(content_hash: Column, size: int, ratio: float, model: str, dim: int) -> Column:
@@ -132,6 +148,88 @@ def char_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, chunk_index int, start_index long, end_index long, content string")
 
 
+def packed_sections(text: str, size: int, overlap: int, tokenizer) -> list[tuple[list, int, str | None]]:
+    """(tokens, start, section) of chunks: whole blocks up to `size` tokens, the last `overlap` of a chunk again in the next.
+
+    A block is a heading or a paragraph; one over `size` is cut into windows of its own. A chunk has the section of its
+    first new block; places count the document's tokens, without the breaks between chunks.
+    """
+    import re
+
+    out, section, held, begin, of, gap = [], None, [], 0, None, tokenizer.encode("\n\n")
+    lines = [(m[2].strip() if (m := re.match(r"^(#{1,6})\s+(.+)$", line)) else None, line) for line in text.splitlines()]
+    blocks, part = [], []
+    for heading, line in [*lines, (None, "")]:
+        if heading is not None or not line.strip():
+            if joined := "\n".join(part).strip():
+                blocks.append((joined, section))
+            part = []
+        if heading is not None:
+            section = heading
+            blocks.append((line.strip(), section))
+        elif line.strip():
+            part.append(line)
+    for block, own in blocks:
+        tokens = tokenizer.encode(block)
+        if held and (len(tokens) > size or len(held) + 1 + len(tokens) > size):
+            out.append((held, begin, of))
+            kept = [] if len(tokens) > size or overlap <= 0 else held[-overlap:]
+            begin, held, of = begin + len(held) - len(kept), kept, own
+        if len(tokens) > size:
+            step = max(1, size - overlap)
+            for at in range(0, max(len(tokens) - size + step, 1), step):
+                out.append((tokens[at : at + size], begin + at, own))
+            begin, held, of = begin + len(tokens), [], None
+            continue
+        of = of if held else own
+        held = held + (gap if held else []) + tokens
+    return [*out, (held, begin, of)] if held else out
+
+
+def section_chunks(docs: DataFrame, size: int = 400, overlap: int = 48, tokenizer=None) -> DataFrame:
+    """(doc_id, chunk_id, chunk_index, start_index, end_index, n_tokens, section, content, content_hash) along a text's structure.
+
+    docs (doc_id, text) with line ends as they are; tokenizer is a providers.Tokenizer, words by default. A document is
+    read by one task, whole.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    from ..providers import Words
+
+    tokenizer = tokenizer or Words()
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = [(tokenizer.decode(t).strip(), t, at, s) for t, at, s in packed_sections(text or "", size, overlap, tokenizer)]
+                for k, (content, t, at, s) in enumerate(x for x in found if x[0]):
+                    out.append((doc, f"{doc}::{k}", k, at, at + len(t), len(t), s, content, hashlib.sha256(content.encode()).hexdigest()))
+            kinds = (b.schema.types[0], pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            names = ["doc_id", "chunk_id", "chunk_index", "start_index", "end_index", "n_tokens", "section", "content", "content_hash"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, chunk_id string, chunk_index int, start_index int, end_index int, n_tokens int, section string, content string, content_hash string")
+
+
+def with_vectors(docs: DataFrame, chunks: DataFrame, embedder, batch: int = 64) -> DataFrame:
+    """chunks (doc_id, chunk_id, content, vector, ...) of whole documents, every one with its vector.
+
+    A document keeps its vectors only if all its chunks have one; else all are embedded again. A document without chunks
+    is an error.
+    """
+    from ..providers import embedded
+
+    there = chunks.groupBy("doc_id").agg(F.bool_and(F.col("vector").isNotNull()).alias("_whole"))
+    known = with_metadata(docs.select("doc_id"), there, "doc_id", "a document without chunks")
+    marked = chunks.join(known, "doc_id")
+    new = embedded(marked.where("NOT _whole").select(F.col("chunk_id").alias("id"), "content"), embedder, batch).select(F.col("id").alias("chunk_id"), F.col("vector").alias("_new"))
+    return marked.join(new, "chunk_id", "left").withColumn("vector", F.when(F.col("_whole"), F.col("vector")).otherwise(F.col("_new"))).drop("_whole", "_new").select(*chunks.columns)
+
+
 def token_chunks(docs: DataFrame, tokenizer, size: int = 400, overlap: int = 48) -> DataFrame:
     """chunks() over a tokenizer's tokens in place of words; tokenizer is a providers.Tokenizer that can be pickled."""
     import hashlib

@@ -97,16 +97,40 @@ def provenance(best: DataFrame, phrases: DataFrame, norms: DataFrame, least: int
     A sentence that recurs counts as itself; failing that, and if the span states no figure of its own, the legal acts
     that it cites and that are widespread.
     """
-    b = best.withColumn("fp", T.phrase_print(F.col("sentence"))).join(phrases.select("fp", F.col("n_documents").alias("pn")), "fp", "left")
-    own = b.where(F.col("pn") >= least).select("query_id", "claim_no", "n", F.lit("frase").alias("kind"), F.col("fp").alias("key"), "sentence", F.col("pn").alias("n_documents"))
+    listed = phrases["norms"] if "norms" in phrases.columns else F.array().cast("array<string>")
+    b = best.withColumn("fp", T.phrase_print(F.col("sentence"))).join(phrases.select("fp", F.col("n_documents").alias("pn"), listed.alias("norms")), "fp", "left")
+    own = b.where(F.col("pn") >= least).select("query_id", "claim_no", "n", F.lit("frase").alias("kind"), F.col("fp").alias("key"), "sentence", F.col("pn").alias("n_documents"), "norms")
     rest = b.where(F.coalesce(F.col("pn"), F.lit(0)) < least).where(~T.own_figure(F.col("span")))
-    cited = rest.select("query_id", "claim_no", "n", "sentence", F.explode(T.references(T.rejoined_words(F.col("sentence")))).alias("label"))
+    cited = rest.select("query_id", "claim_no", "n", "sentence", F.posexplode(T.references(T.rejoined_words(F.col("sentence")))).alias("at", "label"))
     wide = norms.where(F.col("n_documents") >= least).select("label", F.col("n_documents"))
-    other = cited.join(wide, "label").select("query_id", "claim_no", "n", F.lit("norma").alias("kind"), F.concat(F.lit("norma::"), "label").alias("key"), "sentence", "n_documents")
+    other = cited.join(wide, "label").select("query_id", "claim_no", "n", F.lit("norma").alias("kind"), F.concat(F.lit("norma::"), "label").alias("key"), "sentence", "n_documents", F.array("label").alias("norms"))
     return own.unionByName(other).groupBy("query_id", "kind", "key").agg(
-        F.min_by("sentence", F.struct("claim_no", "n")).alias("sentence"), F.max("n_documents").alias("n_documents"), F.sort_array(F.collect_set("n")).alias("passages")
+        F.min_by("sentence", F.struct("claim_no", "n")).alias("sentence"), F.max("n_documents").alias("n_documents"), F.sort_array(F.collect_set("n")).alias("passages"),
+        F.min_by("norms", F.struct("claim_no", "n")).alias("norms"), F.min(F.struct("claim_no", "n")).alias("first"),
     )
 
 
+def notes(sources: DataFrame, n_documents: int) -> DataFrame:
+    """(query_id, note, sources) of what provenance() found: the most widespread source in full, the others in one line."""
+    one = F.struct((-F.col("n_documents")).alias("less"), "first", "key", "kind", "n_documents", "sentence", "passages", "norms")
+    d = sources.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    lead, others = F.col("s")[0], F.size("s") - 1
+    number = lambda c: c.cast("string")
+    share = F.concat(number(lead["n_documents"]), F.lit(f" delle {n_documents} delibere indicizzate"))
+    acts = F.array_join(F.transform(F.slice(F.coalesce(lead["norms"], F.array().cast("array<string>")), 1, 2), lambda x: F.concat(F.lit("**"), x, F.lit("**"))), " e ")
+    # The note's sentences.
+    opening = F.when(acts != "", F.concat(F.lit("L'affermazione poggia sul richiamo a "), acts, F.lit(", che ne è la fonte: ricorre in "), share, F.lit("."))).otherwise(
+        F.concat(F.lit("L'affermazione poggia su una formula che ricorre in "), share, F.lit("."))
+    )
+    marks = F.array_join(F.transform(lead["passages"], lambda x: F.concat(F.lit("["), number(x), F.lit("]"))), "")
+    where = F.when(F.size(lead["passages"]) == 1, F.concat(F.lit("Il passaggio citato in "), marks, F.lit(" è uno di quelli"))).otherwise(F.concat(F.lit("I passaggi citati in "), marks, F.lit(" sono fra quelli")))
+    closing = F.concat(where, F.lit(" — gli altri la riportano nei medesimi termini, e la risposta non cambia."))
+    which = F.when(others == 1, F.lit("un'altra formula ricorrente")).otherwise(F.concat(F.lit("altre "), number(others), F.lit(" formule ricorrenti")))
+    most = F.array_max(F.transform(F.slice("s", 2, F.greatest(others, F.lit(1))), lambda x: x["n_documents"]))
+    rest = F.when(others > 0, F.concat(F.lit("La risposta poggia anche su "), which, F.lit(" (fino a "), number(most), F.lit(" delibere).")))
+    shown = F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["n_documents"].alias("n_documents"), x["norms"].alias("norms"), x["passages"].alias("passages"), x["sentence"].alias("sentence")))
+    return d.select("query_id", F.concat_ws(" ", F.lit("**Provenienza.**"), opening, closing, rest).alias("note"), shown.alias("sources"))
+
+
 def provenance_minimum(least: int, quota: float, n_documents: Column) -> Column:
     return F.greatest(F.lit(least).cast("long"), F.bround(n_documents * quota, 0).cast("long"))

@@ -25,32 +25,40 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, similarity: str = "
     """(query_id, id, score, rank): the k nearest rows of each query, exactly; then those under `least` go.
 
     queries (query_id, vector), rows (id, vector). similarity: "l2" is max(0, (2 - squared distance) / 2), "cosine" the
-    cosine. Every batch keeps its own k best, so a query's candidates grow with the batches, not with the rows.
+    cosine. Every batch keeps its own k best, so a query's candidates grow with the batches, not with the rows. A query
+    meets the rows of its own dimension; vectors that are null, empty or hold a null or NaN meet none.
     """
     spark = rows.sparkSession
+    whole = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")))
+    queries, rows = queries.where(whole), rows.where(whole)
     n = queries.count()
     out = None
     for block in range(max(1, -(-n // BLOCK))):
         some = queries if n <= BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))) == block)
         got = some.orderBy("query_id").collect()
-        given = spark.sparkContext.broadcast(([r["query_id"] for r in got], np.array([r["vector"] for r in got], np.float64)))
+        sizes = {}
+        for r in got:
+            sizes.setdefault(len(r["vector"]), []).append(r)
+        given = spark.sparkContext.broadcast({n: ([r["query_id"] for r in rs], np.array([r["vector"] for r in rs], np.float64)) for n, rs in sizes.items()})
 
         def run(batches, given=given):
-            ids, q = given.value
             for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-                if similarity == "cosine":
-                    s = (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
-                else:
-                    d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)
-                    s = np.maximum(0.0, (2 - d) / 2)
-                order = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 12)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "score"])
-
-        part = rows.select(F.col("id").cast("long"), "vector").where("vector IS NOT NULL").mapInArrow(run, "query_id long, id long, score double")
+                lengths, ids_ = np.asarray(b.column(1).value_lengths()), b.column(0).to_numpy(zero_copy_only=False)
+                flat, starts = np.asarray(b.column(1).flatten(), np.float64), np.cumsum(lengths) - lengths
+                for n, (ids, q) in given.value.items():
+                    at = np.flatnonzero(lengths == n)
+                    if not len(at):
+                        continue
+                    own, x = ids_[at], flat[starts[at][:, None] + np.arange(n)]
+                    if similarity == "cosine":
+                        s = (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
+                    else:
+                        d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)
+                        s = np.maximum(0.0, (2 - d) / 2)
+                    order = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 12)), axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "score"])
+
+        part = rows.select(F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, id long, score double")
         out = part if out is None else out.unionByName(part)
     ranked = out.select("*", _rank(["query_id"], F.desc(F.round("score", 12)), F.col("id"))).where(F.col("rank") <= k)
     return ranked.where(F.col("score") >= least)
@@ -61,27 +69,55 @@ def words(t: Column) -> Column:
     return F.filter(T.tokens(T.plain(F.coalesce(t, F.lit("")))), lambda w: ~w.isin(T.STOPWORDS))  # a hash set, once planned
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf, length): one row for each word of a document."""
+def analysed(t: Column) -> Column:
+    """Words by the Italian analysis: without elided articles and stop words, accents off, endings of number and gender off."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    stop = sorted({*StopWordsRemover.loadDefaultStopWords("italian"), *T.STOPWORDS})
+    bare = F.regexp_replace(T.plain(F.coalesce(t, F.lit(""))), r"(?U)\b(?:c|l|all|dall|dell|nell|sull|coll|pell|gl|agl|dagl|degl|negl|sugl|un|m|t|s|v|d)'(?=\w)", " ")
+    found = F.filter(F.regexp_extract_all(bare, F.lit(r"(?U)[\w]{2,}"), F.lit(0)), lambda w: ~w.isin(stop))
+    flat = lambda w: F.translate(w, "àáâäèéêëìíîïòóôöùúûü", "aaaaeeeeiiiioooouuuu")
+    return F.transform(found, lambda w: F.when(F.length(w) < 6, flat(w)).otherwise(F.regexp_replace(flat(w), r"(?:[hi][ei]|i[ao]|[aeio])$", "")))
+
+
+def postings(docs: DataFrame, words=words) -> DataFrame:
+    """(term, id, tf, length): one row for each word of a document. words: words() or analysed()."""
     d = docs.select("id", words(F.col("text")).alias("w")).select("id", F.size("w").alias("length"), F.explode_outer("w").alias("term")).where("term IS NOT NULL")
     return d.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def keyword_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def posted(old: DataFrame, docs: DataFrame, words=words) -> DataFrame:
+    """An index after documents (id, text) were put in or replaced: only theirs are counted."""
+    return unposted(old, docs.select("id")).unionByName(postings(docs, words))
+
+
+def unposted(old: DataFrame, ids: DataFrame) -> DataFrame:
+    return old.join(ids.select("id"), "id", "left_anti").select(*old.columns)
+
+
+#: Words of questions that are sent to every task at most.
+ASKED = 1 << 20
+
+
+def keyword_topk(queries: DataFrame, docs: DataFrame, k: int, index: DataFrame | None = None, words=words) -> DataFrame:
     """(query_id, id, raw, score, rank): the k best documents of each query by BM25 over any of its words; score is raw
     over the query's best.
 
-    queries (query_id, text), docs (id, text). Only the words of queries leave the documents; their frequencies and the
-    mean length come from the same scan.
+    queries (query_id, text), docs (id, text), index: what postings() made of docs, if it is stored. Questions' words are
+    few: they go to the postings, so that those of a frequent word stay where they are.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    lengths = docs.select("id", F.size(words(F.col("text"))).alias("length"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    hits = postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
+    if index is None:
+        index, whole = postings(docs, words), docs.select(F.size(words(F.col("text"))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    else:
+        whole = index.agg(F.sum("tf").alias("words")).join(docs.agg(F.count("*").alias("n"))).select("n", (F.coalesce("words", F.lit(0)) / F.greatest("n", F.lit(1))).alias("mean"))
+    few = asked.count() <= ASKED
+    sent = F.broadcast if few else lambda d: d
+    hits = index.join(sent(asked.select("term").distinct()), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     n, mean = F.col("n"), F.greatest(F.col("mean"), F.lit(1e-9))
     weight = (F.ln(n / (F.col("df") + 1)) + 1) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    scored = asked.join(hits, "term").join(df, "term").join(F.broadcast(whole)).groupBy("query_id", "id").agg(F.sum(weight).alias("raw"))
+    scored = hits.join(sent(asked.join(df, "term")), "term").join(F.broadcast(whole)).groupBy("query_id", "id").agg(F.sum(weight).alias("raw"))
     ranked = scored.select("*", _rank(["query_id"], F.desc(F.round("raw", 9)), F.col("id"))).where(F.col("rank") <= k)
     top = F.max("raw").over(Window.partitionBy("query_id"))
     return ranked.withColumn("score", F.when(top > 0, F.col("raw") / top).otherwise(0.0)).select("query_id", "id", "raw", "score", "rank")
@@ -116,11 +152,11 @@ def fused(vector: DataFrame, keyword: DataFrame, strategy: str = "rrf", weights:
     return both.select("query_id", "id", "score", "vector_score", "keyword_score", _rank(["query_id"], F.desc(F.round("score", 12)), F.col("id")))
 
 
-def hybrid(vector_queries: DataFrame, vectors: DataFrame, text_queries: DataFrame, docs: DataFrame, k: int, least: tuple[float, float] = (0.0, 0.0), **how) -> DataFrame:
+def hybrid(vector_queries: DataFrame, vectors: DataFrame, text_queries: DataFrame, docs: DataFrame, k: int, least: tuple[float, float] = (0.0, 0.0), index: DataFrame | None = None, **how) -> DataFrame:
     """The k best of both arms; each arm gives min(2k, 50) hits, then those under its least score go."""
     each = min(2 * k, 50)
     v = vector_topk(vector_queries, vectors, each).where(F.col("score") >= least[0])
-    w = keyword_topk(text_queries, docs, each).where(F.col("score") >= least[1])
+    w = keyword_topk(text_queries, docs, each, index).where(F.col("score") >= least[1])
     return fused(v, w, **how).where(F.col("rank") <= k)
 
 

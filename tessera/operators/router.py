@@ -43,8 +43,7 @@ def signals(q: Column) -> dict[str, Column]:
 def routed(questions: DataFrame) -> DataFrame:
     """questions (query_id, text) with the signals, route, intent, reason and the filters of the structured route.
 
-    The order of the rules is the design: a named act, the collection, counts that can be made, counts and totals that
-    cannot, everything else.
+    The first rule that holds decides; the last one always does.
     """
     q = F.coalesce("text", F.lit(""))
     d = questions.select("query_id", "text", *[c.alias(k) for k, c in signals(q).items()], q.rlike(LISTING).alias("_list"))
@@ -71,13 +70,57 @@ def routed(questions: DataFrame) -> DataFrame:
 PROPOSAL = "route string, intent string, params struct<anno:string,anno_da:string,anno_a:string,comitato:string>"
 
 
+def prompt(card: str | None) -> str:
+    """What a classifier is told: the closed sets, and the card."""
+    return (
+        "Classifica la domanda. Rispondi con un solo oggetto JSON: route, intent, params.\n"
+        f"route: una fra {', '.join(ROUTES)}. intent, solo per structured: uno fra {', '.join(INTENTS)}.\n"
+        f"params, solo per structured: anno, oppure anno_da e anno_a (da {YEAR_MIN} a {YEAR_MAX}); comitato: CIPE o CIPESS.\n"
+        "pointwise: un fatto scritto in un atto. structured: contare, elencare o distribuire delibere. uncovered: somme sui testi, altri oggetti. meta: la raccolta stessa.\n\n"
+        f"SCHEDA DEL CORPUS:\n\n{card or '(nessuna scheda)'}"
+    )
+
+
+def agentic(routes: DataFrame, classifier, card: str | None = None) -> DataFrame:
+    """routes (of routed()) with source, router_raw and router_error, after a classifier was asked for a proposal.
+
+    classifier: an object with classify(prompt, question) that gives JSON. A question that names an act is not asked; a call
+    that fails or a proposal outside the closed sets leaves the lexical route, and says so.
+    """
+    system = prompt(card)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            raw, failed = [], []
+            for q in b.column(1).to_pylist():
+                try:
+                    raw.append(classifier.classify(system, q or ""))
+                    failed.append(None)
+                except Exception as e:  # no failure of routing may cost an answer
+                    raw.append(None)
+                    failed.append(f"chiamata fallita: {type(e).__name__}")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.string()), pa.array(failed, pa.string())], ["query_id", "raw", "failed"])
+
+    asked = routes.where(~F.col("delibera_specifica"))
+    said = asked.select("query_id", "text").mapInArrow(run, "query_id long, raw string, failed string").checkpoint()
+    p = proposed(said.join(asked.select("query_id", F.col("route").alias("lexical_route")), "query_id"))
+    p = p.join(said, "query_id").select("query_id", F.col("raw").alias("router_raw"), F.coalesce("failed", "error").alias("router_error"), "source", *[F.col(k).alias(f"p_{k}") for k in ("route", "intent", "anno", "anno_da", "anno_a", "comitato")])
+    d = routes.join(p, "query_id", "left").withColumn("source", F.coalesce("source", F.lit("lexical")))
+    llm = F.col("source") == "llm"
+    for k in ("route", "intent", "anno", "anno_da", "anno_a", "comitato"):
+        d = d.withColumn(k, F.when(llm, F.col(f"p_{k}")).otherwise(F.col(k)))
+    return d.withColumn("reason", F.when(~llm, F.col("reason"))).drop(*[f"p_{k}" for k in ("route", "intent", "anno", "anno_da", "anno_a", "comitato")])
+
+
 def proposed(rows: DataFrame) -> DataFrame:
-    """(query_id, route, source, anno, anno_da, anno_a, comitato) of raw proposals held against the closed sets.
+    """(query_id, route, source, intent, anno, anno_da, anno_a, comitato, error) of raw proposals held against the closed sets.
 
-    rows (query_id, raw, lexical_route). Any breach of the contract falls back to the lexical route.
+    rows (query_id, raw, lexical_route). Any breach of the contract falls back to the lexical route and is named.
     """
     p = F.from_json("raw", PROPOSAL)
-    d = rows.select("query_id", "lexical_route", p.alias("p"), F.col("raw").rlike(r"^\s*\{").alias("object"))
+    d = rows.select("query_id", "lexical_route", p.alias("p"), F.try_parse_json("raw").alias("parsed"), F.coalesce(F.col("raw").rlike(r"^\s*\{"), F.lit(False)).alias("object"))
     num = {k: F.col(f"p.params.{k}").try_cast("int") for k in ("anno", "anno_da", "anno_a")}
     given = {k: F.col(f"p.params.{k}").isNotNull() for k in num}
     fine = F.lit(True)
@@ -91,7 +134,12 @@ def proposed(rows: DataFrame) -> DataFrame:
     intent = (F.col("p.route") != "structured") | F.coalesce(F.col("p.intent").isin(*INTENTS), F.lit(False))
     ok = F.coalesce(F.col("object") & route & intent & ((F.col("p.route") != "structured") | F.coalesce(fine, F.lit(False))), F.lit(False))
     used = ok & (F.col("p.route") == "structured")
+    named = lambda what, c: F.concat(F.lit(f"{what} fuori insieme: "), F.coalesce(c, F.lit("")))
+    error = (
+        F.when(ok, F.lit(None).cast("string")).when(F.col("parsed").isNull(), "JSON non parsabile").when(~F.col("object"), "proposta non è un oggetto")
+        .when(~F.coalesce(route, F.lit(False)), named("route", F.col("p.route"))).when(~F.coalesce(intent, F.lit(False)), named("intento", F.col("p.intent"))).otherwise("parametri non conformi")
+    )
     return d.select(
-        "query_id", F.when(ok, F.col("p.route")).otherwise(F.col("lexical_route")).alias("route"), F.when(ok, "llm").otherwise("lexical").alias("source"),
-        *[F.when(used, v).alias(k) for k, v in num.items()], F.when(used, body).alias("comitato"),
+        "query_id", F.when(ok, F.col("p.route")).otherwise(F.col("lexical_route")).alias("route"), F.when(ok, "llm").otherwise("lexical").alias("source"), F.when(used, F.col("p.intent")).alias("intent"),
+        *[F.when(used, v).alias(k) for k, v in num.items()], F.when(used, body).alias("comitato"), error.alias("error"),
     )

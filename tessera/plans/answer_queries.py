@@ -207,7 +207,7 @@ PROPOSED = """(1, '{"route":"structured","intent":"count_delibere","params":{"an
     CASE WHEN ok AND r = 'structured' THEN fi END AS anno_da, CASE WHEN ok AND r = 'structured' THEN ti END AS anno_a, CASE WHEN ok AND r = 'structured' THEN b END AS comitato FROM k"""
 )
 def param_sanitise(spark, d):
-    return router.proposed(rows(spark, PROPOSED))
+    return router.proposed(rows(spark, PROPOSED)).drop("intent", "error")
 
 
 def _acts(spark, d):
@@ -260,6 +260,61 @@ def completeness_gap(spark, d):
     return structured.batch_counts(r, _acts(spark, d))
 
 
+def _shifted(spark):
+    """The routed questions of ASKED, their years moved to those of the acts."""
+    return router.routed(rows(spark, ASKED)).withColumns({k: F.col(k) - 25 for k in ("anno", "anno_da", "anno_a")})
+
+
+SHIFTED = (
+    SIGNALS.replace("WITH q AS", f"WITH {ACTS}, q AS")
+    + rf""", z AS (SELECT query_id, byy, lst, CASE WHEN NOT has AND len(ys) = 1 THEN ys[1] - 25 END AS y, CASE WHEN has THEN CAST(regexp_extract(x, '{_RNG}', 1) AS INTEGER) - 25 END AS f, CASE WHEN has THEN CAST(regexp_extract(x, '{_RNG}', 2) AS INTEGER) - 25 END AS t,
+      CASE WHEN regexp_matches(x, '(?i)\bcipess\b') THEN 'CIPESS' WHEN regexp_matches(x, '(?i)\bcipe\b') THEN 'CIPE' END AS b FROM r WHERE route = 'structured'),
+    sc AS (SELECT *, concat_ws(' ', 'del ' || b, 'nel ' || y, CASE WHEN f IS NOT NULL AND t IS NOT NULL THEN 'dal ' || f || ' al ' || t END) AS sc FROM z),
+    m AS (SELECT z.query_id, d.* FROM z JOIN d ON is_delibera AND (y IS NULL OR anno = y) AND (f IS NULL OR anno >= f) AND (t IS NULL OR anno <= t) AND (b IS NULL OR comitato = b)),
+    k AS (SELECT query_id, count(*) AS n, min(numero) AS lo, max(numero) AS hi FROM m GROUP BY query_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY anno, numero, path) AS pos FROM m)"""
+)
+_HEAD = "rtrim('Nel corpus indicizzato ' || CASE WHEN {n} = 1 THEN 'risulta **1 delibera** ' ELSE 'risultano **' || {n} || ' delibere** ' END || sc)"
+_NONE = f"rtrim('Nel corpus indicizzato non risulta nessuna delibera ' || sc) || '. {structured.NOTE}'"
+_GAP = "CASE WHEN y IS NOT NULL AND lo IS NOT NULL THEN greatest(0, hi - lo + 1 - n) END"
+
+
+@query(
+    SHIFTED
+    + f""", gg AS (SELECT *, {_GAP} AS gap FROM sc LEFT JOIN k USING (query_id) WHERE NOT byy AND NOT lst)
+    SELECT query_id, CASE WHEN coalesce(n, 0) = 0 THEN {_NONE} ELSE {_HEAD.format(n='n')} || '.' || CASE WHEN coalesce(gap, 0) > 0 THEN ' La numerazione dell''anno arriva alla n. ' || hi || ': ' ||
+      CASE WHEN gap = 1 THEN '1 delibera manca' ELSE gap || ' delibere mancano' END || ' dal corpus.' ELSE '' END || ' {structured.NOTE}' END AS text, coalesce(n, 0) AS computed_value, gap FROM gg"""
+)
+def answer_counts(spark, d):
+    """The text of every counting question: number, scope, gap of the numbering, note."""
+    r = _shifted(spark).where("intent = 'count_delibere'")
+    return structured.answers(r, _acts(spark, d)).select("query_id", "text", "computed_value", "gap")
+
+
+@query(
+    SHIFTED
+    + f""", l AS (SELECT query_id, least(count(*), 1000) AS n, string_agg('- ' || title || ' (`' || path || '`)', chr(10) ORDER BY pos) FILTER (pos <= 20) AS shown, md5(string_agg(path, ',' ORDER BY pos) FILTER (pos <= 1000)) AS cited FROM ranked GROUP BY query_id)
+    SELECT query_id, CASE WHEN n IS NULL THEN {_NONE} ELSE {_HEAD.format(n='n')} || ':' || chr(10) || chr(10) || shown ||
+      CASE WHEN n > 20 THEN chr(10) || chr(10) || '(…altre ' || (n - 20) || ' non mostrate qui; l''elenco completo è registrato insieme alla risposta.)' ELSE '' END || chr(10) || chr(10) || '{structured.NOTE}' END AS text,
+      coalesce(n, 0) AS computed_value, coalesce(cited, md5('')) AS cited FROM sc LEFT JOIN l USING (query_id) WHERE lst AND NOT byy"""
+)
+def answer_lists(spark, d):
+    """The text of every listing question: the first twenty acts, how many more, and all that are listed as cited."""
+    r = _shifted(spark).where("intent = 'list_delibere'")
+    out = structured.answers(r, _acts(spark, d))
+    return out.select("query_id", "text", "computed_value", F.md5(F.array_join("cited", ",").cast("binary")).alias("cited"))
+
+
+@query(
+    SHIFTED
+    + f""", u AS (SELECT query_id, anno, count(*) AS n FROM m GROUP BY query_id, anno), l AS (SELECT query_id, string_agg('- ' || anno || ': ' || n, chr(10) ORDER BY anno) AS lines FROM u GROUP BY query_id)
+    SELECT query_id, rtrim('Nel corpus indicizzato le delibere ' || sc) || ' si distribuiscono per anno:' || chr(10) || chr(10) || coalesce(lines, '') || chr(10) || chr(10) || '{structured.NOTE}' AS text FROM sc LEFT JOIN l USING (query_id) WHERE byy"""
+)
+def answer_years(spark, d):
+    """The text of every by-year question."""
+    return structured.answers(_shifted(spark).where("intent = 'count_by_year'"), _acts(spark, d)).select("query_id", "text")
+
+
 CARD = "(1, '01-intro', 'Che cosa è'), (2, '02-blank', '  '), (3, '03-periodo', 'Dal 1967') AS t(section_no, name, text)"
 
 
@@ -267,7 +322,7 @@ CARD = "(1, '01-intro', 'Che cosa è'), (2, '02-blank', '  '), (3, '03-periodo',
     f"""WITH {ACTS}, c AS (SELECT section_no AS n, 'scheda::' || name AS chunk_id, text AS content FROM {duck(CARD)} WHERE trim(text) <> ''),
     s AS (SELECT comitato, count(*) AS k, min(anno) AS lo, max(anno) AS hi FROM d WHERE is_delibera GROUP BY comitato)
     SELECT n, chunk_id, content, false AS in_index FROM c UNION ALL SELECT (SELECT max(n) + 1 FROM c), 'scheda::perimetro', 'Perimetro indicizzato: ' || CAST(sum(k) AS BIGINT) || ' delibere interrogabili, così distribuite:' || chr(10) ||
-    string_agg('- ' || comitato || ': ' || k || ' delibere, anni ' || lo || '–' || hi, chr(10) ORDER BY comitato), false FROM s"""
+    string_agg('- ' || comitato || ': ' || k || ' delibere, anni ' || lo || '–' || hi, chr(10) ORDER BY comitato) || chr(10) || '{structured.COMPUTED.replace(chr(39), chr(39) * 2)}', false FROM s"""
 )
 def meta_passages(spark, d):
     return structured.meta_passages(rows(spark, CARD), _acts(spark, d)).drop("source")

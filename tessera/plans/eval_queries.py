@@ -160,7 +160,7 @@ def human_fidelity(spark, d):
 BANDS = "(1, 0.949D), (2, 0.95D), (3, 0.849D), (4, 0.85D), (5, CAST(NULL AS DOUBLE)), (6, 1.0D) AS t(id, rate)"
 
 
-@query("SELECT * FROM (VALUES (1, 'MEDIA'), (2, 'ALTA'), (3, 'BASSA'), (4, 'MEDIA'), (5, 'INSUFFICIENTE'), (6, 'ALTA')) AS t(id, band)")
+@query(f"SELECT id, CASE WHEN rate IS NULL THEN 'INSUFFICIENTE' WHEN rate >= 0.95 THEN 'ALTA' WHEN rate >= 0.85 THEN 'MEDIA' ELSE 'BASSA' END AS band FROM {duck(BANDS.replace('D)', ')'))}")
 def fidelity_band(spark, d):
     return rows(spark, BANDS).select("id", T.band(F.col("rate")).alias("band"))
 
@@ -256,9 +256,12 @@ def judge_items(spark, d):
     return judging.shown_passages(*_audit(spark))
 
 
-@query("SELECT * FROM (VALUES (1, 'q1', 'a', 'in'), (2, 'q2', '', ''), (3, 'q9', '', '')) AS t(record_id, query, id, category)")
+INDEXED = "('q1', 'a', 'in') AS t(question, id, category)"
+
+
+@query(f"SELECT record_id, query, coalesce(i.id, '') AS id, coalesce(category, '') AS category FROM {duck(AUDIT.replace('array(', 'list_value(').replace('array<string>', 'VARCHAR[]'))} a LEFT JOIN {duck(INDEXED)} i ON i.question = a.query")
 def audit_items(spark, d):
-    index = rows(spark, "('q1', 'a', 'in') AS t(question, id, category)")
+    index = rows(spark, INDEXED)
     return judging.identified(_audit(spark)[0], index).select("record_id", "query", "id", "category")
 
 
@@ -271,10 +274,16 @@ def cited_hashes(spark, d):
 CLAIMED = "(1, 's', 'v0'), (1, 't', 'v1'), (2, 's', CAST(NULL AS STRING)) AS t(record_id, statement, verbatim)"
 
 
-@query("SELECT * FROM (VALUES (1, 's', 'clean', 'valido', 2), (1, 't', 'v1', '', NULL), (2, 's', '', '', NULL)) AS t(record_id, statement, verbatim, outcome, matched_passage)")
+OUTCOME = "(1, 's', 0, 'first', 'non_trovato', CAST(NULL AS INT)), (1, 's', 1, 'clean', 'valido', 2) AS t(record_id, statement, pos, verbatim, outcome, matched_passage)"
+
+
+@query(
+    f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY record_id, statement ORDER BY pos DESC) AS r FROM {duck(OUTCOME)})
+    SELECT c.record_id, c.statement, coalesce(nullif(o.verbatim, ''), c.verbatim, '') AS verbatim, coalesce(o.outcome, '') AS outcome, o.matched_passage
+    FROM {duck(CLAIMED)} c LEFT JOIN o ON o.record_id = c.record_id AND o.statement = c.statement AND r = 1"""
+)
 def claims_outcomes(spark, d):
-    out = rows(spark, "(1, 's', 0, 'first', 'non_trovato', CAST(NULL AS INT)), (1, 's', 1, 'clean', 'valido', 2) AS t(record_id, statement, pos, verbatim, outcome, matched_passage)")
-    return judging.shown_claims(rows(spark, CLAIMED), out)
+    return judging.shown_claims(rows(spark, CLAIMED), rows(spark, OUTCOME))
 
 
 @query(f"WITH {FORM} SELECT 'd' || doc_id AS key, CASE WHEN doc_id = 10 THEN 'no' ELSE fedele END AS fedele, causa, citazione_corretta, italiano_1_5, '' AS note, CASE WHEN doc_id = 10 THEN '' ELSE ereditato_da END AS ereditato_da FROM f")
@@ -296,7 +305,17 @@ def verdicts(spark, d):
 SERVED = "(1, 1, false), (2, 2, false), (3, 3, false), (4, 4, true), (5, 5, false), (6, 6, false) AS t(query_id, seq, refused)"
 
 
-@query("SELECT * FROM (VALUES (1, false, NULL), (2, true, 1), (3, false, NULL), (4, false, NULL), (5, false, NULL), (6, true, 5)) AS t(query_id, from_cache_semantic, served_by)")
+SIMILAR = "(2, 1, 0.95D), (3, 2, 0.97D), (5, 4, 0.99D), (6, 5, 0.93D), (6, 4, 0.98D), (1, 2, 0.95D), (6, 1, 0.5D) AS t(query_id, other_id, similarity)"
+
+
+@query(
+    f"""WITH RECURSIVE q AS (SELECT * FROM {duck(SERVED)}), near AS (SELECT * FROM {duck(SIMILAR.replace('D)', ')'))} WHERE similarity >= 0.92),
+    one AS (SELECT q.query_id, q.seq, q.refused, list({{'o': other_id, 's': similarity}}) FILTER (other_id IS NOT NULL) AS others FROM q LEFT JOIN near ON near.query_id = q.query_id GROUP BY ALL),
+    w AS (SELECT 0 AS seq, 0 AS query_id, CAST(NULL AS INTEGER) AS served_by, CAST([] AS INTEGER[]) AS stored
+      UNION ALL SELECT seq, query_id, hit, CASE WHEN hit IS NULL AND NOT refused THEN list_append(stored, query_id) ELSE stored END FROM (
+        SELECT one.seq, one.query_id, one.refused, w.stored, list_sort(list_transform(list_filter(coalesce(others, []), lambda x: list_contains(w.stored, x.o)), lambda x: {{'s': -x.s, 'o': x.o}}))[1].o AS hit FROM w JOIN one ON one.seq = w.seq + 1))
+    SELECT query_id, served_by IS NOT NULL AS from_cache_semantic, served_by FROM w WHERE seq > 0"""
+)
 def cache_conditions(spark, d):
-    near = rows(spark, "(2, 1, 0.95D), (3, 2, 0.97D), (5, 4, 0.99D), (6, 5, 0.93D), (6, 4, 0.98D), (1, 2, 0.95D), (6, 1, 0.5D) AS t(query_id, other_id, similarity)")
+    near = rows(spark, SIMILAR)
     return run_eval.served(rows(spark, SERVED), near, 0.92).select("query_id", "from_cache_semantic", "served_by")

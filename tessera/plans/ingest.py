@@ -13,8 +13,10 @@ from ..config import Settings
 from ..functions import text as T
 from ..operators import corpus, retrieval
 from ..providers import Embedder, embedded
-from ..sources import files
+from ..sources import files, stores
 
+#: Files that the manifest itself lists at most.
+LISTED = 100_000
 TABLES = ("docs", "chunks", "term_df", "phrases", "norms", "postings")
 
 
@@ -43,7 +45,7 @@ def ingest(spark: SparkSession, settings: Settings, folder: str, target: str, em
     chunks = corpus.chunks(docs, settings.chunk_tokens, settings.overlap_tokens)
     if embedder is not None:
         vectors = embedded(chunks.select(F.col("chunk_id").alias("id"), "content"), embedder, settings.embed_batch)
-        chunks = chunks.join(vectors.select(F.col("id").alias("chunk_id"), "vector"), "chunk_id")
+        chunks = corpus.with_metadata(chunks, vectors.select(F.col("id").alias("chunk_id"), "vector"), "chunk_id", "no vector for a chunk")
     chunks.write.parquet(f"{at}/chunks")
     chunks = spark.read.parquet(f"{at}/chunks")
     corpus.term_df(chunks.select(F.col("content").alias("text"))).write.parquet(f"{at}/term_df")
@@ -53,10 +55,12 @@ def ingest(spark: SparkSession, settings: Settings, folder: str, target: str, em
     h = corpus.corpus_hash(docs).withColumn("v", corpus.corpus_version(F.col("corpus_content_hash"), settings.chunk_tokens, settings.chunk_overlap_ratio, settings.embed_model, settings.embed_dim)).first()
     n = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
     per = chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_chunks"))
-    listed = docs.select(F.col("doc_id").alias("path"), "title", "content_hash").join(per.withColumnRenamed("doc_id", "path"), "path", "left").orderBy("path").toJSON().collect()
-    body = {"corpus_version": h["v"], "corpus_content_hash": h["corpus_content_hash"], "folder": at, "n_files": h["n_docs"], "n_chunks": n["n"], "files": [json.loads(x) for x in listed]}
-    text = spark.createDataFrame([(json.dumps(body, ensure_ascii=False, sort_keys=True),)], "value string")
-    text.coalesce(1).write.mode("overwrite").text(f"{target.rstrip('/')}/manifest.json")
+    listed = docs.select(F.col("doc_id").alias("path"), "title", "content_hash").join(per.withColumnRenamed("doc_id", "path"), "path", "left").orderBy("path")
+    listed.write.json(f"{at}/files")
+    body = {"corpus_version": h["v"], "corpus_content_hash": h["corpus_content_hash"], "folder": at, "n_files": h["n_docs"], "n_chunks": n["n"]}
+    # the list stands in the manifest too while one reader can hold it; beyond that it is the table beside the chunks
+    body["files"] = [json.loads(x) for x in spark.read.schema(listed.schema).json(f"{at}/files").orderBy("path").toJSON().collect()] if h["n_docs"] <= LISTED else None
+    stores.put_text(spark, f"{target.rstrip('/')}/manifest.json", json.dumps(body, ensure_ascii=False, sort_keys=True))
     price = settings.price_embed
     cost = n["t"] / 1e6 * price if embedder is not None and price > 0 and n["t"] else None
     return Report(at, h["n_docs"], n["n"], h["corpus_content_hash"], h["v"], n["t"] if embedder is not None else 0, cost)

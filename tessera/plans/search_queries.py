@@ -222,16 +222,22 @@ def numbered_context(spark, d):
 CACHED = """('a', '["x","y"]', '[{"statement":"s","passages":[1,2],"verbatim":"v"}]'), ('b', 'broken', '[]'), ('c', CAST(NULL AS STRING), 'no') AS t(id, cited, claims)"""
 
 
-@query("SELECT * FROM (VALUES ('a', 'x,y', 1), ('b', '', 0), ('c', '', 0)) AS t(id, cited, n_claims)")
+@query(
+    f"""SELECT id, CASE WHEN json_type(TRY_CAST(cited AS JSON)) = 'ARRAY' THEN array_to_string(CAST(TRY_CAST(cited AS JSON) AS VARCHAR[]), ',') ELSE '' END AS cited,
+    CASE WHEN json_type(TRY_CAST(claims AS JSON)) = 'ARRAY' THEN CAST(json_array_length(TRY_CAST(claims AS JSON)) AS INTEGER) ELSE 0 END AS n_claims FROM {duck(CACHED)}"""
+)
 def cached_lists(spark, d):
     return caching.cached_lists(rows(spark, CACHED)).select("id", F.array_join("cited", ",").alias("cited"), F.size("claims").alias("n_claims"))
 
 
-DOCMETA = """(1, '{"name":"a.txt","author":"z"}', map('document_metadata', 'x', 'k', 'v')), (2, CAST(NULL AS STRING), map('k', 'v')), (3, 'oops', map('document_metadata', 'x')) AS t(id, meta, m)"""
+DOCMETA = """(1, '{"name":"a.txt","author":"z"}', 'document_metadata=x;k=v'), (2, CAST(NULL AS STRING), 'k=v'), (3, 'oops', 'document_metadata=x'), (4, '{"name":"b"}', 'j=1;document_metadata=2;k=3') AS t(id, meta, m)"""
 
 
-@query("SELECT * FROM (VALUES (1, 'a.txt', 'z', 'k'), (2, 'unknown', 'unknown', 'k'), (3, 'unknown', 'unknown', '')) AS t(id, name, author, keys)")
+@query(
+    f"""SELECT id, coalesce(json_extract_string(TRY_CAST(meta AS JSON), '$.name'), 'unknown') AS name, coalesce(json_extract_string(TRY_CAST(meta AS JSON), '$.author'), 'unknown') AS author,
+    array_to_string(list_filter(list_transform(string_split(m, ';'), lambda x: string_split(x, '=')[1]), lambda k: k <> 'document_metadata'), ',') AS keys FROM {duck(DOCMETA)}"""
+)
 def json_default_meta(spark, d):
-    r = rows(spark, DOCMETA).withColumn("p", F.from_json("meta", "name string, author string"))
-    keys = F.map_keys(F.map_filter("m", lambda k, v: k != "document_metadata"))
-    return r.select("id", F.coalesce("p.name", F.lit("unknown")).alias("name"), F.coalesce("p.author", F.lit("unknown")).alias("author"), F.array_join(keys, ",").alias("keys"))
+    r = rows(spark, DOCMETA).withColumn("p", caching.document_metadata(F.col("meta")))
+    keys = F.map_keys(caching.without_key(F.str_to_map("m", F.lit(";"), F.lit("=")), "document_metadata"))
+    return r.select("id", "p.name", "p.author", F.array_join(keys, ",").alias("keys"))

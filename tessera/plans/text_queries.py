@@ -141,18 +141,24 @@ def dehyphenate(spark, d):
     return rows(spark, SPLIT).select("id", T.rejoined(F.col("text")).alias("lower_only"), T.rejoined_words(F.col("text")).alias("any_word"))
 
 
-@query(
-    r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')), ''),
-    nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), ''), 'page') AS title FROM pages"""
-)
+def _decoded(x: str) -> str:
+    """SQL that decodes the references that pages hold, & last."""
+    for a, b in (("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{a};?', '{b}', 'g')"
+    return x
+
+
+_T = "trim(" + _decoded("regexp_replace(regexp_extract(html, '(?is)<{0}[^>]*>(.*?)</{0}>', 1), '<[^>]*>', '', 'g')") + ")"
+
+
+@query(f"SELECT page_id, coalesce(nullif({_T.format('title')}, ''), nullif({_T.format('h1')}, ''), 'page') AS title FROM pages")
 def html_title(spark, d):
     return table(spark, d, "pages").select("page_id", files.html_title(F.col("html"), F.lit("page")).alias("title"))
 
 
 _S = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript\s*>', '', 'g')"
 _S = rf"regexp_replace(regexp_replace({_S}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g')"
-for _a, _b in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
-    _S = f"replace({_S}, '&{_a};', '{_b}')"
+_S = _decoded(_S)
 
 
 @query(f"SELECT page_id, md5({_S}) AS text, length({_S}) AS n_chars FROM pages")
@@ -266,7 +272,15 @@ def eval_index(spark, d):
     return files.item_index(rows(spark, QUESTIONS))
 
 
-@query()
+_END = "CASE WHEN least(a + 1000, n) < n AND length(w) - instr(reverse(w), ' ') > 0 AND contains(w, ' ') THEN a + length(w) - instr(reverse(w), ' ') ELSE least(a + 1000, n) END"
+_BARE = r"regexp_replace(text[a + 1 : e], '^[\s\x0b]+|[\s\x0b]+$', '', 'g')"
+
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT doc_id, text, length(text) AS n, 0 AS k, 0 AS a, text[1:1000] AS w FROM documents WHERE text <> ''
+      UNION ALL SELECT doc_id, text, n, k + 1, greatest(a + 1, e - 200), text[greatest(a + 1, e - 200) + 1 : greatest(a + 1, e - 200) + 1000] FROM (SELECT *, {_END} AS e FROM s) WHERE e < n)
+    SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(a AS BIGINT) AS start_index, CAST(e AS BIGINT) AS end_index, {_BARE} AS content FROM (SELECT *, {_END} AS e FROM s) WHERE {_BARE} <> ''"""
+)
 def char_chunks(spark, d):
-    """Character windows of 1000 with 200 shared, cut at a space where one is near; checked against a loop in the tests."""
+    """Character windows of 1000 with 200 shared, cut at a space where there is one."""
     return corpus.char_chunks(table(spark, d, "documents").select("doc_id", "text"))

@@ -26,6 +26,74 @@ class Tokenizer(Protocol):
     def decode(self, ids: list[int]) -> str: ...
 
 
+class Rejected(Exception):
+    """A provider does not take the output schema (its answers 400 and 422); no other failure is one."""
+
+
+# The names and types of the output contract.
+OUTPUT_SCHEMA = {
+    "type": "json_schema",
+    "json_schema": {
+        "name": "grounded_answer",
+        "strict": True,
+        "schema": {
+            "type": "object",
+            "additionalProperties": False,
+            "properties": {
+                "answer": {"type": "string"},
+                "claims": {
+                    "type": "array",
+                    "items": {
+                        "type": "object",
+                        "additionalProperties": False,
+                        "properties": {"statement": {"type": "string"}, "passages": {"type": "array", "items": {"type": "integer"}}, "verbatim": {"type": "string"}},
+                        "required": ["statement", "passages", "verbatim"],
+                    },
+                },
+            },
+            "required": ["answer", "claims"],
+        },
+    },
+}
+PREFIX = (
+    "Rispondi solo con ciò che i passaggi dicono. Cita i passaggi per numero, come [n]. Per ogni affermazione riporta in "
+    "verbatim le parole esatte del passaggio. Rispondi in JSON: answer, claims (statement, passages, verbatim)."
+)
+
+
+class SchemaGenerator:
+    """Asks a provider for an answer by the output contract, and again for plain JSON if it does not take the schema.
+
+    call(messages, response_format, cache_key) gives the text, or the text and its usage. The prefix is the same for every
+    question, so that providers can cache it.
+    """
+
+    def __init__(self, call: Callable, cache_key: str = "", prefix: str = PREFIX):
+        self.call, self.cache_key, self.prefix = call, cache_key, prefix
+
+    def generate(self, question: str, context: str):
+        messages = [{"role": "system", "content": self.prefix}, {"role": "user", "content": f"Passaggi:\n\n{context}\n\n---\n\nDomanda: {question}"}]
+        try:
+            return self.call(messages, OUTPUT_SCHEMA, self.cache_key)
+        except Rejected:
+            return self.call(messages, {"type": "json_object"}, self.cache_key)
+
+
+def client(key: str | None, make: Callable, timeout_s: float = 60.0, retries: int = 4):
+    """make(key, timeout_s, retries), or None without a key."""
+    return make(key, timeout_s, retries) if key and key.strip() else None
+
+
+USAGE = "struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,cached_tokens:bigint>"
+
+
+def usage_of(given: dict | None) -> dict | None:
+    """Usage by its four names; cached tokens default to 0, no usage stays null."""
+    if not given:
+        return None
+    return {k: int(given.get(k) or 0) for k in ("prompt_tokens", "completion_tokens", "total_tokens", "cached_tokens")}
+
+
 class Unavailable(Exception):
     """A provider did not answer in time or limited the rate."""
 
@@ -57,6 +125,18 @@ def embedded(rows: DataFrame, embedder: Embedder, batch: int = 64) -> DataFrame:
     return rows.select("id", "content").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, content string, vector array<double>")
 
 
+class Words:
+    """A tokenizer that needs no vocabulary: words with the white space after them."""
+
+    def encode(self, text: str) -> list[str]:
+        import re
+
+        return re.findall(r"\S+\s*|\s+", text)
+
+    def decode(self, ids: list[str]) -> str:
+        return "".join(ids)
+
+
 class FirstSentence:
     """A generator that needs no model: it quotes the first passage's first sentence as its only claim."""
 
@@ -70,18 +150,26 @@ class FirstSentence:
 
 
 def generated(rows: DataFrame, generator: Generator, retries: int = 4, pause_s: float = 20.0) -> DataFrame:
-    """rows (query_id, question, context) with raw output and error; a provider that stays away costs its row only."""
+    """rows (query_id, question, context) with raw output, error and usage; a provider that stays away costs its row only.
+
+    A generator gives its text, or the text and a dictionary of its usage.
+    """
 
     def run(batches):
         for b in batches:
-            raw, error = [], []
+            raw, error, used = [], [], []
             for q, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 try:
-                    raw.append(with_retries(lambda q=q, c=c: generator.generate(q, c), retries, pause_s))
+                    got = with_retries(lambda q=q, c=c: generator.generate(q, c), retries, pause_s)
+                    got = got if isinstance(got, tuple) else (got, None)
+                    raw.append(got[0])
                     error.append(None)
+                    used.append(usage_of(got[1]))
                 except Unavailable as e:
                     raw.append(None)
                     error.append(str(e) or "unavailable")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.string()), pa.array(error, pa.string())], ["query_id", "raw", "error"])
+                    used.append(None)
+            kind = pa.struct([(k, pa.int64()) for k in ("prompt_tokens", "completion_tokens", "total_tokens", "cached_tokens")])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.string()), pa.array(error, pa.string()), pa.array(used, kind)], ["query_id", "raw", "error", "usage"])
 
-    return rows.select("query_id", "question", "context").mapInArrow(run, "query_id long, raw string, error string")
+    return rows.select("query_id", "question", "context").mapInArrow(run, f"query_id long, raw string, error string, usage {USAGE}")

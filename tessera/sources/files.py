@@ -5,8 +5,10 @@ from __future__ import annotations
 import html
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..operators import corpus
@@ -45,17 +47,20 @@ def discovered(spark: SparkSession, folder: str, card_dir: str | None = None) ->
 def html_title(raw: Column, name: Column) -> Column:
     """The page's title, else its first top heading, else the file's name."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    inner = lambda p: blank(F.regexp_replace(F.regexp_extract(raw, p, 1), "<[^>]*>", ""))
+    inner = lambda p: blank(unescaped(F.regexp_replace(F.regexp_extract(raw, p, 1), "<[^>]*>", "")))
     return F.coalesce(inner(r"(?is)<title[^>]*>(.*?)</title>"), inner(r"(?is)<h1[^>]*>(.*?)</h1>"), name)
 
 
 def html_text(raw: Column) -> Column:
-    """Text nodes outside scripts and styles, one a line; common character references are decoded."""
+    """Text nodes outside scripts and styles, one a line; character references are decoded."""
     t = F.regexp_replace(raw, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", ""), r"<[^>]*>", "\n")
-    for a in ("nbsp", "lt", "gt", "quot", "amp"):
-        t = F.replace(t, F.lit(f"&{a};"), F.lit(html.unescape(f"&{a};")))
-    return t
+    return unescaped(F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", ""), r"<[^>]*>", "\n"))
+
+
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Every character reference that HTML names, and numeric ones; a batch of texts at a time."""
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def markdown_title(raw: Column, name: Column) -> Column:
@@ -114,7 +119,11 @@ def card(spark: SparkSession, folder: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, content_hash, n_chunks) and the code's fields of a manifest's files; is_delibera tells coded ones."""
-    rows = spark.read.schema("files array<struct<path:string,title:string,content_hash:string,n_chunks:int>>").option("multiLine", True).json(path)
+    one = "path string, title string, content_hash string, n_chunks int"
+    rows = spark.read.schema(f"files array<struct<{one.replace(' ', ':').replace(',:', ',')}>>, folder string").option("multiLine", True).json(path)
+    beside = rows.where("files IS NULL AND folder IS NOT NULL").select("folder").first()
+    if beside:
+        return documents(spark.read.schema(one).json(f"{beside['folder']}/files"))
     return documents(rows.select(F.explode("files").alias("f")).select("f.*"))
 
 

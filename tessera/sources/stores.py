@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,22 @@ def read_or_build(spark: SparkSession, path: str, schema: str, build) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole: beside the old one first, which one renaming then replaces."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    at, beside = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}")
+    system = at.getFileSystem(conf)
+    out = system.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    options[0] = fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(system.getUri(), conf).rename(system.makeQualified(beside), system.makeQualified(at), options)
+
+
 def names(spark: SparkSession, folder: str, pattern: str = "*") -> list[str]:
     """Names of the files and folders directly under a folder, newest name first; none if it is not there."""
     jvm = spark._jvm

@@ -193,3 +193,82 @@ def test_settings():
         s.with_overrides(vector_weight=0.9)
     with pytest.raises(ValueError):
         check_weights(-0.1, 1.1)
+
+
+def test_ragged_and_broken_vectors_meet_nothing(spark):
+    from tessera.operators import retrieval
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [None, 1.0]), (4, None), (5, []), (6, [float("nan"), 0.0]), (7, [0.0, 1.0]), (8, [1.0, 0.0, 0.0])], "id long, vector array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [None])], "query_id long, vector array<double>")
+    got = sorted((r["query_id"], r["id"], r["rank"]) for r in retrieval.vector_topk(q, rows, 5).collect())
+    assert got == [(1, 1, 1), (1, 7, 2), (2, 2, 1)]
+    assert retrieval.vector_topk(q.where("query_id = 3"), rows, 5).count() == 0
+
+
+def test_a_stored_index_gives_the_same_scores(spark):
+    from tessera.operators import retrieval
+
+    texts = ["ferrovia veloce piano", "piano della ferrovia ferrovia", "altro testo", "", None, "veloce veloce piano nazionale"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    q = spark.createDataFrame([(1, "piano ferrovia"), (2, "veloce"), (3, "assente"), (4, "")], "query_id long, text string")
+    key = lambda d: sorted((r["query_id"], r["id"], round(r["raw"], 9), r["rank"]) for r in d.collect())
+    index = retrieval.postings(docs)
+    assert key(retrieval.keyword_topk(q, docs, 5)) == key(retrieval.keyword_topk(q, docs, 5, index)) != []
+    new = spark.createDataFrame([(2, "piano nuovo"), (9, "ferrovia")], "id long, text string")
+    whole = docs.where("id <> 2").unionByName(new)
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(retrieval.posted(index, new)) == key(retrieval.postings(whole)) and key(retrieval.unposted(index, new)) == key(retrieval.postings(docs.where("id <> 2")))
+
+
+def test_the_italian_analysis(spark):
+    from tessera.operators import retrieval
+
+    rows = spark.createDataFrame([("Dell’opera ferroviaria e dell'opera ferroviarie: l'università, le città",), (None,)], "t string")
+    got = [r["w"] for r in rows.select(retrieval.analysed(F.col("t")).alias("w")).collect()]
+    assert got[0][0] == got[0][2] == "opera" and got[0][1] == got[0][3] and got[0][4:] == ["universit", "citta"] and got[1] == []
+
+
+def test_chunks_follow_the_structure(spark):
+    from tessera.operators import corpus
+
+    text = "intro uno due\n\n# Primo\n\na b c d\ne f\n\ng h i\n## Secondo\n" + " ".join(f"w{k}" for k in range(23)) + "\n\nfine"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, " \n\n "), (5, "solo")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["chunk_index"], r["section"], r["n_tokens"], r["content"]) for r in corpus.section_chunks(docs, 10, 3).collect())
+    assert [g[0] for g in got] == [1] * 7 + [5] and max(g[3] for g in got) <= 10 and got[-1][4] == "solo"
+    assert got[0][4] == "intro uno due\n\n# Primo" and got[0][2] is None and got[1][2] == "Primo" and "a b c d\ne f" in got[1][4]
+    words = [w for g in got[:7] for w in g[4].split()]
+    assert set(text.split()) <= set(words) and [g[2] for g in got[:7]][-1] == "Secondo"
+    long = [g for g in got if g[4].startswith("w")]
+    assert [g[4].split()[0] for g in long] == ["w0", "w7", "w14"] and all(g[2] == "Secondo" for g in long)
+
+
+def test_vectors_are_kept_only_for_whole_documents(spark):
+    from tessera.operators import corpus
+
+    class Own:
+        dim = 1
+
+        def embed(self, texts):
+            return [[9.0] for _ in texts]
+
+    chunks = spark.createDataFrame([(1, "1::0", "a", [1.0]), (1, "1::1", "b", [2.0]), (2, "2::0", "c", [3.0]), (2, "2::1", "d", None)], "doc_id long, chunk_id string, content string, vector array<double>")
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    assert sorted((r["chunk_id"], r["vector"][0]) for r in corpus.with_vectors(docs, chunks, Own()).collect()) == [("1::0", 1.0), ("1::1", 2.0), ("2::0", 9.0), ("2::1", 9.0)]
+    import pytest
+
+    with pytest.raises(Exception, match="without chunks"):
+        corpus.with_vectors(spark.createDataFrame([(1,), (3,)], "doc_id long"), chunks, Own()).collect()
+
+
+def test_the_cache_in_order_and_in_rounds(spark, monkeypatch):
+    import random
+
+    from tessera.plans import run_eval
+
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(k, k * 2, rng.random() < 0.2) for k in range(40)], "query_id long, seq long, refused boolean")
+    near = spark.createDataFrame([(a, b, 0.9 + rng.random() / 10) for a in range(40) for b in range(40) if a != b and rng.random() < 0.08], "query_id long, other_id long, similarity double")
+    key = lambda: sorted((r["query_id"], r["served_by"], r["from_cache_semantic"]) for r in run_eval.served(rows, near, 0.92).collect())
+    want = key()
+    monkeypatch.setattr(run_eval, "AT_ONCE", -1)
+    assert key() == want and sum(x[2] for x in want) > 3

@@ -77,6 +77,37 @@ def test_ingest_and_ask(spark, folder, tmp_path):
     assert {r["route"] for r in strict} == {"pointwise", "uncovered"} and all(r["refused"] and r["raw"] is None for r in strict)
 
 
+def test_a_manifest_is_replaced_whole(spark, tmp_path):
+    from tessera.sources import stores
+
+    path = str(tmp_path / "manifest.json")
+    for text in ("first", "second, longer è", "3"):
+        stores.put_text(spark, path, text)
+        assert (tmp_path / "manifest.json").read_text() == text
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["manifest.json"]
+
+
+def test_a_long_list_of_files_stands_beside_the_manifest(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "LISTED", 1)
+    target = str(tmp_path / "out")
+    ingest.ingest(spark, Settings(chunk_tokens=10), folder, target, None, "card")
+    assert json.loads((tmp_path / "out" / "manifest.json").read_text())["files"] is None
+    assert files.documents(files.manifest(spark, target + "/manifest.json")).where("is_delibera").count() == 2
+
+
+def test_a_chunk_without_a_vector_is_an_error(spark, folder, tmp_path, monkeypatch):
+    real = ingest.embedded
+    monkeypatch.setattr(ingest, "embedded", lambda rows, *a: real(rows, *a).limit(1))
+    with pytest.raises(Exception, match="no vector"):
+        ingest.ingest(spark, Settings(chunk_tokens=10), folder, str(tmp_path / "out"), Hashed(), "card")
+
+
+def test_every_character_reference_is_decoded(spark):
+    rows = spark.createDataFrame([("<title>citt&agrave; &#233;</title><p>perch&eacute; &amp;amp; &nbsp;&euro; &#x1F600; &unknown;</p>",), (None,)], "h string")
+    got = rows.select(files.html_text(F.col("h")).alias("t"), files.html_title(F.col("h"), F.lit("n")).alias("n")).collect()
+    assert got[0]["t"].split("\n")[3] == "perché &amp; \u00a0€ \U0001f600 &unknown;" and got[0]["n"] == "città é" and got[1]["t"] is None and got[1]["n"] == "n"
+
+
 def test_retries_and_lost_rows(spark):
     pauses, calls = [], []
 
