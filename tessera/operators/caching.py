@@ -40,6 +40,13 @@ def semantic_store(entries: DataFrame, new: DataFrame) -> DataFrame:
 META = "key string, query string, model string, corpus_version string, card_hash string, answer string, claims string, cited_passages string, cited string, raw string"
 
 
+def load_meta(spark, path: str) -> DataFrame:
+    """Stored entries of the meta cache; one that is not there or cannot be read is empty."""
+    from ..sources import stores
+
+    return stores.read_or_empty(spark, path, META)
+
+
 def meta_lookup(questions: DataFrame, entries: DataFrame, version: str, card: str, model: str) -> DataFrame:
     """questions (query_id, text) that an entry of this corpus, card and model answers, with the entry's columns."""
     key = meta_key(F.lit(version), F.lit(card), F.lit(model), F.col("text"))

@@ -56,9 +56,22 @@ def corpus_version(content_hash: Column, size: int, ratio: float, model: str, di
     return F.sha2(F.concat(F.lit("{" + fixed), content_hash, F.lit(f'", "embed_dim": {dim}, "embed_model": "{model}"' + "}")).cast("binary"), 256)
 
 
-def term_df(docs: DataFrame) -> DataFrame:
-    """(root, df): documents that hold each root. Counting is partial before the shuffle."""
+#: Keys that a statistic is asked for, sent to every task at most; more of them are joined.
+ASKED = 1 << 20
+
+
+def _only(rows: DataFrame, keys: DataFrame | None, key: str) -> DataFrame:
+    """The rows with one of the keys, before they move; all rows without keys."""
+    if keys is None:
+        return rows
+    keys = keys.select(key).distinct().checkpoint()
+    return rows.join(F.broadcast(keys) if keys.count() <= ASKED else keys, key, "left_semi")
+
+
+def term_df(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(root, df): documents that hold each root, of all or of the roots asked for. Counting is partial before the shuffle."""
     rows = docs.select(F.explode_outer(T.roots(F.coalesce("text", F.lit("")))).alias("root")).where("root IS NOT NULL")
+    rows = _only(rows, only, "root")
     return rows.groupBy("root").agg(F.count("*").alias("df"))
 
 
@@ -67,9 +80,12 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("pos", "sentence")).where("sentence IS NOT NULL")
 
 
-def phrase_index(docs: DataFrame, threshold: int) -> DataFrame:
-    """(fp, example, n_documents, n_occurrences, norms) of the sentences that recur in `threshold` documents or more."""
-    rows = sentence_rows(docs).withColumn("fp", T.phrase_print(F.col("sentence")))
+def phrase_index(docs: DataFrame, threshold: int, only: DataFrame | None = None) -> DataFrame:
+    """(fp, example, n_documents, n_occurrences, norms) of the sentences that recur in `threshold` documents or more.
+
+    only: of the fingerprints (fp) asked for.
+    """
+    rows = _only(sentence_rows(docs).withColumn("fp", T.phrase_print(F.col("sentence"))), only, "fp")
     # first by document, so that a sentence a third of all documents share is summed before it meets
     each = rows.groupBy("fp", "doc_id").agg(F.count("*").alias("n"), F.min(F.struct("pos", "sentence")).alias("first"))
     out = each.groupBy("fp").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_occurrences"), F.min(F.struct("doc_id", "first")).alias("e"))

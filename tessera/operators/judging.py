@@ -127,17 +127,89 @@ def fidelity_report(run_id: str, condition: str | None, f: dict) -> str:
     return "\n".join(lines)
 
 
-def sheet(run_id: str, items: list[dict], passages: list[dict]) -> str:
-    """Reading sheet of collected items and the passages that stood before the model."""
-    lines = [f"# Scheda di lettura — {run_id}"]
+# How a sheet is read.
+GUIDE = (
+    "**fedele**: l'affermazione è contenuta nel passaggio citato.",
+    "**causa**, solo se non è fedele: retrieval se la risposta non sta in nessun passaggio mostrato, generazione se c'era, strutturale se nessun passaggio può bastare.",
+    "**citazione_corretta**: il rimando punta al documento giusto.",
+    "**italiano_1_5**: 5 è pubblicabile così, 1 inutilizzabile.",
+)
+
+
+def sheet(run_id: str, items: list[dict], passages: list[dict], condition: str | None = None, form_name: str | None = None) -> str:
+    """Reading sheet of collected items and the passages that stood before the model.
+
+    An item may tell why it was refused (reason), what it lacked (signal, missing_terms), where it was cached
+    (cache_similarity, matched_query) and its claims (statement, passages, outcome).
+    """
+    judged_ = [i for i in items if i["tipo"] in ("risposta", "hit-cache")]
+    lines = [f"# Scheda di lettura — {run_id}", "", f"- condizione: {condition or 'tutte'} · record: {len(items)} · da giudicare: {len(judged_)}"]
+    lines += [f"- i giudizi si scrivono in {form_name}"] if form_name else []
+    lines += ["", *[f"- {x}" for x in GUIDE]]
     for i in items:
-        lines += ["", f"## {i['id'] or '—'} · {i['categoria'] or '—'} · {i['tipo']}", "", f"**{i['domanda']}**", "", i["risposta"] or "—"]
+        lines += ["", "---", "", f"## {i['id'] or '—'} · {i['categoria'] or '—'} · {i['tipo']}", "", f"**{i['domanda']}**"]
+        if i["tipo"] == "rifiuto":
+            lines += ["", f"_Rifiutata: {i.get('reason') or '—'}. Se la risposta c'è qui sotto, la soglia è troppo alta._"]
+        elif i["tipo"] == "astensione":
+            lacking = ", ".join(f"«{t}»" for t in i.get("missing_terms") or []) or "—"
+            lines += ["", f"_Astenuta: segnale {i.get('signal') or 0:.2f}, mancano {lacking}. Se la risposta c'è qui sotto, è un falso allarme._"]
+        elif i["tipo"] == "hit-cache":
+            lines += ["", f"_Dalla cache, similarità {i.get('cache_similarity')}: domanda memorizzata «{i.get('matched_query')}»._"]
+        lines += ["", i["risposta"] or "—"]
+        for n, claim in enumerate(i.get("claims") or [], 1):
+            cited = "".join(f"[{p}]" for p in claim.get("passages") or []) or "—"
+            lines += ["", f"{n}. {claim.get('statement') or ''} (cita {cited}{', ' + claim['outcome'] if claim.get('outcome') else ''})"]
+        if i["tipo"] == "risposta" and "claims" in i and not i["claims"]:
+            lines += ["", "Nessuna affermazione strutturata."]
         for p in sorted((p for p in passages if p["record_id"] == i.get("record_id")), key=lambda p: p["n"]):
             state = "introvabile" if p["missing"] else "citato" if p["cited"] else "nel contesto"
             lines += ["", f"[{p['n']}] {p['title']} ({state})", "", "> " + (p["text"] or "—").replace("\n", "\n> ")]
     return "\n".join(lines)
 
 
+def bundle(run_id: str, condition: str | None, records: DataFrame, index: DataFrame, chunks: DataFrame, outcomes: DataFrame, forms: DataFrame) -> dict:
+    """What one reader needs of a run: items with passages, claims and their state in the form. A person reads it, so it is small.
+
+    records as of an audit with record_id; outcomes (record_id, statement, pos, verbatim, outcome, matched_passage).
+    """
+    own = identified(selected(records, condition).withColumn("tipo", kind()), index)
+    shown = {r["record_id"]: [] for r in own.select("record_id").collect()}
+    claims = {k: [] for k in shown}
+    for p in shown_passages(own, chunks).collect():
+        shown[p["record_id"]].append(p.asDict())
+    listed = own.select("record_id", F.explode("claims").alias("c")).select("record_id", "c.statement", "c.verbatim")
+    for c in shown_claims(listed, outcomes).collect():
+        claims[c["record_id"]].append(c.asDict())
+    state = {r["key"]: {k: r[k] for k in (*JUDGEMENT, "ereditato_da")} for r in form_state(forms).collect()}
+    items = own.select("record_id", "id", F.col("category").alias("categoria"), "tipo", F.col("query").alias("domanda"), evaluation.answer_text(F.col("answer_text"), F.col("raw_output")).alias("risposta"), form_key(F.col("id"), F.col("query")).alias("key"))
+    out = []
+    for r in items.orderBy("record_id").collect():
+        passages = sorted(shown[r["record_id"]], key=lambda p: p["n"])
+        out.append(r.asDict() | {"passages": passages, "claims": claims[r["record_id"]], "giudizio": state.get(r["key"])})
+    return {"run_id": run_id, "condition": condition, "items": out}
+
+
+def load_form(spark, pattern: str) -> DataFrame:
+    """The forms of a run; a form that is not there is an error that says how one is made."""
+    from ..sources import files
+
+    try:
+        rows = files.forms(spark, pattern)
+        rows.limit(1).count()
+        return rows
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(f"no form at {pattern}: write one with judging.form() and files.write_form(), fill it, then read it") from e
+        raise
+
+
+def write_report(spark, path: str, text: str) -> str:
+    from ..sources import stores
+
+    stores.put_text(spark, path, text)
+    return path
+
+
 def verdict() -> Column:
     """A line for the progress of a run, from route, refused, uncertain, cache and counts."""
     c = F.col

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import caching, corpus, guards, router, structured
+from ..session import shared_dir
 from .common import duck, query, rows, table, words_sql
 from .text_queries import PRINT, ROOTS, SENT, STOP
 
@@ -34,9 +35,11 @@ a AS (SELECT b.query_id, coalesce(max(CASE WHEN m.root IS NOT NULL THEN ln(n / (
 
 
 def _abstain(spark, d):
+    shared_dir(spark)
     q, p = _held(spark, d)
     docs = table(spark, d, "documents")
-    return guards.abstention(q, guards.missing_terms(q, p), corpus.term_df(docs), docs.count())
+    missing = guards.missing_terms(q, p).checkpoint()
+    return guards.abstention(q, missing, corpus.term_df(docs, missing), docs.count())
 
 
 @query(f"WITH {ABSTAIN} SELECT query_id, round(signal, 6) AS signal, n_missing FROM a")
@@ -126,8 +129,11 @@ def provenance_best_sentence(spark, d):
     SELECT query_id, fp.fp AS key, max(nd) AS n_documents, array_to_string(list_sort(list_distinct(list(n))), ',') AS passages FROM (SELECT *, {PRINT} AS k FROM bs) b JOIN fp ON fp.fp = b.k GROUP BY query_id, fp.fp"""
 )
 def provenance_sources(spark, d):
+    shared_dir(spark)
     docs = table(spark, d, "documents")
-    out = guards.provenance(guards.best_sentences(*_claims(spark, d)), corpus.phrase_index(docs, 2), corpus.norm_index(docs, 2), 2)
+    best = guards.best_sentences(*_claims(spark, d)).checkpoint()
+    asked = best.select(T.phrase_print(F.col("sentence")).alias("fp"))
+    out = guards.provenance(best, corpus.phrase_index(docs, 2, asked), corpus.norm_index(docs, 2), 2)
     return out.select("query_id", "key", "n_documents", F.array_join(F.transform("passages", lambda x: x.cast("string")), ",").alias("passages"))
 
 

@@ -225,7 +225,7 @@ def _pointwise(spark: SparkSession, s: Settings, c: Corpus, r: DataFrame, vector
     sup = retrieval.support(hits, asked, s.support_threshold).withColumnsRenamed({"refused": "unsupported", "reason": "why"})
     docs = c.chunks.select(F.col("content").alias("text"))
     lacking = guards.missing_terms(asked, passages).checkpoint()
-    signal = guards.abstention(asked, lacking, c.term_df if c.term_df is not None else corpus.term_df(docs), docs.count())
+    signal = guards.abstention(asked, lacking, c.term_df if c.term_df is not None else corpus.term_df(docs, lacking), docs.count())
     terms = lacking.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("missing_terms"))
     state = own.join(sup, "query_id").join(signal, "query_id").join(terms, "query_id", "left").checkpoint()
     # the provider is asked only for what no guard before it stops
@@ -288,14 +288,44 @@ def evaluated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return evaluation.metrics(rows), evaluation.by_category(rows)
 
 
-def report(metrics: list[dict], categories: list[dict]) -> str:
-    """Markdown of two conditions side by side and of every category; rows are what evaluated() gives, collected."""
+#: Metrics of a report, in order: label, column, whether it is a share.
+SHOWN = (
+    ("Accuratezza del rifiuto", "refusal_accuracy", True), ("Validità delle citazioni", "citation_validity", True), ("Citazioni invalide", "invalid_citation_total", False), ("Risposte troncate", "n_truncated", False),
+    ("Hit della cache semantica", "semantic_hit_rate", True), ("Hit della cache del provider", "provider_hit_rate", True), ("Risposte", "n_answered", False), ("Astensioni", "n_uncertain", False), ("Rifiuti", "n_refused", False),
+    ("Chiamate al modello", "model_calls", False), ("Token di prompt", "prompt_tokens", False), ("Token in cache", "cached_tokens", False), ("Token generati", "completion_tokens", False), ("Costo", "cost", False),
+    ("Latenza mediana (s)", "latency_median", False), ("Latenza media (s)", "latency_avg", False), ("Latenza massima (s)", "latency_max", False),
+)
+ROUTED = (
+    ("Accuratezza di routing", "routing_accuracy", True), ("Richiamo del router", "router_recall", True), ("Falsi positivi del router", "router_false_positive", True), ("Valori calcolati corretti", "structured_value_accuracy", True),
+    ("Risposte calcolate", "n_structured", False), ("Rifiuti dichiarati", "n_uncovered", False), ("Risposte sulla raccolta", "n_meta", False), ("Con nota di provenienza", "n_provenance", False), ("Dalla cache meta", "n_cache_meta", False),
+    ("Router agentico: chiamate", "router_llm_calls", False), ("Router agentico: decisioni", "router_llm_decisions", False), ("Router agentico: fallite", "router_llm_failed", False), ("Verbatim validi", "verbatim_valid_ratio", True),
+    ("Span misattribuiti", "verbatim_misattributed", False), ("Span non trovati", "verbatim_not_found", False),
+)
+
+
+def report(metrics: list[dict], categories: list[dict], settings: Settings | None = None, version: str = "", errors: list[dict] | None = None) -> str:
+    """Markdown of two conditions side by side, of the routes and of every category; rows are what evaluated() gives, collected.
+
+    errors: (id, condition, error) of the items that no provider served.
+    """
     by = {m["condition"]: m for m in metrics}
     off, on = by.get("off", {}), by.get("on", {})
-    lines = ["| metric | off | on |", "|---|---|---|"]
-    lines += [f"| {k} | {off.get(k, '—')} | {on.get(k, '—')} |" for k in (off or on) if k != "condition"]
+    show = lambda m, k, share: "—" if m.get(k) is None else f"{m[k] * 100:.1f}%" if share else str(m[k])
+    lines = ["# Cache spenta e accesa"]
+    if settings:
+        priced = any((settings.price_input, settings.price_output, settings.price_cached))
+        lines += ["", f"- modello {settings.model or '—'}, embedding {settings.embed_model or '—'} ({settings.embed_dim})", f"- corpus {version or '—'}", f"- chunk {settings.chunk_tokens}/{settings.chunk_overlap_ratio}, top_k {settings.top_k}, pesi {settings.vector_weight}/{settings.keyword_weight}"]
+        lines += [f"- soglie: supporto {settings.support_threshold}, cache {settings.cache_threshold}, astensione {settings.abstention_threshold}", f"- prezzi: {'configurati' if priced else 'non configurati, il costo è zero'}"]
+    for title, rows in (("", SHOWN), ("## Instradamento e provenienza", ROUTED)):
+        lines += ["", *([title, ""] if title else []), "| metric | off | on |", "|---|---|---|"]
+        lines += [f"| {label} | {show(off, k, share)} | {show(on, k, share)} |" for label, k, share in rows if k in off or k in on]
+    told = {k for _, k, _ in (*SHOWN, *ROUTED)} | {"condition"}
+    lines += ["", "| metric | off | on |", "|---|---|---|", *[f"| {k} | {off.get(k, '—')} | {on.get(k, '—')} |" for k in (off or on) if k not in told]]
     lines += ["", "| condition | category | n | answers | abstentions | refusals |", "|---|---|---|---|---|---|"]
     lines += [f"| {c['condition']} | `{c['category']}` | {c['n']} | {c['answers']} | {c['abstentions']} | {c['refusals']} |" for c in sorted(categories, key=lambda c: (c["condition"], c["category"]))]
+    if errors:
+        kinds = ", ".join(sorted({e["error"] for e in errors}))
+        lines += ["", f"Incomplete run: {len(errors)} questions not served ({kinds}): {', '.join(sorted({str(e['id']) for e in errors}))}. They stand outside every share above."]
     if any(abs(m.get("suspend_drift_s") or 0) > 60 for m in metrics):
         lines += ["", "Wall clock and monotonic clock differ by over a minute: the machine slept, read the medians."]
     return "\n".join(lines)

@@ -8,12 +8,15 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Where checkpoints and tables between steps go: spark.checkpoint.dir, or what the context was given.
 
-    Only where neither names one, as in tests on one machine, a temporary folder is made and set.
+    Only where neither names one and master is this machine, as in tests, a temporary folder is made and set; on a cluster
+    that is an error, since its machines share no such folder.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
         if not named:
+            if not context.master.startswith("local"):
+                raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="tessera-")

@@ -183,3 +183,21 @@ def test_notes_of_several_sources(spark):
         "gli altri la riportano nei medesimi termini, e la risposta non cambia. La risposta poggia anche su altre 2 formule ricorrenti (fino a 9 delibere)."
     )
     assert "su una formula che ricorre in 3 delle 50" in got[2] and "I passaggi citati in [1][2] sono fra quelli" in got[2] and "un'altra formula ricorrente (fino a 3 delibere)" in got[2]
+
+
+def test_two_conditions_of_one_run(spark, corpus):
+    from tessera.plans import run_eval
+
+    texts = ["approva il progetto della ferrovia", "approva il progetto della ferrovia ora", "quante delibere nel 2019", "quanto speso in totale"]
+    q, v = asked(spark, texts)
+    q = q.withColumn("seq", F.col("query_id") + 1)
+    items = spark.createDataFrame([(0, "in", False, "pointwise", None), (1, "in", False, "pointwise", None), (2, "agg", False, "structured", 3), (3, "agg", True, "uncovered", None)], "query_id long, category string, expect_refuse boolean, route_expected string, expected_value long")
+    off, on = (d.checkpoint() for d in run_eval.conditions(spark, SETTINGS, corpus, q, v, items, Quoting([PHRASE])))
+    assert off.where("from_cache_semantic").count() == 0
+    hit = on.where("from_cache_semantic").collect()
+    assert [(r["query_id"], r["matched_query"], r["prompt_tokens"], r["valid"]) for r in hit] == [(1, texts[0], 0, None)]
+    m = {r["condition"]: r.asDict() for d in (off, on) for r in ask.evaluated(d)[0].collect()}
+    assert m["off"]["routing_accuracy"] == 1.0 and m["off"]["refusal_accuracy"] == 1.0 and m["off"]["structured_value_accuracy"] == 1.0 and m["off"]["model_calls"] == 2 and m["on"]["model_calls"] == 1
+    categories = [r.asDict() for d in (off, on) for r in ask.evaluated(d)[1].collect()]
+    text = ask.report(list(m.values()), categories, SETTINGS, "v1", [{"id": "x", "condition": "off", "error": "429"}])
+    assert "| Accuratezza di routing | 100.0% | 100.0% |" in text and "| Hit della cache semantica | 0.0% | 25.0% |" in text and "1 questions not served (429): x" in text

@@ -77,3 +77,33 @@ def test_two_conditions_meet_in_one_table(spark):
     a = spark.createDataFrame([(1, False, False, "pointwise", 3, 1, "", True, None, None, None)], "id int, refused boolean, uncertain boolean, route string, prompt_tokens int, n_citations int, error string, expect_refuse boolean, route_expected string, expected_value int, computed_value int")
     assert {r["condition"]: r["refusal_correct"] for r in run_eval.report_rows(a, a).collect()} == {"off": 0, "on": 0}
     assert run_eval.run_id().startswith("eval-")
+
+
+def test_a_sheet_says_why(spark):
+    base = {"id": "a", "categoria": "c", "domanda": "q", "risposta": "r"}
+    items = [
+        base | {"record_id": 1, "tipo": "rifiuto", "reason": "support_score 0.1"}, base | {"record_id": 2, "tipo": "astensione", "signal": 6.5, "missing_terms": ["binari"]},
+        base | {"record_id": 3, "tipo": "hit-cache", "cache_similarity": 0.95, "matched_query": "z"}, base | {"record_id": 4, "tipo": "risposta", "claims": [{"statement": "s", "passages": [1, 2], "outcome": "valido"}]},
+    ]
+    text = judging.sheet("run", items, [], "off", "form.csv")
+    assert "record: 4 · da giudicare: 2" in text and "form.csv" in text and "support_score 0.1" in text and "6.50, mancano «binari»" in text and "«z»" in text and "s (cita [1][2], valido)" in text
+
+
+def test_a_bundle_holds_what_a_reader_needs(spark):
+    records = spark.createDataFrame(
+        [(1, "q", False, False, False, False, "t", "", ["c1", "zz"], ["c1"], [("s", [1], "v")]), (2, "z", True, False, False, True, "", "", [], [], [])],
+        "record_id int, query string, refused boolean, uncertain boolean, from_cache boolean, cache_enabled boolean, answer_text string, raw_output string, retrieved_chunk_ids array<string>, cited_chunk_ids array<string>, claims array<struct<statement:string,passages:array<int>,verbatim:string>>",
+    ).withColumn("passages_inline", F.create_map().cast("map<string,struct<text:string,source:string>>"))
+    index = spark.createDataFrame([("q", "1", "in")], "question string, id string, category string")
+    chunks = spark.createDataFrame([("c1", "testo", "T", "S")], "chunk_id string, content string, title string, source string")
+    outcomes = spark.createDataFrame([(1, "s", 0, "v", "valido", 1)], "record_id int, statement string, pos int, verbatim string, outcome string, matched_passage int")
+    got = judging.bundle("run", "off", records, index, chunks, outcomes, form(spark, ("1", "q", "sì", "", "", "4", "", "", "t")))
+    assert [i["record_id"] for i in got["items"]] == [1] and got["items"][0]["giudizio"]["fedele"] == "sì" and got["items"][0]["claims"][0]["outcome"] == "valido"
+    assert [(p["chunk_id"], p["cited"], p["missing"]) for p in got["items"][0]["passages"]] == [("c1", True, False), ("zz", False, True)]
+
+
+def test_a_missing_form_says_how_one_is_made(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="write_form"):
+        judging.load_form(spark, str(tmp_path / "none-giudizi-off.csv"))
+    path = judging.write_report(spark, str(tmp_path / "report.md"), "testo")
+    assert open(path).read() == "testo"
