@@ -222,7 +222,7 @@ def search(queries: DataFrame, indexed: DataFrame, k: int, query_rows: int = 128
                 hits = list(zip(*_found(block, row["queries"], k), strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(hits, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["query_id", "vec_id", "score", "beyond"])
 
-    tune(spark, rows=4, mb=16)
+    tune(spark)
     parts = max(len(names) * shares, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = together.repartition(min(parts, 20_000), "block", "share").sortWithinPartitions("block", "share", "role")
     hits = dealt.mapInArrow(run, "query_id long, vec_id long, score long, beyond binary")

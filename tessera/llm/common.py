@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 import numpy as np
@@ -17,7 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession, rows: int = 2048, mb: int = 8) -> None:
-    """Bounds the Arrow batches that Python workers get, by rows and by bytes: long texts must not pile up."""
+    """Bounds the Arrow batches that Python workers get, by rows and by bytes: long texts must not pile up.
+
+    Plans are lazy and the bounds are the session's, so all operators leave the same ones behind; one that needs others
+    for a step writes that step's rows before it goes on.
+    """
     shared_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
@@ -30,9 +35,29 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    if not LEFT:
+        atexit.register(_leave, spark._jvm)
+    LEFT.add(path)
     return out
 
 
+#: What written() made and nothing has removed: lazy results read it, so it goes when the driver ends.
+LEFT: set[str] = set()
+
+
+def _remove(jvm, path: str) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
+def _leave(jvm) -> None:
+    import contextlib
+
+    while LEFT:
+        with contextlib.suppress(Exception):  # the JVM or its file system has gone first
+            _remove(jvm, LEFT.pop())
+
+
 def dropped(df: DataFrame) -> None:
     """Removes what written() made, once nothing reads it any more."""
     path = getattr(df, "_written", None)
@@ -40,6 +65,7 @@ def dropped(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        LEFT.discard(path)
 
 
 def pieces(spark: SparkSession, amount: float, each: float, least: int = 0) -> int:

@@ -134,7 +134,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY)
 
     path: a file of the tokenizers library; the public word_bpe_49k.json if none is given.
     """
-    tune(docs.sparkSession, rows=1536)
+    tune(docs.sparkSession)
 
     def run(batches):
         at = path
@@ -233,25 +233,27 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, buckets: int | None = None) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, buckets: int | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """items (a column length from 1 to capacity, any others) with sequence_id and offset.
 
+    carried: columns that only come along; rows that differ in them alone are interchangeable.
+
     Ranks are counted within cells of (length, bucket), so that a length that a third of the pieces share is still dealt
     over many tasks; cells' offsets come from a sum over the cells' counts. The cell of a row follows from its columns,
     so a repeated task deals the same ranks; equal rows are interchangeable.
     """
     spark = items.sparkSession
     kept = written(items.drop("sequence_id", "offset"), "pack")
-    names = kept.columns
+    names, keys = kept.columns, [c for c in kept.columns if c not in carried]
     total = kept.count()
     if not total:
         return kept.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     buckets = buckets or pieces(spark, total, 1_000_000, 16)
-    celled = kept.withColumn(CELL, F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
+    celled = kept.withColumn(CELL, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     sizes = celled.groupBy("length", CELL).agg(F.count("*").alias("n")).checkpoint()
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = sizes.withColumn(BEFORE, F.sum("n").over(Window.partitionBy("length").orderBy(CELL)) - F.col("n")).drop("n")
-    ranked = celled.withColumn(RANK, F.row_number().over(Window.partitionBy("length", CELL).orderBy(*names)).cast("long") - 1)
+    ranked = celled.withColumn(RANK, F.row_number().over(Window.partitionBy("length", CELL).orderBy(*keys)).cast("long") - 1)
     ranked = ranked.join(before, ["length", CELL]).withColumn(RANK, F.col(RANK) + F.col(BEFORE)).select(*names, RANK)
     steps = np.array(sorted(plan(counts, capacity)), np.int64)
     at = spark.sparkContext.broadcast((steps, {int(n): (int(np.searchsorted(steps[:, 0], n, "left")), int(np.searchsorted(steps[:, 0], n, "right"))) for n in counts}))
@@ -271,6 +273,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, buckets: int | None = None)
     return ranked.mapInArrow(placed, schema_with(kept, ("sequence_id", "bigint"), ("offset", "bigint")))
 
 
+def sequences(tokens: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The pieces with their ids, a checksum of them, sequence_id and offset: what a training job reads."""
+    return pack(tokens.withColumn("ids_crc32", F.crc32("ids")), capacity, carried=("ids",))
+
+
 def digest(tokens: DataFrame) -> DataFrame:
     """The pieces with a checksum in place of their ids."""
     return tokens.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))

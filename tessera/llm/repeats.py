@@ -397,6 +397,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, m
     buckets = pieces(spark, size, 4e6)
     tasks = pieces(spark, size, 24e6)
     parsed = written(_parsed(docs, buckets, length), "repeats", "uncompressed")
+    tune(spark)
     dealt = lambda df, n, *by: df.repartition(n, by[0]).sortWithinPartitions(*by)
     hashes = parsed.where("hashes IS NOT NULL").select("batch", "bucket", "hashes")
     often = dealt(hashes, tasks, "bucket").mapInArrow(_often, "batch long, bucket int, hashes binary")

@@ -1,3 +1,5 @@
+import zlib
+
 import duckdb
 import pytest
 
@@ -29,6 +31,33 @@ def test_an_empty_table_passes_every_stage(spark, sf, none):
     assert corpus_pipeline.pack_sequences(spark, docs, sf).count() == 0
 
 
+def test_the_ids_come_out(spark, sf, messy):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    of = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r["doc_id"]: r["text"] for r in messy.collect()}
+    rows = corpus_pipeline.pack_sequences(spark, messy, sf).collect()
+    assert rows and all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in rows)
+    for doc in (0, 3, 6, 7, 11):
+        pieces = sorted({(r["piece"], bytes(r["ids"])) for r in rows if r["doc_id"] == doc})
+        assert np.frombuffer(b"".join(p for _, p in pieces), "<u4").tolist() == [*of.encode(texts[doc] or "", add_special_tokens=False).ids, 0]
+    taken = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(taken, taken[1:], strict=False))
+
+
+def test_run_on_messy_and_empty_tables(spark, sf, messy, none, tmp_path):
+    for name, docs in (("messy", messy), ("none", none)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(str(tmp_path / name / f"{t}.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "messy")).collect()
+    ids = {r["doc_id"] for r in rows}
+    assert {0, 6, 7, 12, None} <= ids and 1 not in ids and sum(r["doc_id"] is None and r["piece"] == 0 for r in rows) == 2
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_run_packs_what_the_stages_kept(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     ids = {r["doc_id"] for r in rows}
