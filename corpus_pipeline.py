@@ -1,6 +1,10 @@
 """The corpus pipeline: five stages from raw documents to packed sequences; counted as part of tessera.llm.
 
 Each stage takes all its predecessor kept; all but the last return the columns of documents.
+Defined cases, of every stage: a null or empty text is scored, kept and packed as the single id 0; rows with a null doc_id
+stand for themselves and are kept if they are clean; rows that repeat a doc_id and a text are one document, rows that share
+a doc_id alone are different ones; extra columns come along to the last stage, whatever their names; a text of many
+megabytes is read whole; an empty table passes every stage and gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group at a similarity of 0.8 over five words."""
+    """One document, that of the smallest doc_id, of each group at a similarity of 0.8 over five words.
+
+    Candidates come from SimHash tiles, links from the texts' shingle sets.
+    """
     return copies.one_of_each(docs)
 
 
@@ -35,8 +42,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and offset; the ids themselves are a checksum."""
-    return packing.pack(packing.digest(packing.tokenize(docs)))
+    """Pieces of documents with their ids, sequence and offset."""
+    return packing.sequences(packing.tokenize(docs))
 
 
 STAGES = [
