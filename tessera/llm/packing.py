@@ -38,7 +38,8 @@ class WordTokens:
     """Ids of whole texts by a tokenizers file, from a bounded cache of words.
 
     The file's pre-tokenizer never lets a token span white space, so a text's ids are its words' ids in order. Texts in
-    which Python's lower-casing or white space could differ from the normaliser's are encoded whole.
+    which Python's lower-casing or white space could differ from the normaliser's are encoded whole, and so are those that
+    hold one of the file's added tokens, which keep the file's own meaning.
     """
 
     def __init__(self, path: str, entries: int = 800_000):
@@ -48,7 +49,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.of, self.entries, self.cache = Tokenizer.from_file(path), entries, {"": b""}
-        self.of.encode_special_tokens = True
+        added = [t.content for t in self.of.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         vocab = self.of.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
@@ -95,7 +97,9 @@ class WordTokens:
         for k, text in enumerate(texts):
             text = text or ""
             low = text.lower()
-            if not text.isascii():
+            if self.added.search(text):
+                alone[k], low = self.whole(text), ""
+            elif not text.isascii():
                 if not unicodedata.is_normalized("NFC", text):
                     text = unicodedata.normalize("NFC", text)
                     low = text.lower()

@@ -16,7 +16,6 @@ def test_ids_are_the_tokenizers_own(messy):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = defaultdict(dict)
     for r in packing.tokenize(messy.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect():
         got[r["doc_id"]][r["piece"]] = (r["start"], r["length"], bytes(r["ids"]))
@@ -27,12 +26,11 @@ def test_ids_are_the_tokenizers_own(messy):
         assert [p[0] for p in parts] == list(range(0, len(want), 2048)) and all(p[1] == 2048 for p in parts[:-1])
 
 
-@pytest.mark.parametrize("text", ["Σας ΣΟΦΟΣ", "J̌ x", "é café", "can't 'sun o're 'LL!!", "a\x1cb", "İstanbul", "x y z", "don't***!! 12ab34 ½ ²", "<|endoftext|> y", "́ lone", "ﬁ Ⅷ ǅ"])
+@pytest.mark.parametrize("text", ["Σας ΣΟΦΟΣ", "J̌ x", "é café", "can't 'sun o're 'LL!!", "a\x1cb", "İstanbul", "x y z", "don't***!! 12ab34 ½ ²", "<|endoftext|> y", "x<|endoftext|>Y <|ENDOFTEXT|>", "<|startoftext|><|endoftext|", "́ lone", "ﬁ Ⅷ ǅ"])
 def test_hard_words(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     words = packing.WordTokens(public.path("word_bpe_49k.json"))
     assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
