@@ -138,7 +138,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY)
 
     path: a file of the tokenizers library; the public word_bpe_49k.json if none is given.
     """
-    tune(docs.sparkSession)
+    tune(docs.sparkSession, rows=1024, mb=4)  # beside the cache of words; pack() writes these rows, then sets the common bounds
 
     def run(batches):
         at = path
@@ -248,6 +248,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, buckets: int | None = None,
     """
     spark = items.sparkSession
     kept = written(items.drop("sequence_id", "offset"), "pack")
+    tune(spark)
     names, keys = kept.columns, [c for c in kept.columns if c not in carried]
     total = kept.count()
     if not total:
