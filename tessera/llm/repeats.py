@@ -395,7 +395,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, m
     tune(spark, rows=20_000, mb=mb)
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = pieces(spark, size, 4e6)
-    tasks = pieces(spark, size, 24e6)
+    tasks, parts_at_once = pieces(spark, size, 24e6), pieces(spark, size, 8e6)
     parsed = written(_parsed(docs, buckets, length), "repeats", "uncompressed")
     tune(spark)
     dealt = lambda df, n, *by: df.repartition(n, by[0]).sortWithinPartitions(*by)
@@ -414,7 +414,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, m
         group = F.pmod(F.xxhash64("batch") if not k else group, F.lit(parts))
         part = (F.col("bucket").cast("long") * parts + group).alias("part")
         some = level.select(part, "batch", "bucket", "places", "payload")
-        settled = dealt(some, tasks, "part").mapInArrow(_settled(length, last), "batch long, bucket int, places binary, payload binary")
+        settled = dealt(some, parts_at_once, "part").mapInArrow(_settled(length, last), "batch long, bucket int, places binary, payload binary")
         if not last:
             settled = written(settled, "repeats", "uncompressed")
             level = settled.where("bucket >= 0")
