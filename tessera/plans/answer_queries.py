@@ -321,6 +321,33 @@ def answer_years(spark, d):
     return structured.answers(_shifted(spark).where("intent = 'count_by_year'"), _acts(spark, d)).select("query_id", "text")
 
 
+_REFUSED = f"CASE WHEN oggetto_coperto AND (forma_conteggio OR lst) AND anni_multipli THEN '{structured.REFUSALS[router.MANY_YEARS]}' ELSE '{structured.REFUSALS[router.NO_AMOUNTS]}' END"
+
+
+@query(
+    SHIFTED
+    + f""", gg AS (SELECT *, {_GAP} AS gap FROM sc LEFT JOIN k USING (query_id) WHERE NOT byy AND NOT lst),
+    ll AS (SELECT query_id, least(count(*), 1000) AS n, string_agg('- ' || title || ' (`' || path || '`)', chr(10) ORDER BY pos) FILTER (pos <= 20) AS shown FROM ranked GROUP BY query_id),
+    u AS (SELECT query_id, anno, count(*) AS n FROM m GROUP BY query_id, anno), yy AS (SELECT query_id, string_agg('- ' || anno || ': ' || n, chr(10) ORDER BY anno) AS lines FROM u GROUP BY query_id)
+    SELECT query_id, 'structured' AS route, false AS refused, CASE WHEN coalesce(n, 0) = 0 THEN {_NONE} ELSE {_HEAD.format(n='n')} || '.' || CASE WHEN coalesce(gap, 0) > 0 THEN ' La numerazione dell''anno arriva alla n. ' || hi || ': ' ||
+      CASE WHEN gap = 1 THEN '1 delibera manca' ELSE gap || ' delibere mancano' END || ' dal corpus.' ELSE '' END || ' {structured.NOTE}' END AS answer FROM gg
+    UNION ALL SELECT query_id, 'structured', false, CASE WHEN n IS NULL THEN {_NONE} ELSE {_HEAD.format(n='n')} || ':' || chr(10) || chr(10) || shown ||
+      CASE WHEN n > 20 THEN chr(10) || chr(10) || '(…altre ' || (n - 20) || ' non mostrate qui; l''elenco completo è registrato insieme alla risposta.)' ELSE '' END || chr(10) || chr(10) || '{structured.NOTE}' END FROM sc LEFT JOIN ll USING (query_id) WHERE lst AND NOT byy
+    UNION ALL SELECT query_id, 'structured', false, rtrim('Nel corpus indicizzato le delibere ' || sc) || ' si distribuiscono per anno:' || chr(10) || chr(10) || coalesce(lines, '') || chr(10) || chr(10) || '{structured.NOTE}' FROM sc LEFT JOIN yy USING (query_id) WHERE byy
+    UNION ALL SELECT query_id, 'uncovered', true, {_REFUSED} FROM r WHERE route = 'uncovered'"""
+)
+def ask_computed(spark, d):
+    """Questions end to end, as far as no model answers: counts, lists, distributions, declared refusals."""
+    from ..config import Settings
+    from . import ask
+
+    routes = _shifted(spark).where(F.col("route").isin("structured", "uncovered"))
+    chunks = spark.createDataFrame([], "id long, content string, source string, vector array<double>")
+    vectors = spark.createDataFrame([], "query_id long, vector array<double>")
+    out = ask.answered(spark, Settings(), ask.Corpus(chunks, _acts(spark, d)), rows(spark, ASKED), vectors, routes=routes)
+    return out.select("query_id", "route", "refused", "answer")
+
+
 CARD = "(1, '01-intro', 'Che cosa è'), (2, '02-blank', '  '), (3, '03-periodo', 'Dal 1967') AS t(section_no, name, text)"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..operators import evaluation, retrieval
 from ..session import shared_dir
+from ..sources import files, stores
 from . import ask
 
 
@@ -122,7 +123,27 @@ def conditions(spark: SparkSession, settings: Settings, c: ask.Corpus, questions
     return scored(off, items, settings, "off"), scored(on, items, settings, "on")
 
 
+#: What a run's table holds of each answer.
+KEPT = ("condition", "query_id", "category", "text", "route", "refused", "uncertain", "reason", "answer", "computed_value", "from_cache_semantic", "cache_similarity", "n_citations", "invalid_citations", "valid_ratio", "prompt_tokens", "completion_tokens", "cached_tokens", "cost", "error")
+
+
+def run(spark: SparkSession, settings: Settings, c: ask.Corpus, questions: DataFrame, vectors: DataFrame, items: DataFrame, folder: str, generator=None) -> dict:
+    """Both conditions of a set of questions: a table, a report and audit rows under folder; paths, metrics and the run's name."""
+    name, at = run_id(), folder.rstrip("/")
+    off, on = conditions(spark, settings, c, questions, vectors, items, generator)
+    rows = off.unionByName(on).checkpoint()
+    metrics, categories = ([r.asDict() for r in d.collect()] for d in ask.evaluated(rows))
+    lost = [r.asDict() for r in rows.where("error IS NOT NULL").select(F.col("query_id").alias("id"), "condition", "error").collect()]  # of a set of questions
+    stores.put_text(spark, f"{at}/{name}.md", ask.report(metrics, categories, settings, c.version, lost))
+    audit = rows.select(
+        F.lit(name).alias("run_id"), F.current_timestamp().alias("ts"), F.col("text").alias("query"), "route", "refused", "uncertain", "from_cache", (F.col("condition") == "on").alias("cache_enabled"),
+        F.col("answer").alias("answer_text"), F.col("raw").alias("raw_output"), F.col("support").alias("support_score"), "cited_chunk_ids", "claims", "total_tokens",
+    )
+    files.append_audit(audit.where("error IS NULL"), f"{at}/audit/{name}.jsonl")
+    return {"run_id": name, "table": write(spark, rows.select(*KEPT), at, name), "report": f"{at}/{name}.md", "audit": f"{at}/audit/{name}.jsonl", "metrics": metrics, "categories": categories}
+
+
 def write(spark: SparkSession, rows: DataFrame, folder: str, run: str) -> str:
     path = f"{folder.rstrip('/')}/{run}.csv"
-    rows.repartition(1).write.option("header", True).csv(path)
+    rows.repartition(1).write.option("header", True).option("escape", '"').csv(path)  # answers hold line ends and quotes
     return path

@@ -185,8 +185,9 @@ def test_notes_of_several_sources(spark):
     assert "su una formula che ricorre in 3 delle 50" in got[2] and "I passaggi citati in [1][2] sono fra quelli" in got[2] and "un'altra formula ricorrente (fino a 3 delibere)" in got[2]
 
 
-def test_two_conditions_of_one_run(spark, corpus):
+def test_two_conditions_of_one_run(spark, corpus, tmp_path):
     from tessera.plans import run_eval
+    from tessera.sources import files
 
     texts = ["approva il progetto della ferrovia", "approva il progetto della ferrovia ora", "quante delibere nel 2019", "quanto speso in totale"]
     q, v = asked(spark, texts)
@@ -201,3 +202,6 @@ def test_two_conditions_of_one_run(spark, corpus):
     categories = [r.asDict() for d in (off, on) for r in ask.evaluated(d)[1].collect()]
     text = ask.report(list(m.values()), categories, SETTINGS, "v1", [{"id": "x", "condition": "off", "error": "429"}])
     assert "| Accuratezza di routing | 100.0% | 100.0% |" in text and "| Hit della cache semantica | 0.0% | 25.0% |" in text and "1 questions not served (429): x" in text
+    out = run_eval.run(spark, SETTINGS, corpus, q, v, items, str(tmp_path / "eval"), Quoting([PHRASE]))
+    assert open(out["report"]).read().startswith("# Cache spenta e accesa") and out["run_id"].startswith("eval-")
+    assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out["table"]).count() == 8 and files.audit(spark, out["audit"]).where("cache_enabled").count() == 4
