@@ -34,6 +34,10 @@ ODD = re.compile("[\x1c-\x1fΣ]")  # characters where str and the tokenizer's no
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which opens tokens of its own
 
 
+#: Words that a worker's cache holds: some 300 bytes each. Fewer take more time.
+CACHED = 800_000
+
+
 class WordTokens:
     """Ids of whole texts by a tokenizers file, from a bounded cache of words.
 
@@ -42,7 +46,7 @@ class WordTokens:
     hold one of the file's added tokens, which keep the file's own meaning.
     """
 
-    def __init__(self, path: str, entries: int = 800_000):
+    def __init__(self, path: str, entries: int = CACHED):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -125,20 +129,21 @@ class WordTokens:
 
 
 @lru_cache(maxsize=1)
-def tokens_of(path: str) -> WordTokens:
+def tokens_of(path: str, entries: int) -> WordTokens:
     """One for each Python worker, so that its cache serves all the worker's tasks."""
-    return WordTokens(path)
+    return WordTokens(path, entries)
 
 
 KEPT["packing"] = tokens_of.cache_clear
 
 
-def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, entries: int = CACHED, rows: int = 2048, mb: int = 8) -> DataFrame:
     """(doc_id, piece, start, length, ids) of every document; ids are little-endian unsigned 32-bit integers.
 
-    path: a file of the tokenizers library; the public word_bpe_49k.json if none is given.
+    path: a file of the tokenizers library; the public word_bpe_49k.json if none is given. entries: of a worker's cache of
+    words; rows and mb: of a batch of texts. They move time against memory and change no result.
     """
-    tune(docs.sparkSession, rows=1024, mb=4)  # beside the cache of words; pack() writes these rows, then sets the common bounds
+    tune(docs.sparkSession, rows, mb)  # pack() writes these rows, then sets the common bounds
 
     def run(batches):
         at = path
@@ -146,7 +151,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY)
             import public_tokenizers
 
             at = public_tokenizers.path("word_bpe_49k.json")
-        tokens = tokens_of(at)
+        tokens = tokens_of(at, entries)
         for b in batches:
             out = ([], [], [], [], [])
             for doc, ids in zip(b.column(0).to_pylist(), tokens.encode(b.column(1).to_pylist()), strict=True):
@@ -258,6 +263,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, buckets: int | None = None,
     sizes = celled.groupBy("length", CELL).agg(F.count("*").alias("n")).checkpoint()
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = sizes.withColumn(BEFORE, F.sum("n").over(Window.partitionBy("length").orderBy(CELL)) - F.col("n")).drop("n")
+    celled = celled.repartition(pieces(spark, total, 30_000 if carried else 1_000_000), "length", CELL)  # what the window and the join go by
     ranked = celled.withColumn(RANK, F.row_number().over(Window.partitionBy("length", CELL).orderBy(*keys)).cast("long") - 1)
     ranked = ranked.join(before, ["length", CELL]).withColumn(RANK, F.col(RANK) + F.col(BEFORE)).select(*names, RANK)
     steps = np.array(sorted(plan(counts, capacity)), np.int64)
