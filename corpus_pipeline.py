@@ -43,7 +43,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their ids, sequence and offset."""
-    return packing.sequences(packing.tokenize(docs))
+    # a smaller cache and smaller batches than op3_packing's: the workers are those of four stages before
+    return packing.sequences(packing.tokenize(docs, entries=300_000, rows=1024, mb=4))
 
 
 STAGES = [
