@@ -153,7 +153,9 @@ def span_cleaned(t: Column) -> Column:
         return F.when(a["done"], a).otherwise(left)
 
     first = F.trim(F.coalesce(t, F.lit("")))
-    rounds = F.sequence(F.lit(1), F.length(first) + 1)  # a layer is a character at least
+    # a layer is a mark, an ellipsis or quotes: there are no more layers than characters that can belong to one
+    marked = "".join(sorted({c for pair in QUOTES for c in pair})) + ".…["
+    rounds = F.sequence(F.lit(1), F.length(first) - F.length(F.translate(first, marked, "")) + 1)
     return F.aggregate(rounds, F.struct(first.alias("t"), F.lit(False).alias("done")), step, lambda a: a["t"])
 
 

@@ -85,7 +85,7 @@ def phrase_index(docs: DataFrame, threshold: int, only: DataFrame | None = None)
 
     only: of the fingerprints (fp) asked for.
     """
-    rows = _only(sentence_rows(docs).withColumn("fp", T.phrase_print(F.col("sentence"))), only, "fp")
+    rows = _only(sentence_rows(docs).withColumn("fp", F.coalesce(T.phrase_print(F.col("sentence")), F.lit(""))), only, "fp")  # never null: no second print to test it
     # first by document, so that a sentence a third of all documents share is summed before it meets
     each = rows.groupBy("fp", "doc_id").agg(F.count("*").alias("n"), F.min(F.struct("pos", "sentence")).alias("first"))
     out = each.groupBy("fp").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_occurrences"), F.min(F.struct("doc_id", "first")).alias("e"))

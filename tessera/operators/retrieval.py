@@ -29,8 +29,7 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, similarity: str = "
     meets the rows of its own dimension; vectors that are null, empty or hold a null or NaN meet none.
     """
     spark = rows.sparkSession
-    whole = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")))
-    queries, rows = queries.where(whole), rows.where(whole)
+    queries, rows = (d.where(F.col("vector").isNotNull() & (F.size("vector") > 0)) for d in (queries, rows))
     n = queries.count()
     out = None
     for block in range(max(1, -(-n // BLOCK))):
@@ -38,7 +37,8 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, similarity: str = "
         got = some.orderBy("query_id").collect()
         sizes = {}
         for r in got:
-            sizes.setdefault(len(r["vector"]), []).append(r)
+            if all(v is not None and v == v for v in r["vector"]):
+                sizes.setdefault(len(r["vector"]), []).append(r)
         given = spark.sparkContext.broadcast({n: ([r["query_id"] for r in rs], np.array([r["vector"] for r in rs], np.float64)) for n, rs in sizes.items()})
 
         def run(batches, given=given):
@@ -49,7 +49,11 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, similarity: str = "
                     at = np.flatnonzero(lengths == n)
                     if not len(at):
                         continue
-                    own, x = ids_[at], flat[starts[at][:, None] + np.arange(n)]
+                    x = flat[starts[at][:, None] + np.arange(n)]  # a null is a NaN here
+                    fine = ~np.isnan(x).any(axis=1)
+                    own, x = ids_[at[fine]], x[fine]
+                    if not len(own):
+                        continue
                     if similarity == "cosine":
                         s = (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
                     else:
@@ -95,29 +99,23 @@ def unposted(old: DataFrame, ids: DataFrame) -> DataFrame:
     return old.join(ids.select("id"), "id", "left_anti").select(*old.columns)
 
 
-#: Words of questions that are sent to every task at most.
-ASKED = 1 << 20
-
-
 def keyword_topk(queries: DataFrame, docs: DataFrame, k: int, index: DataFrame | None = None, words=words) -> DataFrame:
     """(query_id, id, raw, score, rank): the k best documents of each query by BM25 over any of its words; score is raw
     over the query's best.
 
     queries (query_id, text), docs (id, text), index: what postings() made of docs, if it is stored. Questions' words are
-    few: they go to the postings, so that those of a frequent word stay where they are.
+    few: at run time they are broadcast to the postings where they fit, and a frequent word's partition is split where not.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     if index is None:
         index, whole = postings(docs, words), docs.select(F.size(words(F.col("text"))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     else:
         whole = index.agg(F.sum("tf").alias("words")).join(docs.agg(F.count("*").alias("n"))).select("n", (F.coalesce("words", F.lit(0)) / F.greatest("n", F.lit(1))).alias("mean"))
-    few = asked.count() <= ASKED
-    sent = F.broadcast if few else lambda d: d
-    hits = index.join(sent(asked.select("term").distinct()), "term", "left_semi")
+    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     n, mean = F.col("n"), F.greatest(F.col("mean"), F.lit(1e-9))
     weight = (F.ln(n / (F.col("df") + 1)) + 1) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    scored = hits.join(sent(asked.join(df, "term")), "term").join(F.broadcast(whole)).groupBy("query_id", "id").agg(F.sum(weight).alias("raw"))
+    scored = asked.join(hits, "term").join(df, "term").join(F.broadcast(whole)).groupBy("query_id", "id").agg(F.sum(weight).alias("raw"))
     ranked = scored.select("*", _rank(["query_id"], F.desc(F.round("raw", 9)), F.col("id"))).where(F.col("rank") <= k)
     top = F.max("raw").over(Window.partitionBy("query_id"))
     return ranked.withColumn("score", F.when(top > 0, F.col("raw") / top).otherwise(0.0)).select("query_id", "id", "raw", "score", "rank")
