@@ -63,7 +63,7 @@ def counts(docs: DataFrame, piece: int = PIECE, held: int = HELD) -> DataFrame:
     def run(batches):
         con = duck()
         con.execute("CREATE TABLE c (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
-        found = 0
+        summed, most = "SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM c GROUP BY lang, source, term", held
         for b in batches:
             row, text = spaced(b.column(2), piece)
             groups = pa.table({"row": np.arange(b.num_rows), "lang": b.column(0), "source": b.column(1)})  # noqa: F841  named in the SQL
@@ -74,11 +74,14 @@ def counts(docs: DataFrame, piece: int = PIECE, held: int = HELD) -> DataFrame:
                   SELECT row, term, count(*) AS n FROM (SELECT row, unnest(string_split(text, ' ')) AS term FROM pieces) WHERE term <> '' GROUP BY row, term
                 ) JOIN groups USING (row) GROUP BY lang, source, term
                 UNION ALL SELECT DISTINCT lang, source, '', 0, 0 FROM groups""")
-            found = con.execute("SELECT count(*) FROM c").fetchall()[0][0]
-            if found > held:
-                yield from handed(con, "SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM c GROUP BY lang, source, term")
-                con.execute("DELETE FROM c")
-        yield from handed(con, "SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM c GROUP BY lang, source, term")
+            if number(con) > most:  # summed first; handed on only if that doesn't help
+                con.execute(f"CREATE OR REPLACE TABLE c AS {summed}")
+                most = held + 2 * number(con)
+                if most > 5 * held:
+                    yield from handed(con, "SELECT * FROM c")
+                    con.execute("DELETE FROM c")
+                    most = held
+        yield from handed(con, summed)
         con.close()
 
     tune(docs.sparkSession)
@@ -86,6 +89,11 @@ def counts(docs: DataFrame, piece: int = PIECE, held: int = HELD) -> DataFrame:
     return docs.select(text("lang"), text("source"), text("text")).mapInArrow(run, COUNTS)
 
 
+def number(con) -> int:
+    """Rows of table c."""
+    return con.execute("SELECT count(*) FROM c").fetchall()[0][0]
+
+
 def handed(con, sql: str):
     """The rows of a query as batches."""
     yield from con.sql(sql).to_arrow_reader(1 << 16)
@@ -103,9 +111,9 @@ def kept(found: DataFrame, shards: int, least: int = LEAST, held: int = HELD) ->
         for b in batches:
             part = pa.Table.from_batches([b])  # noqa: F841
             con.execute("INSERT INTO c SELECT * FROM part")
-            if con.execute("SELECT count(*) FROM c").fetchall()[0][0] > most:  # parts of one count become one
+            if number(con) > most:  # parts of one count become one
                 con.execute(f"CREATE OR REPLACE TABLE c AS {summed}")
-                most = 4 * held + 2 * con.execute("SELECT count(*) FROM c").fetchall()[0][0]
+                most = 4 * held + 2 * number(con)
         con.execute(f"""
             CREATE TABLE k AS
             WITH s AS ({summed}), d AS (SELECT lang, term FROM s GROUP BY lang, term HAVING sum(docs) >= {least})
