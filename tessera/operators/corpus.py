@@ -86,8 +86,21 @@ def phrase_index(docs: DataFrame, threshold: int, only: DataFrame | None = None)
     only: of the fingerprints (fp) asked for.
     """
     rows = _only(sentence_rows(docs).withColumn("fp", F.coalesce(T.phrase_print(F.col("sentence")), F.lit(""))), only, "fp")  # never null: no second print to test it
+    return phrases_of(_by_document(rows), threshold)
+
+
+def _by_document(rows: DataFrame) -> DataFrame:
     # first by document, so that a sentence a third of all documents share is summed before it meets
-    each = rows.groupBy("fp", "doc_id").agg(F.count("*").alias("n"), F.min(F.struct("pos", "sentence")).alias("first"))
+    return rows.groupBy("fp", "doc_id").agg(F.count("*").alias("n"), F.min(F.struct("pos", "sentence")).alias("first"))
+
+
+def phrase_rows(docs: DataFrame) -> DataFrame:
+    """(fp, doc_id, n, first) of each sentence of a document: how often it is there, its first place and spelling."""
+    return _by_document(sentence_rows(docs).withColumn("fp", F.coalesce(T.phrase_print(F.col("sentence")), F.lit(""))))
+
+
+def phrases_of(each: DataFrame, threshold: int) -> DataFrame:
+    """The phrase index of what phrase_rows() gives."""
     out = each.groupBy("fp").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_occurrences"), F.min(F.struct("doc_id", "first")).alias("e"))
     out = out.where(F.col("n_documents") >= threshold).select("fp", F.col("e.first.sentence").alias("example"), "n_documents", "n_occurrences")
     return out.withColumn("norms", T.references(T.rejoined_words(F.col("example"))))

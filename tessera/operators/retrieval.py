@@ -21,6 +21,17 @@ def _rank(by: list, *order: Column, name: str = "rank") -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias(name)
 
 
+def kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def kinds(queries: DataFrame, rows: DataFrame) -> list:
+    """The Arrow types of query_id and id; both keep the type they have."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return [to_arrow_type(d.schema[c].dataType) for d, c in ((queries, "query_id"), (rows, "id"))]
+
+
 def vector_topk(queries: DataFrame, rows: DataFrame, k: int, similarity: str = "l2", least: float = 0.0) -> DataFrame:
     """(query_id, id, score, rank): the k nearest rows of each query, exactly; then those under `least` go.
 
@@ -28,7 +39,7 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, similarity: str = "
     cosine. Every batch keeps its own k best, so a query's candidates grow with the batches, not with the rows. A query
     meets the rows of its own dimension; vectors that are null, empty or hold a null or NaN meet none.
     """
-    spark = rows.sparkSession
+    spark, of = rows.sparkSession, kinds(queries, rows)
     queries, rows = (d.where(F.col("vector").isNotNull() & (F.size("vector") > 0)) for d in (queries, rows))
     n = queries.count()
     out = None
@@ -59,10 +70,12 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, similarity: str = "
                     else:
                         d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)
                         s = np.maximum(0.0, (2 - d) / 2)
-                    order = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 12)), axis=1)[:, :k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "score"])
+                    place = np.unique(own, return_inverse=True)[1]  # ids of any type in their order
+                    order = np.lexsort((np.broadcast_to(place, s.shape), -np.round(s, 12)), axis=1)[:, :k]
+                    asked = pa.array(ids, of[0]).take(pa.array(np.repeat(np.arange(len(ids)), order.shape[1])))
+                    yield pa.RecordBatch.from_arrays([asked, b.column(0).take(pa.array(at[fine][order].ravel())), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "score"])
 
-        part = rows.select(F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, id long, score double")
+        part = rows.select("id", "vector").mapInArrow(run, f"query_id {kind(queries, 'query_id')}, id {kind(rows, 'id')}, score double")
         out = part if out is None else out.unionByName(part)
     ranked = out.select("*", _rank(["query_id"], F.desc(F.round("score", 12)), F.col("id"))).where(F.col("rank") <= k)
     return ranked.where(F.col("score") >= least)

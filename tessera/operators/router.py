@@ -104,7 +104,7 @@ def agentic(routes: DataFrame, classifier, card: str | None = None) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.string()), pa.array(failed, pa.string())], ["query_id", "raw", "failed"])
 
     asked = routes.where(~F.col("delibera_specifica"))
-    said = asked.select("query_id", "text").mapInArrow(run, "query_id long, raw string, failed string").checkpoint()
+    said = asked.select("query_id", "text").mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, raw string, failed string").checkpoint()
     p = proposed(said.join(asked.select("query_id", F.col("route").alias("lexical_route")), "query_id"))
     p = p.join(said, "query_id").select("query_id", F.col("raw").alias("router_raw"), F.coalesce("failed", "error").alias("router_error"), "source", *[F.col(k).alias(f"p_{k}") for k in ("route", "intent", "anno", "anno_da", "anno_a", "comitato")])
     d = routes.join(p, "query_id", "left").withColumn("source", F.coalesce("source", F.lit("lexical")))

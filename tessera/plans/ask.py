@@ -12,6 +12,8 @@ from ..functions import text as T
 from ..operators import caching, corpus, evaluation, guards, retrieval, router, structured
 from ..providers import USAGE, FirstSentence, Generator, generated
 from ..session import shared_dir
+from ..sources import files, stores
+from . import ingest
 
 CLAIMS = "array<struct<statement:string,passages:array<int>,verbatim:string>>"
 OUTPUT = f"answer string, claims {CLAIMS}"
@@ -47,6 +49,21 @@ class Corpus:
     postings: DataFrame | None = None
 
 
+def loaded(spark: SparkSession, target: str, card_dir: str | None = None) -> Corpus:
+    """The corpus that an ingest left at target, by its manifest: chunks keep their ids, statistics are those it stored.
+
+    card_dir: the folder of the collection's card. Without one, and with no document that has the name of an act, the meta
+    and the structured route are closed.
+    """
+    t = ingest.tables(spark, target)
+    vector = F.col("vector") if "vector" in t["chunks"].columns else F.lit(None).cast("array<double>")
+    chunks = t["chunks"].select(F.col("chunk_id").alias("id"), "content", F.col("doc_id").alias("source"), vector.alias("vector"))
+    acts = files.documents(files.manifest(spark, f"{target.rstrip('/')}/manifest.json"))
+    acts = acts if not acts.where("is_delibera").isEmpty() else None
+    card = files.card(spark, card_dir) if card_dir and stores.names(spark, card_dir) else None
+    return Corpus(chunks, acts, card, t["phrases"], t["norms"], ingest.version(spark, target), t["term_df"], t["postings"])
+
+
 @dataclass
 class Caches:
     """Entries of the semantic cache (caching.SEMANTIC) and of the meta cache (caching.META); None is a cache that is off."""
@@ -67,7 +84,8 @@ PASSED = ("query_id", "text", "proposed_route", "router_source", "router_error",
 def _row(d: DataFrame, **given) -> DataFrame:
     """The columns of an answer: those that every exit passes on, those given, null."""
     given = {"from_cache": F.lit(False), "refused": F.lit(False), "uncertain": F.lit(False)} | {k: F.col(k) for k in PASSED} | given
-    return d.select(*[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in COLUMNS.items()])
+    kinds = COLUMNS | {"query_id": d.schema["query_id"].dataType}  # a question keeps the type of its id
+    return d.select(*[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()])
 
 
 def answered(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import caching, retrieval
+from ..operators import ann, caching, retrieval
+from ..session import shared_dir
 from .common import duck, query, rows, table, words_sql
 from .text_queries import ROOTS, STOP
 
@@ -37,6 +40,26 @@ def vector_topk(spark, d):
     return _six(retrieval.vector_topk(q, r, 10), "score")
 
 
+def _stored_index(spark, d):
+    """The index of all embeddings, written to the shared folder list by list and read back."""
+    path = f"{shared_dir(spark)}/ann-{uuid.uuid4().hex}"
+    ann.write(ann.build(_vectors(spark, d)[1].select("id", "vector")), path)
+    return ann.read(spark, path)
+
+
+@query()
+def ann_topk(spark, d):
+    """Ten of the lists nearest to each query are read."""
+    return _six(ann.search(_stored_index(spark, d), _vectors(spark, d)[0], 10, probes=10), "score")
+
+
+@query(f"WITH {V}, {vec_sql(10)} SELECT query_id, id, round(score, 6) AS score, rank FROM x")
+def ann_all_lists(spark, d):
+    """Every list is probed: the index must give what the search over all rows gives."""
+    index = _stored_index(spark, d)
+    return _six(ann.search(index, _vectors(spark, d)[0], 10, probes=len(index.centroids)), "score")
+
+
 @query(f"WITH {V}, {vec_sql(5, rowcond='AND b.label = 3')} SELECT query_id, id, round(score, 6) AS score, rank FROM x")
 def vector_topk_filtered(spark, d):
     q, r = _vectors(spark, d)

@@ -172,4 +172,4 @@ def generated(rows: DataFrame, generator: Generator, retries: int = 4, pause_s:
             kind = pa.struct([(k, pa.int64()) for k in ("prompt_tokens", "completion_tokens", "total_tokens", "cached_tokens")])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.string()), pa.array(error, pa.string()), pa.array(used, kind)], ["query_id", "raw", "error", "usage"])
 
-    return rows.select("query_id", "question", "context").mapInArrow(run, f"query_id long, raw string, error string, usage {USAGE}")
+    return rows.select("query_id", "question", "context").mapInArrow(run, f"query_id {rows.schema['query_id'].dataType.simpleString()}, raw string, error string, usage {USAGE}")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import Settings
+from tessera.operators import caching
 from tessera.plans import ask, ingest
 from tessera.providers import Unavailable, embedded, generated, with_retries
 from tessera.sources import files
@@ -64,19 +65,40 @@ def test_ingest_and_ask(spark, folder, tmp_path):
     assert again.corpus_version == first.corpus_version and again.folder != first.folder
     t = ingest.tables(spark, target)
     assert t["phrases"].count() >= 1 and t["norms"].first()["label"] == "legge 27 febbraio 1967, n. 48"
-    chunks = t["chunks"].select(F.monotonically_increasing_id().alias("id"), "content", F.col("doc_id").alias("source"), "vector").checkpoint()
-    acts = files.documents(files.manifest(spark, target + "/manifest.json"))
-    assert acts.where("is_delibera").count() == 2
-    q = spark.createDataFrame([(1, "Quante delibere nel 2019?"), (2, "di cosa parla il corpus?"), (3, "quanti chilometri di binari"), (4, "approva il piano della ferrovia")], "query_id long, text string")
+    c = ask.loaded(spark, target, folder + "/card")
+    assert c.version == first.corpus_version and c.acts.where("is_delibera").count() == 2 and c.chunks.count() == first.n_chunks
+    q = spark.createDataFrame([("q-1", "Quante delibere nel 2019?"), ("q-2", "di cosa parla il corpus?"), ("q-3", "quanti chilometri di binari"), ("q-4", "approva il piano della ferrovia")], "query_id string, text string")
     v = embedded(q.select(F.col("query_id").alias("id"), F.col("text").alias("content")), Hashed()).select(F.col("id").alias("query_id"), "vector")
-    c = ask.Corpus(chunks, acts, files.card(spark, folder + "/card"))
-    got = {r["query_id"]: r for r in ask.answered(spark, s, c, q, v).collect()}
-    assert {k: r["route"] for k, r in got.items()} == {1: "structured", 2: "meta", 3: "uncovered", 4: "pointwise"}
-    assert "1 delibera" in got[1]["answer"] and got[3]["refused"] and got[4]["valid"] == [1] and got[4]["cited_chunk_ids"] and not got[4]["refused"]
-    strict = ask.answered(spark, s.with_overrides(support_threshold=2.0), ask.Corpus(chunks), q, v).collect()
+    answers = ask.answered(spark, s, c, q, v)
+    got = {r["query_id"]: r for r in answers.collect()}
+    assert {k: r["route"] for k, r in got.items()} == {"q-1": "structured", "q-2": "meta", "q-3": "uncovered", "q-4": "pointwise"}
+    assert "1 delibera" in got["q-1"]["answer"] and got["q-3"]["refused"] and got["q-4"]["valid"] == [1] and not got["q-4"]["refused"]
+    ids = {r["id"] for r in c.chunks.collect()}
+    assert set(got["q-4"]["cited_chunk_ids"]) <= ids and "a/b/E190001.txt::0" in ids
+    # the stored statistics say what the chunks themselves do
+    plain = {r["query_id"]: r for r in ask.answered(spark, s, ask.Corpus(c.chunks, c.acts, c.card, c.phrases, c.norms, c.version), q, v).collect()}
+    assert plain == got
+    # the README's example: answers into caches, the same question out of them
+    caches = ask.stored(answers, v, c, ask.Caches(spark.createDataFrame([], caching.SEMANTIC), spark.createDataFrame([], caching.META)), s.model)
+    again = {r["query_id"]: r for r in ask.answered(spark, s, c, q, v, caches=caches).collect()}
+    assert again["q-4"]["from_cache"] and again["q-4"]["cited_chunk_ids"] == got["q-4"]["cited_chunk_ids"] and again["q-2"]["from_cache"]
+    strict = ask.answered(spark, s.with_overrides(support_threshold=2.0), ask.Corpus(c.chunks), q, v).collect()
     assert {r["route"] for r in strict} == {"pointwise", "uncovered"} and all(r["refused"] and r["raw"] is None for r in strict)
 
 
+def test_a_corpus_without_vectors_card_and_acts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "note.txt").write_text("Il comitato approva il piano della ferrovia.")
+    s = Settings(chunk_tokens=10, support_threshold=-1.0, abstention_threshold=0.0, verbatim_enabled=False)
+    ingest.ingest(spark, s, str(tmp_path / "in"), str(tmp_path / "out"))
+    c = ask.loaded(spark, str(tmp_path / "out"))
+    assert c.acts is None and c.card is None
+    q = spark.createDataFrame([(7, "piano della ferrovia")], "query_id int, text string")
+    v = spark.createDataFrame([(7, [1.0])], "query_id int, vector array<double>")
+    got = ask.answered(spark, s, c, q, v).first()
+    assert got["query_id"] == 7 and got["cited_chunk_ids"] == ["note.txt::0"]
+
+
 def test_a_manifest_is_replaced_whole(spark, tmp_path):
     from tessera.sources import stores
 
