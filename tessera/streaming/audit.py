@@ -17,6 +17,27 @@ def windowed(rows: DataFrame, ts: str = "ts", size: str = "1 hour", late: str =
     return d.groupBy(F.window(ts, size).alias("w"), "kind").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most")).select(F.col("w.start").alias("start"), "kind", "n", "mean", "most")
 
 
+def replayed(rows: DataFrame, arrival: str, folder: str, plan, mode: str = "append") -> tuple[DataFrame, int]:
+    """(what a stream of these rows wrote, rows it dropped as too late): each number of `arrival` is a batch of its own.
+
+    plan(stream) is what is run, over readStream to a table; the query ends after each batch and goes on from its checkpoint,
+    as one does that is started by a clock. Rows are stored by arrival once; a batch's files are then put before the stream.
+    """
+    spark = rows.sparkSession
+    at = folder.rstrip("/")
+    rows.write.partitionBy(arrival).parquet(f"{at}/waiting")
+    waiting = spark.read.schema(rows.schema).parquet(f"{at}/waiting")
+    schema = waiting.drop(arrival).schema
+    dropped = 0
+    for (n,) in waiting.select(arrival).distinct().orderBy(arrival).collect():  # a row a batch
+        waiting.where(F.col(arrival) == n).drop(arrival).write.mode("append").parquet(f"{at}/in")
+        out = plan(spark.readStream.schema(schema).parquet(f"{at}/in"))
+        q = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination()
+        dropped += sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in p["stateOperators"])
+    return spark.read.schema(out.schema).parquet(f"{at}/out"), dropped
+
+
 def audit_tail(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(files.AUDIT).json(folder)
 
