@@ -54,6 +54,7 @@ class WordTokens:
 
         self.of, self.entries, self.cache = Tokenizer.from_file(path), entries, {"": b""}
         added = [t.content for t in self.of.get_added_tokens_decoder().values()]
+        self.named = list(added)
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         vocab = self.of.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -111,6 +112,8 @@ class WordTokens:
                     alone[k], low = self.whole(text), ""
             elif ODD.search(low):
                 alone[k], low = self.whole(text), ""
+            if any(x in low for x in self.named):  # an added token in other letters: the file finds it, or not, in the text itself
+                alone[k], low = self.whole(text), ""
             lows.append(low)
         lists = pc.utf8_split_whitespace(pa.array(lows, pa.large_string()))
         numbered = lists.flatten().dictionary_encode()

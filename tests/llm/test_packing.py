@@ -26,7 +26,7 @@ def test_ids_are_the_tokenizers_own(messy):
         assert [p[0] for p in parts] == list(range(0, len(want), 2048)) and all(p[1] == 2048 for p in parts[:-1])
 
 
-@pytest.mark.parametrize("text", ["Σας ΣΟΦΟΣ", "J̌ x", "é café", "can't 'sun o're 'LL!!", "a\x1cb", "İstanbul", "x y z", "don't***!! 12ab34 ½ ²", "<|endoftext|> y", "x<|endoftext|>Y <|ENDOFTEXT|>", "<|startoftext|><|endoftext|", "́ lone", "ﬁ Ⅷ ǅ"])
+@pytest.mark.parametrize("text", ["Σας ΣΟΦΟΣ", "J̌ x", "é café", "can't 'sun o're 'LL!!", "a\x1cb", "İstanbul", "x y z", "don't***!! 12ab34 ½ ²", "<|endoftext|> y", "x<|endoftext|>Y <|ENDOFTEXT|>", "<|startoftext|><|endoftext|", "<|ENDOFTEXT|>", "a<|EndOfText|>b <|STARTOFTEXT|>", "É<|EndOfText|>", "́ lone", "ﬁ Ⅷ ǅ"])
 def test_hard_words(text):
     from tokenizers import Tokenizer
 
@@ -35,6 +35,15 @@ def test_hard_words(text):
     assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_fuzzed_texts():
+    from tokenizers import Tokenizer
+
+    t, words, rng = Tokenizer.from_file(public.path("word_bpe_49k.json")), packing.WordTokens(public.path("word_bpe_49k.json")), random.Random(4)
+    parts = ["<|endoftext|>", "<|EndOfText|>", "<|ENDOFTEXT|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|", "|>", "endoftext", "Word", "don't", " ", "  ", "\n", "é", "É", "ß", "İ", "漢", "12", "!?", "e\u0301"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(6000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def check(rows, capacity):
     by = defaultdict(list)
     for r in rows:
