@@ -177,71 +177,76 @@ def char_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, chunk_index int, start_index long, end_index long, content string")
 
 
-def packed_sections(text: str, size: int, overlap: int, tokenizer) -> list[tuple[list, int, str | None]]:
-    """(tokens, start, section) of chunks: whole blocks up to `size` tokens, the last `overlap` of a chunk again in the next.
+def packed(blocks: Column, gap: Column, size: int, overlap: int) -> Column:
+    """Chunks (tokens, start, section) of a document's blocks (tokens, section), in order; a fold that Catalyst plans.
 
-    A block is a heading or a paragraph; one over `size` is cut into windows of its own. A chunk has the section of its
-    first new block; places count the document's tokens, without the breaks between chunks.
+    Its state is the chunks that are done, the tokens of the open one, where that starts, and the section of its first new
+    block. A block that would take the open chunk over `size` closes it, and the last `overlap` tokens begin the next; one
+    over `size` by itself is cut into windows. Places count the document's tokens, without the gaps between blocks.
     """
-    import re
-
-    out, section, held, begin, of, gap = [], None, [], 0, None, tokenizer.encode("\n\n")
-    lines = [(m[2].strip() if (m := re.match(r"^(#{1,6})\s+(.+)$", line)) else None, line) for line in text.splitlines()]
-    blocks, part = [], []
-    for heading, line in [*lines, (None, "")]:
-        if heading is not None or not line.strip():
-            if joined := "\n".join(part).strip():
-                blocks.append((joined, section))
-            part = []
-        if heading is not None:
-            section = heading
-            blocks.append((line.strip(), section))
-        elif line.strip():
-            part.append(line)
-    for block, own in blocks:
-        tokens = tokenizer.encode(block)
-        if held and (len(tokens) > size or len(held) + 1 + len(tokens) > size):
-            out.append((held, begin, of))
-            kept = [] if len(tokens) > size or overlap <= 0 else held[-overlap:]
-            begin, held, of = begin + len(held) - len(kept), kept, own
-        if len(tokens) > size:
-            step = max(1, size - overlap)
-            for at in range(0, max(len(tokens) - size + step, 1), step):
-                out.append((tokens[at : at + size], begin + at, own))
-            begin, held, of = begin + len(tokens), [], None
-            continue
-        of = of if held else own
-        held = held + (gap if held else []) + tokens
-    return [*out, (held, begin, of)] if held else out
+    step = max(1, size - overlap)
+    chunk = lambda t, at, of: F.struct(t.alias("t"), at.alias("start"), of.alias("section"))
+
+    def put(state, block):
+        held, t = state["held"], block["t"]
+        open_, n, h = F.size(held) > 0, F.size(t), F.size(held)
+        wide = n > size
+        closes = open_ & (wide | (h + 1 + n > size))
+        tail = F.when(closes, F.when(wide, F.slice(held, 1, 0)).otherwise(F.slice(held, F.greatest(h - overlap + 1, F.lit(1)), F.lit(max(overlap, 0))))).otherwise(held)
+        begin = F.when(closes, state["begin"] + h - F.size(tail)).otherwise(state["begin"])
+        windows = F.transform(F.sequence(F.lit(0), F.greatest(n - size + step, F.lit(1)) - 1, F.lit(step)), lambda at: chunk(F.slice(t, at + 1, F.lit(size)), begin + at, block["section"]))
+        none = F.slice(state["done"], 1, 0)
+        done = F.concat(state["done"], F.when(closes, F.array(chunk(held, state["begin"], state["of"]))).otherwise(none), F.when(wide, windows).otherwise(none))
+        now = F.when(wide, F.slice(t, 1, 0)).otherwise(F.concat(tail, F.when(F.size(tail) > 0, gap).otherwise(F.slice(gap, 1, 0)), t))
+        of = F.when(closes | ~open_, block["section"]).otherwise(state["of"])
+        return F.struct(done.alias("done"), now.alias("held"), F.when(wide, begin + n).otherwise(begin).alias("begin"), of.alias("of"))
+
+    first = F.element_at(blocks, 1)
+    start = F.struct(F.slice(F.array(chunk(first["t"], F.lit(0), first["section"])), 1, 0).alias("done"), F.slice(first["t"], 1, 0).alias("held"), F.lit(0).alias("begin"), first["section"].alias("of"))
+    return F.aggregate(blocks, start, put, lambda s: F.concat(s["done"], F.when(F.size(s["held"]) > 0, F.array(chunk(s["held"], s["begin"], s["of"]))).otherwise(F.slice(s["done"], 1, 0))))
 
 
 def section_chunks(docs: DataFrame, size: int = 400, overlap: int = 48, tokenizer=None) -> DataFrame:
     """(doc_id, chunk_id, chunk_index, start_index, end_index, n_tokens, section, content, content_hash) along a text's structure.
 
-    docs (doc_id, text) with line ends as they are; tokenizer is a providers.Tokenizer, words by default. A document is
-    read by one task, whole.
+    docs (doc_id, text) with line ends as they are; tokenizer is a providers.Tokenizer, words with the white space after them
+    by default, for which no row leaves the JVM. Blank chunks are left out; a document without blocks has none.
     """
-    import hashlib
-
     import pyarrow as pa
 
-    from ..providers import Words
-
-    tokenizer = tokenizer or Words()
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = [(tokenizer.decode(t).strip(), t, at, s) for t, at, s in packed_sections(text or "", size, overlap, tokenizer)]
-                for k, (content, t, at, s) in enumerate(x for x in found if x[0]):
-                    out.append((doc, f"{doc}::{k}", k, at, at + len(t), len(t), s, content, hashlib.sha256(content.encode()).hexdigest()))
-            kinds = (b.schema.types[0], pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            names = ["doc_id", "chunk_id", "chunk_index", "start_index", "end_index", "n_tokens", "section", "content", "content_hash"]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, chunk_id string, chunk_index int, start_index int, end_index int, n_tokens int, section string, content string, content_hash string")
+    from ..sources import files
+
+    rows = files.blocks(docs)
+    if tokenizer is None:
+        rows, gap = rows.withColumn("t", F.regexp_extract_all("block", F.lit(r"(?U)\S+\s*|\s+"), F.lit(0))), F.array(F.lit("\n\n"))
+    else:
+        one = pa.array([tokenizer.encode("\n\n")]).type  # tokens are words or numbers
+        kind = "string" if pa.types.is_string(one.value_type) else "long"
+
+        def encoded(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([tokenizer.encode(x) for x in b.column(3).to_pylist()], pa.list_(pa.string() if kind == "string" else pa.int64()))], [*b.schema.names, "t"])
+
+        schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pos int, section string, block string, t array<{kind}>"
+        rows, gap = rows.select("doc_id", "pos", "section", "block").mapInArrow(encoded, schema), F.array(*[F.lit(x) for x in tokenizer.encode("\n\n")]).cast(f"array<{kind}>")
+    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t", "section"))).alias("blocks"))
+    d = whole.select("doc_id", F.posexplode(packed(F.col("blocks"), gap, size, overlap)).alias("n", "c")).select("doc_id", "n", "c.*")
+    if tokenizer is None:
+        d = d.withColumn("content", F.array_join("t", ""))
+    else:
+
+        def decoded(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([tokenizer.decode(x) for x in b.column(2).to_pylist()], pa.string())], [*b.schema.names, "content"])
+
+        d = d.mapInArrow(decoded, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + ", content string")
+    d = d.withColumn("content", F.regexp_replace("content", r"(?U)^\s+|\s+$", "")).where("content <> ''")
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1
+    d = d.withColumn("chunk_index", k)
+    return d.select(
+        "doc_id", F.concat_ws("::", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", F.col("start").alias("start_index"), (F.col("start") + F.size("t")).alias("end_index"),
+        F.size("t").alias("n_tokens"), "section", "content", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"),
+    )
 
 
 def with_vectors(docs: DataFrame, chunks: DataFrame, embedder, batch: int = 64) -> DataFrame:

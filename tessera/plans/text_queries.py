@@ -242,6 +242,33 @@ def doc_upsert(spark, d):
     return corpus.upsert(x, x.where("doc_id % 5 = 0").withColumn("source", F.lit("new")), "doc_id")
 
 
+# a document's lines as paragraphs under a heading of its source; the fold over them by a recursion over their token counts
+_BLOCKS = r"""
+WITH RECURSIVE t AS (SELECT doc_id, '# ' || coalesce(source, '') || chr(10) || replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS t FROM documents),
+l AS (SELECT doc_id, trim(unnest(regexp_split_to_array(t, '\r\n|\n|\r')), ' ') AS b, generate_subscripts(regexp_split_to_array(t, '\r\n|\n|\r'), 1) AS pos FROM t),
+b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, len(regexp_extract_all(b, '\S+\s*|\s+'))::INTEGER AS n FROM l WHERE b <> ''),
+f AS (
+  SELECT doc_id, 0::BIGINT AS k, 0 AS held, 0 AS start, []::STRUCT(n INTEGER, pl INTEGER)[] AS made FROM t
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN n > 60 THEN 0 ELSE tail + (tail > 0)::INTEGER + n END, CASE WHEN n > 60 THEN pl + n ELSE pl END,
+    list_concat(CASE WHEN closes THEN [{'n': held, 'pl': start}] ELSE [] END, CASE WHEN n > 60 THEN list_transform(range(0, greatest(n - 10, 1), 50), lambda i: {'n': least(60, n - i)::INTEGER, 'pl': (pl + i)::INTEGER}) ELSE [] END)
+  FROM (SELECT *, CASE WHEN NOT closes THEN start ELSE start + held - tail END AS pl FROM (SELECT *, CASE WHEN NOT closes THEN held WHEN n > 60 THEN 0 ELSE least(held, 10) END AS tail FROM
+    (SELECT f.doc_id, b.k, f.held, f.start, b.n, f.held > 0 AND (b.n > 60 OR f.held + 1 + b.n > 60) AS closes FROM f JOIN b ON b.doc_id = f.doc_id AND b.k = f.k + 1)))
+), c AS (
+  SELECT doc_id, unnest(made) AS c FROM f
+  UNION ALL SELECT doc_id, {'n': held, 'pl': start} FROM f WHERE held > 0 AND k = (SELECT max(x.k) FROM f x WHERE x.doc_id = f.doc_id)
+)
+SELECT doc_id, count(*) AS n_chunks, sum(c.n)::BIGINT AS n_tokens, sum(c.pl)::BIGINT AS starts, max(c.n) AS longest FROM c GROUP BY doc_id"""
+
+
+@query(_BLOCKS)
+def section_chunks(spark, d):
+    x = table(spark, d, "documents")
+    apart = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n"))
+    c = corpus.section_chunks(x.select("doc_id", F.concat(F.lit("# "), F.coalesce("source", F.lit("")), F.lit("\n"), apart).alias("text")), 60, 10)
+    return c.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").cast("long").alias("n_tokens"), F.sum("start_index").cast("long").alias("starts"), F.max("n_tokens").alias("longest"))
+
+
 @query("SELECT l.doc_id, l.quality, d.lang, d.source FROM labels l JOIN documents d USING (doc_id)")
 def mandatory_meta_join(spark, d):
     return corpus.with_metadata(table(spark, d, "labels").select("doc_id", "quality"), table(spark, d, "documents").select("doc_id", "lang", "source"))
