@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import caching, corpus, guards, router, structured
-from .common import duck, query, rows, table, words_sql
+from .common import each, each_sql, duck, query, rows, table, words_sql
 from .text_queries import PRINT, ROOTS, SENT, STOP
 
 CT = f"list_filter(list_distinct({words_sql('text')}), lambda w: NOT list_contains({STOP}, w))"
@@ -57,20 +57,20 @@ _CITED = "list_distinct(list_concat(list_transform(regexp_extract_all(answer, '\
 
 
 @query(
-    f"SELECT id, array_to_string(list_sort(list_filter({_CITED}, lambda x: x BETWEEN 1 AND k)), ',') AS valid, array_to_string(list_sort(list_filter({_CITED}, lambda x: NOT x BETWEEN 1 AND k)), ',') AS invalid FROM {duck(ANSWERS)}"
+    f"SELECT id, array_to_string(list_sort(list_filter({_CITED}, lambda x: x BETWEEN 1 AND k)), ',') AS valid, array_to_string(list_sort(list_filter({_CITED}, lambda x: NOT x BETWEEN 1 AND k)), ',') AS invalid FROM {each_sql(ANSWERS, 'answer')}"
 )
 def citations_valid(spark, d):
     claimed = F.transform(F.filter(F.split("claimed", ","), lambda x: x != ""), lambda x: x.cast("int"))
     ok, bad = guards.citations(F.col("answer"), claimed, F.col("k"))
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return rows(spark, ANSWERS).select("id", join(ok).alias("valid"), join(bad).alias("invalid"))
+    return each(spark, d, ANSWERS, "answer").select("id", join(ok).alias("valid"), join(bad).alias("invalid"))
 
 
 @query(
-    f"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x BETWEEN 1 AND k), ',') AS used FROM (SELECT * FROM {duck(ANSWERS)} WHERE id <> 3) UNION ALL SELECT 3, '2,1'"
+    f"SELECT id, array_to_string(list_filter(list_filter(m, lambda x, i: list_position(m, x) = i), lambda x: x BETWEEN 1 AND k), ',') AS used FROM (SELECT id, k, list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: try_cast(x AS INTEGER)) AS m FROM {each_sql(ANSWERS, 'answer')})"
 )
 def marker_distinct(spark, d):
-    return rows(spark, ANSWERS).select("id", F.array_join(F.transform(caching.used_markers(F.col("answer"), F.col("k")), lambda x: x.cast("string")), ",").alias("used"))
+    return each(spark, d, ANSWERS, "answer").select("id", F.array_join(F.transform(caching.used_markers(F.col("answer"), F.col("k")), lambda x: x.cast("string")), ",").alias("used"))
 
 
 # a claim quotes words 3 to 14 of a passage of its question, of another passage, or words that stand nowhere

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import corpus
 from ..sources import files
-from .common import duck, query, rows, table, words_sql
+from .common import each, each_sql, duck, query, rows, table, words_sql
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 CLEAN = r"trim(regexp_replace(coalesce(text, ''), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))"
@@ -111,34 +111,34 @@ LABEL = (
     "lower(regexp_replace(regexp_replace(m, '" + REF + r"', '\1'), '\s+', ' ', 'g'))"
 ).replace("lower(", "replace(lower(", 1) + ", 'decreto legge', 'decreto-legge')"
 PART = lambda k: f"regexp_replace(m, '{REF}', '\\{k}')"
-REFS = f"SELECT id, unnest(regexp_extract_all(text, '{REF}')) AS m FROM {duck(LAWS)}"
+REFS = f"SELECT id, unnest(regexp_extract_all(text, '{REF}')) AS m FROM {each_sql(LAWS, 'text')}"
 LABELLED = f"SELECT DISTINCT id, {LABEL} || ' ' || CAST({PART(2)} AS INTEGER) || ' ' || lower({PART(3)}) || ' ' || {PART(4)} || ', n. ' || {PART(5)} AS label FROM ({REFS})"
 
 
 @query(LABELLED)
 def legal_refs(spark, d):
-    return rows(spark, LAWS).select("id", F.explode(T.references(F.col("text"))).alias("label"))
+    return each(spark, d, LAWS, "text").select("id", F.explode(T.references(F.col("text"))).alias("label"))
 
 
 @query(f"SELECT label, count(*) AS n_documents FROM ({LABELLED}) GROUP BY label HAVING count(*) >= 1")
 def norm_df(spark, d):
-    return corpus.norm_index(rows(spark, LAWS).withColumnRenamed("id", "doc_id"), 1)
+    return corpus.norm_index(each(spark, d, LAWS, "text").withColumnRenamed("id", "doc_id"), 1)
 
 
 @query(
     f"""SELECT id, len(list_filter(regexp_extract_all(regexp_replace(text, '(?i)(?:legge|decreto[-\\s]legge|decreto legislativo|decreto del Presidente[^,;]*)\\s+\\d{{1,2}}\\s+[\\p{{L}}\\p{{N}}_]+\\s+\\d{{4}},?\\s*n\\.?\\s*\\d+', ' ', 'g'), '\\d[\\d.,]*'),
-    lambda x: length(translate(x, '.,', '')) >= 2)) > 0 AS own FROM {duck(LAWS)}"""
+    lambda x: length(translate(x, '.,', '')) >= 2)) > 0 AS own FROM {each_sql(LAWS, 'text')}"""
 )
 def own_figure(spark, d):
-    return rows(spark, LAWS).select("id", T.own_figure(F.col("text")).alias("own"))
+    return each(spark, d, LAWS, "text").select("id", T.own_figure(F.col("text")).alias("own"))
 
 
 SPLIT = "(1, 'intel- ligenza del com- ma'), (2, 'Attri- Buzioni'), (3, 'a - b'), (4, 'x-y'), (5, 'perché- così') AS t(id, text)"
 
 
-@query(rf"SELECT id, regexp_replace(text, '([a-zà-ù])-\s+([a-zà-ù])', '\1\2', 'g') AS lower_only, regexp_replace(text, '([\p{{L}}\p{{N}}_])-\s+([\p{{L}}\p{{N}}_])', '\1\2', 'g') AS any_word FROM {duck(SPLIT)}")
+@query(rf"SELECT id, regexp_replace(text, '([a-zà-ù])-\s+([a-zà-ù])', '\1\2', 'g') AS lower_only, regexp_replace(text, '([\p{{L}}\p{{N}}_])-\s+([\p{{L}}\p{{N}}_])', '\1\2', 'g') AS any_word FROM {each_sql(SPLIT, 'text')}")
 def dehyphenate(spark, d):
-    return rows(spark, SPLIT).select("id", T.rejoined(F.col("text")).alias("lower_only"), T.rejoined_words(F.col("text")).alias("any_word"))
+    return each(spark, d, SPLIT, "text").select("id", T.rejoined(F.col("text")).alias("lower_only"), T.rejoined_words(F.col("text")).alias("any_word"))
 
 
 def _decoded(x: str) -> str:
@@ -166,38 +166,39 @@ def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", files.html_text(F.col("html")).alias("t")).select("page_id", F.md5(F.col("t").cast("binary")).alias("text"), F.length("t").cast("long").alias("n_chars"))
 
 
-STEMS = "('E670048'), ('E920001'), ('E990123_bis'), ('e000007'), ('E190004finale_1'), ('E200067'), ('E210075'), ('E660002'), ('nota'), ('X190001'), ('E19'), (''), ('E19000a') AS t(stem)"
+# names of acts and other names, of each document
+STEM = "concat(CASE doc_id % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'e' ELSE 'E' END, lpad(CAST(doc_id * 7 % 100 AS VARCHAR(9)), 2, '0'), lpad(CAST(doc_id % 10000 AS VARCHAR(9)), CASE WHEN doc_id % 9 = 4 THEN 2 ELSE 4 END, '0'), CASE doc_id % 4 WHEN 0 THEN '_bis' WHEN 1 THEN coalesce(source, '') ELSE '' END)"
 
 
 @query(
-    rf"""WITH x AS (SELECT stem, regexp_matches(stem, '^[Ee]\d{{6}}') AS ok FROM {duck(STEMS)}),
+    rf"""WITH x AS (SELECT stem, regexp_matches(stem, '^[Ee]\d{{6}}') AS ok FROM (SELECT {STEM} AS stem FROM documents)),
     y AS (SELECT stem, ok, CASE WHEN ok THEN CAST(substr(stem, 2, 2) AS INTEGER) END AS yy, CASE WHEN ok THEN CAST(substr(stem, 4, 4) AS INTEGER) END AS number FROM x),
     z AS (SELECT *, CASE WHEN yy >= 67 THEN 1900 + yy ELSE 2000 + yy END AS year FROM y)
     SELECT stem, CASE WHEN ok THEN 'E' || substr(stem, 2, 6) END AS code, number, year, CASE WHEN ok THEN CASE WHEN year >= 2021 THEN 'CIPESS' ELSE 'CIPE' END END AS body,
     CASE WHEN ok THEN 'Delibera ' || CASE WHEN year >= 2021 THEN 'CIPESS' ELSE 'CIPE' END || ' n. ' || number || '/' || year END AS title FROM z"""
 )
 def code_metadata(spark, d):
-    return rows(spark, STEMS).select("stem", *[c.alias(k) for k, c in corpus.code_fields(F.col("stem")).items()])
+    return table(spark, d, "documents").select(F.expr(STEM).alias("stem")).select("stem", *[c.alias(k) for k, c in corpus.code_fields(F.col("stem")).items()])
 
 
-PATHS = "('a/E190001.txt'), ('a/README.md'), ('card/01-x.md'), ('b/c.PDF'), ('b/c.docx'), ('b/d.HTM'), ('readme.MD'), ('b/e.markdown'), ('cardx/f.md') AS t(path)"
+PATH = "concat(CASE WHEN page_id % 7 = 0 THEN 'card/' WHEN page_id % 7 = 1 THEN 'cardx/' ELSE 'a/' END, CAST(page_id AS VARCHAR(9)), CASE page_id % 8 WHEN 0 THEN '.txt' WHEN 1 THEN '.PDF' WHEN 2 THEN '.docx' WHEN 3 THEN '.HTM' WHEN 4 THEN '/README.md' WHEN 5 THEN '.markdown' WHEN 6 THEN '/readme.MD' ELSE '.md' END)"
 
 
-@query(f"SELECT path FROM {duck(PATHS)} WHERE regexp_matches(lower(path), '\\.(pdf|md|markdown|html|htm|txt)$') AND lower(string_split(path, '/')[-1]) <> 'readme.md' AND NOT starts_with(path, 'card/')")
+@query(f"SELECT path FROM (SELECT {PATH} AS path FROM pages) WHERE regexp_matches(lower(path), '\\.(pdf|md|markdown|html|htm|txt)$') AND lower(string_split(path, '/')[-1]) <> 'readme.md' AND NOT starts_with(path, 'card/')")
 def path_filter(spark, d):
-    return rows(spark, PATHS).where(files.wanted(F.col("path"), "card"))
+    return table(spark, d, "pages").select(F.expr(PATH).alias("path")).where(files.wanted(F.col("path"), "card"))
 
 
 MD = "(1, 'intro' || chr(10) || '## second' || chr(10) || '# Title one' || chr(10) || '# Two'), (2, 'no heading'), (3, '   # Padded  ') AS t(id, text)"
 
 
-@query(f"SELECT id, coalesce(nullif(trim(regexp_extract(text, '(?m)^\\s*#\\s+(.+)$', 1)), ''), 'stem') AS title FROM {duck(MD)}")
+@query(f"SELECT id, coalesce(nullif(trim(regexp_extract(text, '(?m)^\\s*#\\s+(.+)$', 1)), ''), 'stem') AS title FROM {each_sql(MD, 'text')}")
 def markdown_title(spark, d):
-    return rows(spark, MD).select("id", files.markdown_title(F.col("text"), F.lit("stem")).alias("title"))
+    return each(spark, d, MD, "text").select("id", files.markdown_title(F.col("text"), F.lit("stem")).alias("title"))
 
 
 @query(
-    f"""WITH l AS (SELECT id AS doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM {duck(MD)}),
+    f"""WITH l AS (SELECT id AS doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM {each_sql(MD, 'text')}),
     h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+.+$') AS head, trim(line) = '' AS blank FROM l),
     g AS (SELECT *, sum(CASE WHEN head OR blank OR coalesce(p, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g,
       last_value(CASE WHEN head THEN trim(regexp_extract(line, '^(#{{1,6}})\\s+(.+)$', 2)) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section
@@ -205,7 +206,7 @@ def markdown_title(spark, d):
     SELECT doc_id, CAST(min(pos) AS INTEGER) AS pos, max(section) AS section, trim(string_agg(line, chr(10) ORDER BY pos)) AS block FROM g WHERE NOT blank GROUP BY doc_id, g"""
 )
 def block_sections(spark, d):
-    return files.blocks(rows(spark, MD).withColumnRenamed("id", "doc_id"))
+    return files.blocks(each(spark, d, MD, "text").withColumnRenamed("id", "doc_id"))
 
 
 SPANS = """(1, '  «La delibera approva il piano [2] finanziario…» '), (2, '"«nested quote» ..."'), (3, '... edge [1][2] end'), (4, '[...] kept'), (5, 'plain'), (6, ''), (7, '“curly” text'), (8, '„low high“') AS t(id, span)"""
@@ -218,16 +219,20 @@ def span_cleanup(spark, d):
     return rows(spark, SPANS).select("id", T.span_cleaned(F.col("span")).alias("span"))
 
 
-BOUNDS = "(1, 'una frase.', 'prima. una frase. dopo'), (2, 'frase', 'una frase lunga'), (3, 'inizio', 'inizio'), (4, 'manca', 'altro testo'), (5, 'fine', 'prima: fine; dopo') AS t(id, span, body)"
+# of each document the second sentence, a part of it, its first words, or what it doesn't hold
+BOUNDS = "SELECT doc_id AS id, {0} AS span, {1} AS body FROM documents"
+_SPAN = "CASE doc_id % 5 WHEN 0 THEN split_part({0}, '. ', 2) WHEN 1 THEN substr(split_part({0}, '. ', 2), 4, 30) WHEN 2 THEN substr({0}, 1, 25) WHEN 3 THEN 'no document holds this' ELSE concat(split_part({0}, '. ', 3), '.') END"
+_ONE = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 
 
 @query(
-    f"""WITH x AS (SELECT *, strpos(body, span) AS i FROM {duck(BOUNDS)}), y AS (SELECT *, ltrim(substr(body, i + length(span))) AS rest FROM x)
+    f"""WITH x AS (SELECT *, strpos(body, span) AS i FROM ({BOUNDS.format(_SPAN.format(_ONE), _ONE)}) WHERE span <> ''), y AS (SELECT *, ltrim(substr(body, i + length(span))) AS rest FROM x)
     SELECT id, CASE WHEN i = 0 THEN false ELSE (i = 1 OR (substr(body, i - 1, 1) = ' ' AND (i < 3 OR substr(body, i - 2, 1) IN ('.', '!', '?', ':', ';'))))
     AND (rest = '' OR right(span, 1) IN ('.', '!', '?', ':', ';') OR left(rest, 1) IN ('.', '!', '?', ':', ';')) END AS at_bounds FROM y"""
 )
 def boundary_diagnostic(spark, d):
-    return rows(spark, BOUNDS).select("id", T.at_sentence_bounds(F.col("span"), F.col("body")).alias("at_bounds"))
+    x = table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("body"))
+    return x.select(F.col("doc_id").alias("id"), F.expr(_SPAN.format("body")).alias("span"), "body").where("span <> ''").select("id", T.at_sentence_bounds(F.col("span"), F.col("body")).alias("at_bounds"))
 
 
 @query("SELECT doc_id, text, lang FROM documents WHERE doc_id % 3 <> 0")
@@ -291,12 +296,9 @@ def doc_meta_lookup(spark, d):
     return x.orderBy("doc_id").limit(1).select("doc_id", "lang", "source")
 
 
-QUESTIONS = "(1, 'q1', 'a', 'in'), (2, 'q2', 'b', 'out'), (3, 'q1', 'c', 'vaga') AS t(line_no, question, id, category)"
-
-
-@query(f"SELECT question, arg_max(id, line_no) AS id, arg_max(category, line_no) AS category FROM {duck(QUESTIONS)} GROUP BY question")
+@query(f"SELECT question, arg_max(id, line_no) AS id, arg_max(category, line_no) AS category FROM (SELECT conv_id * 100 + turn AS line_no, role AS question, md5(text) AS id, substr(text, 1, 8) AS category FROM conversations) GROUP BY question")
 def eval_index(spark, d):
-    return files.item_index(rows(spark, QUESTIONS))
+    return files.item_index(table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("line_no"), F.col("role").alias("question"), F.md5(F.col("text").cast("binary")).alias("id"), F.substring("text", 1, 8).alias("category")))
 
 
 _END = "CASE WHEN least(a + 1000, n) < n AND length(w) - instr(reverse(w), ' ') > 0 AND contains(w, ' ') THEN a + length(w) - instr(reverse(w), ' ') ELSE least(a + 1000, n) END"
