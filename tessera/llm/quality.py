@@ -1,7 +1,7 @@
 """Quality: a linear hinge-loss model over n-gram indicators scaled by their classes' log-count ratios.
 
-The n-grams are runs of one to three word shapes: a word's letter case, digits, and marks as they stand, with repeats of
-the word before it marked; they are hashed to a fixed number of features. The model is fitted by dual coordinate descent
+The n-grams are runs of one or two words, in lower case, and of one to three word shapes: a word's letter case, digits, and
+marks as they stand, with repeats of the word before it marked; they are hashed to a fixed number of features. The model is fitted by dual coordinate descent
 on a labelled sample with a bound on its rows and on its bytes; a logistic curve, fitted on a fifth of that sample that the model has not seen, turns its
 margin into a score. Only the text is an input of a score.
 Defined cases: null and empty texts have the bias feature alone and get its score; rows with a null doc_id are scored and
@@ -24,7 +24,7 @@ from .common import schema_with, table, tidied, tune
 from .learn import SAMPLE, dual_descent, labelled, platt
 
 FOLDS, HELD = 3, 1
-BITS = 18
+BITS = 20
 BIAS = 1 << BITS
 LONG = 64  # characters
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -47,7 +47,7 @@ def shape(word: str) -> str:
 
 
 class Grams:
-    """Sorted feature numbers of texts; the shapes of words that are not long are kept in a bounded cache."""
+    """Sorted feature numbers of texts; words that are not long are kept in a bounded cache, with their shapes."""
 
     def __init__(self, entries: int = 400_000):
         self.entries, self.cache = entries, {}
@@ -59,9 +59,11 @@ class Grams:
         cache = self.cache
         if len(cache) > self.entries:
             cache.clear()
-        new = {w: zlib.crc32(shape(w).encode("utf-8", "surrogatepass")) for w in set(words) if w not in cache}
+        code = lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass"))
+        new = {w: code(shape(w)) << 32 | code(w.lower()) for w in set(words) if w not in cache}
         cache.update(new)
-        s = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        both = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        own, s = (both & np.uint64(0xFFFFFFFF)) + np.uint64(1), both >> np.uint64(32)
         for w in new:
             if len(w) > LONG:
                 del cache[w]
@@ -69,7 +71,9 @@ class Grams:
         s = (s + np.uint64(1)) * PRIME
         two = (s[:-1] ^ (s[:-1] >> np.uint64(29))) * PRIME + s[1:]
         three = (two[:-1] ^ (two[:-1] >> np.uint64(31))) * PRIME + s[2:]
-        grams = np.unique(np.concatenate([s, two * np.uint64(3), three * np.uint64(5)]))
+        own *= np.uint64(0xC2B2AE3D27D4EB4F)
+        pair = (own[:-1] ^ (own[:-1] >> np.uint64(30))) * PRIME + own[1:]
+        grams = np.unique(np.concatenate([s, two * np.uint64(3), three * np.uint64(5), own * np.uint64(7), pair * np.uint64(9)]))
         return np.append(np.unique((grams ^ (grams >> np.uint64(32))) * PRIME >> np.uint64(64 - BITS)), BIAS).astype(np.int32)
 
 

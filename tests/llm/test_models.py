@@ -24,6 +24,19 @@ def test_held_out_accuracy(spark, op, column, held):
     assert (p == v).mean() >= (0.985 if column == "toxic" else 0.99) and auc(s, v) > (0.96 if column == "toxic" else 0.995)
 
 
+def test_a_label_that_vocabulary_alone_carries(spark):
+    """Shapes are the same on both sides: only the words tell."""
+    rng = np.random.default_rng(7)
+    sides = (["careful", "sourced", "report", "well", "method"], ["wonder", "miracle", "shocking", "buy", "trick"])
+    rows = [(k, " ".join(rng.choice([*sides[k % 2], "other", "words", "that", "both", "hold"], 30)), k % 2) for k in range(600)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    grams = quality.Grams()
+    assert list(grams.of("careful")) != list(grams.of("miracle")) and quality.shape("careful") == quality.shape("miracle")
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, quality.train(docs, labels)).collect()}
+    held = [k for k in range(600) if zlib.crc32(str(k).encode()) % 3 == 1]
+    assert np.mean([(got[k] >= 0.5) == k % 2 for k in held]) > 0.98
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_messy_empty_and_unlabelled(spark, messy, none, module):
     column = "toxic" if module is toxicity else "quality"
