@@ -153,13 +153,17 @@ SIGNALS = (
 )
 
 
-@query(SIGNALS + " SELECT query_id, forma_conteggio, forma_massa, oggetto_coperto, delibera_specifica, anni_multipli, forma_meta, oggetto_corpus FROM r")
+# the questions, each before a document's text
+EACH_SIGNALS = SIGNALS.replace(duck(ASKED), each_sql(ASKED, "text", id="query_id"))
+
+
+@query(EACH_SIGNALS + " SELECT query_id, forma_conteggio, forma_massa, oggetto_coperto, delibera_specifica, anni_multipli, forma_meta, oggetto_corpus FROM r")
 def router_signals(spark, d):
-    return router.routed(rows(spark, ASKED)).select("query_id", *router.signals(F.col("text")))
+    return router.routed(each(spark, d, ASKED, "text", id="query_id")).select("query_id", *router.signals(F.col("text")))
 
 
 @query(
-    SIGNALS
+    EACH_SIGNALS
     + rf""" SELECT query_id, route, CASE WHEN route = 'structured' THEN CASE WHEN byy THEN 'count_by_year' WHEN lst THEN 'list_delibere' ELSE 'count_delibere' END END AS intent,
     CASE WHEN route = 'uncovered' THEN CASE WHEN oggetto_coperto AND (forma_conteggio OR lst) AND anni_multipli THEN '{router.MANY_YEARS}' ELSE '{router.NO_AMOUNTS}' END END AS reason,
     CASE WHEN route = 'structured' AND NOT has AND len(ys) = 1 THEN ys[1] END AS anno, CASE WHEN route = 'structured' AND has THEN CAST(regexp_extract(x, '{_RNG}', 1) AS INTEGER) END AS anno_da,
@@ -167,12 +171,12 @@ def router_signals(spark, d):
     CASE WHEN route = 'structured' THEN CASE WHEN regexp_matches(x, '(?i)\bcipess\b') THEN 'CIPESS' WHEN regexp_matches(x, '(?i)\bcipe\b') THEN 'CIPE' END END AS comitato FROM r"""
 )
 def router_route(spark, d):
-    return router.routed(rows(spark, ASKED)).select("query_id", "route", "intent", "reason", "anno", "anno_da", "anno_a", "comitato")
+    return router.routed(each(spark, d, ASKED, "text", id="query_id")).select("query_id", "route", "intent", "reason", "anno", "anno_da", "anno_a", "comitato")
 
 
-@query(SIGNALS + " SELECT route, count(*) AS n FROM r GROUP BY route")
+@query(EACH_SIGNALS + " SELECT route, count(*) AS n FROM r GROUP BY route")
 def route_union(spark, d):
-    r = router.routed(rows(spark, ASKED)).select("query_id", "route")
+    r = router.routed(each(spark, d, ASKED, "text", id="query_id")).select("query_id", "route")
     parts = [r.where(F.col("route") == k) for k in router.ROUTES]
     out = parts[0]
     for p in parts[1:]:
@@ -180,12 +184,12 @@ def route_union(spark, d):
     return out.groupBy("route").agg(F.count("*").alias("n"))
 
 
-@query(SIGNALS + rf""" SELECT query_id, array_to_string(CASE WHEN has THEN list_filter(ys, lambda v: v <> CAST(regexp_extract(x, '{_RNG}', 1) AS INTEGER) AND v <> CAST(regexp_extract(x, '{_RNG}', 2) AS INTEGER)) ELSE ys END, ',') AS loose FROM r""")
+@query(EACH_SIGNALS + rf""" SELECT query_id, array_to_string(CASE WHEN has THEN list_filter(ys, lambda v: v <> CAST(regexp_extract(x, '{_RNG}', 1) AS INTEGER) AND v <> CAST(regexp_extract(x, '{_RNG}', 2) AS INTEGER)) ELSE ys END, ',') AS loose FROM r""")
 def year_difference(spark, d):
     t = F.coalesce("text", F.lit(""))
     ends = F.array(F.regexp_extract(t, router.RANGE, 1).try_cast("int"), F.regexp_extract(t, router.RANGE, 2).try_cast("int"))
     left = F.when(t.rlike(router.RANGE), F.array_except(T.years(t), ends)).otherwise(T.years(t))
-    return rows(spark, ASKED).select("query_id", F.array_join(F.transform(left, lambda x: x.cast("string")), ",").alias("loose"))
+    return each(spark, d, ASKED, "text", id="query_id").select("query_id", F.array_join(F.transform(left, lambda x: x.cast("string")), ",").alias("loose"))
 
 
 PROPOSED = """(1, '{"route":"structured","intent":"count_delibere","params":{"anno":2019}}', 'pointwise'), (2, '{"route":"meta"}', 'pointwise'), (3, '{broken', 'uncovered'), (4, '["structured"]', 'pointwise'),
@@ -196,7 +200,7 @@ PROPOSED = """(1, '{"route":"structured","intent":"count_delibere","params":{"an
 
 
 @query(
-    f"""WITH p AS (SELECT *, CASE WHEN json_valid(raw) AND starts_with(ltrim(raw), '{{') THEN raw END AS j FROM {duck(PROPOSED)}),
+    f"""WITH p AS (SELECT *, CASE WHEN json_valid(raw) AND starts_with(ltrim(raw), '{{') THEN raw END AS j FROM {each_sql(PROPOSED, id="query_id")}),
     v AS (SELECT *, json_extract_string(j, '$.route') AS r, json_extract_string(j, '$.intent') AS i, json_extract_string(j, '$.params.anno') AS a, json_extract_string(j, '$.params.anno_da') AS f, json_extract_string(j, '$.params.anno_a') AS t,
       upper(trim(json_extract_string(j, '$.params.comitato'))) AS b FROM p),
     n AS (SELECT *, try_cast(a AS INTEGER) AS ai, try_cast(f AS INTEGER) AS fi, try_cast(t AS INTEGER) AS ti FROM v),
@@ -207,7 +211,7 @@ PROPOSED = """(1, '{"route":"structured","intent":"count_delibere","params":{"an
     CASE WHEN ok AND r = 'structured' THEN fi END AS anno_da, CASE WHEN ok AND r = 'structured' THEN ti END AS anno_a, CASE WHEN ok AND r = 'structured' THEN b END AS comitato FROM k"""
 )
 def param_sanitise(spark, d):
-    return router.proposed(rows(spark, PROPOSED)).drop("intent", "error")
+    return router.proposed(each(spark, d, PROPOSED, id="query_id")).drop("intent", "error")
 
 
 def _acts(spark, d):
@@ -355,16 +359,20 @@ def meta_passages(spark, d):
     return structured.meta_passages(rows(spark, CARD), _acts(spark, d)).drop("source")
 
 
-@query(f"SELECT * FROM (VALUES (1, '{structured.REFUSALS[router.NO_AMOUNTS]}'), (2, '{structured.REFUSALS[router.MANY_YEARS]}'), (3, '{structured.REFUSALS[router.NO_AMOUNTS]}')) AS t(id, text)")
+REASONS = f"(1, CAST(NULL AS STRING)), (2, '{router.MANY_YEARS}'), (3, 'unknown') AS t(id, reason)"
+
+
+@query(f"SELECT id, CASE WHEN reason = '{router.MANY_YEARS}' THEN '{structured.REFUSALS[router.MANY_YEARS]}' ELSE '{structured.REFUSALS[router.NO_AMOUNTS]}' END AS text FROM {each_sql(REASONS)}")
 def refusal_text(spark, d):
-    reasons = rows(spark, f"(1, CAST(NULL AS STRING)), (2, '{router.MANY_YEARS}'), (3, 'unknown') AS t(id, reason)")
-    texts = F.create_map(*[F.lit(x) for k in structured.REFUSALS.items() for x in k])
-    return reasons.select("id", F.coalesce(F.try_element_at(texts, F.coalesce("reason", F.lit(router.NO_AMOUNTS))), F.lit(structured.REFUSALS[router.NO_AMOUNTS])).alias("text"))
+    from . import ask
+
+    r = each(spark, d, REASONS).select(F.col("id").alias("query_id"), "reason", F.lit("uncovered").alias("route"), *[F.lit(None).cast(ask.COLUMNS[k]).alias(k) for k in ask.PASSED[1:]])
+    return ask._uncovered(r).select(F.col("query_id").alias("id"), F.col("answer").alias("text"))
 
 
 RAW = r"""(1, '{"answer": "tutto bene [1]", "claims": []}'), (2, '{"answer": "tagliato a metà", "claims": [{"statement": "x'), (3, '{"answer": "tagliato qui'), (4, 'nessun campo '), (5, '') AS t(id, raw)"""
 
 
-@query(f"""SELECT id, CASE WHEN regexp_matches(raw, '"answer"\\s*:\\s*"') THEN trim(regexp_extract(raw, '"answer"\\s*:\\s*"([^"]*)', 1)) ELSE trim(raw) END AS answer FROM {duck(RAW)}""")
+@query(f"""SELECT id, CASE WHEN regexp_matches(raw, '"answer"\\s*:\\s*"') THEN trim(regexp_extract(raw, '"answer"\\s*:\\s*"([^"]*)', 1)) ELSE trim(raw) END AS answer FROM {each_sql(RAW, "raw")}""")
 def json_salvage(spark, d):
-    return rows(spark, RAW).select("id", T.salvaged(F.col("raw")).alias("answer"))
+    return each(spark, d, RAW, "raw").select("id", T.salvaged(F.col("raw")).alias("answer"))

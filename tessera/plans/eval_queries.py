@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import caching, evaluation, guards, judging
+from ..sources import files
 from ..streaming import audit as stream
 from . import run_eval
-from .common import duck, query, rows, table
+from .common import duck, each, each_sql, query, rows, table
 
 # answers made of events: the kind of event is the category, k of the props the tokens
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -107,24 +108,25 @@ def set_union_conditions(spark, d):
     return x.where("condition = 'off'").unionByName(x.where("condition = 'on'"))
 
 
+EVENTS = {"source": "events", "key": "event_id", "text": "props"}
 RECORDS = """(1, true, true, false, '', ''), (2, false, true, true, '', ''), (3, false, false, true, 'hit', ''), (4, false, false, false, ' text ', ''), (5, CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN), '', '{"answer": "from raw"}'),
 (6, false, false, false, '', 'plain raw'), (7, false, false, false, '', '') AS t(id, refused, uncertain, from_cache, answer_text, raw_output)"""
 _TYPE = "CASE WHEN refused THEN 'rifiuto' WHEN uncertain THEN 'astensione' WHEN from_cache THEN 'hit-cache' ELSE 'risposta' END"
 
 
-@query(f"SELECT id, {_TYPE} AS kind FROM {duck(RECORDS)}")
+@query(f"SELECT id, {_TYPE} AS kind FROM {each_sql(RECORDS, **EVENTS)}")
 def record_type(spark, d):
-    return rows(spark, RECORDS).select("id", evaluation.record_type(F.col("refused"), F.col("uncertain"), F.col("from_cache")).alias("kind"))
+    return each(spark, d, RECORDS, **EVENTS).select("id", evaluation.record_type(F.col("refused"), F.col("uncertain"), F.col("from_cache")).alias("kind"))
 
 
-@query(f"SELECT id FROM {duck(RECORDS)} WHERE {_TYPE} IN ('risposta', 'hit-cache')")
+@query(f"SELECT id FROM {each_sql(RECORDS, **EVENTS)} WHERE {_TYPE} IN ('risposta', 'hit-cache')")
 def judgeable(spark, d):
-    return rows(spark, RECORDS).where(evaluation.record_type(F.col("refused"), F.col("uncertain"), F.col("from_cache")).isin("risposta", "hit-cache")).select("id")
+    return each(spark, d, RECORDS, **EVENTS).where(evaluation.record_type(F.col("refused"), F.col("uncertain"), F.col("from_cache")).isin("risposta", "hit-cache")).select("id")
 
 
-@query(f"SELECT id, {_TYPE} AS tipo, '' AS fedele, CASE id WHEN 3 THEN 'hit' WHEN 4 THEN 'text' WHEN 5 THEN 'from raw' WHEN 6 THEN 'plain raw' ELSE '' END AS risposta FROM {duck(RECORDS)}")
+@query(f"SELECT id, {_TYPE} AS tipo, '' AS fedele, CASE id % 7 + 1 WHEN 3 THEN 'hit' WHEN 4 THEN 'text' WHEN 5 THEN 'from raw' WHEN 6 THEN 'plain raw' ELSE '' END AS risposta FROM {each_sql(RECORDS, **EVENTS)}")
 def form_rows(spark, d):
-    return rows(spark, RECORDS).select("id", evaluation.record_type(F.col("refused"), F.col("uncertain"), F.col("from_cache")).alias("tipo"), F.lit("").alias("fedele"), evaluation.answer_text(F.col("answer_text"), F.col("raw_output")).alias("risposta"))
+    return each(spark, d, RECORDS, **EVENTS).select("id", evaluation.record_type(F.col("refused"), F.col("uncertain"), F.col("from_cache")).alias("tipo"), F.lit("").alias("fedele"), evaluation.answer_text(F.col("answer_text"), F.col("raw_output")).alias("risposta"))
 
 
 # a form of labelled documents: quality is the verdict, doc_id decides marks and causes
@@ -157,35 +159,12 @@ def human_fidelity(spark, d):
     return evaluation.fidelity(_form(spark, d))
 
 
-BANDS = "(1, 0.949D), (2, 0.95D), (3, 0.849D), (4, 0.85D), (5, CAST(NULL AS DOUBLE)), (6, 1.0D) AS t(id, rate)"
+_RATE = "CASE WHEN event_id % 50 <> 0 THEN CAST(event_id % 1001 AS DOUBLE) / 1000 END"
 
 
-@query(f"SELECT id, CASE WHEN rate IS NULL THEN 'INSUFFICIENTE' WHEN rate >= 0.95 THEN 'ALTA' WHEN rate >= 0.85 THEN 'MEDIA' ELSE 'BASSA' END AS band FROM {duck(BANDS.replace('D)', ')'))}")
+@query(f"SELECT id, CASE WHEN rate IS NULL THEN 'INSUFFICIENTE' WHEN rate >= 0.95 THEN 'ALTA' WHEN rate >= 0.85 THEN 'MEDIA' ELSE 'BASSA' END AS band FROM (SELECT event_id AS id, {_RATE} AS rate FROM events)")
 def fidelity_band(spark, d):
-    return rows(spark, BANDS).select("id", T.band(F.col("rate")).alias("band"))
-
-
-FP = r"substr(sha256(trim(regexp_replace(source || chr(10) || text, '\s+', ' ', 'g'))), 1, 16)"
-JUDGED = f"h AS (SELECT {FP} AS fp, 'run-' || (doc_id % 7) AS run_id, CASE WHEN quality = 1 THEN 'sì' ELSE 'no' END AS fedele, doc_id FROM labels JOIN documents USING (doc_id) WHERE doc_id % 9 <> 0), l AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY run_id DESC, doc_id DESC) AS r FROM h WHERE run_id <> 'run-3')"
-
-
-def _judged(spark, d):
-    x = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
-    blank = F.lit("")
-    verdict = F.when(F.col("doc_id") % 9 == 0, "").when(F.col("quality") == 1, "sì").otherwise("no")
-    x = x.select(F.concat(F.lit("run-"), (F.col("doc_id") % 7).cast("string")).alias("run_id"), F.col("source").alias("domanda"), F.col("text").alias("risposta"), verdict.alias("fedele"), *[blank.alias(c) for c in ("causa", "citazione_corretta", "italiano_1_5", "note")], F.col("doc_id").alias("row_no"))
-    return evaluation.latest_judgements(x, "run-3")
-
-
-@query(f"WITH {JUDGED} SELECT fp, run_id, fedele FROM l WHERE r = 1")
-def judgement_latest(spark, d):
-    return _judged(spark, d).select("fp", "run_id", "fedele")
-
-
-@query(f"WITH {JUDGED} SELECT doc_id, coalesce(x.run_id, '') AS ereditato_da, coalesce(x.fedele, '') AS fedele FROM documents q LEFT JOIN (SELECT fp, run_id, fedele FROM l WHERE r = 1) x ON x.fp = {FP.replace('source', 'q.source').replace('text', 'q.text')}")
-def judgement_inherit(spark, d):
-    form = table(spark, d, "documents").select("doc_id", F.col("source").alias("domanda"), F.col("text").alias("risposta"), *[F.lit("").alias(c) for c in ("fedele", "causa", "citazione_corretta", "italiano_1_5", "note", "ereditato_da")])
-    return evaluation.inherited(form, _judged(spark, d)).select("doc_id", "ereditato_da", "fedele")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.expr(_RATE).alias("rate")).select("id", T.band(F.col("rate")).alias("band"))
 
 
 CAL = "c AS (SELECT event_type AS category, value AS score FROM events WHERE value IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score) - 1 AS r, count(*) OVER (PARTITION BY category) AS n FROM c)"
@@ -196,12 +175,14 @@ def threshold_calibration(spark, d):
     return evaluation.calibration(table(spark, d, "events").where("value IS NOT NULL").select(F.col("event_type").alias("category"), F.col("value").alias("score")))[0]
 
 
-SCORES = "('in_corpus', 0.81D), ('in_corpus', 0.9D), ('out_of_corpus', 0.7D), ('out_of_corpus', 0.74D), ('vaga', 0.1D) AS t(category, score)"
+_CATEGORY = "CASE event_id % 3 WHEN 0 THEN 'in_corpus' WHEN 1 THEN 'out_of_corpus' ELSE 'vaga' END"
+_SCORE = "CASE event_id % 3 WHEN 0 THEN CAST(0.8 AS DOUBLE) + value / 100000 ELSE CAST(0.7 AS DOUBLE) + value / 100000 END"
 
 
-@query("SELECT 0.81::DOUBLE AS least_inside, 0.74::DOUBLE AS most_outside, 0.78::DOUBLE AS threshold")
+@query(f"""SELECT min(score) FILTER (category = 'in_corpus') AS least_inside, max(score) FILTER (category = 'out_of_corpus') AS most_outside,
+    round_even((min(score) FILTER (category = 'in_corpus') + max(score) FILTER (category = 'out_of_corpus')) / 2, 2) AS threshold FROM (SELECT {_CATEGORY} AS category, {_SCORE} AS score FROM events WHERE value IS NOT NULL)""")
 def threshold_proposal(spark, d):
-    return evaluation.calibration(rows(spark, SCORES))[1]
+    return evaluation.calibration(table(spark, d, "events").where("value IS NOT NULL").select(F.expr(_CATEGORY).alias("category"), F.expr(_SCORE).alias("score")))[1]
 
 
 @query(
@@ -256,13 +237,15 @@ def judge_items(spark, d):
     return judging.shown_passages(*_audit(spark))
 
 
-INDEXED = "('q1', 'a', 'in') AS t(question, id, category)"
-
-
-@query(f"SELECT record_id, query, coalesce(i.id, '') AS id, coalesce(category, '') AS category FROM {duck(AUDIT.replace('array(', 'list_value(').replace('array<string>', 'VARCHAR[]'))} a LEFT JOIN {duck(INDEXED)} i ON i.question = a.query")
+@query(
+    """WITH t AS (SELECT conv_id * 1000 + turn AS record_id, text AS query, role, turn FROM conversations),
+    i AS (SELECT query AS question, arg_max('i' || record_id, record_id) AS id, arg_max(role, record_id) AS category FROM t WHERE turn % 2 = 0 GROUP BY query)
+    SELECT record_id, query, coalesce(id, '') AS id, coalesce(category, '') AS category FROM t LEFT JOIN i ON question = query"""
+)
 def audit_items(spark, d):
-    index = rows(spark, INDEXED)
-    return judging.identified(_audit(spark)[0], index).select("record_id", "query", "id", "category")
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"), F.col("text").alias("query"), F.col("role").alias("category"), "turn")
+    index = files.item_index(t.where("turn % 2 = 0").select(F.col("record_id").alias("line_no"), F.col("query").alias("question"), F.concat(F.lit("i"), F.col("record_id").cast("string")).alias("id"), "category"))
+    return judging.identified(t.select("record_id", "query"), index).select("record_id", "query", "id", "category")
 
 
 @query("SELECT item_id AS record_id, 0 AS pos, sha256(text) AS hash FROM benchmark")
@@ -271,19 +254,20 @@ def cited_hashes(spark, d):
     return judging.cited_hashes(b.select("record_id", F.array("chunk_id", F.lit("gone")).alias("cited_chunk_ids")), b)
 
 
-CLAIMED = "(1, 's', 'v0'), (1, 't', 'v1'), (2, 's', CAST(NULL AS STRING)) AS t(record_id, statement, verbatim)"
-
-
-OUTCOME = "(1, 's', 0, 'first', 'non_trovato', CAST(NULL AS INT)), (1, 's', 1, 'clean', 'valido', 2) AS t(record_id, statement, pos, verbatim, outcome, matched_passage)"
+CLAIMED = "SELECT doc_id AS record_id, concat('s', CAST(doc_id % 2 AS VARCHAR(3))) AS statement, CASE WHEN doc_id % 4 <> 0 THEN substr(text, 1, 20) END AS verbatim FROM {0}"
+#: Outcomes of two checks, the second of some claims only.
+OUTCOME = """SELECT doc_id AS record_id, concat('s', CAST(doc_id % 2 AS VARCHAR(3))) AS statement, 0 AS pos, substr(text, 3, 9) AS verbatim, 'non_trovato' AS outcome, CAST(NULL AS INTEGER) AS matched_passage FROM {0} WHERE doc_id % 3 <> 0
+UNION ALL SELECT doc_id, concat('s', CAST(doc_id % 2 AS VARCHAR(3))), 1, CASE WHEN doc_id % 5 <> 0 THEN substr(text, 2, 18) ELSE '' END, 'valido', CAST(doc_id % 4 AS INTEGER) FROM {0} WHERE doc_id % 6 = 1"""
 
 
 @query(
-    f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY record_id, statement ORDER BY pos DESC) AS r FROM {duck(OUTCOME)})
+    f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY record_id, statement ORDER BY pos DESC) AS r FROM ({OUTCOME.format('documents')}))
     SELECT c.record_id, c.statement, coalesce(nullif(o.verbatim, ''), c.verbatim, '') AS verbatim, coalesce(o.outcome, '') AS outcome, o.matched_passage
-    FROM {duck(CLAIMED)} c LEFT JOIN o ON o.record_id = c.record_id AND o.statement = c.statement AND r = 1"""
+    FROM ({CLAIMED.format('documents')}) c LEFT JOIN o ON o.record_id = c.record_id AND o.statement = c.statement AND r = 1"""
 )
 def claims_outcomes(spark, d):
-    return judging.shown_claims(rows(spark, CLAIMED), rows(spark, OUTCOME))
+    docs = table(spark, d, "documents")
+    return judging.shown_claims(spark.sql(CLAIMED.format("{docs}"), docs=docs), spark.sql(OUTCOME.format("{docs}"), docs=docs))
 
 
 @query(f"WITH {FORM} SELECT 'd' || doc_id AS key, CASE WHEN doc_id = 10 THEN 'no' ELSE fedele END AS fedele, causa, citazione_corretta, italiano_1_5, '' AS note, CASE WHEN doc_id = 10 THEN '' ELSE ereditato_da END AS ereditato_da FROM f")
@@ -302,20 +286,21 @@ def verdicts(spark, d):
     return _answers(spark, d).select("id", judging.verdict().alias("verdict"))
 
 
-SERVED = "(1, 1, false), (2, 2, false), (3, 3, false), (4, 4, true), (5, 5, false), (6, 6, false) AS t(query_id, seq, refused)"
-
-
-SIMILAR = "(2, 1, 0.95D), (3, 2, 0.97D), (5, 4, 0.99D), (6, 5, 0.93D), (6, 4, 0.98D), (1, 2, 0.95D), (6, 1, 0.5D) AS t(query_id, other_id, similarity)"
+# a turn is near some turns before it in its conversation; every fourth answer is refused
+SERVED = "SELECT conv_id * 1000 + turn AS query_id, conv_id * 1000 + turn AS seq, (conv_id + turn) % 4 = 3 AS refused FROM {0}"
+SIMILAR = """SELECT a.conv_id * 1000 + a.turn AS query_id, a.conv_id * 1000 + b.turn AS other_id, CAST(88 + (a.turn * 3 + b.turn * 5 + a.conv_id) % 12 AS DOUBLE) / 100 AS similarity
+FROM {0} a JOIN {0} b ON a.conv_id = b.conv_id AND b.turn < a.turn"""
 
 
 @query(
-    f"""WITH RECURSIVE q AS (SELECT * FROM {duck(SERVED)}), near AS (SELECT * FROM {duck(SIMILAR.replace('D)', ')'))} WHERE similarity >= 0.92),
-    one AS (SELECT q.query_id, q.seq, q.refused, list({{'o': other_id, 's': similarity}}) FILTER (other_id IS NOT NULL) AS others FROM q LEFT JOIN near ON near.query_id = q.query_id GROUP BY ALL),
-    w AS (SELECT 0 AS seq, 0 AS query_id, CAST(NULL AS INTEGER) AS served_by, CAST([] AS INTEGER[]) AS stored
-      UNION ALL SELECT seq, query_id, hit, CASE WHEN hit IS NULL AND NOT refused THEN list_append(stored, query_id) ELSE stored END FROM (
-        SELECT one.seq, one.query_id, one.refused, w.stored, list_sort(list_transform(list_filter(coalesce(others, []), lambda x: list_contains(w.stored, x.o)), lambda x: {{'s': -x.s, 'o': x.o}}))[1].o AS hit FROM w JOIN one ON one.seq = w.seq + 1))
-    SELECT query_id, served_by IS NOT NULL AS from_cache_semantic, served_by FROM w WHERE seq > 0"""
+    f"""WITH RECURSIVE q AS ({SERVED.format('conversations')}), near AS (SELECT * FROM ({SIMILAR.format('conversations')}) WHERE similarity >= 0.92),
+    one AS (SELECT q.query_id, q.refused, list({{'o': other_id, 's': similarity}}) FILTER (other_id IS NOT NULL) AS others FROM q LEFT JOIN near ON near.query_id = q.query_id GROUP BY ALL),
+    w AS (SELECT DISTINCT conv_id * 1000 - 1 AS query_id, CAST(NULL AS BIGINT) AS served_by, CAST([] AS BIGINT[]) AS stored FROM conversations
+      UNION ALL SELECT query_id, hit, CASE WHEN hit IS NULL AND NOT refused THEN list_append(stored, query_id) ELSE stored END FROM (
+        SELECT one.query_id, one.refused, w.stored, list_sort(list_transform(list_filter(coalesce(others, []), lambda x: list_contains(w.stored, x.o)), lambda x: {{'s': -x.s, 'o': x.o}}))[1].o AS hit FROM w JOIN one ON one.query_id = w.query_id + 1))
+    SELECT query_id, served_by IS NOT NULL AS from_cache_semantic, served_by FROM w WHERE query_id >= 0 AND query_id % 1000 <> 999"""
 )
 def cache_conditions(spark, d):
-    near = rows(spark, SIMILAR)
-    return run_eval.served(rows(spark, SERVED), near, 0.92).select("query_id", "from_cache_semantic", "served_by")
+    x = table(spark, d, "conversations")
+    near = spark.sql(SIMILAR.format("{x}"), x=x)
+    return run_eval.served(spark.sql(SERVED.format("{x}"), x=x), near, 0.92).select("query_id", "from_cache_semantic", "served_by")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ann, caching, retrieval
 from ..session import shared_dir
-from .common import duck, query, rows, table, words_sql
+from .common import each, each_sql, query, rows, table, words_sql
 from .text_queries import ROOTS, STOP
 
 # query k is the vector of row 20 * k and the text of item k
@@ -218,12 +218,14 @@ def meta_cache_key(spark, d):
     return x.select("item_id", caching.meta_key(F.lit("v1"), F.lit("c1"), F.lit("m1"), F.col("text")).alias("key"), caching.semantic_id(F.lit("v1"), F.col("text")).alias("semantic_id"))
 
 
-ENTRIES = "('k1', 'v1', 'c1', 'm1'), ('k2', 'v0', 'c1', 'm1'), ('k3', 'v1', 'c2', 'm1'), ('k4', 'v1', 'c1', 'm2'), ('k5', CAST(NULL AS STRING), 'c1', 'm1') AS t(key, corpus_version, card_hash, model)"
+# an entry of each turn: most of this corpus, card and model
+ENTRIES = """SELECT concat('k', CAST(conv_id AS VARCHAR(20)), '-', CAST(turn AS VARCHAR(20))) AS key, CASE conv_id % 5 WHEN 0 THEN 'v0' WHEN 1 THEN NULL ELSE 'v1' END AS corpus_version,
+CASE turn % 4 WHEN 3 THEN 'c2' ELSE 'c1' END AS card_hash, CASE role WHEN 'system' THEN 'm2' ELSE 'm1' END AS model FROM {0}"""
 
 
-@query(f"SELECT key, coalesce(corpus_version = 'v1' AND card_hash = 'c1' AND model = 'm1', false) AS kept FROM {duck(ENTRIES)}")
+@query(f"SELECT key, coalesce(corpus_version = 'v1' AND card_hash = 'c1' AND model = 'm1', false) AS kept FROM ({ENTRIES.format('conversations')})")
 def cache_purge(spark, d):
-    kept, gone = caching.purged(rows(spark, ENTRIES), "v1", "c1", "m1")
+    kept, gone = caching.purged(spark.sql(ENTRIES.format("{turns}"), turns=table(spark, d, "conversations")), "v1", "c1", "m1")
     return kept.select("key", F.lit(True).alias("kept")).unionByName(gone.select("key", F.lit(False).alias("kept")))
 
 
@@ -242,15 +244,15 @@ def numbered_context(spark, d):
     return caching.numbered(table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("n"), F.col("role").alias("source"), F.col("text").alias("content")))
 
 
-CACHED = """('a', '["x","y"]', '[{"statement":"s","passages":[1,2],"verbatim":"v"}]'), ('b', 'broken', '[]'), ('c', CAST(NULL AS STRING), 'no') AS t(id, cited, claims)"""
+CACHED = """(1, '["x","y"]', '[{"statement":"s","passages":[1,2],"verbatim":"v"}]'), (2, 'broken', '[]'), (3, CAST(NULL AS STRING), 'no') AS t(id, cited, claims)"""
 
 
 @query(
     f"""SELECT id, CASE WHEN json_type(TRY_CAST(cited AS JSON)) = 'ARRAY' THEN array_to_string(CAST(TRY_CAST(cited AS JSON) AS VARCHAR[]), ',') ELSE '' END AS cited,
-    CASE WHEN json_type(TRY_CAST(claims AS JSON)) = 'ARRAY' THEN CAST(json_array_length(TRY_CAST(claims AS JSON)) AS INTEGER) ELSE 0 END AS n_claims FROM {duck(CACHED)}"""
+    CASE WHEN json_type(TRY_CAST(claims AS JSON)) = 'ARRAY' THEN CAST(json_array_length(TRY_CAST(claims AS JSON)) AS INTEGER) ELSE 0 END AS n_claims FROM {each_sql(CACHED)}"""
 )
 def cached_lists(spark, d):
-    return caching.cached_lists(rows(spark, CACHED)).select("id", F.array_join("cited", ",").alias("cited"), F.size("claims").alias("n_claims"))
+    return caching.cached_lists(each(spark, d, CACHED)).select("id", F.array_join("cited", ",").alias("cited"), F.size("claims").alias("n_claims"))
 
 
 DOCMETA = """(1, '{"name":"a.txt","author":"z"}', 'document_metadata=x;k=v'), (2, CAST(NULL AS STRING), 'k=v'), (3, 'oops', 'document_metadata=x'), (4, '{"name":"b"}', 'j=1;document_metadata=2;k=3') AS t(id, meta, m)"""
@@ -258,9 +260,9 @@ DOCMETA = """(1, '{"name":"a.txt","author":"z"}', 'document_metadata=x;k=v'), (2
 
 @query(
     f"""SELECT id, coalesce(json_extract_string(TRY_CAST(meta AS JSON), '$.name'), 'unknown') AS name, coalesce(json_extract_string(TRY_CAST(meta AS JSON), '$.author'), 'unknown') AS author,
-    array_to_string(list_filter(list_transform(string_split(m, ';'), lambda x: string_split(x, '=')[1]), lambda k: k <> 'document_metadata'), ',') AS keys FROM {duck(DOCMETA)}"""
+    array_to_string(list_filter(list_transform(string_split(m, ';'), lambda x: string_split(x, '=')[1]), lambda k: k <> 'document_metadata'), ',') AS keys FROM {each_sql(DOCMETA)}"""
 )
 def json_default_meta(spark, d):
-    r = rows(spark, DOCMETA).withColumn("p", caching.document_metadata(F.col("meta")))
+    r = each(spark, d, DOCMETA).withColumn("p", caching.document_metadata(F.col("meta")))
     keys = F.map_keys(caching.without_key(F.str_to_map("m", F.lit(";"), F.lit("=")), "document_metadata"))
     return r.select("id", "p.name", "p.author", F.array_join(keys, ",").alias("keys"))
