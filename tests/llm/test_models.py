@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -24,6 +25,48 @@ def test_held_out_accuracy(spark, op, column, held):
     assert (p == v).mean() >= (0.985 if column == "toxic" else 0.99) and auc(s, v) > (0.96 if column == "toxic" else 0.995)
 
 
+def plain_lexicon(sets, y, sure):
+    """The lexicon by plain counting: sets of terms a text."""
+    toxic, clean = Counter(), Counter()
+    for terms, label in zip(sets, y, strict=True):
+        (toxic if label else clean).update(terms)
+    prior, out = np.log((y.sum() + 1) / ((1 - y).sum() + 1)), {}
+    for term, a in toxic.items():
+        w = np.log((a + 0.5) / (clean[term] + 0.5)) - prior
+        if a >= 3 and w >= 1.5 and w >= sure * np.sqrt(1 / (a + 0.5) + 1 / (clean[term] + 0.5)):
+            out[term] = w
+    return out
+
+
+def training_rows(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("doc_id", "text", "toxic").where("toxic IS NOT NULL").orderBy("doc_id").collect()
+    rows = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    sets = [{t for w in set(toxicity.WORD.findall((r["text"] or "").lower())) for t in toxicity.terms(w)} for r in rows]
+    return rows, sets, np.array([r["toxic"] for r in rows])
+
+
+def test_the_lexicon_by_plain_counting(spark, sf):
+    rows, sets, y = training_rows(spark, sf)
+    got = toxicity.lexicon(spark.createDataFrame([(r["text"] or "", r["toxic"]) for r in rows], "text string, y int"))
+    want = plain_lexicon(sets, y, toxicity.SURE)
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
+def test_the_lexicons_threshold_comes_from_training_rows(spark):
+    """Three folds within the training rows; no row of the held-out fold is seen."""
+    rows, sets, y = training_rows(spark, "/root/testdata/sf0.1")
+    deal = lambda what, n: np.array([zlib.crc32(f"{what}{r['doc_id']}".encode()) % n for r in rows])
+    fold, half, loss = deal("cv", 3), deal("half", 10), {}
+    for sure in (1.64, 2.3, 3.3, 4.0, 5.0):
+        for f in range(3):
+            first, grow, rest = np.flatnonzero((fold != f) & (half < 6)), np.flatnonzero((fold != f) & (half >= 6)), np.flatnonzero(fold == f)
+            features = toxicity.Features(plain_lexicon([sets[i] for i in first], y[first], sure))
+            trees = learn.Trees().fit(features.matrix([rows[i]["text"] for i in grow]), y[grow].astype(float))
+            p = 1 / (1 + np.exp(-trees.raw(features.matrix([rows[i]["text"] for i in rest]))))
+            loss[sure] = loss.get(sure, 0) - np.log(np.clip(np.where(y[rest] == 1, p, 1 - p), 1e-6, 1)).mean()
+    assert min(loss, key=loss.get) == toxicity.SURE
+
+
 def test_a_label_that_vocabulary_alone_carries(spark):
     """Shapes are the same on both sides: only the words tell."""
     rng = np.random.default_rng(7)
