@@ -75,7 +75,7 @@ class Caches:
 COLUMNS = {
     "query_id": "long", "text": "string", "route": "string", "proposed_route": "string", "router_source": "string", "router_error": "string", "signals": "map<string,boolean>",
     "refused": "boolean", "uncertain": "boolean", "reason": "string", "answer": "string", "computed_value": "long", "gap": "long", "support": "double", "signal": "double",
-    "missing_terms": "array<string>", "valid": "array<int>", "invalid": "array<int>", "valid_ratio": "double", "cited_chunk_ids": "array<string>", "claims": CLAIMS,
+    "missing_terms": "array<string>", "valid": "array<int>", "invalid": "array<int>", "valid_ratio": "double", "verbatim_misattributed": "long", "verbatim_not_found": "long", "cited_chunk_ids": "array<string>", "claims": CLAIMS,
     "provenance": SOURCES, "from_cache": "boolean", "cache_kind": "string", "cache_similarity": "double", "matched_query": "string", "usage": USAGE, "raw": "string", "error": "string",
 }
 PASSED = ("query_id", "text", "proposed_route", "router_source", "router_error", "signals")
@@ -155,20 +155,26 @@ def grounded(s: Settings, asked: DataFrame, passages: DataFrame, generator: Gene
     """What a generator says of given passages, held against them.
 
     asked (query_id, text), passages (query_id, n, chunk_id, source, content). Returns query_id, raw, error, usage, answer,
-    claims, valid, invalid, valid_ratio, cited_chunk_ids. Output that breaks the contract gives its answer without claims.
+    claims, valid, invalid, valid_ratio, verbatim_misattributed, verbatim_not_found, cited_chunk_ids. Output that breaks the contract gives its answer without claims.
     """
     raw = generated(asked.select("query_id", F.col("text").alias("question")).join(caching.numbered(passages), "query_id"), generator, s.item_retries, s.item_backoff_s).checkpoint()
     answer, claims = parsed(F.col("raw"))
     d = raw.withColumns({"answer": answer, "claims": claims})
     k = passages.groupBy("query_id").agg(F.count("*").cast("int").alias("k"), F.map_from_entries(F.collect_list(F.struct("n", "chunk_id"))).alias("ids"))
     listed = d.select("query_id", F.posexplode("claims").alias("claim_no", "c")).select("query_id", "claim_no", "c.verbatim", "c.passages")
-    ratio = guards.verbatim_outcomes(guards.check_claims(listed, passages, s.verbatim_min_chars)).select("query_id", "valid_ratio")
+    ratio = _spans(guards.check_claims(listed, passages, s.verbatim_min_chars))
     d = d.join(k, "query_id", "left").join(ratio, "query_id", "left")
     valid, invalid = guards.citations(F.coalesce("answer", F.lit("")), F.flatten(F.transform(F.coalesce("claims", F.array().cast(CLAIMS)), lambda x: x["passages"])), F.coalesce("k", F.lit(0)))
     d = d.withColumns({"valid": valid, "invalid": invalid})
     return d.withColumn("cited_chunk_ids", F.transform("valid", lambda x: F.try_element_at("ids", x))).drop("k", "ids")
 
 
+def _spans(checked: DataFrame) -> DataFrame:
+    """(query_id, valid_ratio, verbatim_misattributed, verbatim_not_found) of checked claims."""
+    out = guards.verbatim_outcomes(checked)
+    return out.select("query_id", "valid_ratio", F.col("n_misattributed").alias("verbatim_misattributed"), F.col("n_not_found").alias("verbatim_not_found"))
+
+
 def parsed(raw: Column) -> tuple[Column, Column]:
     """(answer, claims) of raw output: by the contract, or the salvaged answer and no claims."""
     none = F.array().cast(CLAIMS)
@@ -194,7 +200,7 @@ def _meta(s: Settings, c: Corpus, r: DataFrame, generator: Generator, caches: Ca
         return _row(own)
     passages = meta_passages(c).drop("in_index").checkpoint()  # a few sections, the same for every question
     every = own.select("query_id").join(F.broadcast(passages))
-    kept = {k: F.col(k) for k in ("answer", "claims", "valid", "invalid", "valid_ratio", "cited_chunk_ids", "usage", "raw", "error")}
+    kept = {k: F.col(k) for k in ("answer", "claims", "valid", "invalid", "valid_ratio", "verbatim_misattributed", "verbatim_not_found", "cited_chunk_ids", "usage", "raw", "error")}
     rest, hits = own, None
     if caches.meta is not None:
         found = caching.meta_lookup(own, caches.meta.drop("model", "corpus_version", "card_hash"), c.version, meta_card(c), s.model)
@@ -202,10 +208,10 @@ def _meta(s: Settings, c: Corpus, r: DataFrame, generator: Generator, caches: Ca
         rest = own.join(found.select("query_id"), "query_id", "left_anti")
         # the claims of a stored answer are held against the passages of now
         listed = found.select("query_id", F.posexplode("claims").alias("claim_no", "x")).select("query_id", "claim_no", "x.verbatim", "x.passages")
-        ratio = guards.verbatim_outcomes(guards.check_claims(listed, every, s.verbatim_min_chars)).select("query_id", "valid_ratio")
+        ratio = _spans(guards.check_claims(listed, every, s.verbatim_min_chars))
         marks = F.coalesce(F.from_json("cited_passages", "array<int>"), F.array().cast("array<int>"))
         hits = _row(
-            found.join(ratio, "query_id", "left"), route=F.col("route"), answer=F.col("answer"), claims=F.col("claims"), valid=marks, valid_ratio=F.col("valid_ratio"),
+            found.join(ratio, "query_id", "left"), route=F.col("route"), answer=F.col("answer"), claims=F.col("claims"), valid=marks, valid_ratio=F.col("valid_ratio"), verbatim_misattributed=F.col("verbatim_misattributed"), verbatim_not_found=F.col("verbatim_not_found"),
             cited_chunk_ids=F.col("cited"), raw=F.col("raw"), from_cache=F.lit(True), cache_kind=F.lit("meta"),
         )
     said = grounded(s, rest.select("query_id", "text"), every.join(rest.select("query_id"), "query_id", "left_semi"), generator)
@@ -264,7 +270,7 @@ def _pointwise(spark: SparkSession, s: Settings, c: Corpus, r: DataFrame, vector
     out = _row(
         d, route=F.lit("pointwise"), refused=F.col("outcome") == "refused", uncertain=doubt, reason=F.coalesce(F.when(doubt, F.substring_index("outcome", ":", -1)), F.col("why")),
         answer=text, support=F.col("support"), signal=F.col("signal"), missing_terms=F.col("missing_terms"), valid=F.when(fine, F.col("valid")), invalid=F.when(fine, F.col("invalid")),
-        valid_ratio=F.col("valid_ratio"), cited_chunk_ids=F.when(fine, F.col("cited_chunk_ids")), claims=F.when(fine, F.col("claims")), provenance=F.when(fine, F.col("sources")),
+        valid_ratio=F.col("valid_ratio"), verbatim_misattributed=F.col("verbatim_misattributed"), verbatim_not_found=F.col("verbatim_not_found"), cited_chunk_ids=F.when(fine, F.col("cited_chunk_ids")), claims=F.when(fine, F.col("claims")), provenance=F.when(fine, F.col("sources")),
         cache_kind=F.when(F.col("usage.cached_tokens") > 0, "provider"), usage=F.col("usage"), raw=F.col("raw"), error=F.col("error"),
     )
     return out if served is None else out.unionByName(served)

@@ -96,7 +96,7 @@ def scored(answers: DataFrame, items: DataFrame, settings: Settings, condition:
         "condition": F.lit(condition), "n_citations": F.size(F.coalesce("valid", F.array().cast("array<int>"))).cast("long"), "invalid_citations": F.size(F.coalesce("invalid", F.array().cast("array<int>"))).cast("long"),
         "from_cache_semantic": F.coalesce(c("cache_kind") == "semantic", F.lit(False)), "from_cache_meta": F.coalesce(c("cache_kind") == "meta", F.lit(False)),
         "cost": evaluation.cost(c("prompt_tokens"), c("completion_tokens"), c("cached_tokens"), settings.price_input, settings.price_cached, settings.price_output),
-        "latency_s": F.lit(None).cast("double"), "latency_wall_s": F.lit(None).cast("double"), "truncated": F.lit(False), "verbatim_valid_ratio": c("valid_ratio"), "verbatim_misattributed": zero, "verbatim_not_found": zero,
+        "latency_s": F.lit(None).cast("double"), "latency_wall_s": F.lit(None).cast("double"), "truncated": F.lit(False), "verbatim_valid_ratio": c("valid_ratio"), "verbatim_misattributed": F.coalesce("verbatim_misattributed", zero), "verbatim_not_found": F.coalesce("verbatim_not_found", zero),
         "provenance_sources": F.size(F.coalesce("provenance", F.array().cast(ask.SOURCES))), "router_llm_tokens": zero, "router_llm_cost": F.lit(0.0), "router_llm_error": c("router_error"),
     })
     return evaluation.scored_rows(d.join(items, "query_id"))
@@ -117,7 +117,7 @@ def conditions(spark: SparkSession, settings: Settings, c: ask.Corpus, questions
     hit, none = F.col("served_by").isNotNull(), lambda k: F.lit(None).cast(ask.COLUMNS[k])
     changed = {
         "answer": F.col("a"), "claims": F.col("c"), "cited_chunk_ids": F.col("i"), "matched_query": F.col("q"), "cache_similarity": F.col("s"), "from_cache": F.lit(True), "cache_kind": F.lit("semantic"), "refused": F.lit(False), "uncertain": F.lit(False),
-        **{k: none(k) for k in ("usage", "raw", "error", "support", "reason", "valid", "invalid", "valid_ratio", "provenance")},
+        **{k: none(k) for k in ("usage", "raw", "error", "support", "reason", "valid", "invalid", "valid_ratio", "verbatim_misattributed", "verbatim_not_found", "provenance")},
     }
     on = on.select(*[F.when(hit, changed[k]).otherwise(F.col(k)).alias(k) if k in changed else F.col(k) for k in ask.COLUMNS])
     return scored(off, items, settings, "off"), scored(on, items, settings, "on")

@@ -49,6 +49,13 @@ def run(spark, c, texts, settings=SETTINGS, near=True, **how):
     return {r["query_id"]: r for r in ask.answered(spark, settings, c, *asked(spark, texts, near), **how).collect()}
 
 
+def test_spans_are_counted_by_outcome(spark, corpus):
+    """One span of a passage, one that stands nowhere, one of a passage it isn't said to be from."""
+    first, other = "Il comitato approva il progetto numero 0 della ferrovia.", "Il comitato approva il progetto numero 1 della ferrovia."
+    got = run(spark, corpus, ["progetto della ferrovia"], SETTINGS.with_overrides(verbatim_min_ratio=0.0), generator=Quoting([first, "parole che non stanno in alcun passaggio", other]))[0]
+    assert (got["verbatim_misattributed"], got["verbatim_not_found"]) == (1, 1) and abs(got["valid_ratio"] - 1 / 3) < 1e-9
+
+
 def test_computed_answers(spark, corpus):
     got = run(spark, corpus, ["Quante delibere nel 2019?", "Elenca le delibere del CIPE nel 2019", "delibere per anno, quante sono", "quante delibere nel 1999", "quante delibere nel 2019 e nel 2021", "quanto speso in totale"])
     assert "**3 delibere** nel 2019." in got[0]["answer"] and "arriva alla n. 5: 2 delibere mancano" in got[0]["answer"] and got[0]["gap"] == 2 and got[0]["computed_value"] == 3
