@@ -22,6 +22,7 @@ read.
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,17 +109,19 @@ def _grouped(batches, key: int):
         yield now, rows
 
 
-def _packed(*arrays: np.ndarray) -> list[bytes]:
+@cache
+def _codec():
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=1)
-    return [pack.compress(np.ascontiguousarray(a).tobytes()) for a in arrays]
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _unpacked(blob: bytes, kind) -> np.ndarray:
-    import zstandard
+def _packed(*arrays: np.ndarray) -> list[bytes]:
+    return [_codec()[0].compress(np.ascontiguousarray(a).tobytes()) for a in arrays]
+
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+def _unpacked(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(_codec()[1].decompress(blob), kind)
 
 
 def _runs(sorted_places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,14 +207,62 @@ def corpus_order(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, starts:
     return np.lexsort((suffix[place[mine] + 1], own))
 
 
-def repeated(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """The starts, a subset, whose string of `length` bytes also starts at an earlier one; starts ascend."""
+def _string_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, sums: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Hashes of raw[begin : end]: equal strings have equal ones."""
+    return (sums[ends] - sums[begins]) * powers[len(raw) - begins]
+
+
+def first_copies(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Of each segment the number of the first one with its bytes; of one that only its hash likens to another its own."""
+    first, own = np.unique(hashes, return_index=True, return_inverse=True)[1:]
+    first = first[own]
+    copy = np.flatnonzero((first != np.arange(len(first))) & (sizes[first] == sizes))
+    if len(copy):
+        n = sizes[copy]
+        same = np.logical_and.reduceat(raw[ranges(begins[copy], n)] == raw[ranges(begins[first[copy]], n)], np.cumsum(n) - n)
+        copy = copy[same]
+    out = np.arange(len(first))
+    out[copy] = first[copy]
+    return out
+
+
+def repeated(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """The starts of strings of `length` bytes within the segments whose string also starts at an earlier one; segments
+    follow each other in raw in corpus order.
+
+    Equal segments are parsed and ordered once: a later copy's strings all start earlier. Strings that share their slot of
+    a hash table with none are alone, and segments of only such strings are not parsed.
+    """
+    if not len(begins):
+        return np.zeros(0, np.int64)
+    powers = np.full(len(raw) + 1, STEP)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[raw] * powers[:-1])])
+    first = first_copies(raw, begins, sizes, _string_hashes(raw, begins, begins + sizes, sums, powers))
+    once = first == np.arange(len(first))
+    copied = ranges(begins[~once], sizes[~once] - length + 1)
+    begins, sizes = begins[once], sizes[once]
+    starts = ranges(begins, sizes - length + 1)
+    bits = max(8, int(len(starts)).bit_length() + 2)
+    slot = (_mixed(_string_hashes(raw, starts, starts + length, sums, powers)) >> np.uint64(64 - bits)).astype(np.int64)
+    del powers, sums
+    starts = starts[np.bincount(slot, minlength=1 << bits)[slot] > 1]
     if len(starts) < 2:
-        return starts[:0]
-    order = starts[corpus_order(raw, begins, sizes, starts, length)]
+        return copied
+    segment = np.searchsorted(begins, starts, "right") - 1
+    used = np.zeros(len(begins), bool)
+    used[segment] = True
+    begins, sizes = begins[used], sizes[used]
+    at = np.cumsum(sizes) - sizes
+    moved = (begins - at)[(np.cumsum(used) - 1)[segment]]
+    raw, starts = raw[ranges(begins, sizes)], starts - moved
+    by = corpus_order(raw, at, sizes, starts, length)
+    order, moved = starts[by], moved[by]
     new = np.concatenate([[True], ~_same(raw, order[1:], order[:-1], length)])
     least = np.minimum.reduceat(order, np.flatnonzero(new))
-    return np.sort(order[order != least[np.cumsum(new) - 1]])
+    later = order != least[np.cumsum(new) - 1]
+    return np.sort(np.concatenate([copied, order[later] + moved[later]]))
 
 
 def _parsed(docs: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -227,7 +278,10 @@ def _parsed(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             ends = np.cumsum([len(texts[i]) for i in order], dtype=np.int64)
             me = task << 32 | seq
             rows = [(me, -1, [ids[i] for i in order], *_packed(ends, raw), None)]
-            got = [(p, g) for _, p, g in triggers(raw, ends, length)]
+            got = []
+            for _, p, g in triggers(raw, ends, length):  # a trigger of many windows is kept once
+                head = np.concatenate([[True], p[1:] != p[:-1]])
+                got.append((p[head], g[head]))
             if got:
                 place, first = np.unique(np.concatenate([p for p, _ in got]), return_index=True)
                 h, n = np.unique(np.concatenate([g for _, g in got])[first], return_counts=True)
@@ -247,10 +301,16 @@ def _often(batches):
     """Of a bucket's hashes those that occur more than once, for each batch that has them."""
     for bucket, rows in _grouped(batches, 1):
         h = [np.frombuffer(r[2], np.uint32) for r in rows]
-        values, n = np.unique(np.concatenate(h), return_counts=True)
-        values = values[n > 1]
-        out = [(r[0], np.unique(x[np.isin(x, values)])) for r, x in zip(rows, h, strict=True)] if len(values) else []
-        out = [(batch, x.tobytes()) for batch, x in out if len(x)]
+        sizes = [len(x) for x in h]
+        h = np.concatenate(h)
+        values, n = np.unique(h, return_counts=True)
+        values, out = values[n > 1], []
+        if len(values):  # all batches in one pass: each on its own would go through the values again
+            of, held = np.repeat(np.arange(len(rows), dtype=np.uint64), sizes), values[np.minimum(np.searchsorted(values, h), len(values) - 1)] == h
+            both = np.unique(of[held] << np.uint64(32) | h[held])
+            of, small = (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32)
+            edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+            out = [(rows[of[x]][0], small[x:y].tobytes()) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["batch", "bucket", "hashes"])
 
 
@@ -260,7 +320,7 @@ def _documents(rows):
     return ids, _unpacked(ends, np.int64), _unpacked(text, np.uint8)
 
 
-def _segments(length: int, buckets: int):
+def _segments(length: int, hashed: int, buckets: int, groups: int):
     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def run(batches):
@@ -273,7 +333,7 @@ def _segments(length: int, buckets: int):
 
             def wanted(gram, often=often):
                 mixed = _mixed(gram)
-                code = mixed.astype(np.uint32).astype(np.uint64) | ((mixed >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)
+                code = mixed.astype(np.uint32).astype(np.uint64) | ((mixed >> np.uint64(32)) % np.uint64(hashed)) << np.uint64(32)
                 return often[np.minimum(np.searchsorted(often, code), len(often) - 1)] == code
 
             got = list(triggers(raw, ends, length, wanted))
@@ -288,7 +348,7 @@ def _segments(length: int, buckets: int):
             a, b = _runs(twice)
             sizes = b - a + length - 1
             at = np.cumsum(sizes) - sizes
-            later = repeated(raw[ranges(a, sizes)], at, sizes, ranges(at, b - a), length) if len(a) else twice
+            later = repeated(raw[ranges(a, sizes)], at, sizes, length) if len(a) else twice
             segment = np.searchsorted(at, later, "right") - 1
             later = later - at[segment] + a[segment] if len(later) else later
             settled = np.zeros(len(starts), bool)
@@ -300,55 +360,67 @@ def _segments(length: int, buckets: int):
                 begin, count = starts[cut], np.diff(np.concatenate([cut, [len(starts)]]))
                 key = np.array([FIRST if i is None else i for i in ids], np.int64)[np.searchsorted(ends, begin, "right")]
                 bucket = (_mixed(gram[cut]) >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]]))
+                bucket = bucket.astype(np.int64)
+                order = np.argsort(bucket % groups, kind="stable")
+                edges = _edges((bucket % groups)[order])
                 for x, y in zip(edges[:-1], edges[1:], strict=True):
                     s = order[x:y]
-                    out.append((batch, int(bucket[s[0]]), *_packed(np.stack([key[s], begin[s], count[s]]), raw[ranges(begin[s], count[s] + length - 1)])))
+                    out.append((batch, int(bucket[s[0]] % groups), *_packed(np.stack([key[s], begin[s], count[s], bucket[s]]), raw[ranges(begin[s], count[s] + length - 1)])))
             for k in range(0, len(out), 512):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 512], strict=True), kinds, strict=True)], ["batch", "bucket", "places", "payload"])
 
     return run
 
 
+def _edges(sorted_values: np.ndarray) -> np.ndarray:
+    """Where the groups of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1], [True]])) if len(sorted_values) else np.zeros(1, np.int64)
+
+
 def _settled(length: int, last: bool):
-    """Of the segments of each part of a bucket: rows with bucket -1, the repeats of each batch, and unless this is the
-    last level rows with what is left of the segments."""
+    """Of the segments of each part of a group of buckets, bucket by bucket: rows with bucket -1, the repeats of each batch,
+    and unless this is the last level rows with what is left of the segments."""
     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
-    def by_batch(of):
-        return np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
-
     def run(batches):
         for _, rows in _grouped(batches, 0):
-            places = [_unpacked(r[3], np.int64).reshape(3, -1) for r in rows]
+            places = [_unpacked(r[3], np.int64).reshape(4, -1) for r in rows]
             batch = np.concatenate([np.full(p.shape[1], r[1], np.int64) for p, r in zip(places, rows, strict=True)])
-            key, begin, count = np.concatenate(places, axis=1)
-            raw = np.concatenate([_unpacked(r[4], np.uint8) for r in rows])
-            order = np.lexsort((begin, batch, key))
-            sizes = count + length - 1
-            raw = raw[ranges((np.cumsum(sizes) - sizes)[order], sizes[order])]
-            key, batch, begin, count, sizes = key[order], batch[order], begin[order], count[order], sizes[order]
-            at = np.cumsum(sizes) - sizes
-            starts = ranges(at, count)
-            found = repeated(raw, at, sizes, starts, length)
-            segment = np.searchsorted(at, found, "right") - 1
-            place, of = found - at[segment] + begin[segment], batch[segment]
+            places = np.concatenate(places, axis=1)
+            whole = np.concatenate([_unpacked(r[4], np.uint8) for r in rows])
+            sizes = places[2] + length - 1
+            at, group = np.cumsum(sizes) - sizes, rows[0][2]
+            del rows
+            order = np.lexsort((places[1], batch, places[0], places[3]))
+            at, batch, places = at[order], batch[order], places[:, order]
+            edges, gone, rest = _edges(places[3]), [], []
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                key, begin, count, bucket = places[:, x:y]
+                sizes, own = count + length - 1, batch[x:y]
+                raw = whole[ranges(at[x:y], sizes)]
+                here = np.cumsum(sizes) - sizes
+                found = repeated(raw, here, sizes, length)
+                segment = np.searchsorted(here, found, "right") - 1
+                gone.append((found - here[segment] + begin[segment], own[segment]))
+                if not last:
+                    starts = ranges(here, count)
+                    left = np.ones(len(starts), bool)
+                    left[np.searchsorted(starts, found)] = False
+                    a, b = _runs(starts[left])  # segments lie length - 1 bytes apart at least
+                    segment = np.searchsorted(here, a, "right") - 1
+                    inside = a - here[segment]
+                    rest.append((np.stack([key[segment], begin[segment] + inside, b - a, bucket[segment]]), own[segment], at[x:y][segment] + inside))
+            place, of = (np.concatenate(c) for c in zip(*gone, strict=True))
             order = np.lexsort((place, of))
             place, of = place[order], of[order]
-            edges = by_batch(of)
+            edges = _edges(of)
             out = [(int(of[x]), -1, None, _packed(np.stack(_runs(place[x:y])))[0]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
             if not last:
-                left = np.ones(len(starts), bool)
-                left[np.searchsorted(starts, found)] = False
-                a, b = _runs(starts[left])  # segments lie length - 1 bytes apart at least
-                segment = np.searchsorted(at, a, "right") - 1
-                order = np.argsort(batch[segment], kind="stable")
-                a, b, segment = a[order], b[order], segment[order]
-                edges = by_batch(batch[segment])
-                for x, y in zip(edges[:-1], edges[1:], strict=True):
-                    p, n, own = a[x:y], b[x:y] - a[x:y], segment[x:y]
-                    out.append((int(batch[own[0]]), rows[0][2], *_packed(np.stack([key[own], p - at[own] + begin[own], n]), raw[ranges(p, n + length - 1)])))
+                kept, of, at = np.concatenate([c[0] for c in rest], axis=1), *(np.concatenate([c[k] for c in rest]) for k in (1, 2))
+                order = np.argsort(of, kind="stable")
+                kept, of, at = kept[:, order], of[order], at[order]
+                edges = _edges(of)
+                out += [(int(of[x]), group, *_packed(kept[:, x:y], whole[ranges(at[x:y], kept[2, x:y] + length - 1)])) for x, y in zip(edges[:-1], edges[1:], strict=True)]
             for k in range(0, len(out), 512):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 512], strict=True), kinds, strict=True)], ["batch", "bucket", "places", "payload"])
 
@@ -395,16 +467,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, m
     tune(spark, rows=20_000, mb=mb)
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = pieces(spark, size, 4e6)
+    # a batch has a row for each group of hashes and of buckets: these stay few, as batches grow in number themselves
+    hashed, groups = pieces(spark, size, 64e6), max(min(buckets, 256), -(-buckets // 8))
     tasks, parts_at_once = pieces(spark, size, 24e6), pieces(spark, size, 8e6)
-    parsed = written(_parsed(docs, buckets, length), "repeats", "uncompressed")
+    parsed = written(_parsed(docs, hashed, length), "repeats", "uncompressed")
     tune(spark)
     dealt = lambda df, n, *by: df.repartition(n, by[0]).sortWithinPartitions(*by)
     hashes = parsed.where("hashes IS NOT NULL").select("batch", "bucket", "hashes")
-    often = dealt(hashes, tasks, "bucket").mapInArrow(_often, "batch long, bucket int, hashes binary")
+    often = dealt(hashes, hashed, "bucket").mapInArrow(_often, "batch long, bucket int, hashes binary")
     held = parsed.where("bucket = -1").select("batch", "bucket", "ids", "ends", "text")
     blank = lambda **kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
     both = held.select("*", *blank(hashes="binary")).unionByName(often.select("batch", "bucket", *blank(ids="array<long>", ends="binary", text="binary"), "hashes"))
-    segments = written(dealt(both, tasks, "batch", "bucket").mapInArrow(_segments(length, buckets), "batch long, bucket int, places binary, payload binary"), "repeats", "uncompressed")
+    segments = written(dealt(both, tasks, "batch", "bucket").mapInArrow(_segments(length, hashed, buckets, groups), "batch long, bucket int, places binary, payload binary"), "repeats", "uncompressed")
     found, level, fan = segments.where("bucket < 0").select("batch", "payload"), segments.where("bucket >= 0"), [held.count()]
     while fan[-1] > 1:  # groups of batches, groups of these groups and so on: a task meets fan_in copies of a string at most
         fan.append(-(-fan[-1] // fan_in))

@@ -88,3 +88,39 @@ def test_empty_table(none):
 def test_length_is_checked(messy):
     with pytest.raises(ValueError):
         repeats.without_repeats(messy, 20)
+
+
+def test_copies_are_ordered_once_and_lone_strings_not_at_all(monkeypatch):
+    rng, seen = np.random.default_rng(7), []
+    part = [rng.integers(97, 123, 168).astype(np.uint8) for _ in range(60)]
+    shared = np.concatenate([part[1][:120], part[2][:48] - 32])
+    raw = np.concatenate([part[0]] * 50 + part[1:] + [shared])
+    order = repeats.corpus_order
+    monkeypatch.setattr(repeats, "corpus_order", lambda raw, begins, sizes, starts, length: seen.append((len(begins), len(starts))) or order(raw, begins, sizes, starts, length))
+    begins = np.arange(110, dtype=np.int64) * 168
+    got = repeats.repeated(raw, begins, np.full(110, 168), 100)
+    want = np.concatenate([np.arange(b, b + 69) for b in begins[1:50]] + [np.arange(begins[-1], begins[-1] + 21)])
+    assert got.tolist() == want.tolist()
+    assert len(seen) == 1 and seen[0][0] <= 61 and seen[0][1] < 1000  # of 110 segments with 7590 strings
+
+
+def test_segments_of_equal_hashes_and_other_bytes_stay_apart():
+    raw = np.frombuffer(b"a" * 100 + b"b" * 100 + b"a" * 100, np.uint8)
+    assert repeats.first_copies(raw, np.array([0, 100, 200]), np.full(3, 100), np.zeros(3, np.uint64)).tolist() == [0, 1, 0]
+
+
+def test_a_bucket_goes_through_its_hashes_once_for_all_batches():
+    import time
+
+    import pyarrow as pa
+
+    shared = np.arange(200_000, dtype=np.uint32)
+    own = [np.concatenate([shared[k::4000], np.array([4e9 + k], np.uint32)]).tobytes() for k in range(4000)]
+    rows = [*own, *own[:2], shared.tobytes()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array([3] * len(rows), pa.int32()), pa.array(rows, pa.binary())], ["batch", "bucket", "hashes"])
+    began = time.process_time()
+    (out,) = repeats._often([batch])
+    assert time.process_time() - began < 5  # one pass a batch took many times that
+    got = {b: np.frombuffer(h, np.uint32) for b, h in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True)}
+    assert len(got) == 4003 and got[4002].tolist() == shared.tolist()
+    assert got[0].tolist() == [*range(0, 200_000, 4000), 4_000_000_000] and got[7].tolist() == list(range(7, 200_000, 4000))
