@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 BLOCK = 4096
+#: Queries and rows whose scores are in memory at once.
+TILE = 256, 4096
 K1, B = 1.2, 0.75
 
 
@@ -32,12 +34,36 @@ def kinds(queries: DataFrame, rows: DataFrame) -> list:
     return [to_arrow_type(d.schema[c].dataType) for d, c in ((queries, "query_id"), (rows, "id"))]
 
 
+def _nearer(best, q: np.ndarray, x: np.ndarray, ids: pa.Array, k: int, similarity: str):
+    """best, a tile's (queries' places, scores, ids, floor of each query) so far or None, after rows x with their ids."""
+    if similarity == "cosine":
+        s = (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
+    else:
+        s = np.maximum(0.0, (2 - ((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T))) / 2)
+    which, score, found, floor = best or (np.zeros(0, np.int64), np.zeros(0), ids[:0], np.full(len(q), -np.inf))
+    if len(ids) >= k and np.isinf(floor).any():
+        floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
+    a, b = np.nonzero(~(s < floor[:, None] - 1e-11))  # what may tie once rounded
+    if best and not len(a):
+        return best
+    which, score, found = np.concatenate([which, a]), np.concatenate([score, s[a, b]]), pa.concat_arrays([found, ids.take(pa.array(b))])
+    place = np.unique(found.to_numpy(zero_copy_only=False), return_inverse=True)[1]  # ids of any type in their order
+    order = np.lexsort((place, -np.round(score, 12), which))
+    nth = np.arange(len(order)) - np.searchsorted(which[order], which[order])
+    order = order[nth < k]
+    which, score = which[order], score[order]
+    last = np.flatnonzero(nth[nth < k] == k - 1)
+    floor = floor.copy()
+    floor[which[last]] = np.maximum(floor[which[last]], score[last])
+    return which, score, found.take(pa.array(order)), floor
+
+
 def vector_topk(queries: DataFrame, rows: DataFrame, k: int, similarity: str = "l2", least: float = 0.0) -> DataFrame:
     """(query_id, id, score, rank): the k nearest rows of each query, exactly; then those under `least` go.
 
     queries (query_id, vector), rows (id, vector). similarity: "l2" is max(0, (2 - squared distance) / 2), "cosine" the
-    cosine. Every batch keeps its own k best, so a query's candidates grow with the batches, not with the rows. A query
-    meets the rows of its own dimension; vectors that are null, empty or hold a null or NaN meet none.
+    cosine. A task scores TILE by TILE and keeps its own k best, so a query's candidates grow with the tasks, not with the
+    rows, and memory with neither. A query meets the rows of its own dimension; vectors that are null, empty or hold a null or NaN meet none.
     """
     spark, of = rows.sparkSession, kinds(queries, rows)
     queries, rows = (d.where(F.col("vector").isNotNull() & (F.size("vector") > 0)) for d in (queries, rows))
@@ -53,27 +79,22 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, similarity: str = "
         given = spark.sparkContext.broadcast({n: ([r["query_id"] for r in rs], np.array([r["vector"] for r in rs], np.float64)) for n, rs in sizes.items()})
 
         def run(batches, given=given):
+            best = {}
             for b in batches:
-                lengths, ids_ = np.asarray(b.column(1).value_lengths()), b.column(0).to_numpy(zero_copy_only=False)
+                lengths = np.asarray(b.column(1).value_lengths())
                 flat, starts = np.asarray(b.column(1).flatten(), np.float64), np.cumsum(lengths) - lengths
-                for n, (ids, q) in given.value.items():
+                for n, (_, q) in given.value.items():
                     at = np.flatnonzero(lengths == n)
-                    if not len(at):
-                        continue
-                    x = flat[starts[at][:, None] + np.arange(n)]  # a null is a NaN here
-                    fine = ~np.isnan(x).any(axis=1)
-                    own, x = ids_[at[fine]], x[fine]
-                    if not len(own):
-                        continue
-                    if similarity == "cosine":
-                        s = (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
-                    else:
-                        d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)
-                        s = np.maximum(0.0, (2 - d) / 2)
-                    place = np.unique(own, return_inverse=True)[1]  # ids of any type in their order
-                    order = np.lexsort((np.broadcast_to(place, s.shape), -np.round(s, 12)), axis=1)[:, :k]
-                    asked = pa.array(ids, of[0]).take(pa.array(np.repeat(np.arange(len(ids)), order.shape[1])))
-                    yield pa.RecordBatch.from_arrays([asked, b.column(0).take(pa.array(at[fine][order].ravel())), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "score"])
+                    for r in range(0, len(at), TILE[1]):
+                        own = at[r : r + TILE[1]]
+                        x = flat[starts[own][:, None] + np.arange(n)]  # a null is a NaN here
+                        fine = ~np.isnan(x).any(axis=1)
+                        own, x = b.column(0).take(pa.array(own[fine])), x[fine]
+                        for c in range(0, len(q) if len(own) else 0, TILE[0]):
+                            best[n, c] = _nearer(best.get((n, c)), q[c : c + TILE[0]], x, own, k, similarity)
+            for (n, c), (which, score, found, _) in best.items():
+                ids = pa.array(given.value[n][0][c : c + TILE[0]], of[0])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), found, pa.array(score)], ["query_id", "id", "score"])
 
         part = rows.select("id", "vector").mapInArrow(run, f"query_id {kind(queries, 'query_id')}, id {kind(rows, 'id')}, score double")
         out = part if out is None else out.unionByName(part)

@@ -272,3 +272,33 @@ def test_the_cache_in_order_and_in_rounds(spark, monkeypatch):
     want = key()
     monkeypatch.setattr(run_eval, "AT_ONCE", -1)
     assert key() == want and sum(x[2] for x in want) > 3
+
+
+@pytest.mark.parametrize("similarity", ["l2", "cosine"])
+def test_tiles_of_vectors_keep_the_best_with_their_ties(similarity):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    q, x = rng.normal(size=(5, 3)), np.repeat(rng.normal(size=(90, 3)), 4, axis=0)[rng.permutation(360)]
+    ids, best = np.array([f"v{k}" for k in rng.permutation(360)]), None
+    for at in range(0, 360, 7):
+        best = retrieval._nearer(best, q, x[at : at + 7], pa.array(ids[at : at + 7]), 10, similarity)
+    got = [(int(w), i) for w, i in zip(best[0], best[2].to_pylist(), strict=True)]
+    norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+    s = q @ x.T / norm if similarity == "cosine" else np.maximum(0, (2 - ((q[:, None] - x) ** 2).sum(2)) / 2)
+    assert got == [(k, ids[i]) for k in range(5) for i in np.lexsort((ids, -np.round(s[k], 12)))[:10]]
+
+
+def test_memory_of_a_vector_search_does_not_grow_with_queries(spark):
+    import pyarrow as pa
+
+    def used(batches):
+        import resource
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024])], ["mb"])
+
+    rows = spark.range(0, 10_000, 1, 1).selectExpr("id", "array(rand(1), rand(2), rand(3)) AS vector")
+    assert retrieval.vector_topk(rows.where("id < 4000").withColumnRenamed("id", "query_id"), rows, 3).count() == 12_000
+    assert spark.range(0, 64, 1, 64).mapInArrow(used, "mb long").agg({"mb": "max"}).first()[0] < 1000  # scores of all at once took 2 GB
