@@ -51,3 +51,8 @@ def test_partitioning_does_not_matter(spark, sf, name, tmp_path):
     for t in ("documents", "embeddings", "benchmark", "events"):
         spark.read.parquet(f"{sf}/{t}.parquet").repartition(7).write.parquet(f"{tmp_path}/{t}.parquet")
     assert key(registry.QUERIES[name](spark, str(tmp_path))) == want
+
+
+def test_a_route_is_decided_once_for_all(spark, sf):
+    plan = registry.QUERIES["route_union"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and "Union" not in plan
