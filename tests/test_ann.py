@@ -73,5 +73,5 @@ def test_candidates_of_a_task_are_a_querys_first():
 
     part = lambda q, d: (pa.array(q), np.full(len(q), 1, np.int32), np.zeros(len(q), np.int32), np.arange(len(q), dtype=np.int32), np.array(d, float))
     kept, full = ann._first([part(["a", "b", "a"], [3, 5, 1]), part(["a", "b", "a"], [2, 5, 1])], 2)
-    assert list(zip(kept[0].to_pylist(), kept[4].tolist(), kept[3].tolist(), strict=True)) == [("a", 1, 2), ("a", 1, 2), ("b", 5, 0), ("b", 5, 1)]
+    assert list(zip(kept[0].to_pylist(), kept[4].tolist(), kept[3].tolist(), strict=True)) == [("a", 1, 2), ("a", 1, 2), ("b", 5, 1), ("b", 5, 1)]
     assert full.tolist() == [False, True, False, True]
