@@ -86,7 +86,7 @@ def phrase_index(docs: DataFrame, threshold: int, only: DataFrame | None = None)
     only: of the fingerprints (fp) asked for.
     """
     rows = _only(sentence_rows(docs).withColumn("fp", F.coalesce(T.phrase_print(F.col("sentence")), F.lit(""))), only, "fp")  # never null: no second print to test it
-    return phrases_of(_by_document(rows), threshold)
+    return _phrases_of(_by_document(rows), threshold)
 
 
 def _by_document(rows: DataFrame) -> DataFrame:
@@ -95,15 +95,32 @@ def _by_document(rows: DataFrame) -> DataFrame:
 
 
 def phrase_rows(docs: DataFrame) -> DataFrame:
-    """(fp, doc_id, n, first) of each sentence of a document: how often it is there, its first place and spelling."""
-    return _by_document(sentence_rows(docs).withColumn("fp", F.coalesce(T.phrase_print(F.col("sentence")), F.lit(""))))
+    """(fp, doc_id, n, first) of each sentence of a document: how often it is there and its first place, not its text."""
+    rows = sentence_rows(docs).select("doc_id", "pos", F.coalesce(T.phrase_print(F.col("sentence")), F.lit("")).alias("fp"))
+    return rows.groupBy("fp", "doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
-def phrases_of(each: DataFrame, threshold: int) -> DataFrame:
-    """The phrase index of what phrase_rows() gives."""
+def phrase_counts(each: DataFrame, threshold: int) -> DataFrame:
+    """(fp, n_documents, n_occurrences, at) of what phrase_rows() gives, for the sentences of `threshold` documents or more; at: the first place."""
+    out = each.groupBy("fp").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_occurrences"), F.min(F.struct("doc_id", F.col("first").alias("pos"))).alias("at"))
+    return out.where(F.col("n_documents") >= threshold)
+
+
+def phrases_spelled(counts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The phrase index of what phrase_counts() gives; the documents at first places are split once more for the examples."""
+    at = counts.select("fp", "n_documents", "n_occurrences", "at.*")
+    there = sentence_rows(docs.join(at.select("doc_id"), "doc_id", "left_semi"))
+    return _with_norms(at.join(there, ["doc_id", "pos"]).select("fp", F.col("sentence").alias("example"), "n_documents", "n_occurrences"))
+
+
+def _phrases_of(each: DataFrame, threshold: int) -> DataFrame:
     out = each.groupBy("fp").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_occurrences"), F.min(F.struct("doc_id", "first")).alias("e"))
     out = out.where(F.col("n_documents") >= threshold).select("fp", F.col("e.first.sentence").alias("example"), "n_documents", "n_occurrences")
-    return out.withColumn("norms", T.references(T.rejoined_words(F.col("example"))))
+    return _with_norms(out)
+
+
+def _with_norms(phrases: DataFrame) -> DataFrame:
+    return phrases.withColumn("norms", T.references(T.rejoined_words(F.col("example"))))
 
 
 def norm_index(docs: DataFrame, threshold: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
             named = tempfile.mkdtemp(prefix="tessera-")
         context.setCheckpointDir(named)
     return (named or context.getCheckpointDir()).rstrip("/")
+
+
+#: Whether a query's shuffle files go when it ends; else they stay until the driver collects its garbage.
+SWEPT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files."""
+    before = spark.conf.get(SWEPT)
+    spark.conf.set(SWEPT, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SWEPT, before)

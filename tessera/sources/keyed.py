@@ -16,11 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import swept
 from . import stores
 
 POINTER = "pointer.json"
 #: The column by which rows are dealt to folders.
 AT = "_bucket"
+#: The column by which a bucket's rows are dealt to tasks.
+PART = "_part"
+#: Versions share no file of a bucket that has changed, so files are packed well.
+CODEC = "zstd"
 
 
 class Outdated(Exception):
@@ -58,6 +63,9 @@ class Store:
     def has(self, name: str) -> bool:
         return name in self.body["tables"]
 
+    def key(self, name: str) -> str:
+        return self.body["tables"][name]["key"]
+
     def create(self, name: str, schema: StructType | str, key: str, buckets: int = 64) -> None:
         """An empty table; its rows are dealt by `key`."""
         schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
@@ -78,26 +86,49 @@ class Store:
         """The buckets that hold these keys: at most as many as the table has."""
         return sorted(r[0] for r in keys.select(self._at(name).alias("b")).distinct().collect())
 
-    def replace(self, name: str, gone: DataFrame | None, new: DataFrame | None) -> list[int]:
+    def _begun(self, name: str) -> str:
+        """A new folder of the change under way."""
+        self._folder = self._folder or f"v{self.version + 1:08d}-{uuid.uuid4().hex}"
+        return f"{self._folder}/{name}-{uuid.uuid4().hex[:8]}"
+
+    def _dealt(self, name: str, rows: DataFrame, which: int) -> DataFrame:
+        """Rows by bucket, a bucket in as many parts as its share of the shuffle partitions; parts go by the key."""
+        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // which)
+        part = F.pmod(F.shiftright(F.xxhash64(self.body["tables"][name]["key"]), 32), F.lit(parts))
+        return rows.withColumn(AT, self._at(name)).withColumn(PART, part).repartition(AT, PART)
+
+    def aside(self, rows: DataFrame) -> DataFrame:
+        """Rows written once for the change under way, which no version names: the first expire() after its commit removes them."""
+        at = f"{self.path}/{self._begun('aside')}/{AT}=aside"
+        with swept(self.spark):
+            rows.write.parquet(at, compression=CODEC)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def replace(self, name: str, gone: DataFrame | None, new: DataFrame | None, at: list[int] | None = None) -> list[int]:
         """Removes the rows that agree with `gone` in all columns it has, its key among them, then puts in `new`; the buckets written.
 
-        Columns agree by equality: a row with a null in one of them stays.
+        Columns agree by equality: a row with a null in one of them stays. at: the buckets of all these keys, where they are
+        known; else both are computed once more to find them.
         """
         t = self.body["tables"][name]
         sides = [d.select(t["key"]) for d in (gone, new) if d is not None]
         if not sides:
             return []
-        which = self.touched(name, sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]))
+        which = self.touched(name, sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])) if at is None else at
         if not which:
             return []
         rows = self.table(name, which)
-        if gone is not None:
-            rows = rows.join(gone.distinct(), gone.columns, "left_anti").select(*rows.columns)
+        columns = rows.columns
+        if gone is not None and any(str(b) in t["folders"] for b in which):
+            # both sides by bucket: what stays moves once, for the join and the writing
+            rows = self._dealt(name, rows, len(which)).join(self._dealt(name, gone, len(which)), [AT, PART, *gone.columns], "left_anti").select(AT, *columns)
+        else:
+            rows = rows.withColumn(AT, self._at(name))
         if new is not None:
-            rows = rows.unionByName(new.select(*rows.columns))
-        self._folder = self._folder or f"v{self.version + 1:08d}-{uuid.uuid4().hex}"
-        at = f"{self._folder}/{name}-{uuid.uuid4().hex[:8]}"
-        rows.withColumn(AT, self._at(name)).repartition(len(which), AT).write.partitionBy(AT).parquet(f"{self.path}/{at}")
+            rows = rows.unionByName(self._dealt(name, new.select(*columns), len(which)).drop(PART))
+        at = self._begun(name)
+        with swept(self.spark):
+            rows.write.partitionBy(AT).parquet(f"{self.path}/{at}", compression=CODEC)
         there = {int(n.split("=")[1]) for n in stores.names(self.spark, f"{self.path}/{at}", f"{AT}=*")}
         for b in which:
             t["folders"].pop(str(b), None)

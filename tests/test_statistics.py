@@ -1,7 +1,11 @@
 """Statistics after changes, against those of the documents that are left, counted afresh."""
 
+import os
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.config import Settings
 from tessera.operators import corpus
 from tessera.sources import keyed
@@ -76,3 +80,32 @@ def test_a_stream_of_changes_that_breaks_off(spark, tmp_path, monkeypatch):
     run()
     assert keyed.opened(spark, path).version == 2
     held(spark, path, given)
+
+
+def test_a_store_of_phrase_counts_holds_no_text(spark, tmp_path):
+    path, rng = str(tmp_path / "s"), random.Random(3)
+    words = ["".join(rng.choices("abcdefghilmnopqrstuvz", k=8)) for _ in range(4000)]
+    text = lambda: " ".join(" ".join(rng.choices(words, k=14)).capitalize() + "." for _ in range(60))
+    docs = [(f"d{k}", 0, text() + " " + " ".join(SENTENCES)) for k in range(60)]
+    given = [docs, [(d, 1, t + " " + t if k % 2 else None) for k, (d, _, t) in enumerate(docs[:20])], docs[15:40]]
+    for n, rows in enumerate(given):
+        assert statistics.apply(spark, path, spark.createDataFrame(rows, CHANGES), n, S, buckets=4, of=("phrase_counts",))
+    got = statistics.tables(spark, path, S)
+    assert set(got) == {"phrase_counts"}
+    assert plain(got["phrase_counts"]) == plain(afresh(spark, given)["phrases"].drop("example", "norms"))
+    kept = sum(os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(path) for n in names)
+    assert kept < sum(len(t) for _, _, t in docs) / 2  # two versions and their pointers; the changes are gone
+    with pytest.raises(ValueError):
+        statistics.apply(spark, path, spark.createDataFrame(docs, CHANGES), 9, S, of=("norms",))
+
+
+def test_a_store_whose_sentences_are_dealt_by_print(spark, tmp_path):
+    path, given = str(tmp_path / "s"), batches(4)[:2]
+    statistics.apply(spark, path, spark.createDataFrame(given[0], CHANGES), 0, S, buckets=4)
+    store = keyed.opened(spark, path)
+    now = store.table("sentences").withColumn("first", F.struct(F.col("first").alias("pos"), F.lit("as spelled").alias("sentence")))
+    store.create("sentences", "fp string, doc_id string, n long, first struct<pos:int,sentence:string>", "fp", 4)
+    store.replace("sentences", None, now)
+    store.commit()
+    statistics.apply(spark, path, spark.createDataFrame(given[1], CHANGES), 1, S, buckets=4)
+    held(spark, path, given)
